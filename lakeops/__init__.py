@@ -8,3 +8,10 @@ Layout
     plans       jobs that chain the operators
     checks      derivations of test inputs, registered queries and their SQL counterparts
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the plan, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 # Layout of a compressed object and of the file inside it.
 HEADER_BYTES = 8
@@ -13,7 +14,7 @@ MAGIC = b"DICM"
 MAGIC_OFFSET = 128
 
 
-@F.pandas_udf("content binary, error string")
+@F.pandas_udf(StructType().add("content", BinaryType()).add("error", StringType()))
 def inflate(payload: pd.Series) -> pd.DataFrame:
     """Inflate objects; a bad one yields a null content and an error, never an exception."""
     contents, errors = [], []
