@@ -8,7 +8,7 @@ from lakeops.checks import fixtures as fx
 from lakeops.checks.base import query, staged
 from lakeops.functions.documents import day_prefix, sanitize_id, tree_path, uri_bucket, uri_key
 from lakeops.operators.documents import (
-    decode_documents, extracted_tables, parse_counters, parse_documents, skipped_documents, tree_files, union_outcomes,
+    REPORT_COLUMNS, decode_documents, extracted_tables, parse_counters, parse_documents, skipped_documents, tree_files, union_outcomes,
 )
 from lakeops.session import scratch_dir
 from lakeops.sinks.tree import replace_day_folders
@@ -35,8 +35,7 @@ def _parsed(spark, sf, *window):
 
 
 def _report(spark, sf, *window):
-    decoded = _decoded(spark, sf, *window)
-    return union_outcomes(parse_documents(decoded, fx.line_parser), skipped_documents(decoded))
+    return _parsed(spark, sf, *window).select(*REPORT_COLUMNS)
 
 
 def parsed_path(spark, sf):
@@ -112,7 +111,7 @@ def p6_sniff_decode(spark, sf):
 """, ("obx", "decoded", "outcomes", "doc_tables"))
 def u1_parse_documents(spark, sf):
     total = F.aggregate("tables", F.lit(0).cast("bigint"), lambda a, t: a + t["n_cols"])
-    return _parsed(spark, sf).select(
+    return _parsed(spark, sf).where("parse_status <> 'skipped'").select(
         "hl7_id", "dte_of_message", "parse_status", "parse_error", F.md5("report_markdown").alias("digest"),
         F.size("tables").cast("bigint").alias("n_tables"), total.alias("n_cols"),
     )
@@ -122,7 +121,9 @@ def u1_parse_documents(spark, sf):
     SELECT hl7_id, dte_of_message, md5(report_markdown) AS report_digest, source_format, parse_status, parse_error FROM outcomes
 """, ("obx", "decoded", "outcomes"))
 def so2_union_outcomes(spark, sf):
-    return _report(spark, sf).select(
+    decoded = _decoded(spark, sf)
+    pdfs = parse_documents(decoded.where(F.col("parse_status").isNull()), fx.line_parser)
+    return union_outcomes(pdfs, skipped_documents(decoded)).select(
         "hl7_id", "dte_of_message", F.md5("report_markdown").alias("report_digest"), "source_format", "parse_status", "parse_error"
     )
 
@@ -146,11 +147,7 @@ def w6_item_ordinals(spark, sf):
     GROUP BY ROLLUP (dte_of_message)
 """, ("obx", "decoded", "outcomes", "doc_tables"))
 def g2_parse_counters(spark, sf):
-    decoded = _decoded(spark, sf)
-    n_tables = F.size("tables").alias("n_tables")
-    parsed = parse_documents(decoded, fx.line_parser).select("dte_of_message", "parse_status", "report_markdown", n_tables)
-    skipped = skipped_documents(decoded).select("dte_of_message", "parse_status", "report_markdown", F.lit(0).alias("n_tables"))
-    return parse_counters(parsed.unionByName(skipped))
+    return parse_counters(_parsed(spark, sf).withColumn("n_tables", F.size("tables")))
 
 
 @query("k1_overwrite_window", """

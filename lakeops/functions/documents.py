@@ -9,14 +9,21 @@ PDF_MAGIC = b"%PDF-"
 RTF_MAGIC = b"{\\rtf"
 
 
-def decode_base64(c: Column) -> Column:
+def base64_symbols(c: Column) -> Column:
+    """Payload symbols of a base64 text; foreign characters and padding are left out."""
+    return F.regexp_replace(c, "[^A-Za-z0-9+/]", "")
+
+
+def base64_padding(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("="), F.lit("")))
+
+
+def decode_base64(symbols: Column, padding: Column) -> Column:
     """Bytes of a base64 text, null when it cannot be decoded.
 
     Foreign characters are ignored and surplus padding is accepted; missing padding is not.
     """
-    symbols = F.regexp_replace(c, "[^A-Za-z0-9+/]", "")
     tail = F.length(symbols) % 4
-    padding = F.length(c) - F.length(F.replace(c, F.lit("="), F.lit("")))
     decodable = (tail == 0) | ((tail == 2) & (padding >= 2)) | ((tail == 3) & (padding >= 1))
     missing = F.when(tail == 2, "==").when(tail == 3, "=").otherwise("")
     return F.when(decodable, F.unbase64(F.concat(symbols, missing)))

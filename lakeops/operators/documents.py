@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.functions.documents import decode_base64, document_format, tree_path
+from lakeops.functions.documents import base64_padding, base64_symbols, decode_base64, document_format, tree_path
+from lakeops.operators.once import evaluate_once
 
 # Columns of the two outputs, and the statuses and errors found in them.
 REPORT_SCHEMA = (
@@ -37,22 +38,22 @@ def decode_documents(df: DataFrame, payload: str) -> DataFrame:
 
     ``parse_status`` is null for the PDFs that go on to the parser and ``skipped`` for the rest.
     """
-    raw = decode_base64(F.col(payload))
-    fmt = F.when(F.col("raw").isNull(), "other").otherwise(document_format(F.col("raw")))
-    problem = F.when(F.col("raw").isNull(), "base64 decode: invalid payload").when(
-        F.col("source_format") != "pdf", F.concat(F.lit("unsupported format: "), F.col("source_format"))
-    )
-    return (
-        df.withColumn("raw", raw).drop(payload)
-        .withColumn("source_format", fmt)
-        .withColumn("parse_error", problem)
-        .withColumn("parse_status", F.when(F.col("parse_error").isNotNull(), "skipped"))
+    c = F.col(payload)
+    read = evaluate_once(df, _symbols=base64_symbols(c), _padding=base64_padding(c)).drop(payload)
+    raw = evaluate_once(read, raw=decode_base64(F.col("_symbols"), F.col("_padding"))).drop("_symbols", "_padding")
+    absent = F.col("raw").isNull()
+    told = evaluate_once(raw, source_format=F.when(absent, "other").otherwise(document_format(F.col("raw"))))
+    fmt = F.col("source_format")
+    problem = F.when(absent, "base64 decode: invalid payload").when(
+        fmt != "pdf", F.concat(F.lit("unsupported format: "), fmt)
     )
+    return told.withColumn("parse_status", F.when(fmt != "pdf", "skipped")).withColumn("parse_error", problem)
 
 
 def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> DataFrame:
-    """One row per PDF with status, markdown and its tables.
+    """One row per document: the report columns and the tables found in it.
 
+    Skipped documents pass through in the same scan and their bytes never reach Python.
     ``make_parser`` runs once per task, so a costly model is loaded once. A document that raises or
     ends in any status but success is reported and never fails its batch.
     """
@@ -61,9 +62,12 @@ def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> Da
         parser = make_parser()
         for batch in batches:
             rows = []
-            for hl7_id, day, raw in zip(batch["hl7_id"], batch["dte_of_message"], batch["raw"]):
+            for row in batch.itertuples(index=False):
+                if row.parse_status is not None:
+                    rows.append((row.hl7_id, row.dte_of_message, None, row.source_format, row.parse_status, row.parse_error, []))
+                    continue
                 try:
-                    result = parser(hl7_id, bytes(raw))
+                    result = parser(row.hl7_id, bytes(row.raw))
                 except Exception:  # a bad document stays its own problem
                     result = {"status": "failure"}
                 good = result["status"] in PARSED
@@ -72,13 +76,14 @@ def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> Da
                     for csv, n_rows, n_cols, page in (result.get("tables") or [] if good else [])
                 ]
                 rows.append((
-                    hl7_id, day, result["markdown"] if good else None, "pdf", result["status"],
-                    None if good else PARSE_FAILED, tables,
+                    row.hl7_id, row.dte_of_message, result["markdown"] if good else None, row.source_format,
+                    result["status"], None if good else PARSE_FAILED, tables,
                 ))
             yield pd.DataFrame(rows, columns=[*REPORT_COLUMNS, "tables"])
 
-    pdfs = decoded.where(F.col("parse_status").isNull()).select("hl7_id", "dte_of_message", "raw")
-    return pdfs.mapInPandas(parse, _PARSED_SCHEMA)
+    payload = F.when(F.col("parse_status").isNull(), F.col("raw")).alias("raw")
+    given = decoded.select("hl7_id", "dte_of_message", payload, "source_format", "parse_status", "parse_error")
+    return given.mapInPandas(parse, _PARSED_SCHEMA)
 
 
 def skipped_documents(decoded: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def skipped_documents(decoded: DataFrame) -> DataFrame:
 
 
 def union_outcomes(parsed: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Skipped and parsed documents in one report with fixed columns and types."""
+    """Skipped and parsed documents, obtained apart, in one report with fixed columns and types."""
     return skipped.select(*REPORT_COLUMNS).unionByName(parsed.select(*REPORT_COLUMNS))
 
 
