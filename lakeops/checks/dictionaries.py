@@ -1 +1,271 @@
-"""Queries."""
+"""Catalog queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakeops.checks import fixtures as fx
+from lakeops.checks.base import query, table
+from lakeops.functions.text import fold_keyword
+from lakeops.operators.catalog import (
+    Catalog, constraint_violations, dictionary, expand_lineage, index_counts, scan_metadata, table_variable_counts,
+)
+from lakeops.operators.nested import resource_docs, table_docs, variable_docs
+from lakeops.plans.catalog_load import load_catalog
+from lakeops.session import scratch_dir
+from lakeops.sinks.bulk import bulk_documents, write_bulk
+from lakeops.sinks.release import publish_dictionary
+
+CODE = "africa"
+_ALL = ("resource", "analyst", "dict_table", "variable", "value_set", "value_set_code", "mapping")
+_AFRICA = (*_ALL, "africa_tables", "africa_variables")
+_LINEAGE = (*_ALL, "parents", "systems", "lineage", "counts")
+
+
+def _sheet(name, columns):
+    return lambda spark, sf: dictionary(fx.catalog(spark, sf), CODE)[name].select(*columns)
+
+
+def _register(key, sheet, columns, sql):
+    query(key, sql, _AFRICA)(_sheet(sheet, columns))
+
+
+_register("j1_resource", "Resource", ["id", "code", "name", "resource_type", "publish_dictionary"], """
+    SELECT id, code, name, resource_type, publish_dictionary FROM resource WHERE code = 'africa' AND publish_dictionary
+""")
+_register("j2_dict_tables", "Dict Tables", ["id", "resource_id", "name", "domain"],
+          "SELECT id, resource_id, name, domain FROM africa_tables")
+_register("j3_variables", "Variable", ["id", "table_id", "name", "path", "value_set_id"],
+          "SELECT id, table_id, name, path, value_set_id FROM africa_variables")
+_register("j4_value_sets", "Value Sets", ["id", "name"], """
+    SELECT s.id, s.name FROM value_set s JOIN africa_variables v ON v.value_set_id = s.id
+""")
+_register("j5_value_set_codes", "Value Set Codes", ["id", "value_set_id", "code"], """
+    SELECT c.id, c.value_set_id, c.code FROM value_set_code c JOIN africa_variables v ON v.value_set_id = c.value_set_id
+""")
+_register("j6_mappings", "Mappings", ["value_set_code_id", "original_value"], """
+    SELECT m.value_set_code_id, m.original_value FROM mapping m
+    JOIN value_set_code c ON c.id = m.value_set_code_id JOIN africa_variables v ON v.value_set_id = c.value_set_id
+""")
+
+
+def _told(name, first, second):
+    return F.array_join(F.transform(name, lambda x: F.concat_ws(":", x[first], x[second], x["published"].cast("string"))), ",")
+
+
+@query("j12_lineage_expand", "SELECT * FROM lineage", _LINEAGE)
+def j12_lineage_expand(spark, sf):
+    return expand_lineage(fx.catalog(spark, sf)).select(
+        "var_id", "var_name", F.size("var_from_variables").cast("bigint").alias("n_parents"),
+        _told("var_from_variables", "var_id", "var_name").alias("parents"),
+        F.size("var_from_source_systems").cast("bigint").alias("n_systems"),
+        _told("var_from_source_systems", "rs_id", "rs_code").alias("systems"),
+    )
+
+
+@query("g3_index_counts", """
+    SELECT 'resource' AS kind, CAST(rs_id AS BIGINT) AS id, project_count, domain_count, source_system_count, variable_count, table_count FROM counts
+    UNION ALL
+    SELECT 'table', t.id, NULL, NULL, NULL, (SELECT count(*) FROM variable v WHERE v.table_id = t.id), NULL FROM dict_table t
+""", _LINEAGE)
+def g3_index_counts(spark, sf):
+    cat = fx.catalog(spark, sf)
+    resources = index_counts(cat).select(
+        F.lit("resource").alias("kind"), F.col("rs_id").cast("bigint").alias("id"), "project_count", "domain_count",
+        "source_system_count", "variable_count", "table_count",
+    )
+    tables = table_variable_counts(cat).select(F.lit("table").alias("kind"), F.col("tab_id").cast("bigint").alias("id"), "variable_count")
+    return resources.unionByName(tables, allowMissingColumns=True)
+
+
+def _array_facts(name, field):
+    c = F.col(name)
+    return (
+        F.size(c).cast("bigint").alias(f"n_{name}"),
+        F.get(c, F.lit(0))[field].alias(f"first_{name}"), F.get(c, F.size(c) - 1)[field].alias(f"last_{name}"),
+    )
+
+
+@query("d1_resource_centric", """
+    SELECT r.id AS rs_id, 0 AS part, r.code AS rs_code, r.resource_type = 'research_project' AS rs_is_project,
+           a.name AS analyst_name, c.project_count, c.variable_count, c.table_count,
+           coalesce(v.n, 0) AS n_variables, v.first_var AS first_variables, v.last_var AS last_variables,
+           coalesce(v.parents, 0) AS n_parents, coalesce(t.n, 0) AS n_tables, t.first_tab AS first_tables, t.last_tab AS last_tables
+    FROM resource r LEFT JOIN analyst a ON a.id = r.project_analyst_id JOIN counts c ON c.rs_id = r.id
+    LEFT JOIN (SELECT t.resource_id, count(*) AS n, min(v.id) AS first_var, max(v.id) AS last_var,
+                      CAST(sum(l.n_parents) AS BIGINT) AS parents
+               FROM variable v JOIN dict_table t ON t.id = v.table_id JOIN lineage l ON l.var_id = v.id GROUP BY 1) v ON v.resource_id = r.id
+    LEFT JOIN (SELECT resource_id, count(*) AS n, min(id) AS first_tab, max(id) AS last_tab FROM dict_table GROUP BY 1) t
+           ON t.resource_id = r.id
+""", _LINEAGE)
+def d1_resource_centric(spark, sf):
+    parents = F.aggregate("variables", F.lit(0).cast("bigint"), lambda a, v: a + F.size(v["var_from_variables"]))
+    return resource_docs(fx.catalog(spark, sf)).select(
+        "rs_id", "part", "rs_code", "rs_is_project", "rs_analyst.analyst_name",
+        "stat_etl.project_count", "stat_etl.variable_count", "stat_etl.table_count",
+        *_array_facts("variables", "var_id"), parents.alias("n_parents"), *_array_facts("tables", "tab_id"),
+    )
+
+
+@query("d2_table_centric", """
+    SELECT t.id AS tab_id, 0 AS part, t.name AS tab_name, t.domain AS tab_domain, r.code AS rs_code,
+           coalesce(v.n, 0) AS variable_count, coalesce(v.n, 0) AS n_variables, v.first_var AS first_variables,
+           v.last_var AS last_variables, coalesce(v.systems, 0) AS n_systems
+    FROM dict_table t JOIN resource r ON r.id = t.resource_id
+    LEFT JOIN (SELECT v.table_id, count(*) AS n, min(v.id) AS first_var, max(v.id) AS last_var,
+                      CAST(sum(l.n_systems) AS BIGINT) AS systems
+               FROM variable v JOIN lineage l ON l.var_id = v.id GROUP BY 1) v ON v.table_id = t.id
+""", _LINEAGE)
+def d2_table_centric(spark, sf):
+    systems = F.aggregate("variables", F.lit(0).cast("bigint"), lambda a, v: a + F.size(v["var_from_source_systems"]))
+    return table_docs(fx.catalog(spark, sf)).select(
+        "tab_id", "part", "tab_name", "tab_domain", "resource.rs_code", "stat_etl.variable_count",
+        *_array_facts("variables", "var_id"), systems.alias("n_systems"),
+    )
+
+
+@query("d3_variable_centric", """
+    SELECT v.id AS var_id, 0 AS part, v.name AS var_name, v.path AS var_path, t.name AS tab_name, r.code AS rs_code,
+           l.n_parents, l.n_systems, s.name AS vs_name, c.n AS n_values, c.first_code AS first_values, c.last_code AS last_values
+    FROM variable v JOIN dict_table t ON t.id = v.table_id JOIN resource r ON r.id = t.resource_id
+    JOIN lineage l ON l.var_id = v.id LEFT JOIN value_set s ON s.id = v.value_set_id
+    LEFT JOIN (SELECT value_set_id, count(*) AS n, min(code) AS first_code, max(code) AS last_code FROM value_set_code GROUP BY 1) c
+           ON c.value_set_id = s.id
+""", _LINEAGE)
+def d3_variable_centric(spark, sf):
+    docs = variable_docs(fx.catalog(spark, sf)).withColumn("values", F.col("value_set.values"))
+    return docs.select(
+        "var_id", "part", "var_name", "var_path", "table.tab_name", "resource.rs_code",
+        F.size("var_from_variables").cast("bigint").alias("n_parents"),
+        F.size("var_from_source_systems").cast("bigint").alias("n_systems"), "value_set.vs_name",
+        *_array_facts("values", "vsval_code"),
+    ).withColumn("n_values", F.when(F.col("n_values") >= 0, F.col("n_values")))
+
+
+@query("k8_index_documents", """
+    SELECT chunk, min(id) AS min_id, max(id) AS max_id, count(*) AS n, CAST(sum(named) AS BIGINT) AS n_named
+    FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 30 AS chunk, 1 AS named FROM variable) GROUP BY chunk
+""", _ALL)
+def k8_index_documents(spark, sf):
+    """Documents are delivered as JSON lines and read back; small chunks show the order across them."""
+    path = scratch_dir(spark, "bulk")
+    write_bulk(bulk_documents(variable_docs(fx.catalog(spark, sf)), "var_id", chunk=30), path)
+    lines = spark.read.schema("value string, chunk bigint").text(path)
+    source = F.get_json_object("value", "$._source")
+    read = lines.select("chunk", F.get_json_object("value", "$._id").cast("bigint").alias("id"), source.alias("source"))
+    return read.groupBy("chunk").agg(
+        F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count(F.lit(1)).alias("n"),
+        F.count(F.get_json_object("source", "$.var_name")).alias("n_named"),
+    )
+
+
+@query("k7_publish_dictionary", """
+    SELECT 'Resource' AS sheet, count(*) AS n_rows FROM resource WHERE code = 'africa' AND publish_dictionary
+    UNION ALL SELECT 'Dict Tables', count(*) FROM africa_tables
+    UNION ALL SELECT 'Variable', count(*) FROM africa_variables
+    UNION ALL SELECT 'Value Sets', count(*) FROM value_set s JOIN africa_variables v ON v.value_set_id = s.id
+    UNION ALL SELECT 'Value Set Codes', count(*) FROM value_set_code c JOIN africa_variables v ON v.value_set_id = c.value_set_id
+    UNION ALL SELECT 'Mappings', count(*) FROM mapping m JOIN value_set_code c ON c.id = m.value_set_code_id
+                                          JOIN africa_variables v ON v.value_set_id = c.value_set_id
+""", _AFRICA)
+def k7_publish_dictionary(spark, sf):
+    sheets = dictionary(fx.catalog(spark, sf), CODE)
+    folder = publish_dictionary(sheets, scratch_dir(spark, "dictionary"), CODE, "2024-02-02", ["green-prd", "published-clinical-shop"])
+    counted = []
+    for sheet in sheets:
+        rows = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{sheet.lower().replace(' ', '_')}")
+        counted.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(sheet).alias("sheet"), "n_rows"))
+    from lakeops.sources.registry import union_by_name
+
+    return union_by_name(counted)
+
+
+_SCANNED = {
+    "customer": "c_custkey integer, c_name string, c_nationkey integer, c_acctbal decimal, c_mktsegment string",
+    "documents": "doc_id integer, text string, lang string, source string, n_chars integer",
+    "embeddings": "vec_id integer, embedding array, label integer",
+    "events": "event_id integer, ts datetime, user_id integer, event_type string, value decimal, props string",
+    "lineitem": "l_orderkey integer, l_partkey integer, l_suppkey integer, l_linenumber integer, l_quantity decimal, "
+                "l_extendedprice decimal, l_discount decimal, l_tax decimal, l_returnflag string, l_linestatus string, l_shipdate datetime",
+    "nation": "n_nationkey integer, n_name string, n_regionkey integer",
+    "orders": "o_orderkey integer, o_custkey integer, o_orderstatus string, o_totalprice decimal, o_orderdate datetime, o_orderpriority string",
+    "part": "p_partkey integer, p_name string, p_brand string, p_type string, p_size integer, p_retailprice decimal",
+    "region": "r_regionkey integer, r_name string",
+    "supplier": "s_suppkey integer, s_name string, s_nationkey integer, s_acctbal decimal",
+}
+
+
+def _scan_sql():
+    lines = []
+    for name, columns in _SCANNED.items():
+        for column in columns.split(", "):
+            c, kind = column.split()
+            lines.append(
+                f"SELECT 'shop' AS resource, '{name}' AS table_name, '{c}' AS name, 'shop.{name}.{c}' AS path, '{kind}' AS value_type, "
+                f"'current' AS rolling_version, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct FROM {name}"
+            )
+    return "\nUNION ALL ".join(lines)
+
+
+@query("m4_scan_metadata", _scan_sql())
+def m4_scan_metadata(spark, sf):
+    return scan_metadata(spark, "shop", {name: table(spark, sf, name) for name in _SCANNED})
+
+
+@query("m5_load_order", """
+    SELECT 'analyst' AS table_name, 0 AS position, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_orphans FROM analyst
+    UNION ALL SELECT 'resource', 1, count(*), 0 FROM resource UNION ALL SELECT 'dict_table', 2, count(*), 0 FROM dict_table
+    UNION ALL SELECT 'value_set', 3, count(*), 0 FROM value_set UNION ALL SELECT 'value_set_code', 4, count(*), 0 FROM value_set_code
+    UNION ALL SELECT 'variable', 5, count(*), 0 FROM variable UNION ALL SELECT 'mapping', 6, count(*), 0 FROM mapping
+""", _ALL)
+def m5_load_order(spark, sf):
+    """The catalog is loaded twice from the same staging data; the second load changes nothing."""
+    staged = fx.catalog(spark, sf)
+    root = scratch_dir(spark, "catalog")
+    load_catalog(spark, staged, root)
+    return load_catalog(spark, staged, root)
+
+
+_RULES = {
+    "analyst": ["not null name", "primary key id", "unique name"],
+    "resource": [
+        "not null code", "not null name", "not null resource_type", "not null description_en", "not null description_fr",
+        "not null publish_dictionary", "not null publish_summary", "not null recurring", "allowed resource_type",
+        "primary key id", "unique code", "reference project_analyst_id",
+    ],
+    "dict_table": [
+        "not null resource_id", "not null name", "primary key id", "unique resource_id, name", "reference resource_id",
+    ],
+    "value_set": ["not null name", "primary key id", "unique name"],
+    "value_set_code": [
+        "not null value_set_id", "not null code", "not null label_fr", "not null label_en", "primary key id",
+        "unique value_set_id, code", "reference value_set_id",
+    ],
+    "variable": [
+        "not null table_id", "not null name", "not null path", "not null rolling_version", "allowed value_type",
+        "allowed rolling_version", "primary key id", "unique path", "reference table_id",
+    ],
+    "mapping": ["not null original_value", "unique value_set_code_id, original_value"],
+}
+_HOLDING = ", ".join(f"('{t}', '{rule}', CAST(0 AS BIGINT))" for t, rules in _RULES.items() for rule in rules)
+
+
+@query("m6_constraints", f"""
+    SELECT * FROM (VALUES {_HOLDING}) v("table", rule, n)
+    UNION ALL SELECT 'variable', 'reference value_set_id',
+                     count(*) FROM variable WHERE value_set_id IS NOT NULL AND value_set_id NOT IN (SELECT id FROM value_set)
+    UNION ALL SELECT 'mapping', 'not null value_set_code_id', count(*) FROM broken WHERE value_set_code_id IS NULL
+    UNION ALL SELECT 'mapping', 'reference value_set_code_id',
+                     count(*) FROM broken WHERE value_set_code_id NOT IN (SELECT id FROM value_set_code)
+""", (*_ALL, "broken"))
+def m6_constraints(spark, sf):
+    """The mappings are damaged on purpose: some codes are unknown, some are missing."""
+    cat = fx.catalog(spark, sf)
+    code = F.col("value_set_code_id")
+    damaged = F.when(F.col("original_value") == "3", code + 10_000_000).when(F.col("original_value") != "5", code)
+    return constraint_violations(Catalog(**{**cat.__dict__, "mapping": cat.mapping.withColumn("value_set_code_id", damaged)}))
+
+
+@query("p14_fold_keyword", "SELECT doc_id, md5(replace(strip_accents(lower(text)), 'ß', 'ss')) AS folded FROM documents")
+def p14_fold_keyword(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(fold_keyword(F.col("text"))).alias("folded"))
