@@ -15,7 +15,7 @@ from lakeops.operators.studies import (
     classify_studies, convert_studies, match_studies, missing_studies, problem_report, report_only, split_existing,
     status_summary, top_missing,
 )
-from lakeops.session import scratch_dir
+from lakeops.session import durable, scratch_dir
 from lakeops.sinks.tree import write_files
 from lakeops.sources.files import read_cohort, read_objects
 
@@ -219,7 +219,7 @@ def w1_first_appearance(spark, sf):
 @query("so3_missing", "SELECT * FROM study_missing", (*_RESOLVED, "study_missing"))
 def so3_missing(spark, sf):
     objects, wanted = _objects(spark, sf), fx.patterns(spark)
-    return missing_studies(wanted, match_studies(objects, wanted), objects)
+    return missing_studies(wanted, durable(match_studies(objects, wanted)), objects)
 
 
 @query("o1_top_missing", """
@@ -231,4 +231,5 @@ def o1_top_missing(spark, sf):
     """Every order is asked for by a wildcard of its own; those without objects stay unmatched."""
     objects = _objects(spark, sf)
     wanted = fx.study_orders(spark, sf).select(F.col("o_orderkey").alias("ordinal"), F.concat("study", F.lit("*")).alias("pattern"))
-    return top_missing(missing_studies(wanted, match_studies(objects, wanted), objects), wanted)
+    missing = durable(missing_studies(wanted, durable(match_studies(objects, wanted)), objects))
+    return top_missing(missing, wanted)

@@ -9,20 +9,31 @@ PDF_MAGIC = b"%PDF-"
 RTF_MAGIC = b"{\\rtf"
 
 
-def base64_symbols(c: Column) -> Column:
-    """Payload symbols of a base64 text; foreign characters and padding are left out."""
-    return F.regexp_replace(c, "[^A-Za-z0-9+/]", "")
-
-
 def base64_padding(c: Column) -> Column:
+    """Number of padding characters of a base64 text."""
     return F.length(c) - F.length(F.replace(c, F.lit("="), F.lit("")))
 
 
-def decode_base64(symbols: Column, padding: Column) -> Column:
-    """Bytes of a base64 text, null when it cannot be decoded.
+def strict_base64(c: Column) -> Column:
+    """Bytes of a text that holds nothing but base64 and line breaks; null for anything else.
+
+    One pass over the text, but it takes text whose padding is missing: see ``padded_enough``.
+    """
+    return F.try_to_binary(c, F.lit("base64"))
+
+
+def padded_enough(raw: Column, padding: Column) -> Column:
+    """Whether bytes decoded from unbroken base64 came with the padding their length calls for."""
+    over = F.length(raw) % 3
+    return (over == 0) | ((over == 1) & (padding >= 2)) | ((over == 2) & (padding >= 1))
+
+
+def lenient_base64(c: Column, padding: Column) -> Column:
+    """Bytes of a base64 text with foreign characters in it, which are left out.
 
-    Foreign characters are ignored and surplus padding is accepted; missing padding is not.
+    Surplus padding is accepted; missing padding makes it null, as does a dangling symbol.
     """
+    symbols = F.regexp_replace(c, "[^A-Za-z0-9+/]", "")
     tail = F.length(symbols) % 4
     decodable = (tail == 0) | ((tail == 2) & (padding >= 2)) | ((tail == 3) & (padding >= 1))
     missing = F.when(tail == 2, "==").when(tail == 3, "=").otherwise("")

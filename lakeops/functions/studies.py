@@ -122,4 +122,7 @@ def glob_regex(pattern: Column) -> Column:
             .otherwise(F.regexp_replace(token, r"([^A-Za-z0-9_/\s])", r"\\$1"))
         )
 
-    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, rewrite), ""), F.lit(r"\z"))
+    general = F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, rewrite), ""), F.lit(r"\z"))
+    # Almost every pattern only has stars: quote what lies between them.
+    quoted = F.concat(F.lit(r"(?s)^\Q"), F.replace(pattern, F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E\z"))
+    return F.when(pattern.rlike(r"[?\[\\]"), general).otherwise(quoted)

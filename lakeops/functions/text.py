@@ -19,7 +19,7 @@ SHEET_NA = [
 ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 # Blank characters trimmed from sheet cells (Unicode white space plus the four ASCII separators).
-BLANKS = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def map_strings(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
@@ -44,8 +44,9 @@ def clean_sheet(df: DataFrame, na_tokens: list[str] | None = None) -> DataFrame:
 
     def clean(c: Column) -> Column:
         kept = F.when(~c.isin(tokens), c)
-        trimmed = F.regexp_replace(kept, f"^{BLANKS}+|{BLANKS}+\\z", "")
-        return F.translate(F.regexp_replace(trimmed, r"\\[tnr]", ""), "\t\n\r", "")
+        trimmed = F.btrim(kept, F.lit(BLANKS))
+        unescaped = F.when(trimmed.contains("\\"), F.regexp_replace(trimmed, r"\\[tnr]", "")).otherwise(trimmed)
+        return F.translate(unescaped, "\t\n\r", "")
 
     return map_strings(df, clean)
 

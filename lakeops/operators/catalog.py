@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,42 +216,40 @@ def _fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataTyp
     return found
 
 
-def _comparable(name: str, kind: T.DataType):
-    """A narrow stand-in with the same equality, so that distinct counts do not shuffle whole texts."""
-    c = F.col(name)
-    if isinstance(kind, T.StringType):
-        return F.unhex(F.sha2(c, 256))
-    if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.unhex(F.sha2(F.to_json(F.struct(c)), 256))
-    return c
+def _comparable(c: Column, kind: T.DataType) -> Column:
+    """Short bytes with the same equality as the value, so that counting does not shuffle whole texts."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0)  # both zeros are one value
+    text = F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")
+    text = F.when(c.isNotNull(), text)
+    bytes_ = F.encode(text, "UTF-8")
+    # 32 bytes are always a digest, fewer are always the text itself.
+    return F.when(F.octet_length(text) < 32, bytes_).otherwise(F.unhex(F.sha2(bytes_, 256)))
 
 
 def scan_metadata(spark: SparkSession, resource: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per column of a resource's datasets: catalog fields and counts.
+    """One row per column of a resource's datasets, nested fields included: catalog fields and counts.
 
-    Each dataset is scanned once. Maps have no equality and get a null distinct count.
+    Each dataset is scanned once. A row becomes narrow (column, value) pairs that are folded before
+    the shuffle; several distinct counts in one aggregate would repeat whole rows instead. Maps have
+    no equality of their own and are compared by their text.
     """
-    profiles = []
+    known, folded = [], []
     for name, df in sorted(tables.items()):
         fields = _fields(df.schema)
-        measures = []
-        for i, (path, kind) in enumerate(fields):
-            measures.append(F.count(F.col(path)).alias(f"v{i}"))
-            known = not isinstance(kind, T.MapType)
-            distinct = F.count_distinct(_comparable(path, kind)) if known else F.lit(None).cast("bigint")
-            measures.append(distinct.alias(f"d{i}"))
-        lines = F.array(*[
-            F.struct(
-                F.lit(path.split(".")[-1]).alias("name"), F.lit(f"{resource}.{name}.{path}").alias("path"),
-                F.lit(value_type(kind)).alias("value_type"), F.col(f"v{i}").alias("n_values"), F.col(f"d{i}").alias("n_distinct"),
-            )
-            for i, (path, kind) in enumerate(fields)
+        first = len(known)
+        known += [(first + i, name, path.split(".")[-1], f"{resource}.{name}.{path}", value_type(kind)) for i, (path, kind) in enumerate(fields)]
+        pairs = F.array(*[
+            F.struct(F.lit(first + i).alias("i"), _comparable(F.col(path), kind).alias("v")) for i, (path, kind) in enumerate(fields)
         ])
-        profiles.append(df.agg(*measures).select(F.lit(name).alias("table_name"), F.explode(lines).alias("c")))
-    every = reduce(DataFrame.unionByName, profiles)
-    return every.select(
-        F.lit(resource).alias("resource"), "table_name", "c.name", "c.path", "c.value_type",
-        F.lit("current").alias("rolling_version"), "c.n_values", "c.n_distinct",
+        folded.append(df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
+    counted = reduce(DataFrame.unionByName, folded).groupBy("i").agg(
+        F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct")
+    )
+    columns = spark.createDataFrame(known, "i int, table_name string, name string, path string, value_type string")
+    return columns.join(counted, "i", "left").fillna(0, ["n_values", "n_distinct"]).select(
+        F.lit(resource).alias("resource"), "table_name", "name", "path", "value_type",
+        F.lit("current").alias("rolling_version"), "n_values", "n_distinct",
     )
 
 

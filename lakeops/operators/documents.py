@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.functions.documents import base64_padding, base64_symbols, decode_base64, document_format, tree_path
+from lakeops.functions.documents import (
+    base64_padding, document_format, lenient_base64, padded_enough, strict_base64, tree_path,
+)
 from lakeops.operators.once import evaluate_once
 
 # Columns of the two outputs, and the statuses and errors found in them.
@@ -38,9 +40,10 @@ def decode_documents(df: DataFrame, payload: str) -> DataFrame:
 
     ``parse_status`` is null for the PDFs that go on to the parser and ``skipped`` for the rest.
     """
-    c = F.col(payload)
-    read = evaluate_once(df, _symbols=base64_symbols(c), _padding=base64_padding(c)).drop(payload)
-    raw = evaluate_once(read, raw=decode_base64(F.col("_symbols"), F.col("_padding"))).drop("_symbols", "_padding")
+    c, strict, padding = F.col(payload), F.col("_strict"), F.col("_padding")
+    read = evaluate_once(df, _strict=strict_base64(c), _padding=base64_padding(c))
+    decoded = F.when(strict.isNull(), lenient_base64(c, padding)).when(padded_enough(strict, padding), strict)
+    raw = evaluate_once(read, raw=decoded).drop("_strict", "_padding", payload)
     absent = F.col("raw").isNull()
     told = evaluate_once(raw, source_format=F.when(absent, "other").otherwise(document_format(F.col("raw"))))
     fmt = F.col("source_format")

@@ -25,43 +25,41 @@ def check_selection(paths: list[str] | None, cohort_bucket: str | None, cohort_k
         raise ValueError("one of paths or a cohort file is required")
 
 
-def object_folders(objects: DataFrame, key: str = "key") -> DataFrame:
-    """Distinct folders holding objects, as an array of segments."""
-    folder = F.regexp_extract(key, "^(.*)/[^/]*$", 1)
-    return objects.select(folder.alias("folder")).where("folder <> ''").distinct().select(
-        "folder", F.split("folder", "/").alias("segments")
-    )
+def _folder(key: str) -> Column:
+    return F.regexp_extract(key, "^(.*)/[^/]*$", 1)
+
 
+def _depths(paths: DataFrame, path: str) -> list[int]:
+    """Distinct segment counts of a set of paths: a handful of small numbers."""
+    depth = F.when(F.col(path) == "", 0).otherwise(F.size(F.split(path, "/"))).alias("depth")
+    return sorted(row.depth for row in paths.select(depth).distinct().collect())
 
-def _leading(segments: Column, n: Column) -> Column:
-    return F.array_join(F.slice(segments, F.lit(1), n), "/")
 
+def stored_prefixes(objects: DataFrame, depths: list[int], key: str = "key") -> DataFrame:
+    """Distinct folders of the given depths that hold objects at any level below."""
+    folder = F.col("folder")
+    above = [F.when(F.size(F.split(folder, "/")) >= d, F.substring_index(folder, "/", d)) for d in depths if d > 0]
+    folders = objects.select(_folder(key).alias("folder"))
+    return folders.select(F.explode(F.array(*above, F.lit(None).cast("string"))).alias("prefix")).where("prefix IS NOT NULL").distinct()
 
-def study_candidates(objects: DataFrame, key: str = "key") -> DataFrame:
-    """``(base, study)``: for each folder level above it, the first study folder met on the way down.
 
-    A folder emits at most one row per level, so the result grows with the folders, not with
-    patterns times folders.
+def study_candidates(objects: DataFrame, depths: list[int], key: str = "key") -> DataFrame:
+    """``(base, study)``: for each folder of the given depths, the first study folder met below it.
+
+    An object emits one row per depth that some pattern starts from, folded before the shuffle; the
+    result grows with the folders, not with patterns times folders.
     """
-    segments = F.col("segments")
-    marks = F.filter(
-        F.sequence(F.lit(1), F.size(segments)), lambda i: F.get(segments, i - 1).rlike(STUDY_NAME)
-    )
-    levels = F.transform(
-        F.sequence(F.lit(0), F.size(segments) - 1),
-        lambda d: F.struct(d.alias("depth"), F.array_min(F.filter(F.col("marks"), lambda m: m > d)).alias("stop")),
-    )
-    return (
-        object_folders(objects, key)
-        .withColumn("marks", marks)
-        .select("segments", F.explode(levels).alias("level"))
-        .where(F.col("level.stop").isNotNull())
-        .select(
-            _leading(segments, F.col("level.depth")).alias("base"),
-            _leading(segments, F.col("level.stop")).alias("study"),
+    folder = F.col("folder")
+    name = STUDY_NAME.removeprefix("^")
+    pairs = F.array(*[
+        F.struct(
+            F.substring_index(folder, "/", d).alias("base"),
+            F.regexp_extract(folder, f"^((?:[^/]*/){{{d}}}(?:[^/]*/)*?{name}[^/]*)(?:/|$)", 1).alias("study"),
         )
-        .distinct()
-    )
+        for d in depths
+    ])
+    folders = objects.select(_folder(key).alias("folder"))
+    return folders.select(F.inline(pairs)).where("study <> ''").distinct()
 
 
 def match_studies(objects: DataFrame, patterns: DataFrame, key: str = "key") -> DataFrame:
@@ -82,16 +80,17 @@ def match_studies(objects: DataFrame, patterns: DataFrame, key: str = "key") ->
         F.when(wild, F.regexp_extract("bare", r"^[^*?\[]*", 0)).alias("stem"),
         F.when(wild, glob_regex(F.col("bare"))).alias("regex"),
     )
+    depths = _depths(walked, "base")
+    if not depths:
+        return named
     fits = F.col("regex").isNull() | (F.col("study").startswith(F.col("stem")) & F.rlike("study", F.col("regex")))
-    found = study_candidates(objects, key).join(walked, "base").where(fits)
+    found = study_candidates(objects, depths, key).join(walked, "base").where(fits)
     return named.unionByName(found.select("ordinal", "pattern", "study"))
 
 
 def split_existing(studies: DataFrame, objects: DataFrame, key: str = "key") -> DataFrame:
     """``present`` tells whether anything is stored below the study."""
-    segments = F.col("segments")
-    above = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: _leading(segments, n))
-    stored = object_folders(objects, key).select(F.explode(above).alias("study")).distinct()
+    stored = stored_prefixes(objects, _depths(studies, "study"), key).withColumnRenamed("prefix", "study")
     return studies.join(stored.withColumn("present", F.lit(True)), "study", "left").fillna(False, ["present"])
 
 

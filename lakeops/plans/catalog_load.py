@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.operators.catalog import FOREIGN_KEYS, LOAD_ORDER, Catalog, foreign_key_orphans
-from lakeops.sinks.refresh import refresh_tables
 from lakeops.sinks.upsert import upsert
 from lakeops.sources.registry import union_by_name
 from lakeops.sources.store import Store
@@ -21,20 +20,25 @@ def load_catalog(spark: SparkSession, staged: Catalog, root: str) -> DataFrame:
     Rows are matched on natural keys. A reference that leads nowhere stops the load before the table
     that holds it is replaced. Returns ``(table_name, position, n_rows, n_orphans)``.
     """
+    store = Store(spark)
     loaded: dict[str, DataFrame] = {}
     summary = []
     for position, (name, keys) in enumerate(LOAD_ORDER.items()):
         path, new = f"{root}/{name}", getattr(staged, name)
-        if Store(spark).exists(path):
+        if store.exists(path):
             new = upsert(spark.read.parquet(path), new, keys, EXCLUDED)
+        candidate = f"{path}__candidate"
+        new.write.mode("overwrite").parquet(candidate)
+        written = spark.read.schema(new.schema).parquet(candidate)
         for table, column, parent, _ in FOREIGN_KEYS:
-            if table == name and column in new.columns:
-                check = Catalog(**{**staged.__dict__, table: new, **loaded})
+            if table == name and column in written.columns:
+                check = Catalog(**{**staged.__dict__, **loaded, table: written})
                 orphan = foreign_key_orphans(check, table, column, parent).select(column).limit(1).collect()
                 if orphan:
                     raise ValueError(f"{table}.{column} refers to {orphan[0][column]}, which is no {parent}")
-        refresh_tables({path: new})
-        loaded[name] = spark.read.parquet(path)
+        store.swap(candidate, path)
+        spark.catalog.refreshByPath(path)
+        loaded[name] = spark.read.schema(new.schema).parquet(path)
         summary.append(loaded[name].agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table_name"), F.lit(position).alias("position"), "n_rows", F.lit(0).cast("bigint").alias("n_orphans"),
         ))
