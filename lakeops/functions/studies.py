@@ -96,10 +96,17 @@ def has_glob(pattern: Column) -> Column:
 
 def glob_base(pattern: Column) -> Column:
     """Whole segments before the first one holding ``*``."""
-    parts = F.split(pattern, "/")
-    return F.array_join(
-        F.filter(parts, lambda seg, i: ~F.exists(F.slice(parts, F.lit(1), i + 1), lambda s: s.contains("*"))), "/"
-    )
+    return F.regexp_extract(F.split_part(pattern, F.lit("*"), F.lit(1)), "^(.*)/[^/]*$", 1)
+
+
+def glob_stem(pattern: Column) -> Column:
+    """Characters every match starts with."""
+    return F.regexp_extract(pattern, r"^[^*?\[]*", 0)
+
+
+def is_prefix_glob(pattern: Column) -> Column:
+    """Whether a wildcard pattern is nothing but its stem and a final ``*``."""
+    return pattern.rlike(r"^[^*?\[]*\*+\z")
 
 
 def glob_regex(pattern: Column) -> Column:

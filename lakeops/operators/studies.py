@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeops.functions.studies import (
     PROBLEMS, RC_NO_IMAGES, RC_PARTIAL, REPORT_COLUMNS, STATUSES, STUDY_NAME,
-    glob_base, glob_regex, has_glob, is_report_path, study_accession, study_exam_date,
+    glob_base, glob_regex, glob_stem, has_glob, is_prefix_glob, is_report_path, study_accession, study_exam_date,
 )
 
 
@@ -29,10 +29,13 @@ def _folder(key: str) -> Column:
     return F.regexp_extract(key, "^(.*)/[^/]*$", 1)
 
 
+def _depth(path: str) -> Column:
+    return F.when(F.col(path) == "", 0).otherwise(F.size(F.split(path, "/")))
+
+
 def _depths(paths: DataFrame, path: str) -> list[int]:
     """Distinct segment counts of a set of paths: a handful of small numbers."""
-    depth = F.when(F.col(path) == "", 0).otherwise(F.size(F.split(path, "/"))).alias("depth")
-    return sorted(row.depth for row in paths.select(depth).distinct().collect())
+    return sorted(row.depth for row in paths.select(_depth(path).alias("depth")).distinct().collect())
 
 
 def stored_prefixes(objects: DataFrame, depths: list[int], key: str = "key") -> DataFrame:
@@ -44,7 +47,7 @@ def stored_prefixes(objects: DataFrame, depths: list[int], key: str = "key") ->
 
 
 def study_candidates(objects: DataFrame, depths: list[int], key: str = "key") -> DataFrame:
-    """``(base, study)``: for each folder of the given depths, the first study folder met below it.
+    """``(depth, study)``: the first study folder met below each folder of the given depths.
 
     An object emits one row per depth that some pattern starts from, folded before the shuffle; the
     result grows with the folders, not with patterns times folders.
@@ -53,7 +56,7 @@ def study_candidates(objects: DataFrame, depths: list[int], key: str = "key") ->
     name = STUDY_NAME.removeprefix("^")
     pairs = F.array(*[
         F.struct(
-            F.substring_index(folder, "/", d).alias("base"),
+            F.lit(d).alias("depth"),
             F.regexp_extract(folder, f"^((?:[^/]*/){{{d}}}(?:[^/]*/)*?{name}[^/]*)(?:/|$)", 1).alias("study"),
         )
         for d in depths
@@ -66,26 +69,36 @@ def match_studies(objects: DataFrame, patterns: DataFrame, key: str = "key") ->
     """``(ordinal, pattern, study)`` for every study a pattern selects.
 
     ``patterns`` holds ``ordinal`` and ``pattern``. An exact study path stands for itself even when
-    nothing is stored there. Any other pattern is joined on its literal base, an equality, and the
-    wildcard test is left as a residual; Spark broadcasts the patterns while they are small and
-    shuffles on the base once they are not.
+    nothing is stored there. Any other pattern is joined on its stem, the text all its matches start
+    with, which is an equality; only patterns with more than a final wildcard leave a regular
+    expression to test. Studies are keyed once per distinct stem length, so they never meet patterns
+    with another stem. Spark broadcasts the patterns while they are small and shuffles once they are
+    not.
     """
     bare = patterns.withColumn("bare", F.rtrim("pattern", F.lit("/"))).where("bare <> ''")
-    wild = has_glob(F.col("bare"))
-    exact = ~wild & F.element_at(F.split("bare", "/"), -1).rlike(STUDY_NAME)
-    named = bare.where(exact).select("ordinal", "pattern", F.col("bare").alias("study"))
+    text = F.col("bare")
+    wild = has_glob(text)
+    exact = ~wild & F.element_at(F.split(text, "/"), -1).rlike(STUDY_NAME)
+    named = bare.where(exact).select("ordinal", "pattern", text.alias("study"))
     walked = bare.where(~exact).select(
         "ordinal", "pattern",
-        F.when(wild, glob_base(F.col("bare"))).otherwise(F.col("bare")).alias("base"),
-        F.when(wild, F.regexp_extract("bare", r"^[^*?\[]*", 0)).alias("stem"),
-        F.when(wild, glob_regex(F.col("bare"))).alias("regex"),
-    )
-    depths = _depths(walked, "base")
-    if not depths:
+        F.when(wild, glob_base(text)).otherwise(text).alias("base"),
+        F.when(wild, glob_stem(text)).otherwise(F.concat(text, F.lit("/"))).alias("stem"),
+        F.when(wild & ~is_prefix_glob(text), glob_regex(text)).alias("regex"),
+    ).withColumn("depth", _depth("base")).drop("base")
+    shapes = sorted(walked.select("depth", F.length("stem").alias("n")).distinct().collect())
+    if not shapes:
         return named
-    fits = F.col("regex").isNull() | (F.col("study").startswith(F.col("stem")) & F.rlike("study", F.col("regex")))
-    found = study_candidates(objects, depths, key).join(walked, "base").where(fits)
-    return named.unionByName(found.select("ordinal", "pattern", "study"))
+    found = study_candidates(objects, sorted({s.depth for s in shapes}), key)
+    kinds = F.array(*[F.struct(F.lit(s.depth).alias("kind"), F.lit(s.n).alias("n")) for s in shapes])
+    keyed = (
+        found.select("depth", "study", F.inline(kinds))
+        .where((F.col("kind") == F.col("depth")) & (F.length("study") >= F.col("n")))
+        .select("depth", F.substr("study", F.lit(1), F.col("n")).alias("stem"), "study")
+    )
+    fits = F.col("regex").isNull() | F.rlike("study", F.col("regex"))
+    matched = keyed.join(walked, ["depth", "stem"]).where(fits)
+    return named.unionByName(matched.select("ordinal", "pattern", "study"))
 
 
 def split_existing(studies: DataFrame, objects: DataFrame, key: str = "key") -> DataFrame:
