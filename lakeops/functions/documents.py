@@ -29,15 +29,17 @@ def padded_enough(raw: Column, padding: Column) -> Column:
 
 
 def lenient_base64(c: Column, padding: Column) -> Column:
-    """Bytes of a base64 text with foreign characters in it, which are left out.
+    """Bytes of a base64 text with foreign ASCII characters in it, which are left out.
 
-    Surplus padding is accepted; missing padding makes it null, as does a dangling symbol.
+    Surplus padding is accepted. Missing padding, a dangling symbol or a character outside ASCII make
+    it null.
     """
     symbols = F.regexp_replace(c, "[^A-Za-z0-9+/]", "")
     tail = F.length(symbols) % 4
     decodable = (tail == 0) | ((tail == 2) & (padding >= 2)) | ((tail == 3) & (padding >= 1))
     missing = F.when(tail == 2, "==").when(tail == 3, "=").otherwise("")
-    return F.when(decodable, F.unbase64(F.concat(symbols, missing)))
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only & decodable, F.unbase64(F.concat(symbols, missing)))
 
 
 def document_format(raw: Column) -> Column:
