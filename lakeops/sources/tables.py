@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeops.sources.files import first_lines, list_files
 from lakeops.sources.registry import union_by_name
+from lakeops.sources.store import Store
 
 
 def check_window(start: str, end: str) -> None:
@@ -66,6 +67,8 @@ def read_csv_dir(spark: SparkSession, path: str, infer: bool = False, **options:
     however many files share it.
     """
     folder = path if path.endswith("/") else f"{path}/"
+    if not Store(spark).exists(folder):
+        raise FileNotFoundError(f"no csv file under {folder}")
     files = list_files(spark, folder, "*.csv")
     by_header: dict[str, list[str]] = {}
     for row in first_lines(files).collect():  # one short line of metadata per file
