@@ -124,6 +124,12 @@ def study_objects(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """The objects as a listing in storage, read by several operators."""
+    path = staged(spark, sf, "objects", lambda p: study_objects(spark, sf).write.parquet(p))
+    return spark.read.parquet(path)
+
+
 def study_log():
     return F.concat(
         F.lit("Found 1772 DICOM file(s)\nSkipping non-image DICOM: /tmp/dcm_x9/"), F.col("study"),

@@ -31,12 +31,6 @@ _COHORT = r"""
 """
 
 
-def _objects(spark, sf):
-    """The stored objects as a listing in storage, read by several operators."""
-    path = staged(spark, sf, "objects", lambda p: fx.study_objects(spark, sf).write.parquet(p))
-    return spark.read.parquet(path)
-
-
 def _facts(spark, sf):
     path = staged(spark, sf, "facts", lambda p: fx.study_facts(spark, sf).write.parquet(p))
     facts = spark.read.parquet(path)
@@ -130,7 +124,7 @@ def p9_scrub_log(spark, sf):
     FROM study_orders s LEFT JOIN object_facts USING (o_orderkey)
 """, ("study_orders", "objects", "object_facts"))
 def p10_report_only(spark, sf):
-    known = report_only(fx.study_objects(spark, sf), "study", "key")
+    known = report_only(fx.stored_objects(spark, sf), "study", "key")
     joined = fx.study_orders(spark, sf).select("study").join(known, "study", "left")
     return joined.fillna(0, ["n_objects"]).fillna(False, ["report_only"])
 
@@ -197,7 +191,7 @@ def u3_convert_studies(spark, sf):
 
 @query("j7_pattern_match", "SELECT ordinal, pattern, study FROM resolved", _RESOLVED)
 def j7_pattern_match(spark, sf):
-    return match_studies(_objects(spark, sf), fx.patterns(spark))
+    return match_studies(fx.stored_objects(spark, sf), fx.patterns(spark))
 
 
 @query("j8_existence", """
@@ -205,7 +199,7 @@ def j7_pattern_match(spark, sf):
     FROM study_orders s LEFT JOIN (SELECT DISTINCT study FROM objects) f ON f.study = s.study
 """, ("study_orders", "objects"))
 def j8_existence(spark, sf):
-    return split_existing(fx.study_orders(spark, sf).select("study"), _objects(spark, sf))
+    return split_existing(fx.study_orders(spark, sf).select("study"), fx.stored_objects(spark, sf))
 
 
 @query("w1_first_appearance", """
@@ -213,12 +207,12 @@ def j8_existence(spark, sf):
     FROM (SELECT study, min(ordinal) AS ordinal FROM resolved GROUP BY study)
 """, _RESOLVED)
 def w1_first_appearance(spark, sf):
-    return first_appearance(match_studies(_objects(spark, sf), fx.patterns(spark)), "study", "ordinal")
+    return first_appearance(match_studies(fx.stored_objects(spark, sf), fx.patterns(spark)), "study", "ordinal")
 
 
 @query("so3_missing", "SELECT * FROM study_missing", (*_RESOLVED, "study_missing"))
 def so3_missing(spark, sf):
-    objects, wanted = _objects(spark, sf), fx.patterns(spark)
+    objects, wanted = fx.stored_objects(spark, sf), fx.patterns(spark)
     return missing_studies(wanted, durable(match_studies(objects, wanted)), objects)
 
 
@@ -229,7 +223,7 @@ def so3_missing(spark, sf):
 """, ("study_orders", "objects", "object_facts", "asked"))
 def o1_top_missing(spark, sf):
     """Every order is asked for by a wildcard of its own; those without objects stay unmatched."""
-    objects = _objects(spark, sf)
+    objects = fx.stored_objects(spark, sf)
     wanted = fx.study_orders(spark, sf).select(F.col("o_orderkey").alias("ordinal"), F.concat("study", F.lit("*")).alias("pattern"))
     missing = durable(missing_studies(wanted, durable(match_studies(objects, wanted)), objects))
     return top_missing(missing, wanted)

@@ -168,6 +168,6 @@ def t2_retention(spark, sf):
        ("study_orders", "objects"))
 def t4_orphans(spark, sf):
     """The manifest leaves out every thirteenth part number."""
-    listing = fx.study_objects(spark, sf).select(F.col("key").alias("path"))
+    listing = fx.stored_objects(spark, sf).select(F.col("key").alias("path"))
     number = F.regexp_extract("path", r"([0-9]+)\.dcm$", 1).cast("bigint")
     return orphans(listing, listing.where(number % 13 != 0))

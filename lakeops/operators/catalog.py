@@ -169,25 +169,25 @@ def expand_lineage(cat: Catalog) -> DataFrame:
 
 
 def index_counts(cat: Catalog) -> DataFrame:
-    """Per resource: tables, domains, variables, source systems feeding it, projects fed by it."""
+    """Per resource: tables, domains, variables, source systems feeding it, projects fed by it.
+
+    What is counted becomes one list of facts, folded by resource in a single aggregate.
+    """
     owner = cat.dict_table.select(F.col("id").alias("table_id"), F.col("resource_id").alias("rs_id"))
-    tables = cat.dict_table.groupBy(F.col("resource_id").alias("rs_id")).agg(
-        F.count(F.lit(1)).alias("table_count"), F.count_distinct("domain").alias("domain_count")
-    )
-    owned = cat.variable.select(F.col("id").alias("var_id"), "table_id", "from_source_system_id").join(owner, "table_id")
-    variables = owned.groupBy("rs_id").agg(F.count(F.lit(1)).alias("variable_count"))
-    links = owned.select("rs_id", F.explode("from_source_system_id").alias("source_id")).distinct()
     kinds = cat.resource.select(F.col("id").alias("rs_id"), "resource_type")
-    sources = links.groupBy("rs_id").agg(F.count(F.lit(1)).alias("source_system_count"))
-    projects = (
-        links.join(kinds, "rs_id").where(F.col("resource_type") == "research_project")
-        .groupBy(F.col("source_id").alias("rs_id")).agg(F.count(F.lit(1)).alias("project_count"))
-    )
-    joined = reduce(
-        lambda a, b: a.join(b, "rs_id", "left"), [tables, variables, sources, projects], kinds.select("rs_id")
-    )
-    names = ["project_count", "domain_count", "source_system_count", "variable_count", "table_count"]
-    return joined.fillna(0, names).select("rs_id", *names)
+    owned = cat.variable.select("table_id", "from_source_system_id").join(owner, "table_id")
+    links = owned.select("rs_id", F.explode("from_source_system_id").alias("source_id")).distinct()
+    projects = links.join(kinds.where("resource_type = 'research_project'"), "rs_id", "left_semi")
+    facts = {
+        "project_count": projects.select(F.col("source_id").alias("rs_id")),
+        "domain_count": cat.dict_table.where(F.col("domain").isNotNull()).select(F.col("resource_id").alias("rs_id"), "domain").distinct().select("rs_id"),
+        "source_system_count": links.select("rs_id"),
+        "variable_count": owned.select("rs_id"),
+        "table_count": cat.dict_table.select(F.col("resource_id").alias("rs_id")),
+    }
+    listed = reduce(DataFrame.unionByName, [df.withColumn("fact", F.lit(name)) for name, df in facts.items()])
+    counted = listed.groupBy("rs_id").agg(*[F.count_if(F.col("fact") == name).alias(name) for name in facts])
+    return kinds.select("rs_id").join(counted, "rs_id", "left").fillna(0, list(facts)).select("rs_id", *facts)
 
 
 def table_variable_counts(cat: Catalog) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeops.operators.skew import lookup_join
 
 
 def index_id(key: Column, salt: str) -> Column:
@@ -23,12 +24,13 @@ def anonymize(df: DataFrame, index: DataFrame, key: str, drop: list[str], exclud
     A key the index does not know gets a null id, so the row count stays that of the source except
     for the patients listed in ``excluded``.
     """
-    kept = df if excluded is None else df.join(excluded.select(key), key, "left_anti")
-    return kept.drop(*drop).join(index.select(key, "index_id"), key, "left").drop(key)
+    kept = df if excluded is None else lookup_join(df, excluded.select(key).distinct(), [key], "left_anti")
+    return lookup_join(kept.drop(*drop), index.select(key, "index_id"), [key], "left").drop(key)
 
 
 def restrict_to_cohort(df: DataFrame, cohort: DataFrame, key: str) -> DataFrame:
-    return df.join(cohort.select(key), key, "left_semi")
+    """Rows of the participants; one participant may hold any share of the table."""
+    return lookup_join(df, cohort.select(key).distinct(), [key], "left_semi")
 
 
 def interval_extract(df: DataFrame, cohort: DataFrame, key: str, column: str, start: Column, end: Column) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeops.operators.skew import lookup_join
 from lakeops.sources.store import Store
 
 TARGET_BYTES = 256 * 1024 * 1024
@@ -40,7 +41,7 @@ def compact(spark: SparkSession, path: str, partition: str | None = None, target
         share = F.col("_n") * n_files / sizes.agg(F.sum("_n")).scalar()
         files = sizes.select(partition, F.greatest(F.ceil(share), F.lit(1)).alias("_files"))
         salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition]), F.col("_files")).alias("_salt")
-        salted = df.join(files, partition).select(*df.columns, salt)
+        salted = lookup_join(df, files, [partition]).select(*df.columns, salt)
         writer = salted.repartition(partition, "_salt").drop("_salt").write.partitionBy(partition)
     writer.parquet(staged)
     if _fingerprint(df) != _fingerprint(spark.read.schema(df.schema).parquet(staged)):
@@ -70,7 +71,7 @@ def retained_versions(df: DataFrame, table: str, version: str, keep: int = 10, n
 def retention(df: DataFrame, table: str, version: str, keep: int = 10, newest_age_days: int | None = None) -> DataFrame:
     """Rows of the versions that stay."""
     gone = retained_versions(df, table, version, keep, newest_age_days).where(~F.col("kept"))
-    return df.join(gone, [table, version], "left_anti")
+    return lookup_join(df, gone.select(table, version), [table, version], "left_anti")
 
 
 def drop_old_versions(spark: SparkSession, path: str, version: str, keep: int = 10) -> list[str]:

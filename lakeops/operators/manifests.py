@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lakeops.operators.ordering import latest_per_key
+from lakeops.operators.skew import lookup_join
 from lakeops.sinks.upsert import upsert
 
 
@@ -16,7 +17,7 @@ def index_documents(manifests: DataFrame | None, types: DataFrame, key: str, typ
     """
     if manifests is None:
         return None
-    return latest_per_key(manifests, [key], order).join(types, type_key, "left")
+    return lookup_join(latest_per_key(manifests, [key], order), types, [type_key], "left")
 
 
 def update_index(target: DataFrame, fresh: DataFrame | None, key: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.operators.catalog import Catalog, expand_lineage, index_counts, table_variable_counts
+from lakeops.operators.skew import lookup_join
+from lakeops.session import durable
 
 # Nested objects allowed per document, and the id column of each index.
 RESOURCE_LIMIT = 135_000
@@ -24,7 +26,7 @@ def _parts(weights: DataFrame, key: str, limit: int) -> DataFrame:
     """Number of documents per key; hashing is uneven, hence twice the bare minimum."""
     total = weights.groupBy(key).agg(F.sum("weight").alias("_w"))
     parts = F.when(F.col("_w") <= limit, 1).otherwise(F.ceil(F.col("_w") * 2 / limit))
-    return total.select(key, parts.cast("int").alias("parts"))
+    return durable(total.select(key, parts.cast("int").alias("parts")))
 
 
 def _part_of(item: Column) -> Column:
@@ -34,7 +36,7 @@ def _part_of(item: Column) -> Column:
 def _nest(items: DataFrame, key: str, parts: DataFrame, item_id: str, shape: Column, name: str) -> DataFrame:
     """Arrays of ``shape`` by (key, part), sorted by their first field."""
     return (
-        items.join(parts, key)
+        lookup_join(items, parts, [key])
         .select(key, _part_of(F.col(item_id)), shape.alias("_item"))
         .groupBy(key, "part").agg(F.sort_array(F.collect_list("_item")).alias(name))
     )
@@ -58,9 +60,10 @@ def _variables(cat: Catalog) -> DataFrame:
     )
     thin = F.transform("var_from_variables", lambda v: F.struct(v["var_id"].alias("var_id"), v["var_name"].alias("var_name"), v["published"].alias("published")))
     lineage = expand_lineage(cat).withColumn("var_from_variables", thin)
-    return labels.join(owner, "tab_id").join(lineage, "var_id").withColumn(
+    whole = labels.join(owner, "tab_id").join(lineage, "var_id").withColumn(
         "weight", 1 + F.size("var_from_variables") + F.size("var_from_source_systems")
     )
+    return durable(whole)  # read for the sizes of the documents and again for their content
 
 
 _VARIABLE = ["var_id", "var_name", "var_label_fr", "var_label_en", "var_from_variables", "var_from_source_systems"]

@@ -62,10 +62,10 @@ def index_valid_mapping(index: DataFrame, key: str, index_id: str, name: str) ->
     ``lhs`` counts keys with several ids, ``rhs`` ids with several keys.
     """
     pairs = index.select(key, index_id).distinct()
-    keys = pairs.groupBy(key).count().agg(F.count_if(F.col("count") > 1).alias("lhs"))
-    ids = pairs.groupBy(index_id).count().agg(F.count_if(F.col("count") > 1).alias("rhs"))
-    joined = keys.withColumn("dataset", F.lit(name)).join(ids.withColumn("dataset", F.lit(name)), "dataset")
-    return joined.select("dataset", "lhs", "rhs", ((F.col("lhs") == 0) & (F.col("rhs") == 0)).alias("passed"))
+    keys = pairs.groupBy(key).count().select((F.col("count") > 1).alias("bad_key"), F.lit(False).alias("bad_id"))
+    ids = pairs.groupBy(index_id).count().select(F.lit(False).alias("bad_key"), (F.col("count") > 1).alias("bad_id"))
+    found = keys.unionByName(ids).agg(F.count_if("bad_key").alias("lhs"), F.count_if("bad_id").alias("rhs"))
+    return found.select(F.lit(name).alias("dataset"), "lhs", "rhs", ((F.col("lhs") == 0) & (F.col("rhs") == 0)).alias("passed"))
 
 
 def index_valid_occurrences(index: DataFrame, sources: DataFrame, key: str, name: str) -> DataFrame:
