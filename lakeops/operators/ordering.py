@@ -50,25 +50,33 @@ def as_of(df: DataFrame, keys: list[str], ts: str, end: Column, tiebreak: str) -
     return latest_per_key(df.where(F.col(ts) < end), keys, [ts, tiebreak])
 
 
+def _carry(local: DataFrame, carried: DataFrame, on: list[str], found: str) -> DataFrame:
+    """Fill ``found`` from the per-bucket table where the bucket itself had no answer."""
+    named = carried.select(*[F.col(c).alias(f"_on_{c}") for c in on], "_carried")
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))  # rows without a key stay together too
+    return (
+        local.join(named, same)
+        .withColumn(found, F.coalesce(F.col(found), F.col("_carried")))
+        .drop("_carried", *[f"_on_{c}" for c in on])
+    )
+
+
 def _previous(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, found: str) -> DataFrame:
-    """``value`` of the preceding row of the key in ``found``, null for its first row.
+    """``value`` of the preceding row of the key, boxed in ``found``, null for its first row.
 
     Rows are compared inside (key, bucket); the first row of a bucket takes its predecessor from the
     last row of the closest earlier bucket. The per-bucket table is what crosses a key, so a key with
     very many rows is spread over its buckets.
     """
+    boxed = F.struct(F.col(value).alias("v"))
     inner = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = (
-        df.withColumn(found, F.lag(F.struct(F.col(value).alias("v"))).over(inner))
-    )
-    last = df.groupBy(*keys, bucket).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    local = df.withColumn(found, F.lag(boxed).over(inner))
+    last = df.groupBy(*keys, bucket).agg(F.max_by(boxed, F.struct(*order)).alias("_last"))
     across = Window.partitionBy(*keys).orderBy(bucket)
     carried = last.select(*keys, bucket, F.lag("_last").over(across).alias("_carried"))
-    return (
-        local.join(carried, [*keys, bucket])
-        .withColumn(found, F.coalesce(F.col(found), F.col("_carried")))
-        .drop("_carried")
-    )
+    return _carry(local, carried, [*keys, bucket], found)
 
 
 def _next(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, found: str) -> DataFrame:
@@ -78,11 +86,7 @@ def _next(df: DataFrame, keys: list[str], bucket: str, order: list[str], value:
     first = df.groupBy(*keys, bucket).agg(F.min_by(value, F.struct(*order)).alias("_first"))
     across = Window.partitionBy(*keys).orderBy(bucket)
     carried = first.select(*keys, bucket, F.lead("_first").over(across).alias("_carried"))
-    return (
-        local.join(carried, [*keys, bucket])
-        .withColumn(found, F.coalesce(F.col(found), F.col("_carried")))
-        .drop("_carried")
-    )
+    return _carry(local, carried, [*keys, bucket], found)
 
 
 def status_history(df: DataFrame, keys: list[str], ts: str, tiebreak: str, status: str, bucket: Column) -> DataFrame:

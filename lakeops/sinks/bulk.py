@@ -22,7 +22,9 @@ def bulk_documents(docs: DataFrame, id_column: str, chunk: int = CHUNK) -> DataF
     stamps = [f.name for f in docs.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     texts = docs.withColumns({c: F.date_format(c, _MICROS) for c in stamps}) if stamps else docs
     order = [F.col(id_column)] + ([F.col("part")] if "part" in docs.columns else [])
-    numbered = with_ordinals(texts, order)
+    # Only the keys are put in order; the documents themselves move once, to their position.
+    keys = [id_column] + (["part"] if "part" in docs.columns else [])
+    numbered = texts.join(with_ordinals(docs.select(*keys), order), keys)
     body = F.to_json(F.struct(*[c for c in texts.columns if c != "part"]), {"ignoreNullFields": "false"})
     return numbered.select(
         F.floor(F.col("ordinal") / chunk).alias("chunk"), "ordinal", F.col(id_column).alias("id"), body.alias("source")

@@ -17,7 +17,7 @@ def _check_schema(df: DataFrame, path: str, partition: str) -> None:
         raise ValueError(f"schema mismatch writing {path}: {differing}")
 
 
-def overwrite_window(df: DataFrame, path: str, partition: str, start: str, end: str) -> int:
+def overwrite_window(df: DataFrame, path: str, partition: str, start: str, end: str, rebalance: bool = False) -> int:
     """Replace exactly the rows of ``path`` whose partition lies in ``[start, end)``.
 
     Days of the window that the new data lacks disappear; days outside are untouched. Empty input and
@@ -25,6 +25,9 @@ def overwrite_window(df: DataFrame, path: str, partition: str, start: str, end:
     the write before anything is replaced. The input is evaluated once. Spark commits the new days
     when every task is done; stale days go afterwards, so a rerun repairs a crash in between. A table
     that does not exist yet is simply written.
+
+    ``rebalance`` shuffles rows to their day first, splitting large days and joining small ones, for
+    input that is not laid out by day and would otherwise leave a small file per task and day.
     """
     check_window(start, end)
     store = Store(df.sparkSession)
@@ -38,6 +41,8 @@ def overwrite_window(df: DataFrame, path: str, partition: str, start: str, end:
         stray = F.concat(F.lit(f"row outside the window [{start}, {end}): "), F.coalesce(partition, F.lit("null")))
         inside = F.when(in_window(partition, start, end), F.col(partition)).otherwise(F.raise_error(stray).cast("string"))
         df = df.withColumn(partition, inside)
+    if rebalance:
+        df = df.hint("rebalance", partition)
     seen = Observation()
     (
         df.observe(seen, F.count(F.lit(1)).alias("rows"))

@@ -31,8 +31,8 @@ def test_window_overwrite_replaces_exactly_the_window(spark, fresh):
     path = fresh()
     overwrite_window(days(spark, (1, "a"), (2, "a"), (3, "a"), (4, "a")), path, "day", "2024-01-01", "2024-01-31")
     new = days(spark, (2, "b"))  # the third has vanished
-    for _ in range(2):  # and again: the same result
-        assert overwrite_window(new, path, "day", "2024-01-02", "2024-01-04") == 1
+    for rebalance in (False, True):  # and again: the same result
+        assert overwrite_window(new, path, "day", "2024-01-02", "2024-01-04", rebalance) == 1
         assert content(spark, path) == [("01", "a"), ("02", "b"), ("04", "a")]
 
 
