@@ -8,7 +8,7 @@ from lakeops.checks import fixtures as fx
 from lakeops.checks.base import query, table
 from lakeops.functions.text import fold_keyword
 from lakeops.operators.catalog import (
-    Catalog, constraint_violations, dictionary, expand_lineage, index_counts, scan_metadata, table_variable_counts,
+    SHEETS, Catalog, constraint_violations, dictionary, expand_lineage, index_counts, scan_metadata, table_variable_counts,
 )
 from lakeops.operators.nested import resource_docs, table_docs, variable_docs
 from lakeops.plans.catalog_load import load_catalog
@@ -23,7 +23,7 @@ _LINEAGE = (*_ALL, "parents", "systems", "lineage", "counts")
 
 
 def _sheet(name, columns):
-    return lambda spark, sf: dictionary(fx.catalog(spark, sf), CODE)[name].select(*columns)
+    return lambda spark, sf: SHEETS[name](fx.catalog(spark, sf), CODE).select(*columns)
 
 
 def _register(key, sheet, columns, sql):

@@ -22,9 +22,6 @@ class Catalog:
     analyst: DataFrame
 
 
-# Names of the published result sets, in order.
-SHEETS = ["Resource", "Dict Tables", "Variable", "Value Sets", "Value Set Codes", "Mappings"]
-
 # Load order and natural key of each catalog table.
 LOAD_ORDER = {
     "analyst": ["name"],
@@ -72,20 +69,20 @@ def published_resource(cat: Catalog, code: str) -> DataFrame:
     return cat.resource.where((F.col("code") == code) & F.col("publish_dictionary"))
 
 
-def _tables_of(cat: Catalog, code: str) -> DataFrame:
+def published_tables(cat: Catalog, code: str) -> DataFrame:
     owner = published_resource(cat, code).select(F.col("id").alias("resource_id"))
     return cat.dict_table.join(owner, "resource_id").select(*cat.dict_table.columns)
 
 
-def _variables_of(cat: Catalog, code: str) -> DataFrame:
-    tables = _tables_of(cat, code).select(F.col("id").alias("table_id"))
+def published_variables(cat: Catalog, code: str) -> DataFrame:
+    tables = published_tables(cat, code).select(F.col("id").alias("table_id"))
     return cat.variable.join(tables, "table_id").select(*cat.variable.columns)
 
 
 def _references(cat: Catalog, code: str) -> DataFrame:
     """How many variables of the resource refer to each value set."""
     return (
-        _variables_of(cat, code).where(F.col("value_set_id").isNotNull())
+        published_variables(cat, code).where(F.col("value_set_id").isNotNull())
         .groupBy("value_set_id").agg(F.count(F.lit(1)).alias("_times"))
     )
 
@@ -114,13 +111,20 @@ def published_mappings(cat: Catalog, code: str) -> DataFrame:
     return _repeat(cat.mapping.join(codes, "value_set_code_id"), cat.mapping.columns)
 
 
+# Names of the published result sets, in order.
+SHEETS = {
+    "Resource": published_resource,
+    "Dict Tables": published_tables,
+    "Variable": published_variables,
+    "Value Sets": published_value_sets,
+    "Value Set Codes": published_codes,
+    "Mappings": published_mappings,
+}
+
+
 def dictionary(cat: Catalog, code: str) -> dict[str, DataFrame]:
     """The six published result sets of a resource; all empty unless its dictionary is published."""
-    frames = [
-        published_resource(cat, code), _tables_of(cat, code), _variables_of(cat, code),
-        published_value_sets(cat, code), published_codes(cat, code), published_mappings(cat, code),
-    ]
-    return dict(zip(SHEETS, frames))
+    return {name: build(cat, code) for name, build in SHEETS.items()}
 
 
 def expand_lineage(cat: Catalog) -> DataFrame:
