@@ -47,7 +47,7 @@ def compact(spark: SparkSession, path: str, partition: str | None = None, target
     if _fingerprint(df) != _fingerprint(spark.read.schema(df.schema).parquet(staged)):
         store.delete(staged)
         raise RuntimeError(f"compaction of {path} would change its content")
-    store.swap(staged, path)
+    store.swap({path: staged})
     spark.catalog.refreshByPath(path)
     return n_files
 

@@ -36,7 +36,7 @@ def load_catalog(spark: SparkSession, staged: Catalog, root: str) -> DataFrame:
                 orphan = foreign_key_orphans(check, table, column, parent).select(column).limit(1).collect()
                 if orphan:
                     raise ValueError(f"{table}.{column} refers to {orphan[0][column]}, which is no {parent}")
-        store.swap(candidate, path)
+        store.swap({path: candidate})
         spark.catalog.refreshByPath(path)
         loaded[name] = spark.read.schema(new.schema).parquet(path)
         summary.append(loaded[name].agg(F.count(F.lit(1)).alias("n_rows")).select(

@@ -31,7 +31,8 @@ def refresh_tables(tables: dict[str, DataFrame]) -> None:
         staged[path] = f"{path.rstrip('/')}__staged"
         store.delete(staged[path])
         df.write.parquet(staged[path])
-    for path, folder in staged.items():
-        spark = tables[path].sparkSession
-        Store(spark).swap(folder, path)
-        spark.catalog.refreshByPath(path)
+    if staged:
+        spark = next(iter(tables.values())).sparkSession
+        Store(spark).swap(staged)
+        for path in staged:
+            spark.catalog.refreshByPath(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,11 +81,14 @@ def publication_plan(spark: SparkSession, registry: Registry, base: str, resourc
 def export_table(spark: SparkSession, source: str, target: str, header: list[str] | None = None) -> None:
     """Read a released table, drop what a cell cannot hold and write it as CSV.
 
-    The export stays distributed. Each file fits a sheet; a table that needs only one file gets one.
+    The export stays distributed: there are as many files as sheets are needed, each written by a task
+    of its own. Rows are counted from file footers.
     """
-    df = strip_illegal(rename_header(read_parquet_dir(spark, source), header))
+    table = read_parquet_dir(spark, source)
+    n_files = max(1, math.ceil(table.count() / SHEET_ROWS))
+    df = strip_illegal(rename_header(table, header))
     (
-        df.write.mode("overwrite").option("header", True).option("escape", '"')
+        df.coalesce(n_files).write.mode("overwrite").option("header", True).option("escape", '"')
         .option("maxRecordsPerFile", SHEET_ROWS).csv(target)
     )
 

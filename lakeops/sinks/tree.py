@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.sources.store import Store
+from lakeops.sources.store import Store, arrow_uri
 
 
 class DuplicatePaths(ValueError):
@@ -31,7 +31,7 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        target, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+        target, base = fs.FileSystem.from_uri(arrow_uri(root))
         for batch in batches:
             sizes = []
             for path, content in zip(batch["path"], batch["content"]):

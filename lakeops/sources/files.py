@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeops.functions.objects import inflate
 from lakeops.functions.studies import exam_date, exam_date_problem, study_path
-from lakeops.sources.store import Store
+from lakeops.sources.store import Store, arrow_uri
 
 # Cell contents a cohort list treats as missing.
 COHORT_NA = [
@@ -36,7 +36,7 @@ def first_lines(files: DataFrame) -> DataFrame:
         for batch in batches:
             lines = []
             for uri in batch["path"]:
-                where, path = fs.FileSystem.from_uri(uri)
+                where, path = fs.FileSystem.from_uri(arrow_uri(uri))
                 line = b""
                 with where.open_input_stream(path) as stream:
                     while b"\n" not in line:

@@ -62,22 +62,33 @@ class Store:
         if not fs.rename(handle, self._jvm.org.apache.hadoop.fs.Path(target)):
             raise OSError(f"could not rename {source} to {target}")
 
-    def swap(self, staged: str, target: str) -> None:
-        """Put the staged folder in the place of ``target``; the old content is dropped last."""
-        retired = f"{target.rstrip('/')}__retired"
-        self.delete(retired)
-        had_target = self.exists(target)
-        if had_target:
-            self.rename(target, retired)
-        else:
-            self.make_dirs(target.rstrip("/").rsplit("/", 1)[0])
+    def swap(self, staged: dict[str, str]) -> None:
+        """Put each staged folder in the place of its target: ``{target: staged}``.
+
+        Old content is set aside first and dropped last. If any step fails, the targets replaced so
+        far are put back.
+        """
+        undo: list[tuple[str, str]] = []
+        retired = []
         try:
-            self.rename(staged, target)
+            for target, folder in staged.items():
+                target = target.rstrip("/")
+                aside = f"{target}__retired"
+                self.delete(aside)
+                if self.exists(target):
+                    self.rename(target, aside)
+                    undo.append((aside, target))
+                    retired.append(aside)
+                else:
+                    self.make_dirs(target.rsplit("/", 1)[0])
+                self.rename(folder, target)
+                undo.append((target, folder))
         except Exception:
-            if had_target:
-                self.rename(retired, target)
+            for source, back in reversed(undo):
+                self.rename(source, back)
             raise
-        self.delete(retired)
+        for aside in retired:
+            self.delete(aside)
 
     def partitions(self, path: str, column: str) -> list[str]:
         """Values of a ``column=value`` layout, ascending, read from folder names alone."""
@@ -86,3 +97,11 @@ class Store:
         return sorted(
             unescape(e.name[len(prefix):]) for e in self.children(path) if e.is_dir and e.name.startswith(prefix)
         )
+
+
+def arrow_uri(path: str) -> str:
+    """A path as tasks hand it to Arrow's file systems, which know S3 by another scheme."""
+    scheme, found, rest = path.partition("://")
+    if not found:
+        return f"file://{path.removeprefix('file:')}"
+    return f"s3://{rest}" if scheme in ("s3a", "s3n") else path

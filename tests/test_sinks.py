@@ -99,6 +99,16 @@ def test_refresh_swaps_all_tables_or_none(spark, fresh):
     assert [spark.read.parquet(p).first().v for p in (a, b)] == [2, 3]
 
 
+def test_a_failed_swap_puts_every_table_back(spark, fresh):
+    root = fresh()
+    store = Store(spark)
+    for name in ("a", "b", "a_new"):
+        spark.createDataFrame([(name,)], "v string").write.parquet(f"{root}/{name}")
+    with pytest.raises(Exception):
+        store.swap({f"{root}/a": f"{root}/a_new", f"{root}/b": f"{root}/nowhere"})
+    assert [spark.read.parquet(f"{root}/{n}").first().v for n in ("a", "b", "a_new")] == ["a", "b", "a_new"]
+
+
 def test_declared_columns_come_from_the_header(spark):
     schema = T.StructType().add("id", "long").add("note", "string")
     got = to_declared(spark.createDataFrame([("4",)], "id string"), schema)
