@@ -39,7 +39,7 @@ def _facts(spark, sf):
 
 @query("s7_read_cohort", f"""
     SELECT accession, exam_date_text,
-           CASE WHEN o_orderkey % 7 = 0 THEN 'exam date ''' || exam_date_text || ''' is not ISO 8601 (e.g. 2026-01-15)' END AS reject_reason,
+           CASE WHEN o_orderkey % 7 = 0 THEN 'not a Y-M-D date: ' || exam_date_text END AS reject_reason,
            CASE WHEN o_orderkey % 7 <> 0 THEN 'dicoms/' || strftime(o_orderdate, '%Y/%m/%d') || '/' || accession END AS pattern
     FROM ({_COHORT}) WHERE exam_date_text IS NOT NULL
 """)
@@ -84,7 +84,7 @@ def u2_inflate_objects(spark, sf):
     SELECT accession, exam_date_text,
            CASE WHEN o_orderkey % 7 <> 0 AND exam_date_text IS NOT NULL THEN strftime(o_orderdate, '%Y-%m-%d') END AS exam_date,
            CASE WHEN o_orderkey % 7 = 0 OR exam_date_text IS NULL
-                THEN 'exam date ''' || coalesce(exam_date_text, '') || ''' is not ISO 8601 (e.g. 2026-01-15)' END AS reject_reason
+                THEN 'not a Y-M-D date: ' || coalesce(exam_date_text, '') END AS reject_reason
     FROM ({_COHORT})
 """)
 def p7_exam_date(spark, sf):

@@ -19,7 +19,7 @@ def ntz(moment: str | dt.datetime) -> Column:
 
 def check_interval(interval: dt.timedelta) -> dt.timedelta:
     if not isinstance(interval, dt.timedelta) or interval <= dt.timedelta(0):
-        raise ValueError(f"interval must be a positive timedelta, got {interval!r}")
+        raise ValueError(f"a grid needs a positive interval, not {interval!r}")
     return interval
 
 
@@ -30,7 +30,7 @@ def slot_index(c: Column, anchor: Column, interval: dt.timedelta, mode: str = "f
     if mode == "ceil":
         elapsed = elapsed + F.lit(interval - dt.timedelta(microseconds=1))
     elif mode != "floor":
-        raise ValueError(f"mode must be floor or ceil, got {mode!r}")
+        raise ValueError(f"a slot is taken by floor or ceil, not {mode!r}")
     k = F.call_function("div", elapsed, step)
     return F.when(c <= anchor, F.lit(0).cast("bigint")).otherwise(k)
 

@@ -39,7 +39,7 @@ def exam_date_problem(c: Column) -> Column:
     """Reason a date is rejected, null when it is accepted."""
     return F.when(
         exam_date(c).isNull(),
-        F.concat(F.lit("exam date '"), F.coalesce(c, F.lit("")), F.lit("' is not ISO 8601 (e.g. 2026-01-15)")),
+        F.concat(F.lit("not a Y-M-D date: "), F.coalesce(c, F.lit(""))),
     )
 
 
@@ -56,7 +56,7 @@ def remap_study(study: Column, parent: Column) -> Column:
     """The same study below another parent; a path without a parent fails the job."""
     bare = F.rtrim(study, F.lit("/"))
     rest = F.regexp_extract(bare, "^[^/]*/(.*)$", 1)
-    problem = F.concat(F.lit("study prefix is missing its parent prefix: "), study)
+    problem = F.concat(F.lit("no parent folder to replace in "), study)
     return F.when(bare.contains("/"), F.concat_ws("/", parent, rest)).otherwise(F.raise_error(problem).cast("string"))
 
 

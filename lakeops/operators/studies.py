@@ -18,11 +18,11 @@ from lakeops.functions.studies import (
 def check_selection(paths: list[str] | None, cohort_bucket: str | None, cohort_key: str | None) -> None:
     """Studies come either from a list of paths or from a cohort file, fully named."""
     if (cohort_bucket is None) != (cohort_key is None):
-        raise ValueError("the bucket and the key of the cohort file must be provided together")
+        raise ValueError("a cohort file needs both its bucket and its key")
     if paths and cohort_key:
-        raise ValueError("paths and a cohort file are mutually exclusive")
+        raise ValueError("studies come from paths or from a cohort file, not from both")
     if not paths and not cohort_key:
-        raise ValueError("one of paths or a cohort file is required")
+        raise ValueError("nothing selects the studies: give paths or a cohort file")
 
 
 def _folder(key: str) -> Column:

@@ -21,12 +21,17 @@ _CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpa
 def write_report(report: DataFrame, path: str) -> None:
     """The problem report as CSV; a header is written even when nothing went wrong.
 
-    Use a path of its own for each attempt: a rerun skips what was converted before, so its report
+    Use a path of its own for each attempt (``report_path``): a rerun skips what was converted before, so its report
     covers fewer studies and must not replace the earlier one.
     """
     report.write.mode("errorifexists").options(**_CSV, emptyValue="").csv(path)
 
 
+def report_path(base: str, attempt: str) -> str:
+    """Where one attempt of a run leaves its report."""
+    return f"{base.rstrip('/')}/{attempt}_conversion_report.csv"
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in REPORT_COLUMNS)
     return spark.read.schema(schema).options(**_CSV).csv(path).fillna("")
@@ -46,7 +51,7 @@ def resolve_studies(objects: DataFrame, patterns: DataFrame, verify: bool = Fals
         missing = missing.where("reason = 'unmatched'")
     studies = first_appearance(resolved, "study", "ordinal")
     if studies.isEmpty():
-        raise LookupError("no study folder matched any pattern")
+        raise LookupError("nothing to act on: no pattern led to a study")
     return studies, missing
 
 

@@ -21,15 +21,19 @@ COLUMNS = ["hl7_id", "observation_value_base64", "dte_of_message"]
 
 def run_document_job(
     spark: SparkSession, source: str, report: str, tree: str, tables_template: str, report_template: str,
-    start: str, end: str, make_parser: Callable[[], Parser],
+    start: str, end: str, make_parser: Callable[[], Parser], tasks: int | None = None,
 ) -> DataFrame:
     """Parse the documents of ``[start, end)`` and replace that window in every output.
 
     One job covers the window. Parsing is the costly step, so its result is materialized once and all
     outputs are made from it. The report is replaced over the whole window: a day that has vanished
-    from the source vanishes from the report as well. Returns the counters per day and in total.
+    from the source vanishes from the report as well. ``tasks`` spreads the documents by id over that
+    many tasks, for a parser so slow that the scan's own splits would run for hours. Returns the
+    counters per day and in total.
     """
     documents = read_window(partitioned_table(spark, source, "dte_of_message"), COLUMNS, "dte_of_message", start, end)
+    if tasks:
+        documents = documents.repartition(tasks, "hl7_id")
     parsed = durable(parse_documents(decode_documents(documents, "observation_value_base64"), make_parser))
     days = parsed.select("dte_of_message").distinct()
     folders = [r.folder for r in days.select(day_prefix(F.lit(tables_template), F.col("dte_of_message")).alias("folder")).collect()]

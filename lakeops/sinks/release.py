@@ -26,11 +26,11 @@ def check_version(version: str) -> str:
     """``latest`` or a date written ``YYYY-MM-DD``."""
     if version != LATEST:
         if not version:
-            raise ValueError("a version is required. Expected format: YYYY-MM-DD")
+            raise ValueError("a version is needed: 'latest' or YYYY-MM-DD")
         try:
             dt.datetime.strptime(version, "%Y-%m-%d")
         except ValueError:
-            raise ValueError(f"version {version!r} is not in the correct format. Expected format: YYYY-MM-DD") from None
+            raise ValueError(f"{version!r} is no version: use 'latest' or YYYY-MM-DD") from None
     return version
 
 

@@ -14,7 +14,7 @@ def _check_schema(df: DataFrame, path: str, partition: str) -> None:
     new, old = dict(df.dtypes), dict(target.dtypes)
     if new != old:
         differing = sorted(set(new.items()) ^ set(old.items()))
-        raise ValueError(f"schema mismatch writing {path}: {differing}")
+        raise ValueError(f"the new data and {path} differ in columns: {differing}")
 
 
 def overwrite_window(df: DataFrame, path: str, partition: str, start: str, end: str, rebalance: bool = False) -> int:
@@ -50,7 +50,7 @@ def overwrite_window(df: DataFrame, path: str, partition: str, start: str, end:
     )
     rows = seen.get["rows"]
     if rows == 0:
-        raise ValueError(f"no rows for window [{start}, {end})")
+        raise ValueError(f"nothing to write: window [{start}, {end}) would become empty")
     for day, files in before.items():
         folder = f"{path}/{partition}={day}"
         if files & {e.name for e in store.children(folder) if not e.name.startswith(("_", "."))}:

@@ -92,7 +92,7 @@ def read_cohort(spark: SparkSession, path: str, accession: str, exam: str, paren
     )
     absent = [c for c in (accession, exam) if c not in rows.columns]
     if absent:
-        raise ValueError(f"column(s) {absent} not found in {path}. Found: {rows.columns}")
+        raise ValueError(f"{path} has no column {absent}; its columns are {rows.columns}")
     known = [F.when(~F.col(c).isin(COHORT_NA), F.col(c)).alias(c) for c in (accession, exam)]
     rows = rows.select(*known).na.drop("any")
     day = exam_date(F.col(exam))

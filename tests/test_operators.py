@@ -100,14 +100,14 @@ def test_studies_keep_the_order_of_first_appearance(spark):
     verified, missing = resolve_studies(objects, pats, verify=True)
     assert [r.study for r in verified.orderBy("position").collect()] == [C, A, B]
     assert [r["item"] for r in missing.orderBy("rank", "item").collect()] == ["dicoms/2026/01/09/*", "dicoms/2026/01/02/RA9"]
-    with pytest.raises(LookupError, match="no study folder matched"):
+    with pytest.raises(LookupError, match="nothing to act on"):
         resolve_studies(objects, patterns(spark, ["dicoms/1999/*", "dicoms/2026/01/02/RA9"]), verify=True)
 
 
 def test_selection_is_one_of_two_kinds():
     check_selection(["a"], None, None)
     check_selection(None, "bucket", "key")
-    for args, message in ((([], "b", None), "together"), (([], None, "k"), "together"), ((["a"], "b", "k"), "exclusive"), (([], None, None), "required")):
+    for args, message in ((([], "b", None), "both its bucket"), (([], None, "k"), "both its bucket"), ((["a"], "b", "k"), "not from both"), (([], None, None), "nothing selects")):
         with pytest.raises(ValueError, match=message):
             check_selection(*args)
 
