@@ -31,7 +31,7 @@ def obx(spark: SparkSession, sf: str) -> DataFrame:
     ).otherwise(text)
     payload = F.when(k == 3, "JVBERi0").otherwise(F.base64(F.encode(body, "UTF-8")))
     return table(spark, sf, "documents").select(
-        F.concat(F.lit("UNIC-"), "doc_id", F.when(F.col("doc_id") % 5 == 0, "/1").otherwise("_1")).alias("hl7_id"),
+        F.concat(F.lit("DOC-"), "doc_id", F.when(F.col("doc_id") % 5 == 0, "/1").otherwise("_1")).alias("hl7_id"),
         payload.alias("observation_value_base64"),
         F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd")
         .alias("dte_of_message"),
@@ -64,7 +64,7 @@ def line_parser():
 
 CTES["obx"] = r"""
     SELECT doc_id, text, doc_id % 8 AS k,
-           'UNIC-' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '/1' ELSE '_1' END AS hl7_id,
+           'DOC-' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '/1' ELSE '_1' END AS hl7_id,
            strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER), '%Y-%m-%d') AS dte_of_message,
            CASE WHEN doc_id % 8 IN (0, 1, 4, 5) THEN '%PDF-1.7' || chr(10) || text
                 WHEN doc_id % 8 IN (2, 6) THEN '{\rtf1 ' || text
