@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lakeops import checks
 from tools.compare import TABLES, rows_of
 
 PYTHON_NODES = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInArrow")
@@ -23,7 +24,7 @@ def db(request):
     return connection
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(checks.QUERIES))
 def test_query(spark, db, sf, key):
     df = entry.queries()[key](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
