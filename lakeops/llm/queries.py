@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeops.llm import quality_rules
+from lakeops.llm import bpe, packing, quality_rules, token_files
 from lakeops.llm.registry import query, table
+from lakeops.llm.vocabularies import BYTE_BPE, WORD_BPE, path
+from lakeops.session import scratch_dir
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -42,3 +44,25 @@ def op5(spark, sf_dir):
         (~F.col("kept_base")).alias("base_failed"),
         (F.col("kept_base") & F.col(f"kept_{quality_rules.CURRENT.version}")).alias("kept"), "failed",
     )
+
+
+@query("op1_token_files")
+def op1(spark, sf_dir):
+    out = scratch_dir(spark, "token_files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), out, path(BYTE_BPE), end_id=0)
+    return token_files.read_tokens(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32", "position")
+
+
+@query("op2_bpe_round_trip")
+def op2(spark, sf_dir):
+    return bpe.encode_decode_digest(table(spark, sf_dir, "documents"), path(BYTE_BPE))
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    return digest_pieces(packing.pack(table(spark, sf_dir, "documents"), path(WORD_BPE), end_id=2, size=4096))
+
+
+def digest_pieces(pieces):
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

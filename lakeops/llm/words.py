@@ -6,6 +6,9 @@ one text is never split between batches, so a batch holds at least one whole tex
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +32,18 @@ def struct_of(**fields: DataType) -> StructType:
     return StructType([StructField(name, kind) for name, kind in fields.items()])
 
 
+def per_worker(key: tuple, make: Callable[[], object]):
+    """Something that a Python worker makes once and keeps for all its tasks.
+
+    This package travels to the workers by value, so globals of its modules last for one task only;
+    what should last longer hangs on a module that belongs to the process.
+    """
+    kept = sys.modules.setdefault("_lakeops_per_worker", ModuleType("_lakeops_per_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class Words(NamedTuple):
     """``distinct[codes[j]]`` is word j; text i owns words ``bounds[i]`` up to ``bounds[i + 1]``."""
 
