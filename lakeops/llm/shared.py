@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lakeops.session import scratch_dir
+from lakeops.sources.store import Store
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -15,3 +16,9 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Remove the files of a table from ``written`` that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        Store(df.sparkSession).delete(folder)
