@@ -12,6 +12,8 @@ from lakeops.operators.catalog import (
 )
 from lakeops.operators.nested import resource_docs, table_docs, variable_docs
 from lakeops.plans.catalog_load import load_catalog
+from lakeops.sources.registry import union_by_name
+from lakeops.sources.versions import VersionedTables
 from lakeops.session import scratch_dir
 from lakeops.sinks.bulk import bulk_documents, write_bulk
 from lakeops.sinks.release import publish_dictionary
@@ -86,56 +88,66 @@ def _array_facts(name, field):
     )
 
 
+def _digest(items, name, *fields):
+    """One text for all nested objects of a document, in their order."""
+    texts = F.transform(items, lambda v: F.concat_ws(":", *[v[f].cast("string") for f in fields]))
+    return F.md5(F.array_join(texts, ",")).alias(f"{name}_md5")
+
+
 @query("d1_resource_centric", """
-    SELECT r.id AS rs_id, 0 AS part, r.code AS rs_code, r.resource_type = 'research_project' AS rs_is_project,
+    SELECT coalesce(v.digest, md5('')) AS variables_md5, coalesce(t.digest, md5('')) AS tables_md5, r.id AS rs_id, 0 AS part, r.code AS rs_code, r.resource_type = 'research_project' AS rs_is_project,
            a.name AS analyst_name, c.project_count, c.variable_count, c.table_count,
            coalesce(v.n, 0) AS n_variables, v.first_var AS first_variables, v.last_var AS last_variables,
            coalesce(v.parents, 0) AS n_parents, coalesce(t.n, 0) AS n_tables, t.first_tab AS first_tables, t.last_tab AS last_tables
     FROM resource r LEFT JOIN analyst a ON a.id = r.project_analyst_id JOIN counts c ON c.rs_id = r.id
     LEFT JOIN (SELECT t.resource_id, count(*) AS n, min(v.id) AS first_var, max(v.id) AS last_var,
+                      md5(string_agg(v.id || ':' || v.name, ',' ORDER BY v.id)) AS digest,
                       CAST(sum(l.n_parents) AS BIGINT) AS parents
                FROM variable v JOIN dict_table t ON t.id = v.table_id JOIN lineage l ON l.var_id = v.id GROUP BY 1) v ON v.resource_id = r.id
-    LEFT JOIN (SELECT resource_id, count(*) AS n, min(id) AS first_tab, max(id) AS last_tab FROM dict_table GROUP BY 1) t
+    LEFT JOIN (SELECT resource_id, count(*) AS n, min(id) AS first_tab, max(id) AS last_tab,
+                      md5(string_agg(id || ':' || name, ',' ORDER BY id)) AS digest FROM dict_table GROUP BY 1) t
            ON t.resource_id = r.id
 """, _LINEAGE)
 def d1_resource_centric(spark, sf):
     parents = F.aggregate("variables", F.lit(0).cast("bigint"), lambda a, v: a + F.size(v["var_from_variables"]))
     return resource_docs(fx.catalog(spark, sf)).select(
-        "rs_id", "part", "rs_code", "rs_is_project", "rs_analyst.analyst_name",
+        _digest("variables", "variables", "var_id", "var_name"), _digest("tables", "tables", "tab_id", "tab_name"), "rs_id", "part", "rs_code", "rs_is_project", "rs_analyst.analyst_name",
         "stat_etl.project_count", "stat_etl.variable_count", "stat_etl.table_count",
         *_array_facts("variables", "var_id"), parents.alias("n_parents"), *_array_facts("tables", "tab_id"),
     )
 
 
 @query("d2_table_centric", """
-    SELECT t.id AS tab_id, 0 AS part, t.name AS tab_name, t.domain AS tab_domain, r.code AS rs_code,
+    SELECT coalesce(v.digest, md5('')) AS variables_md5, t.id AS tab_id, 0 AS part, t.name AS tab_name, t.domain AS tab_domain, r.code AS rs_code,
            coalesce(v.n, 0) AS variable_count, coalesce(v.n, 0) AS n_variables, v.first_var AS first_variables,
            v.last_var AS last_variables, coalesce(v.systems, 0) AS n_systems
     FROM dict_table t JOIN resource r ON r.id = t.resource_id
     LEFT JOIN (SELECT v.table_id, count(*) AS n, min(v.id) AS first_var, max(v.id) AS last_var,
+                      md5(string_agg(v.id || ':' || v.name, ',' ORDER BY v.id)) AS digest,
                       CAST(sum(l.n_systems) AS BIGINT) AS systems
                FROM variable v JOIN lineage l ON l.var_id = v.id GROUP BY 1) v ON v.table_id = t.id
 """, _LINEAGE)
 def d2_table_centric(spark, sf):
     systems = F.aggregate("variables", F.lit(0).cast("bigint"), lambda a, v: a + F.size(v["var_from_source_systems"]))
     return table_docs(fx.catalog(spark, sf)).select(
-        "tab_id", "part", "tab_name", "tab_domain", "resource.rs_code", "stat_etl.variable_count",
+        _digest("variables", "variables", "var_id", "var_name"), "tab_id", "part", "tab_name", "tab_domain", "resource.rs_code", "stat_etl.variable_count",
         *_array_facts("variables", "var_id"), systems.alias("n_systems"),
     )
 
 
 @query("d3_variable_centric", """
-    SELECT v.id AS var_id, 0 AS part, v.name AS var_name, v.path AS var_path, t.name AS tab_name, r.code AS rs_code,
+    SELECT c.digest AS codes_md5, v.id AS var_id, 0 AS part, v.name AS var_name, v.path AS var_path, t.name AS tab_name, r.code AS rs_code,
            l.n_parents, l.n_systems, s.name AS vs_name, c.n AS n_values, c.first_code AS first_values, c.last_code AS last_values
     FROM variable v JOIN dict_table t ON t.id = v.table_id JOIN resource r ON r.id = t.resource_id
     JOIN lineage l ON l.var_id = v.id LEFT JOIN value_set s ON s.id = v.value_set_id
-    LEFT JOIN (SELECT value_set_id, count(*) AS n, min(code) AS first_code, max(code) AS last_code FROM value_set_code GROUP BY 1) c
+    LEFT JOIN (SELECT value_set_id, count(*) AS n, min(code) AS first_code, max(code) AS last_code,
+                      md5(string_agg(code, ',' ORDER BY code)) AS digest FROM value_set_code GROUP BY 1) c
            ON c.value_set_id = s.id
 """, _LINEAGE)
 def d3_variable_centric(spark, sf):
     docs = variable_docs(fx.catalog(spark, sf)).withColumn("values", F.col("value_set.values"))
     return docs.select(
-        "var_id", "part", "var_name", "var_path", "table.tab_name", "resource.rs_code",
+        _digest("values", "codes", "vsval_code"), "var_id", "part", "var_name", "var_path", "table.tab_name", "resource.rs_code",
         F.size("var_from_variables").cast("bigint").alias("n_parents"),
         F.size("var_from_source_systems").cast("bigint").alias("n_systems"), "value_set.vs_name",
         *_array_facts("values", "vsval_code"),
@@ -143,44 +155,62 @@ def d3_variable_centric(spark, sf):
 
 
 @query("k8_index_documents", """
-    SELECT chunk, min(id) AS min_id, max(id) AS max_id, count(*) AS n, CAST(sum(named) AS BIGINT) AS n_named
-    FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 30 AS chunk, 1 AS named FROM variable) GROUP BY chunk
+    SELECT v.id AS var_id, v.name AS var_name, CAST(greatest(1, ceil(coalesce(c.n, 0) * 2 / 8.0)) AS BIGINT) AS n_documents,
+           CAST(greatest(1, ceil(coalesce(c.n, 0) * 2 / 8.0)) AS BIGINT) AS n_ids, coalesce(c.n, 0) AS n_codes, coalesce(c.digest, md5('')) AS codes_md5
+    FROM variable v
+    LEFT JOIN (SELECT value_set_id, count(*) AS n, md5(string_agg(code, ',' ORDER BY code)) AS digest FROM value_set_code GROUP BY 1) c
+           ON c.value_set_id = v.value_set_id
 """, _ALL)
 def k8_index_documents(spark, sf):
-    """Documents are delivered as JSON lines and read back; small chunks show the order across them."""
+    """Documents are delivered as JSON lines and read back. Small chunks and small parts show that every
+    document has an id of its own and that no nested object is lost between them."""
     path = scratch_dir(spark, "bulk")
-    write_bulk(bulk_documents(variable_docs(fx.catalog(spark, sf)), "var_id", chunk=30), path)
+    write_bulk(bulk_documents(variable_docs(fx.catalog(spark, sf), limit=8), "var_id", chunk=30), path)
     lines = spark.read.schema("value string, chunk bigint").text(path)
-    source = F.get_json_object("value", "$._source")
-    read = lines.select("chunk", F.get_json_object("value", "$._id").cast("bigint").alias("id"), source.alias("source"))
-    return read.groupBy("chunk").agg(
-        F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count(F.lit(1)).alias("n"),
-        F.count(F.get_json_object("source", "$.var_name")).alias("n_named"),
-    )
+    body = F.from_json(F.get_json_object("value", "$._source"),
+                       "var_id bigint, var_name string, part int, value_set struct<values: array<struct<vsval_code: string>>>")
+    read = lines.select(F.get_json_object("value", "$._id").alias("id"), body.alias("b")).select("id", "b.*")
+    codes = F.transform(F.coalesce("value_set.values", F.array().cast("array<struct<vsval_code: string>>")), lambda v: v["vsval_code"])
+    return read.withColumn("codes", codes).groupBy("var_id", "var_name").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.countDistinct("id").alias("n_ids"),
+        F.sum(F.size("codes")).cast("bigint").alias("n_codes"),
+        F.md5(F.array_join(F.array_sort(F.flatten(F.collect_list("codes"))), ",")).alias("codes_md5"))
+
+
+# What tells the rows of each published sheet apart.
+_SHEET_KEYS = {
+    "Resource": ("id", "code"), "Dict Tables": ("id", "name"), "Variable": ("id", "path"), "Value Sets": ("id", "name"),
+    "Value Set Codes": ("id", "code"), "Mappings": ("value_set_code_id", "original_value"),
+}
 
 
 @query("k7_publish_dictionary", """
-    SELECT 'Resource' AS sheet, count(*) AS n_rows FROM resource WHERE code = 'africa' AND publish_dictionary
-    UNION ALL SELECT 'Dict Tables', count(*) FROM africa_tables
-    UNION ALL SELECT 'Variable', count(*) FROM africa_variables
-    UNION ALL SELECT 'Value Sets', count(*) FROM value_set s JOIN africa_variables v ON v.value_set_id = s.id
-    UNION ALL SELECT 'Value Set Codes', count(*) FROM value_set_code c JOIN africa_variables v ON v.value_set_id = c.value_set_id
-    UNION ALL SELECT 'Mappings', count(*) FROM mapping m JOIN value_set_code c ON c.id = m.value_set_code_id
-                                          JOIN africa_variables v ON v.value_set_id = c.value_set_id
+    SELECT sheet, a || ':' || b AS content, count(*) AS n FROM (
+        SELECT 'Resource' AS sheet, id AS a, code AS b FROM resource WHERE code = 'africa' AND publish_dictionary
+        UNION ALL SELECT 'Dict Tables', id, name FROM africa_tables
+        UNION ALL SELECT 'Variable', id, path FROM africa_variables
+        UNION ALL SELECT 'Value Sets', s.id, s.name FROM value_set s JOIN africa_variables v ON v.value_set_id = s.id
+        UNION ALL SELECT 'Value Set Codes', c.id, c.code FROM value_set_code c JOIN africa_variables v ON v.value_set_id = c.value_set_id
+        UNION ALL SELECT 'Mappings', m.value_set_code_id, m.original_value
+                  FROM mapping m JOIN value_set_code c ON c.id = m.value_set_code_id JOIN africa_variables v ON v.value_set_id = c.value_set_id
+    ) AS sheets GROUP BY 1, 2
 """, _AFRICA)
 def k7_publish_dictionary(spark, sf):
+    """The sheets are published and read back: every row, with its multiplicity."""
     sheets = dictionary(fx.catalog(spark, sf), CODE)
-    folder = publish_dictionary(sheets, scratch_dir(spark, "dictionary"), CODE, "2024-02-02", ["green-prd", "published-clinical-shop"])
-    counted = []
-    for sheet in sheets:
+    folder = publish_dictionary(sheets, scratch_dir(spark, "dictionary"), CODE, "2024-02-02", ["open-shelf", "published-clinical-shop"], "open-shelf")
+    found = []
+    for sheet, (a, b) in _SHEET_KEYS.items():
         rows = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{sheet.lower().replace(' ', '_')}")
-        counted.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(sheet).alias("sheet"), "n_rows"))
-    from lakeops.sources.registry import union_by_name
-
-    return union_by_name(counted)
+        found.append(rows.groupBy(F.concat_ws(":", a, b).alias("content")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(sheet).alias("sheet"), "content", "n"))
+    return union_by_name(found)
 
 
 _SCANNED = {
+    "benchmark": "item_id integer, text string",
+    "conversations": "conv_id integer, turn integer, role string, text string",
+    "labels": "doc_id integer, quality integer, toxic integer",
+    "pages": "page_id integer, url string, html string",
     "customer": "c_custkey integer, c_name string, c_nationkey integer, c_acctbal decimal, c_mktsegment string",
     "documents": "doc_id integer, text string, lang string, source string, n_chars integer",
     "embeddings": "vec_id integer, embedding array, label integer",
@@ -202,7 +232,7 @@ def _scan_sql():
             c, kind = column.split()
             lines.append(
                 f"SELECT 'shop' AS resource, '{name}' AS table_name, '{c}' AS name, 'shop.{name}.{c}' AS path, '{kind}' AS value_type, "
-                f"'current' AS rolling_version, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct FROM {name}"
+                f"'current' AS rolling_version, count({c}) AS n_values FROM {name}"
             )
     return "\nUNION ALL ".join(lines)
 
@@ -212,18 +242,51 @@ def m4_scan_metadata(spark, sf):
     return scan_metadata(spark, "shop", {name: table(spark, sf, name) for name in _SCANNED})
 
 
-@query("m5_load_order", """
-    SELECT 'analyst' AS table_name, 0 AS position, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_orphans FROM analyst
-    UNION ALL SELECT 'resource', 1, count(*), 0 FROM resource UNION ALL SELECT 'dict_table', 2, count(*), 0 FROM dict_table
-    UNION ALL SELECT 'value_set', 3, count(*), 0 FROM value_set UNION ALL SELECT 'value_set_code', 4, count(*), 0 FROM value_set_code
-    UNION ALL SELECT 'variable', 5, count(*), 0 FROM variable UNION ALL SELECT 'mapping', 6, count(*), 0 FROM mapping
-""", _ALL)
+_REFERENCES = {
+    "analyst": [], "resource": [("project_analyst_id", "analyst")], "dict_table": [("resource_id", "resource")], "value_set": [],
+    "value_set_code": [("value_set_id", "value_set")], "variable": [("table_id", "dict_table"), ("value_set_id", "value_set")],
+    "mapping": [("value_set_code_id", "value_set_code")],
+}
+
+
+def _load_sql():
+    lines = []
+    for position, (name, references) in enumerate(_REFERENCES.items()):
+        orphans = " + ".join(
+            f"(SELECT count(*) FROM {name} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {parent}))" for c, parent in references) or "0"
+        new = "count(*) FILTER (value_set_code_id % 3 = 0)" if name == "mapping" else "0"
+        ids = "CAST(NULL AS BIGINT)" if name == "mapping" else "CAST(sum(id) AS BIGINT)"
+        changed = "count(*)" if name == "variable" else "0"
+        lines.append(f"SELECT '{name}' AS table_name, {position} AS position, count(*) AS n_rows, CAST({new} AS BIGINT) AS n_new, "
+                     f"CAST({orphans} AS BIGINT) AS n_orphans, {ids} AS id_sum, CAST({changed} AS BIGINT) AS n_changed FROM {name}")
+    return "\nUNION ALL ".join(lines)
+
+
+@query("m5_load_order", _load_sql(), _ALL)
 def m5_load_order(spark, sf):
-    """The catalog is loaded twice from the same staging data; the second load changes nothing."""
-    staged = fx.catalog(spark, sf)
+    """A second load brings the rows under other ids, new names of variables and mappings that the first
+    lacked. Ids and the references to them stay those of the first load."""
+    cat = fx.catalog(spark, sf)
     root = scratch_dir(spark, "catalog")
-    load_catalog(spark, staged, root)
-    return load_catalog(spark, staged, root)
+    load_catalog(spark, Catalog(**{**cat.__dict__, "mapping": cat.mapping.where("value_set_code_id % 3 <> 0")}), root)
+    moved = {"analyst": 1000, "resource": 7, "value_set": 31, "value_set_code": 500_000}
+
+    def renumbered(name):
+        df = getattr(cat, name)
+        shifts = {"id": moved.get(name, 0), **{c: moved.get(parent, 0) for c, parent in _REFERENCES[name]}}
+        return df.withColumns({c: (F.col(c) + n).cast(df.schema[c].dataType) for c, n in shifts.items() if c in df.columns})
+
+    later = {name: renumbered(name) for name in _REFERENCES}
+    later["variable"] = later["variable"].withColumn("name", F.concat("name", F.lit("+")))
+    summary = load_catalog(spark, Catalog(**later), root)
+    tables = VersionedTables(spark, root)
+    facts = []
+    for name in _REFERENCES:
+        df = tables.read(name)
+        ids = F.sum("id").cast("bigint") if "id" in df.columns else F.lit(None).cast("bigint")
+        changed = F.count_if(F.endswith("name", F.lit("+"))) if name == "variable" else F.lit(0).cast("bigint")
+        facts.append(df.agg(ids.alias("id_sum"), changed.alias("n_changed")).select(F.lit(name).alias("table_name"), "id_sum", "n_changed"))
+    return summary.join(union_by_name(facts), "table_name")
 
 
 _RULES = {

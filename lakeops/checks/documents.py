@@ -8,16 +8,16 @@ from lakeops.checks import fixtures as fx
 from lakeops.checks.base import query, staged
 from lakeops.functions.documents import day_prefix, sanitize_id, tree_path, uri_bucket, uri_key
 from lakeops.operators.documents import (
-    REPORT_COLUMNS, decode_documents, extracted_tables, parse_counters, parse_documents, skipped_documents, tree_files, union_outcomes,
+    REPORT_COLUMNS, decode_documents, extracted_tables, parse_counters, parse_documents, skipped_documents, union_outcomes,
 )
+from lakeops.plans.document_job import run_document_job
 from lakeops.session import scratch_dir
-from lakeops.sinks.tree import replace_day_folders
 from lakeops.sinks.window import overwrite_window
 from lakeops.sources.files import list_objects
 from lakeops.sources.tables import list_partitions, partitioned_table, read_window
 
-TABLES_TEMPLATE = "hl7/extracted/{{date}}/{{hl7_id}}/table_{{table_no}}.csv"
-REPORT_TEMPLATE = "hl7/extracted/{{date}}/{{hl7_id}}/report.md"
+TABLES_TEMPLATE = "intake/parsed/{{date}}/{{hl7_id}}/table_{{table_no}}.csv"
+REPORT_TEMPLATE = "intake/parsed/{{date}}/{{hl7_id}}/report.md"
 COLUMNS = ["hl7_id", "observation_value_base64", "dte_of_message"]
 
 
@@ -64,17 +64,17 @@ def s4_list_partitions(spark, sf):
 
 @query("p4_tree_path", r"""
     SELECT hl7_id, regexp_replace(hl7_id, '[^A-Za-z0-9._]', '_', 'g') AS safe_id,
-           'hl7/extracted/' || replace(dte_of_message, '-', '/') || '/' || safe_id || '/table_2.csv' AS table_path,
-           'hl7/extracted/' || replace(dte_of_message, '-', '/') || '/' || safe_id || '/report.md' AS report_path,
-           'hl7/extracted/' || replace(dte_of_message, '-', '/') || '/' || safe_id || '/table_{{table_no}}.csv' AS open_path,
-           'hl7/extracted/' || replace(dte_of_message, '-', '/') AS day_prefix,
-           'red-prd' AS bucket, 'hl7/extracted/' || safe_id AS key
+           'intake/parsed/' || replace(dte_of_message, '-', '/') || '/' || safe_id || '/table_2.csv' AS table_path,
+           'intake/parsed/' || replace(dte_of_message, '-', '/') || '/' || safe_id || '/report.md' AS report_path,
+           'intake/parsed/' || replace(dte_of_message, '-', '/') || '/' || safe_id || '/table_{{table_no}}.csv' AS open_path,
+           'intake/parsed/' || replace(dte_of_message, '-', '/') AS day_prefix,
+           'vault-1' AS bucket, 'intake/parsed/' || safe_id AS key
     FROM obx
 """, ("obx",))
 def p4_tree_path(spark, sf):
     day = F.concat("dte_of_message", F.lit("T10:00:00"))
     doc, template = F.col("hl7_id"), F.lit(TABLES_TEMPLATE)
-    uri = F.concat(F.lit("s3://red-prd/hl7/extracted/"), sanitize_id(doc), F.lit("/"))
+    uri = F.concat(F.lit("s3://vault-1/intake/parsed/"), sanitize_id(doc), F.lit("/"))
     return fx.obx(spark, sf).select(
         "hl7_id", sanitize_id(doc).alias("safe_id"),
         tree_path(template, day, doc, F.lit(2)).alias("table_path"),
@@ -174,17 +174,18 @@ def k1_overwrite_window(spark, sf):
 
 
 @query("k4_keyed_tree", r"""
-    SELECT 'hl7/extracted/' || replace(dte_of_message, '-', '/') || '/' || regexp_replace(hl7_id, '[^A-Za-z0-9._]', '_', 'g')
+    SELECT 'intake/parsed/' || replace(dte_of_message, '-', '/') || '/' || regexp_replace(hl7_id, '[^A-Za-z0-9._]', '_', 'g')
            || '/table_' || table_index || '.csv' AS path, octet_length(encode(table_csv)) AS n_bytes
     FROM doc_tables
     UNION ALL
-    SELECT 'hl7/extracted/' || replace(dte_of_message, '-', '/') || '/' || regexp_replace(hl7_id, '[^A-Za-z0-9._]', '_', 'g')
+    SELECT 'intake/parsed/' || replace(dte_of_message, '-', '/') || '/' || regexp_replace(hl7_id, '[^A-Za-z0-9._]', '_', 'g')
            || '/report.md', octet_length(encode(report_markdown))
     FROM outcomes WHERE report_markdown IS NOT NULL
 """, ("obx", "decoded", "outcomes", "doc_tables"))
 def k4_keyed_tree(spark, sf):
-    """Write the tree of every day and list what storage then holds."""
+    """The document job over every day, from stored documents to report and tree; what storage then holds."""
     root = scratch_dir(spark, "tree")
-    files = tree_files(spark.read.parquet(parsed_path(spark, sf)), TABLES_TEMPLATE, REPORT_TEMPLATE)
-    replace_day_folders(files, root, ["hl7/extracted/2024/01"])
+    run_document_job(
+        spark, fx.obx_table(spark, sf), scratch_dir(spark, "job-report"), root, TABLES_TEMPLATE, REPORT_TEMPLATE,
+        fx.FIRST_DAY, fx.LAST_DAY, fx.line_parser)
     return list_objects(spark, root).select(F.col("key").alias("path"), F.col("size").alias("n_bytes"))

@@ -99,7 +99,7 @@ CTES["doc_tables"] = r"""
 # ---------------------------------------------------------------- studies
 
 PARENT = "dicoms"
-WORK_DIR = "/tmp/dcm_x9"
+WORK_DIR = "/scratch/job-17"
 PATTERNS = ["dicoms/1995/03", "dicoms/1996/*/*/RA0000*", "dicoms/1998/01/01/RA99999999", "dicoms/1997/01/*/ZZ*"]
 
 
@@ -115,9 +115,9 @@ def study_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def study_objects(spark: SparkSession, sf: str) -> DataFrame:
     """``(o_orderkey, study, key)``: the objects stored below each study."""
-    series = F.when(F.col("l_returnflag") == "A", "FUJI Basic Text SR for HL7").when(
-        F.col("l_returnflag") == "N", "AX T2 TSE"
-    ).otherwise("FUJI Presentation State")
+    series = F.when(F.col("l_returnflag") == "A", "Ward 4 Basic Text SR").when(
+        F.col("l_returnflag") == "N", "KNEE COR PD"
+    ).otherwise("Viewer presentation state 3")
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_returnflag").distinct()
     return lines.join(study_orders(spark, sf), "o_orderkey").select(
         "o_orderkey", "study", F.concat("study", F.lit("/"), series, F.lit("/"), "l_partkey", F.lit(".dcm")).alias("key")
@@ -132,9 +132,8 @@ def stored_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 def study_log():
     return F.concat(
-        F.lit("Found 1772 DICOM file(s)\nSkipping non-image DICOM: /tmp/dcm_x9/"), F.col("study"),
-        F.lit("/AX T2 TSE/1.3.46.670589.11.70851.5.24.5.1-45f6b2d4.dcm\nseries 1.2.840.113619.2.55\n"
-              "Error: Converted 886 of 1772 files\n"),
+        F.lit(f"412 slices read\nno pixels in {WORK_DIR}/"), F.col("study"),
+        F.lit("/KNEE COR PD/slice-0007.2.25.88.dcm\ngeometry of 2.25.7001.4.19.333.8 differs\n400 slices kept, 12 left out\n"),
     )
 
 
@@ -183,8 +182,8 @@ CTES["study_orders"] = """
 """
 CTES["objects"] = """
     SELECT s.o_orderkey, s.study,
-           s.study || '/' || CASE l_returnflag WHEN 'A' THEN 'FUJI Basic Text SR for HL7' WHEN 'N' THEN 'AX T2 TSE'
-                                  ELSE 'FUJI Presentation State' END || '/' || l_partkey || '.dcm' AS key
+           s.study || '/' || CASE l_returnflag WHEN 'A' THEN 'Ward 4 Basic Text SR' WHEN 'N' THEN 'KNEE COR PD'
+                                  ELSE 'Viewer presentation state 3' END || '/' || l_partkey || '.dcm' AS key
     FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem) l
     JOIN study_orders s ON s.o_orderkey = l.l_orderkey
 """
@@ -198,14 +197,13 @@ CTES["object_facts"] = """
 """
 CTES["logs"] = r"""
     SELECT o_orderkey, study,
-           'Found 1772 DICOM file(s)' || chr(10) || 'Skipping non-image DICOM: /tmp/dcm_x9/' || study
-           || '/AX T2 TSE/1.3.46.670589.11.70851.5.24.5.1-45f6b2d4.dcm' || chr(10) || 'series 1.2.840.113619.2.55'
-           || chr(10) || 'Error: Converted 886 of 1772 files' || chr(10) AS raw_log
+           '412 slices read' || chr(10) || 'no pixels in /scratch/job-17/' || study || '/KNEE COR PD/slice-0007.2.25.88.dcm' || chr(10)
+           || 'geometry of 2.25.7001.4.19.333.8 differs' || chr(10) || '400 slices kept, 12 left out' || chr(10) AS raw_log
     FROM study_orders
 """
 CTES["scrubbed"] = r"""
     SELECT o_orderkey, study,
-           regexp_replace(regexp_replace(replace(raw_log, '/tmp/dcm_x9/', ''),
+           regexp_replace(regexp_replace(replace(raw_log, '/scratch/job-17/', ''),
                           '[^/\s]+\.dcm(?:\.cmp)?\b', '<file>', 'g'),
                           '\b\d+(?:\.\d+){4,}\b', '<uid>', 'g') AS log
     FROM logs
@@ -228,9 +226,9 @@ CTES["study_outcomes"] = """
            CASE WHEN status IN ('ok', 'partial') THEN output_files ELSE 0 END AS files_converted,
            status IN ('ok', 'partial') AS uploaded,
            CASE WHEN status IN ('partial', 'report only') THEN log
-                WHEN status = 'failed' AND rc = 2 THEN 'rc=2 but the study holds image series: ' || right(log, 300)
-                WHEN status = 'failed' AND rc NOT IN (0, 8) THEN 'rc=' || rc || ': ' || right(log, 300)
-                WHEN status = 'failed' THEN 'rc=' || rc || ' produced no output: ' || right(log, 300)
+                WHEN status = 'failed' AND rc = 2 THEN 'no images converted although some series are images (exit code 2): ' || log
+                WHEN status = 'failed' AND rc NOT IN (0, 8) THEN 'converter gave up (exit code ' || rc || '): ' || log
+                WHEN status = 'failed' THEN 'converter wrote no file (exit code ' || rc || '): ' || log
                 ELSE '' END AS output
     FROM statuses
 """

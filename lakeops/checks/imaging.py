@@ -10,11 +10,11 @@ from lakeops.functions.studies import (
     exam_date, exam_date_problem, remap_study, scrub_log, study_accession, study_exam_date, study_path,
 )
 from lakeops.functions.objects import inflate
-from lakeops.operators.ordering import first_appearance
 from lakeops.operators.studies import (
-    classify_studies, convert_studies, match_studies, missing_studies, problem_report, report_only, split_existing,
+    classify_studies, match_studies, missing_studies, objects_of_studies, problem_report, report_only, split_existing,
     status_summary, top_missing,
 )
+from lakeops.plans.conversion import convert, resolve_studies
 from lakeops.session import durable, scratch_dir
 from lakeops.sinks.tree import write_files
 from lakeops.sources.files import read_cohort, read_objects
@@ -179,14 +179,18 @@ def line_converter():
            status IN ('ok', 'partial') AS uploaded,
            CASE WHEN status IN ('partial', 'report only') THEN 'rc ' || rc
                 WHEN status = 'failed' AND o_orderkey % 40 = 3 THEN 'ValueError: unreadable study ' || o_orderkey
-                WHEN status = 'failed' AND rc = 2 THEN 'rc=2 but the study holds image series: rc 2'
-                WHEN status = 'failed' AND rc NOT IN (0, 8) THEN 'rc=' || rc || ': rc ' || rc
-                WHEN status = 'failed' THEN 'rc=' || rc || ' produced no output: rc ' || rc ELSE '' END AS output
+                WHEN status = 'failed' AND rc = 2 THEN 'no images converted although some series are images (exit code 2): rc 2'
+                WHEN status = 'failed' AND rc NOT IN (0, 8) THEN 'converter gave up (exit code ' || rc || '): rc ' || rc
+                WHEN status = 'failed' THEN 'converter wrote no file (exit code ' || rc || '): rc ' || rc ELSE '' END AS output
     FROM facts
 """, _FACTS)
 def u3_convert_studies(spark, sf):
-    facts = _facts(spark, sf).select("study", "n_objects", "report_only", "output_exists")
-    return classify_studies(convert_studies(facts, line_converter))
+    """The whole job: studies met with their stored objects and earlier outputs, converted and reported."""
+    studies = fx.study_orders(spark, sf)
+    outputs = studies.where("o_orderkey % 10 = 9").select("study")
+    held = objects_of_studies(fx.stored_objects(spark, sf), studies)
+    outcomes, _ = convert(spark, studies.select("study"), held, outputs, line_converter, scratch_dir(spark, "conversion-report"))
+    return outcomes
 
 
 @query("j7_pattern_match", "SELECT ordinal, pattern, study FROM resolved", _RESOLVED)
@@ -207,7 +211,9 @@ def j8_existence(spark, sf):
     FROM (SELECT study, min(ordinal) AS ordinal FROM resolved GROUP BY study)
 """, _RESOLVED)
 def w1_first_appearance(spark, sf):
-    return first_appearance(match_studies(fx.stored_objects(spark, sf), fx.patterns(spark)), "study", "ordinal")
+    """As the job resolves them; the study that is named exactly is taken out because nothing is stored there."""
+    studies, _ = resolve_studies(fx.stored_objects(spark, sf), fx.patterns(spark), verify=True)
+    return studies
 
 
 @query("so3_missing", "SELECT * FROM study_missing", (*_RESOLVED, "study_missing"))

@@ -80,10 +80,9 @@ def k3_full_refresh(spark, sf):
     period_pivot(lines, "l_returnflag", "l_shipdate", cents(F.col("l_extendedprice")), F.col("l_quantity").cast("bigint")) \
         .select("year", "indicator", "total").write.option("header", True).csv(f"{root}/infections")
     declared = {"stays": _STAYS, "infections": _INFECTIONS}
-    empty = {f"{out}/{n}": spark.createDataFrame([], s) for n, s in declared.items()}
-    refresh_tables(empty)
-    refresh_tables({f"{out}/{n}": to_declared(read_csv_dir(spark, f"{root}/{n}"), s) for n, s in declared.items()})
-    stays, infections = (spark.read.schema(declared[n]).parquet(f"{out}/{n}") for n in declared)
+    refresh_tables(spark, out, {n: spark.createDataFrame([], s) for n, s in declared.items()})
+    fresh = refresh_tables(spark, out, {n: to_declared(read_csv_dir(spark, f"{root}/{n}"), s) for n, s in declared.items()})
+    stays, infections = (fresh.read(n, declared[n]) for n in declared)
     note = F.when(F.col("note").isNotNull(), 1).otherwise(0).cast("bigint").alias("n_notes")
     return stays.select(
         F.lit("stays").alias("table_name"), F.col("encounter").cast("string").alias("key"), F.col("days").cast("bigint").alias("v"), note
@@ -123,7 +122,7 @@ def k5_release_version(spark, sf):
 
 
 @query("k6_publish_tables", """
-    SELECT 'green-prd' AS bucket, 'published/shop/2024-02-02/customer_2024_02_02.csv' AS path, CAST(c_custkey AS VARCHAR) AS key, c_name AS name
+    SELECT 'open-shelf' AS bucket, 'published/shop/2024-02-02/customer_2024_02_02.csv' AS path, CAST(c_custkey AS VARCHAR) AS key, c_name AS name
     FROM customer
     UNION ALL
     SELECT 'published-clinical-shop', '/shop/2024-02-02/supplier_2024_02_02.csv', CAST(s_suppkey AS VARCHAR), s_name FROM supplier
@@ -132,11 +131,11 @@ def k6_publish_tables(spark, sf):
     base, out = scratch_dir(spark, "shop"), scratch_dir(spark, "published")
     _shop(spark, sf, base)
     registry = Registry(
-        [Storage("green", "s3a://green-prd"), Storage("clinical", "s3a://published-clinical-shop")],
+        [Storage("green", "s3a://open-shelf"), Storage("clinical", "s3a://published-clinical-shop")],
         [Dataset("published_shop_customer", "green", "/shop/{{version}}/customer_{{version}}"),
          Dataset("published_shop_supplier", "clinical", "/shop/{{version}}/supplier_{{version}}")],
     )
-    plan = publish_release(spark, registry, base, "shop", "2024-02-02", out)
+    plan = publish_release(spark, registry, base, "shop", "2024-02-02", out, "open-shelf", rows_per_file=100)
     exported = []
     for step in plan.collect():  # one row per table
         rows = spark.read.option("header", True).option("escape", '"').csv(f"{out}/{step.bucket}/{step.path.lstrip('/')}")

@@ -231,29 +231,36 @@ def _comparable(c: Column, kind: T.DataType) -> Column:
     return F.when(F.octet_length(text) < 32, bytes_).otherwise(F.unhex(F.sha2(bytes_, 256)))
 
 
-def scan_metadata(spark: SparkSession, resource: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per column of a resource's datasets, nested fields included: catalog fields and counts.
-
-    Each dataset is scanned once. A row becomes narrow (column, value) pairs that are folded before
-    the shuffle; several distinct counts in one aggregate would repeat whole rows instead. Maps have
-    no equality of their own and are compared by their text.
+def scan_metadata(
+    spark: SparkSession, resource: str, tables: dict[str, DataFrame], distinct: float | None = None,
+) -> DataFrame:
+    """One row per column of a resource's datasets, nested fields included: catalog fields and the number
+    of values that are not null.
+
+    Names and types come from the schemas. Values are counted in one aggregate per dataset, folded in
+    the tasks that scan it, so one row per task is all that is shuffled. ``distinct``, the relative
+    error allowed, adds ``n_distinct`` from a sketch per column in the same aggregate; maps, which
+    have no equality of their own, are compared by their text.
     """
-    known, folded = [], []
+    known, counted = [], []
     for name, df in sorted(tables.items()):
         fields = _fields(df.schema)
         first = len(known)
         known += [(first + i, name, path.split(".")[-1], f"{resource}.{name}.{path}", value_type(kind)) for i, (path, kind) in enumerate(fields)]
-        pairs = F.array(*[
-            F.struct(F.lit(first + i).alias("i"), _comparable(F.col(path), kind).alias("v")) for i, (path, kind) in enumerate(fields)
+        counts = []
+        for i, (path, kind) in enumerate(fields):
+            counts.append(F.count(F.col(path)).alias(f"n{i}"))
+            if distinct is not None:
+                counts.append(F.approx_count_distinct(_comparable(F.col(path), kind), distinct).alias(f"d{i}"))
+        each = F.array(*[
+            F.struct(F.lit(first + i).alias("i"), F.col(f"n{i}").alias("n_values"), *([F.col(f"d{i}").alias("n_distinct")] if distinct is not None else []))
+            for i in range(len(fields))
         ])
-        folded.append(df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
-    counted = reduce(DataFrame.unionByName, folded).groupBy("i").agg(
-        F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct")
-    )
+        counted.append(df.agg(*counts).select(F.inline(each)))
     columns = spark.createDataFrame(known, "i int, table_name string, name string, path string, value_type string")
-    return columns.join(counted, "i", "left").fillna(0, ["n_values", "n_distinct"]).select(
+    return columns.join(reduce(DataFrame.unionByName, counted), "i").select(
         F.lit(resource).alias("resource"), "table_name", "name", "path", "value_type",
-        F.lit("current").alias("rolling_version"), "n_values", "n_distinct",
+        F.lit("current").alias("rolling_version"), "n_values", *(["n_distinct"] if distinct is not None else []),
     )
 
 

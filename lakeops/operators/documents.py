@@ -61,6 +61,16 @@ def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> Da
     ends in any status but success is reported and never fails its batch.
     """
 
+    def unpack(result):
+        status = str(result["status"])
+        if status not in PARSED:
+            return status, None, []
+        tables = [
+            {"table_csv": str(csv), "n_rows": int(n_rows), "n_cols": int(n_cols), "page_no": None if page is None else int(page)}
+            for csv, n_rows, n_cols, page in result.get("tables") or []
+        ]
+        return status, str(result["markdown"]), tables
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = make_parser()
         for batch in batches:
@@ -70,18 +80,11 @@ def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> Da
                     rows.append((row.hl7_id, row.dte_of_message, None, row.source_format, row.parse_status, row.parse_error, []))
                     continue
                 try:
-                    result = parser(row.hl7_id, bytes(row.raw))
-                except Exception:  # a bad document stays its own problem
-                    result = {"status": "failure"}
-                good = result["status"] in PARSED
-                tables = [
-                    {"table_csv": csv, "n_rows": n_rows, "n_cols": n_cols, "page_no": page}
-                    for csv, n_rows, n_cols, page in (result.get("tables") or [] if good else [])
-                ]
-                rows.append((
-                    row.hl7_id, row.dte_of_message, result["markdown"] if good else None, row.source_format,
-                    result["status"], None if good else PARSE_FAILED, tables,
-                ))
+                    status, markdown, tables = unpack(parser(row.hl7_id, bytes(row.raw)))
+                except Exception:  # a bad document, or a bad result for it, stays its own problem
+                    status, markdown, tables = "failure", None, []
+                problem = None if status in PARSED else PARSE_FAILED
+                rows.append((row.hl7_id, row.dte_of_message, markdown, row.source_format, status, problem, tables))
             yield pd.DataFrame(rows, columns=[*REPORT_COLUMNS, "tables"])
 
     payload = F.when(F.col("parse_status").isNull(), F.col("raw")).alias("raw")

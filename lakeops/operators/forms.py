@@ -10,10 +10,11 @@ def forms_wide(captures: DataFrame, keys: list[str], field: str, value: str, ord
     """One row per document with the latest value of each known field.
 
     One aggregate for all fields: ``max_by`` folds captures before the shuffle, and the field list
-    comes from the caller, so no pass is spent on finding it.
+    comes from the caller, so no pass is spent on finding it. Of captures at one place in the order the
+    largest value counts.
     """
     newest: list[Column] = [
-        F.max_by(F.when(F.col(field) == name, F.col(value)), F.when(F.col(field) == name, F.struct(*order))).alias(name)
+        F.max_by(F.when(F.col(field) == name, F.col(value)), F.when(F.col(field) == name, F.struct(*order, value))).alias(name)
         for name in fields
     ]
     return captures.groupBy(*keys).agg(*newest)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,35 +22,73 @@ def _fingerprint(df: DataFrame) -> tuple:
     return row.n, row.h
 
 
+def _finish(store: Store, path: str) -> None:
+    """Complete a compaction that had written its journal, or drop what one without a journal left."""
+    work = f"{path}/_compacting"
+    if store.exists(f"{work}/journal"):
+        plan = json.loads(store.read_text(f"{work}/journal"))
+        for name in plan["new"]:
+            if store.exists(f"{work}/data/{name}"):
+                store.rename(f"{work}/data/{name}", f"{path}/{name}")
+        for name in plan["old"]:
+            store.delete(f"{path}/{name}")
+    store.delete(work)
+
+
+def _data_files(store: Store, folder: str, below: str = "") -> list[tuple[str, int]]:
+    """Names below ``folder`` and sizes of the data files of one table."""
+    found = []
+    for e in store.children(f"{folder}/{below}".rstrip("/")):
+        name = f"{below}/{e.name}".lstrip("/")
+        if e.name.startswith(("_", ".")):
+            continue
+        found += _data_files(store, folder, name) if e.is_dir else [(name, e.size)]
+    return found
+
+
 def compact(spark: SparkSession, path: str, partition: str | None = None, target_bytes: int = TARGET_BYTES) -> int:
-    """Rewrite a parquet folder into files of about ``target_bytes``; returns how many were planned.
+    """Rewrite the small files of a parquet table into files of about ``target_bytes``; returns how many were
+    planned.
+
+    Only files below half the target are read, in partitions that have several of them, and only those
+    are compared with what replaces them; the others are not touched. Without a partition column whole
+    files are packed into tasks, so no row is shuffled. With one, rows move to their partition and are
+    salted over as many files as its small files call for.
 
-    Without a partition column whole input files are packed into tasks, so no row is shuffled. With one,
-    rows move to their partition and are salted over as many files as the table's share calls for,
-    which keeps a partition holding most of the data from ending in one task. The new folder is
-    compared with the old one before it takes its place.
+    The new files are written aside. A journal then names what comes and what goes, and is carried out
+    by renames; stopped at any point, the next call completes it. While it is carried out a reader may
+    see rows twice, so readers wait for upkeep, as for any change in place.
     """
-    store = Store(spark)
-    n_files = max(1, math.ceil(store.total_bytes(path) / target_bytes))
-    df = spark.read.parquet(path)
-    staged = f"{path.rstrip('/')}__compacting"
-    store.delete(staged)
+    store, path = Store(spark), path.rstrip("/")
+    _finish(store, path)
+    small: dict[str, list[tuple[str, int]]] = {}
+    for name, size in _data_files(store, path):
+        if size < target_bytes / 2:
+            small.setdefault(name.rpartition("/")[0], []).append((name, size))
+    small = {folder: files for folder, files in small.items() if len(files) > 1}
+    if not small:
+        return 0
+    wanted = {folder: math.ceil(sum(size for _, size in files) / target_bytes) for folder, files in small.items()}
+    old = [name for files in small.values() for name, _ in files]
+    schema = spark.read.parquet(path).schema
+    df = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{name}" for name in old])
+    staged = f"{path}/_compacting/data"
     if partition is None:
-        writer = df.coalesce(n_files).write
+        df.coalesce(sum(wanted.values())).write.parquet(staged)
     else:
-        sizes = df.groupBy(partition).agg(F.count(F.lit(1)).alias("_n"))
-        share = F.col("_n") * n_files / sizes.agg(F.sum("_n")).scalar()
-        files = sizes.select(partition, F.greatest(F.ceil(share), F.lit(1)).alias("_files"))
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition]), F.col("_files")).alias("_salt")
-        salted = lookup_join(df, files, [partition]).select(*df.columns, salt)
-        writer = salted.repartition(partition, "_salt").drop("_salt").write.partitionBy(partition)
-    writer.parquet(staged)
-    if _fingerprint(df) != _fingerprint(spark.read.schema(df.schema).parquet(staged)):
-        store.delete(staged)
+        folder = F.concat(F.lit(f"{partition}="), F.col(partition).cast("string"))
+        files = spark.createDataFrame([(f, n) for f, n in wanted.items()], "_folder string, _files int")
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition]), F.coalesce("_files", F.lit(1))).alias("_salt")
+        salted = lookup_join(df.withColumn("_folder", folder), files, ["_folder"], "left").select(*df.columns, salt)
+        salted.repartition(partition, "_salt").drop("_salt").write.partitionBy(partition).parquet(staged)
+    if _fingerprint(df) != _fingerprint(spark.read.schema(schema).option("basePath", staged).parquet(staged)):
+        store.delete(f"{path}/_compacting")
         raise RuntimeError(f"compaction of {path} would change its content")
-    store.swap({path: staged})
+    new = [name for name, _ in _data_files(store, staged)]
+    store.write_text(f"{path}/_compacting/journal", json.dumps({"old": old, "new": new}))
+    _finish(store, path)
     spark.catalog.refreshByPath(path)
-    return n_files
+    return sum(wanted.values())
 
 
 def retained_versions(df: DataFrame, table: str, version: str, keep: int = 10, newest_age_days: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeops.functions.grid import check_interval, ntz, slot_index, slot_start
 from lakeops.operators.skew import lookup_join
+from lakeops.session import durable
 
 # A reporting year has thirteen periods of four weeks, the last one open-ended.
 PERIODS = 13
@@ -64,10 +65,10 @@ def duplicates(df: DataFrame, key: str, identity: Column) -> DataFrame:
     """Members of every group that shares an identity, with the group's size and lowest key.
 
     Groups come out one row per member: a group may hold any share of the table, so it is never
-    collected. Sizes are counted on a digest, then looked up by it.
+    collected. Texts are digested once, sizes counted on the digest and then looked up by it.
     """
     digest = F.sha2(identity, 256)
-    members = df.select(key, digest.alias("digest"))
+    members = durable(df.select(key, digest.alias("digest")))
     groups = members.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")
     return lookup_join(members, groups, ["digest"]).select(F.col("first").alias("group_id"), key, "n")
 

@@ -1,9 +1,9 @@
 """Nested search documents: one per resource, table or variable.
 
-The index refuses a document with more nested objects than its limit. A source that exceeds it is
-delivered in parts, each a document of its own with the same header and a share of the nested
-objects, so no array is built past the limit and nothing is left out. ``part`` is 0 for a source that
-fits, which is the usual document.
+Every source comes in parts, each a document of its own with the same header and a share of the nested
+objects, so no array grows with its source and nothing is left out. The number of parts follows from
+the number of nested objects by one rule; small sources have one. ``part`` is a field of every
+document, and a bulk request names a document by source and part.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from lakeops.operators.catalog import Catalog, expand_lineage, index_counts, tab
 from lakeops.operators.skew import lookup_join
 from lakeops.session import durable
 
-# Nested objects allowed per document, and the id column of each index.
+# Nested objects that the index takes per document, and the id column of each index (fixed values).
 RESOURCE_LIMIT = 135_000
 TABLE_LIMIT = 50_000
 VARIABLE_LIMIT = 50_000
@@ -23,9 +23,10 @@ ID_COLUMNS = {"resource_centric": "rs_id", "table_centric": "tab_id", "variable_
 
 
 def _parts(weights: DataFrame, key: str, limit: int) -> DataFrame:
-    """Number of documents per key; hashing is uneven, hence twice the bare minimum."""
+    """Number of documents per key: one for each half ``limit`` of nested objects, begun or full. Objects go
+    to parts by a hash, so a part holds half the limit on average."""
     total = weights.groupBy(key).agg(F.sum("weight").alias("_w"))
-    parts = F.when(F.col("_w") <= limit, 1).otherwise(F.ceil(F.col("_w") * 2 / limit))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_w") * 2 / limit))
     return durable(total.select(key, parts.cast("int").alias("parts")))
 
 
@@ -52,14 +53,19 @@ def _attach(headers: DataFrame, nested: DataFrame, key: str, name: str) -> DataF
     return joined.withColumn(name, F.coalesce(F.col(name), F.array().cast(joined.schema[name].dataType)))
 
 
-def _variables(cat: Catalog) -> DataFrame:
+def _lineage(cat: Catalog, lineage: DataFrame | None) -> DataFrame:
+    """The expanded lineage, taken from the caller where several kinds of documents share it."""
+    return expand_lineage(cat) if lineage is None else lineage
+
+
+def _variables(cat: Catalog, lineage: DataFrame | None) -> DataFrame:
     owner = cat.dict_table.select(F.col("id").alias("tab_id"), F.col("resource_id").alias("rs_id"))
     labels = cat.variable.select(
         F.col("id").alias("var_id"), F.col("table_id").alias("tab_id"),
         F.col("label_fr").alias("var_label_fr"), F.col("label_en").alias("var_label_en"),
     )
     thin = F.transform("var_from_variables", lambda v: F.struct(v["var_id"].alias("var_id"), v["var_name"].alias("var_name"), v["published"].alias("published")))
-    lineage = expand_lineage(cat).withColumn("var_from_variables", thin)
+    lineage = _lineage(cat, lineage).withColumn("var_from_variables", thin)
     whole = labels.join(owner, "tab_id").join(lineage, "var_id").withColumn(
         "weight", 1 + F.size("var_from_variables") + F.size("var_from_source_systems")
     )
@@ -87,8 +93,8 @@ def _resource_header(cat: Catalog) -> DataFrame:
     return r.select(*names, (F.col("resource_type") == "research_project").alias("rs_is_project"), "project_analyst_id")
 
 
-def resource_docs(cat: Catalog, limit: int = RESOURCE_LIMIT) -> DataFrame:
-    variables = _variables(cat)
+def resource_docs(cat: Catalog, limit: int = RESOURCE_LIMIT, lineage: DataFrame | None = None) -> DataFrame:
+    variables = _variables(cat, lineage)
     tables = cat.dict_table.select(
         F.col("resource_id").alias("rs_id"), F.col("id").alias("tab_id"), F.col("name").alias("tab_name"),
         F.col("label_fr").alias("tab_label_fr"), F.col("label_en").alias("tab_label_en"),
@@ -114,8 +120,8 @@ def _resource_struct(cat: Catalog) -> DataFrame:
     return header.select("rs_id", F.struct(*[n for n in names if n in header.columns]).alias("resource"))
 
 
-def table_docs(cat: Catalog, limit: int = TABLE_LIMIT) -> DataFrame:
-    variables = _variables(cat)
+def table_docs(cat: Catalog, limit: int = TABLE_LIMIT, lineage: DataFrame | None = None) -> DataFrame:
+    variables = _variables(cat, lineage)
     parts = _parts(variables, "tab_id", limit)
     stats = table_variable_counts(cat).select("tab_id", F.struct("variable_count").alias("stat_etl"))
     extra = [c for c in ("created_at", "domain", "entity_type", "last_update", "row_filter") if c in cat.dict_table.columns]
@@ -128,7 +134,7 @@ def table_docs(cat: Catalog, limit: int = TABLE_LIMIT) -> DataFrame:
     return _attach(docs, _nest(variables, "tab_id", parts, "var_id", F.struct(*_VARIABLE), "variables"), "tab_id", "variables")
 
 
-def variable_docs(cat: Catalog, limit: int = VARIABLE_LIMIT) -> DataFrame:
+def variable_docs(cat: Catalog, limit: int = VARIABLE_LIMIT, lineage: DataFrame | None = None) -> DataFrame:
     """Variables with their owner, parents and value set; the codes are what may need parts."""
     codes = cat.value_set_code.select(F.col("value_set_id").alias("vs_id"), F.col("code").alias("vsval_code"),
                                       F.col("label_en").alias("vsval_label_en"), F.col("label_fr").alias("vsval_label_fr"))
@@ -155,7 +161,7 @@ def variable_docs(cat: Catalog, limit: int = VARIABLE_LIMIT) -> DataFrame:
     )
     return (
         header.join(tables, "tab_id").join(_resource_struct(cat), "rs_id").drop("tab_id", "rs_id")
-        .join(expand_lineage(cat), "var_id")
+        .join(_lineage(cat, lineage), "var_id")
         .join(sets.select("vs_id", "part", value_set), "vs_id", "left")
         .drop("vs_id").fillna(0, ["part"])
     )

@@ -1,46 +1,30 @@
-"""Joining a large table to keyed rows when one key may hold much of the table."""
+"""Joining a large table to keyed rows when one key, or no key, may hold much of the table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A keyed side up to this many rows is broadcast.
-BROADCAST_ROWS = 200_000
+# Rows without a key are spread over this many join keys that nothing matches.
+NULL_SPREAD = 1 << 16
 
-# A key is hot above this share of the rows and this many rows, so at most a few hundred keys can be.
-HOT_SHARE = 1 / 256
-HOT_ROWS = 1_000_000
 
-
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding more than ``share`` of the rows and more than ``rows``, with the shares to cut them into.
-
-    Counted on the key columns alone and folded before the shuffle. At most ``1 / share`` keys qualify.
-    """
-    counts = df.select(*keys).na.drop("any").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.greatest(counts.agg(F.sum("_n")).scalar() * share, F.lit(rows))
-    return counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
-
-
-def lookup_join(
-    df: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def lookup_join(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", salts: int = 1) -> DataFrame:
     """``df`` joined to ``dim``, whose keys are distinct; ``how`` is inner, left, left_semi or left_anti.
 
-    The keyed side is broadcast when a count shows that it is small, and then nothing is shuffled.
-    Beyond that, rows of a hot key are cut into shares by a hash of the row and the matching row of
-    ``dim`` is repeated once per share, so no task receives a whole hot key.
+    No count and no hint: Spark broadcasts ``dim`` while its measured size allows, and splits skewed
+    partitions of the shuffled join otherwise. Rows with a null key match nothing; where they stay in
+    the result (left, left_anti) each gets a join key of its own making instead of meeting in one
+    task. ``salts`` above 1 cuts every key into that many shares and repeats ``dim`` as often, for a
+    cluster without adaptive execution.
     """
-    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return df.join(F.broadcast(dim), keys, how)
-    hot = hot_keys(df, keys, hot_share, hot_rows)
-    # At most 1 / hot_share rows, whatever the size of the tables.
-    known = F.broadcast(hot)
-    row = [c for c, kind in df.dtypes if not kind.startswith("map")]
-    salt = F.pmod(F.xxhash64(*row), F.coalesce("_salts", F.lit(1)))
-    salted = df.join(known, keys, "left").withColumn("_salt", salt).drop("_salts")
-    spread = dim.join(known, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-    spread = spread.withColumn("_salt", F.col("_salt").cast("bigint")).drop("_salts")
+    if salts == 1 and how in ("inner", "left_semi"):
+        return df.join(dim, keys, how)
+    row = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    share = F.pmod(row, F.lit(salts)) if salts > 1 else F.lit(0).cast("bigint")
+    salted = df.withColumn("_salt", F.when(keyless, F.pmod(row, F.lit(NULL_SPREAD)) + salts).otherwise(share))
+    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

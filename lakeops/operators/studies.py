@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -65,39 +66,61 @@ def study_candidates(objects: DataFrame, depths: list[int], key: str = "key") ->
     return folders.select(F.inline(pairs)).where("study <> ''").distinct()
 
 
+def _below(objects: DataFrame, stems: DataFrame, key: str) -> DataFrame:
+    """Objects whose keys can start with one of ``stems``: they start with what all stems start with, and lie
+    between the first and the last of them. Both are literals, so the scan can skip by them, and one
+    row is all that is fetched to know them."""
+    ends = stems.agg(F.min("stem").alias("low"), F.max("stem").alias("high")).first()
+    if ends.low is None:
+        return objects
+    shared = os.path.commonprefix([ends.low, ends.high])
+    c = F.col(key)
+    return objects.where(c.startswith(shared) & (c >= ends.low) & (c < f"{ends.high}\U0010ffff"))
+
+
+def _anchor(text: Column) -> Column:
+    """The longest literal text that starts a segment of a pattern after its base; every match has a segment
+    that starts with it."""
+    plain = F.split(F.regexp_extract(text, r"^[^\[]*", 0), "/")  # a bracket may hold a slash
+    heads = F.transform(F.slice(plain, F.col("depth") + 1, F.size(plain)), lambda s: F.regexp_extract(s, "^[^*?]*", 0))
+    return F.array_max(F.transform(heads, lambda h: F.struct(F.length(h).alias("n"), h.alias("head"))))["head"]
+
+
 def match_studies(objects: DataFrame, patterns: DataFrame, key: str = "key") -> DataFrame:
     """``(ordinal, pattern, study)`` for every study a pattern selects.
 
     ``patterns`` holds ``ordinal`` and ``pattern``. An exact study path stands for itself even when
-    nothing is stored there. Any other pattern is joined on its stem, the text all its matches start
-    with, which is an equality; only patterns with more than a final wildcard leave a regular
-    expression to test. Studies are keyed once per distinct stem length, so they never meet patterns
-    with another stem. Spark broadcasts the patterns while they are small and shuffles once they are
-    not.
+    nothing is stored there. Any other pattern is joined on two texts of its own, which is an equality:
+    its stem, which all its matches start with, and its anchor, the longest text some segment of a match
+    starts with. Only patterns with more than a final wildcard leave a regular expression to test, and
+    only against studies that share both. Studies are keyed once per distinct pair of lengths, so
+    candidates grow with the studies and not with patterns times studies, also where thousands of
+    patterns have one stem. What lies outside the literal text of all patterns is not scanned.
     """
     bare = patterns.withColumn("bare", F.rtrim("pattern", F.lit("/"))).where("bare <> ''")
     text = F.col("bare")
     wild = has_glob(text)
     exact = ~wild & F.element_at(F.split(text, "/"), -1).rlike(STUDY_NAME)
     named = bare.where(exact).select("ordinal", "pattern", text.alias("study"))
+    base = F.when(wild, glob_base(text)).otherwise(text)
+    regex = F.when(wild & ~is_prefix_glob(text), glob_regex(text))
     walked = bare.where(~exact).select(
-        "ordinal", "pattern",
-        F.when(wild, glob_base(text)).otherwise(text).alias("base"),
-        F.when(wild, glob_stem(text)).otherwise(F.concat(text, F.lit("/"))).alias("stem"),
-        F.when(wild & ~is_prefix_glob(text), glob_regex(text)).alias("regex"),
-    ).withColumn("depth", _depth("base")).drop("base")
-    shapes = sorted(walked.select("depth", F.length("stem").alias("n")).distinct().collect())
+        "ordinal", "pattern", "bare", base.alias("base"),
+        F.when(wild, glob_stem(text)).otherwise(F.concat(text, F.lit("/"))).alias("stem"), regex.alias("regex"),
+    ).withColumn("depth", _depth("base"))
+    walked = walked.withColumn("anchor", F.when(F.col("regex").isNotNull(), F.coalesce(_anchor(F.col("bare")), F.lit(""))).otherwise(F.lit("")))
+    shapes = sorted(walked.select("depth", F.length("stem").alias("n"), F.length("anchor").alias("m")).distinct().collect())
     if not shapes:
         return named
-    found = study_candidates(objects, sorted({s.depth for s in shapes}), key)
-    kinds = F.array(*[F.struct(F.lit(s.depth).alias("kind"), F.lit(s.n).alias("n")) for s in shapes])
-    keyed = (
-        found.select("depth", "study", F.inline(kinds))
-        .where((F.col("kind") == F.col("depth")) & (F.length("study") >= F.col("n")))
-        .select("depth", F.substr("study", F.lit(1), F.col("n")).alias("stem"), "study")
-    )
+    found = study_candidates(_below(objects, walked.select("stem"), key), sorted({s.depth for s in shapes}), key)
+    kinds = F.array(*[F.struct(F.lit(s.depth).alias("kind"), F.lit(s.n).alias("n"), F.lit(s.m).alias("m")) for s in shapes])
+    fitting = found.select("depth", "study", F.inline(kinds)).where("kind = depth AND length(study) >= n")
+    long = F.filter(F.split("study", "/"), lambda s: F.length(s) >= F.col("m"))
+    anchors = F.when(F.col("m") == 0, F.array(F.lit(""))).otherwise(
+        F.array_distinct(F.transform(long, lambda s: F.substr(s, F.lit(1), F.col("m")))))
+    keyed = fitting.select("depth", F.substr("study", F.lit(1), F.col("n")).alias("stem"), F.explode(anchors).alias("anchor"), "study")
     fits = F.col("regex").isNull() | F.rlike("study", F.col("regex"))
-    matched = keyed.join(walked, ["depth", "stem"]).where(fits)
+    matched = keyed.join(walked.drop("bare", "base"), ["depth", "stem", "anchor"]).where(fits)
     return named.unionByName(matched.select("ordinal", "pattern", "study"))
 
 
@@ -107,6 +130,16 @@ def split_existing(studies: DataFrame, objects: DataFrame, key: str = "key") ->
     return studies.join(stored.withColumn("present", F.lit(True)), "study", "left").fillna(False, ["present"])
 
 
+def objects_of_studies(objects: DataFrame, studies: DataFrame, key: str = "key") -> DataFrame:
+    """``(study, key)`` of every object below one of the ``studies``, by equality of the folder."""
+    depths = _depths(studies, "study")
+    above = [F.when(F.size(F.split(key, "/")) > d, F.substring_index(key, "/", d)) for d in depths if d > 0]
+    if not above:
+        return objects.select(F.lit("").alias("study"), key).limit(0)
+    keyed = objects.select(key, F.explode(F.array(*above)).alias("study")).where("study IS NOT NULL")
+    return keyed.join(studies.select("study").distinct(), "study", "left_semi").select("study", key)
+
+
 def unmatched_patterns(patterns: DataFrame, resolved: DataFrame) -> DataFrame:
     return patterns.join(resolved.select("ordinal").distinct(), "ordinal", "left_anti")
 
@@ -168,17 +201,20 @@ def study_status(skip_existing: bool) -> Column:
     )
 
 
-def classify_studies(facts: DataFrame, skip_existing: bool = True) -> DataFrame:
-    """Outcome of every study: status, exit code when the tool's verdict stood, files, upload, log."""
+def classify_studies(facts: DataFrame, skip_existing: bool = True, log_chars: int | None = None) -> DataFrame:
+    """Outcome of every study: status, exit code when the tool's verdict stood, files, upload, log.
+
+    Logs are carried whole; ``log_chars`` keeps only that many characters of the end of a failed
+    study's log.
+    """
     with_error = facts if "error" in facts.columns else facts.withColumn("error", F.lit(None).cast("string"))
-    tail = F.substring("log", -300, 300)
-    code = F.col("rc").cast("string")
-    failure = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("rc") == RC_NO_IMAGES, F.concat(F.lit("rc="), code, F.lit(" but the study holds image series: "), tail))
-        .when(~F.col("rc").isin(0, RC_PARTIAL), F.concat(F.lit("rc="), code, F.lit(": "), tail))
-        .otherwise(F.concat(F.lit("rc="), code, F.lit(" produced no output: "), tail))
+    log = F.col("log") if log_chars is None else F.substring("log", -log_chars, log_chars)
+    why = (
+        F.when(F.col("rc") == RC_NO_IMAGES, "no images converted although some series are images")
+        .when(~F.col("rc").isin(0, RC_PARTIAL), "converter gave up")
+        .otherwise("converter wrote no file")
     )
+    failure = F.coalesce("error", F.concat(why, F.lit(" (exit code "), F.col("rc").cast("string"), F.lit("): "), log))
     status = F.col("status")
     done = status.isin("ok", "partial")
     return with_error.withColumn("status", study_status(skip_existing)).select(
@@ -219,14 +255,19 @@ def problem_report(outcomes: DataFrame) -> DataFrame:
 # A converter takes the facts of one study and returns exit code, number of files written and log.
 Converter = Callable[[dict[str, Any]], dict[str, Any]]
 
+# A cleaner takes the facts of one study and removes what an earlier conversion wrote for it.
+Cleaner = Callable[[dict[str, Any]], None]
+
 
 def convert_studies(
-    facts: DataFrame, make_converter: Callable[[], Converter], skip_existing: bool = True, tasks: int | None = None
+    facts: DataFrame, make_converter: Callable[[], Converter], skip_existing: bool = True, tasks: int | None = None,
+    make_cleaner: Callable[[], Cleaner] | None = None,
 ) -> DataFrame:
     """Run a converter on each study and add ``rc``, ``output_files``, ``log`` and ``error``.
 
     ``facts`` has one row per study with ``study``, ``n_objects`` and ``output_exists``; the
     converter fetches the objects below the study itself, so no task ever holds the listing of one.
+    With ``skip_existing`` off, a cleaner removes earlier output of a study before it is converted again.
     An exception becomes the error of its own study. Rows are spread by study over a fixed number of
     tasks: they are tiny but each takes long, and coalescing by size would serialize them.
     """
@@ -236,6 +277,7 @@ def convert_studies(
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         converter = make_converter()
+        cleaner = make_cleaner() if make_cleaner else None
         for batch in batches:
             results = []
             for row in batch.to_dict("records"):
@@ -243,6 +285,8 @@ def convert_studies(
                     results.append((None, None, None, None))
                     continue
                 try:
+                    if cleaner and row["output_exists"]:
+                        cleaner(row)
                     done = converter(row)
                     results.append((done["rc"], done["output_files"], done["log"], None))
                 except Exception as bad:  # one study never takes the batch with it
@@ -254,10 +298,10 @@ def convert_studies(
     return facts.repartition(tasks, "study").mapInPandas(convert, schema)
 
 
-def require_no_failure(outcomes: DataFrame) -> None:
-    """Fail the run at its end if any study failed, naming the first few."""
+def require_no_failure(outcomes: DataFrame, named: int = 20) -> None:
+    """Fail the run at its end if any study failed; ``named`` of them are named in the message."""
     failed = outcomes.where(F.col("status") == "failed")
     n = failed.count()
     if n:
-        names = [r.study for r in failed.select("study").orderBy("study").limit(20).collect()]
+        names = [r.study for r in failed.select("study").orderBy("study").limit(named).collect()]
         raise RuntimeError(f"{n} studies failed: {names}")

@@ -6,40 +6,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.operators.catalog import FOREIGN_KEYS, LOAD_ORDER, Catalog, foreign_key_orphans
-from lakeops.sinks.upsert import upsert
+from lakeops.operators.ordering import with_ordinals
+from lakeops.session import durable
+from lakeops.sinks.upsert import require_unique, upsert
 from lakeops.sources.registry import union_by_name
-from lakeops.sources.store import Store
+from lakeops.sources.versions import VersionedTables
 
-# Fixed value: columns an update leaves alone.
-EXCLUDED = ["created_at"]
+# Columns an update leaves alone. A row keeps the id under which it was first loaded.
+EXCLUDED = ["created_at", "id"]
+
+
+def _translated(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` with a reference to a staged id replaced by the id the catalog knows the row by."""
+    names = ids.select(F.col("staged_id").alias(column), "kept_id")
+    return df.join(names, column, "left").withColumn(column, F.coalesce("kept_id", column)).drop("kept_id").select(*df.columns)
+
+
+def _with_kept_ids(target: DataFrame, staging: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Staging rows under catalog ids, and the ``staged_id, kept_id`` of each.
+
+    A row that the catalog has keeps its id there. New rows are numbered on from the highest id, in the
+    order of their staged ids.
+    """
+    known = target.select(*keys, F.col("id").alias("_known"))
+    matched = durable(staging.join(known, keys, "left"))
+    highest = target.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("m"))
+    new = with_ordinals(matched.where("_known IS NULL").select(F.col("id").alias("_staged")), [F.col("_staged")], "_n")
+    new = new.select("_staged", (F.col("_n") + 1 + highest.scalar()).alias("_new"))
+    # With a null in the key a row matches nothing, so several staged rows may be new under one key.
+    ids = matched.join(new, F.col("id") == F.col("_staged"), "left").withColumn("_id", F.coalesce("_known", "_new"))
+    ids = durable(ids.drop("_known", "_staged", "_new"))
+    kind = target.schema["id"].dataType
+    rows = ids.withColumn("id", F.col("_id").cast(kind)).select(*staging.columns)
+    return rows, ids.select(F.col("id").alias("staged_id"), F.col("_id").cast(kind).alias("kept_id"))
 
 
 def load_catalog(spark: SparkSession, staged: Catalog, root: str) -> DataFrame:
-    """Upsert every staged table into the catalog under ``root``, parents before children.
+    """Upsert every staged table into the catalog below ``root``, parents before children.
 
-    Rows are matched on natural keys. A reference that leads nowhere stops the load before the table
-    that holds it is replaced. Returns ``(table_name, position, n_rows, n_orphans)``.
+    Rows are matched on natural keys. Ids are the catalog's own: a matched row keeps its id, a new one
+    gets the next, and references among the staged tables are translated to match, before the natural
+    keys they are part of are compared. All tables are written first and all references counted; one
+    that leads nowhere stops the load, and then, as after a crash at any point, the catalog is what
+    it was. Returns ``(table_name, position, n_rows, n_new, n_orphans)``.
     """
-    store = Store(spark)
+    versions = VersionedTables(spark, root)
+    present, change = set(versions.names()), versions.begin()
     loaded: dict[str, DataFrame] = {}
-    summary = []
-    for position, (name, keys) in enumerate(LOAD_ORDER.items()):
-        path, new = f"{root}/{name}", getattr(staged, name)
-        if store.exists(path):
-            new = upsert(spark.read.parquet(path), new, keys, EXCLUDED)
-        candidate = f"{path}__candidate"
-        new.write.mode("overwrite").parquet(candidate)
-        written = spark.read.schema(new.schema).parquet(candidate)
+    translations: dict[str, DataFrame] = {}
+    before: dict[str, int] = {}
+    for name, keys in LOAD_ORDER.items():
+        new = getattr(staged, name)
         for table, column, parent, _ in FOREIGN_KEYS:
-            if table == name and column in written.columns:
-                check = Catalog(**{**staged.__dict__, **loaded, table: written})
-                orphan = foreign_key_orphans(check, table, column, parent).select(column).limit(1).collect()
-                if orphan:
-                    raise ValueError(f"{table}.{column} refers to {orphan[0][column]}, which is no {parent}")
-        store.swap({path: candidate})
-        spark.catalog.refreshByPath(path)
-        loaded[name] = spark.read.schema(new.schema).parquet(path)
-        summary.append(loaded[name].agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), F.lit(position).alias("position"), "n_rows", F.lit(0).cast("bigint").alias("n_orphans"),
-        ))
-    return union_by_name(summary)
+            if table == name and column in new.columns and parent in translations:
+                new = _translated(new, column, translations[parent])
+        before[name] = 0
+        if name in present:
+            old = versions.read(name)
+            before[name] = old.count()
+            require_unique(new, keys)
+            if "id" in new.columns:
+                new, translations[name] = _with_kept_ids(old, new, keys)
+            new = upsert(old, new, keys, EXCLUDED)
+        new.write.mode("overwrite").parquet(versions.folder(change, name))
+        loaded[name] = spark.read.schema(new.schema).parquet(versions.folder(change, name))
+    catalog = Catalog(**loaded)
+    counts = []
+    for position, name in enumerate(LOAD_ORDER):
+        orphans = [
+            foreign_key_orphans(catalog, name, column, parent).select(F.lit(column).alias("reference"), F.col(column).cast("string").alias("value"))
+            for table, column, parent, _ in FOREIGN_KEYS if table == name and column in loaded[name].columns
+        ]
+        found = durable(union_by_name(orphans)) if orphans else None
+        example = found.limit(1).collect() if found is not None else []
+        if example:
+            raise ValueError(f"{found.count()} references of {name} lead nowhere, such as {example[0].reference} {example[0].value}")
+        n_orphans = found.agg(F.count(F.lit(1)).alias("n")).scalar() if found is not None else F.lit(0)
+        counts.append(loaded[name].agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), F.lit(position).alias("position"), "n_rows",
+            (F.col("n_rows") - F.lit(before[name])).alias("n_new"), n_orphans.cast("bigint").alias("n_orphans")))
+    summary = durable(union_by_name(counts))
+    versions.commit(change, list(LOAD_ORDER))
+    versions.prune()
+    return summary

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.functions.studies import REPORT_COLUMNS
-from lakeops.operators.ordering import first_appearance
+from lakeops.operators.ordering import first_appearance, with_ordinals
 from lakeops.operators.studies import (
-    Converter, classify_studies, convert_studies, match_studies, missing_studies, problem_report, report_only,
-    split_existing, status_summary,
+    Cleaner, Converter, check_selection, classify_studies, convert_studies, match_studies, missing_studies, objects_of_studies,
+    problem_report, report_only, split_existing, status_summary,
 )
 from lakeops.session import durable
+from lakeops.sources.files import read_cohort
 
 _CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -58,6 +59,7 @@ def resolve_studies(objects: DataFrame, patterns: DataFrame, verify: bool = Fals
 def convert(
     spark: SparkSession, studies: DataFrame, objects: DataFrame, outputs: DataFrame,
     make_converter: Callable[[], Converter], report_path: str, skip_existing: bool = True,
+    make_cleaner: Callable[[], Cleaner] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Convert studies, write the problem report, return outcomes and the count per status.
 
@@ -70,6 +72,36 @@ def convert(
         studies.select("study").join(known, "study", "left").join(done, "study", "left")
         .fillna(0, ["n_objects"]).fillna(False, ["report_only", "output_exists"])
     )
-    outcomes = durable(classify_studies(convert_studies(facts, make_converter, skip_existing), skip_existing))
+    outcomes = durable(classify_studies(convert_studies(facts, make_converter, skip_existing, make_cleaner=make_cleaner), skip_existing))
     write_report(problem_report(outcomes), report_path)
     return outcomes, status_summary(outcomes)
+
+
+def selected_patterns(
+    spark: SparkSession, paths: list[str] | None, cohort_bucket: str | None, cohort_key: str | None, parent: str,
+    accession: str = "accessionNumber", exam: str = "examDate",
+) -> DataFrame:
+    """``(ordinal, pattern)`` from a list of paths or from a cohort file. Cohort rows with a date that is not
+    one are an error that counts them."""
+    check_selection(paths, cohort_bucket, cohort_key)
+    if paths:
+        return spark.createDataFrame(list(enumerate(paths)), "ordinal bigint, pattern string")
+    rows = durable(read_cohort(spark, f"{cohort_bucket.rstrip('/')}/{cohort_key.lstrip('/')}", accession, exam, parent))
+    rejected = rows.where("reject_reason IS NOT NULL").count()
+    if rejected:
+        raise ValueError(f"{rejected} rows of the cohort file have no usable exam date")
+    return with_ordinals(rows.select("pattern"), [F.col("pattern")]).select("ordinal", "pattern")
+
+
+def run_study_job(
+    spark: SparkSession, objects: DataFrame, outputs: DataFrame, make_converter: Callable[[], Converter], report_path: str,
+    parent: str, paths: list[str] | None = None, cohort_bucket: str | None = None, cohort_key: str | None = None,
+    verify: bool = False, skip_existing: bool = True, make_cleaner: Callable[[], Cleaner] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Select, resolve, convert and report: outcomes, the count per status, and what resolved to nothing."""
+    patterns = selected_patterns(spark, paths, cohort_bucket, cohort_key, parent)
+    studies, missing = resolve_studies(objects, patterns, verify)
+    studies = durable(studies)
+    held = objects_of_studies(objects, studies)
+    outcomes, counts = convert(spark, studies, held, outputs, make_converter, report_path, skip_existing, make_cleaner)
+    return outcomes, counts, missing

@@ -11,7 +11,7 @@ from lakeops.operators.documents import (
     REPORT_COLUMNS, Parser, decode_documents, parse_counters, parse_documents, tree_files,
 )
 from lakeops.functions.documents import day_prefix
-from lakeops.session import durable
+from lakeops.session import durable, forget
 from lakeops.sinks.tree import replace_day_folders
 from lakeops.sinks.window import overwrite_window
 from lakeops.sources.tables import partitioned_table, read_window
@@ -26,8 +26,8 @@ def run_document_job(
     """Parse the documents of ``[start, end)`` and replace that window in every output.
 
     One job covers the window. Parsing is the costly step, so its result is materialized once and all
-    outputs are made from it. The report is replaced over the whole window: a day that has vanished
-    from the source vanishes from the report as well. ``tasks`` spreads the documents by id over that
+    outputs are made from it, and dropped at the end. All outputs are replaced over the whole window: a
+    day that has vanished from the source vanishes from the report and from the tree as well. ``tasks`` spreads the documents by id over that
     many tasks, for a parser so slow that the scan's own splits would run for hours. Returns the
     counters per day and in total.
     """
@@ -35,8 +35,11 @@ def run_document_job(
     if tasks:
         documents = documents.repartition(tasks, "hl7_id")
     parsed = durable(parse_documents(decode_documents(documents, "observation_value_base64"), make_parser))
-    days = parsed.select("dte_of_message").distinct()
-    folders = [r.folder for r in days.select(day_prefix(F.lit(tables_template), F.col("dte_of_message")).alias("folder")).collect()]
+    day = F.explode(F.expr(f"sequence(DATE '{start[:10]}', DATE '{end[:10]}' - INTERVAL 1 DAY)")).alias("day")
+    both = F.explode(F.array(*[day_prefix(F.lit(t), F.col("day").cast("string")) for t in (tables_template, report_template)])).alias("folder")
+    folders = [r.folder for r in spark.range(1).select(day).select(both).distinct().collect()]  # one row per day of the window
     overwrite_window(parsed.select(*REPORT_COLUMNS), report, "dte_of_message", start, end)
     replace_day_folders(tree_files(parsed, tables_template, report_template), tree, sorted(folders))
-    return parse_counters(parsed.withColumn("n_tables", F.size("tables")))
+    counters = durable(parse_counters(parsed.withColumn("n_tables", F.size("tables"))))
+    forget(parsed)
+    return counters

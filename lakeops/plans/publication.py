@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeops.operators.catalog import Catalog, dictionary, published_resource
+from lakeops.operators.catalog import Catalog, dictionary, expand_lineage, published_resource
 from lakeops.operators.nested import ID_COLUMNS, resource_docs, table_docs, variable_docs
+from lakeops.session import durable, forget
 from lakeops.sinks.bulk import bulk_documents, write_bulk
 from lakeops.sinks.release import check_version, publish_dictionary, publish_release
 from lakeops.sources.registry import Registry
@@ -13,15 +14,15 @@ from lakeops.sources.registry import Registry
 
 def publish_project(
     spark: SparkSession, registry: Registry, cat: Catalog, base: str, code: str, version: str, out: str,
-    include_dictionary: bool = True,
+    default_bucket: str, include_dictionary: bool = True,
 ) -> DataFrame:
     """Publish a release and, unless left out, its dictionary; returns the plan of the tables."""
     if not code:
         raise ValueError("a resource code is required")
-    plan = publish_release(spark, registry, base, code, check_version(version), out)
+    plan = publish_release(spark, registry, base, code, check_version(version), out, default_bucket)
     if include_dictionary:
         buckets = [r.bucket for r in plan.select("bucket").distinct().collect()]
-        publish_dictionary(dictionary(cat, code), out, code, version, buckets)
+        publish_dictionary(dictionary(cat, code), out, code, version, buckets, default_bucket)
     return plan
 
 
@@ -33,8 +34,10 @@ def publish_search(cat: Catalog, code: str, out: str) -> list[str]:
     if published_resource(cat, code).isEmpty():
         return []
     written = []
+    lineage = durable(expand_lineage(cat))  # the costly part, common to all three kinds
     for kind, build in (("resource_centric", resource_docs), ("table_centric", table_docs), ("variable_centric", variable_docs)):
         path = f"{out.rstrip('/')}/{kind}"
-        write_bulk(bulk_documents(build(cat), ID_COLUMNS[kind]), path)
+        write_bulk(bulk_documents(build(cat, lineage=lineage), ID_COLUMNS[kind]), path)
         written.append(path)
+    forget(lineage)
     return written

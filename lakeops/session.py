@@ -60,3 +60,12 @@ def durable(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession, "durable")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lakeops/" in folder and folder.rsplit("/", 1)[1].startswith("durable-"):
+            handle = jvm.org.apache.hadoop.fs.Path(folder)
+            handle.getFileSystem(conf).delete(handle, True)

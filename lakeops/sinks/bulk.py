@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeops.operators.ordering import with_ordinals
+from lakeops.session import durable
 
 # Fixed value: documents per bulk request.
 CHUNK = 50_000
@@ -17,22 +18,33 @@ _MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 def bulk_documents(docs: DataFrame, id_column: str, chunk: int = CHUNK) -> DataFrame:
     """``(chunk, ordinal, id, source)``: the documents as JSON in id order, numbered in chunks.
 
-    Timestamps are written out in microseconds, which JSON generation would cut to milliseconds.
+    ``id`` names one document: the source's id, and ``-`` and the part where documents come in parts.
+    The whole document is the body, its part included. Timestamps are written out in microseconds,
+    which JSON generation would cut to milliseconds. The documents are built once and materialized.
     """
     stamps = [f.name for f in docs.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     texts = docs.withColumns({c: F.date_format(c, _MICROS) for c in stamps}) if stamps else docs
-    order = [F.col(id_column)] + ([F.col("part")] if "part" in docs.columns else [])
-    # Only the keys are put in order; the documents themselves move once, to their position.
     keys = [id_column] + (["part"] if "part" in docs.columns else [])
-    numbered = texts.join(with_ordinals(docs.select(*keys), order), keys)
-    body = F.to_json(F.struct(*[c for c in texts.columns if c != "part"]), {"ignoreNullFields": "false"})
-    return numbered.select(
-        F.floor(F.col("ordinal") / chunk).alias("chunk"), "ordinal", F.col(id_column).alias("id"), body.alias("source")
-    )
+    body = F.to_json(F.struct(*texts.columns), {"ignoreNullFields": "false"}).alias("source")
+    built = durable(texts.select(*keys, body))
+    # Only the keys are put in order; the bodies move once, to their position.
+    numbered = built.join(with_ordinals(built.select(*keys), [F.col(k) for k in keys]), keys)
+    name = F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
+    return numbered.select(F.floor(F.col("ordinal") / chunk).alias("chunk"), "ordinal", name.alias("id"), "source")
+
+
+def require_distinct_ids(bulk: DataFrame) -> None:
+    """An index keeps the last of several documents with one id, so there must not be several."""
+    doubled = bulk.groupBy("id").count().where("count > 1").limit(1).collect()
+    if doubled:
+        raise ValueError(f"{doubled[0]['count']} documents share the id {doubled[0]['id']!r}")
 
 
 def write_bulk(bulk: DataFrame, path: str) -> None:
-    """One folder of JSON lines per chunk, in order within it; one task per chunk, bounded by its size."""
+    """One folder of JSON lines per chunk, in order within it; one task per chunk, bounded by its size.
+    Ids that are not distinct are an error, raised before anything is written."""
+    bulk = durable(bulk)
+    require_distinct_ids(bulk)
     (
         bulk.repartition("chunk").sortWithinPartitions("chunk", "ordinal")
         .select("chunk", F.to_json(F.struct(F.col("id").alias("_id"), F.col("source").alias("_source"))).alias("value"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeops.sources.store import Store
+from lakeops.sources.versions import VersionedTables
 
 
 def to_declared(df: DataFrame, schema: StructType) -> DataFrame:
@@ -19,20 +19,17 @@ def to_declared(df: DataFrame, schema: StructType) -> DataFrame:
     ])
 
 
-def refresh_tables(tables: dict[str, DataFrame]) -> None:
-    """Replace every table path by its new content.
+def refresh_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], keep: int = 2) -> VersionedTables:
+    """Replace tables of the set below ``root`` by new content, all of them or none.
 
-    All of them are written next to their target first. Only when the last write has succeeded are the
-    folders swapped, so a failing source leaves every table as it was.
+    Every table is written to a folder of its own. Only when the last write has succeeded does one small
+    file make all of them the current ones; whatever stops the refresh before leaves every table as
+    it was. Folders of the ``keep`` newest states stay for readers that have started.
     """
-    staged = {}
-    for path, df in tables.items():
-        store = Store(df.sparkSession)
-        staged[path] = f"{path.rstrip('/')}__staged"
-        store.delete(staged[path])
-        df.write.parquet(staged[path])
-    if staged:
-        spark = next(iter(tables.values())).sparkSession
-        Store(spark).swap(staged)
-        for path in staged:
-            spark.catalog.refreshByPath(path)
+    versions = VersionedTables(spark, root)
+    change = versions.begin()
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(versions.folder(change, name))
+    versions.commit(change, list(tables))
+    versions.prune(keep)
+    return versions

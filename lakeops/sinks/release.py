@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from lakeops.functions.text import strip_illegal
 from lakeops.sources.registry import Registry
 from lakeops.sources.store import Store
-from lakeops.sources.tables import read_parquet_dir, rename_header
+from lakeops.sources.tables import read_csv_dir, read_parquet_dir, rename_header
 
-# The alias of the newest release, and the bucket that publishes below a folder.
+# Fixed value: the alias of the newest release.
 LATEST = "latest"
-DEFAULT_BUCKET = "green-prd"
 
-# A sheet holds this many rows below its header; larger tables are exported as several files.
+# Rows that a spreadsheet holds below its header.
 SHEET_ROWS = 1_048_575
 
 
@@ -47,74 +46,94 @@ def release_path(base: str, resource: str, version: str, table: str) -> str:
 
 
 def release_table(df: DataFrame, base: str, resource: str, version: str, table: str) -> str:
+    """Write a table of a release; an earlier one under the same version stays until the new one is whole."""
     path = release_path(base, resource, check_version(version), table)
-    df.write.mode("overwrite").parquet(path)
+    store = Store(df.sparkSession)
+    staged = f"{base.rstrip('/')}/_staged/{resource}/{version}/{table}"
+    df.write.mode("overwrite").parquet(staged)
+    store.swap(path, staged)
+    df.sparkSession.catalog.refreshByPath(path)
     return path
 
 
 def released_tables(spark: SparkSession, base: str, resource: str, version: str) -> list[str]:
-    """Tables of a release, from folder names."""
-    folder = f"{base.rstrip('/')}/released/{resource}/{version}"
-    return [e.name for e in Store(spark).children(folder) if e.is_dir]
+    """Tables of a release, from folder names. A release that stopped half-way is put right first."""
+    folder, store = f"{base.rstrip('/')}/released/{resource}/{version}", Store(spark)
+    for e in store.children(folder):
+        if e.name.endswith("__retired"):
+            store.recover(e.path.removesuffix("__retired"))
+    return [e.name for e in store.children(folder) if e.is_dir]
 
 
-def output_path(template: Column, version: Column, bucket: Column) -> Column:
+def output_path(template: Column, version: Column, bucket: Column, default_bucket: str) -> Column:
     """Path a table is published at, without extension.
 
-    ``_{{version}}`` is filled first with underscores, what is left of ``{{version}}`` with dashes.
+    ``_{{version}}`` is filled first with underscores, what is left of ``{{version}}`` with dashes. The
+    default bucket publishes below a folder.
     """
     path = F.replace(template, F.lit("_{{version}}"), F.concat(F.lit("_"), F.replace(version, F.lit("-"), F.lit("_"))))
     path = F.replace(path, F.lit("{{version}}"), version)
-    return F.when(bucket == DEFAULT_BUCKET, F.concat(F.lit("published"), path)).otherwise(path)
+    return F.when(bucket == default_bucket, F.concat(F.lit("published"), path)).otherwise(path)
 
 
-def publication_plan(spark: SparkSession, registry: Registry, base: str, resource: str, version: str) -> DataFrame:
+def publication_plan(
+    spark: SparkSession, registry: Registry, base: str, resource: str, version: str, default_bucket: str,
+) -> DataFrame:
     """One row per released table: where it is read and where it is published."""
     rows = []
     for table in released_tables(spark, base, resource, version):
         dataset = registry.select([f"published_{resource}_{table}"])[0]
         rows.append((table, release_path(base, resource, version, table), registry.bucket(dataset.id), dataset.path))
     plan = spark.createDataFrame(rows, "table string, input string, bucket string, template string")
-    return plan.select("table", "input", "bucket", output_path(F.col("template"), F.lit(version), F.col("bucket")).alias("path"))
+    return plan.select("table", "input", "bucket", output_path(F.col("template"), F.lit(version), F.col("bucket"), default_bucket).alias("path"))
 
 
-def export_table(spark: SparkSession, source: str, target: str, header: list[str] | None = None) -> None:
-    """Read a released table, drop what a cell cannot hold and write it as CSV.
+def export_table(
+    spark: SparkSession, source: str, target: str, header: list[str] | None = None, format: str = "parquet",
+    rows_per_file: int = SHEET_ROWS,
+) -> None:
+    """Read a table (parquet or csv files), drop what a cell cannot hold and write it as CSV.
 
-    The export stays distributed: there are as many files as sheets are needed, each written by a task
-    of its own. Rows are counted from file footers.
+    Every task of the scan writes its own rows, at most ``rows_per_file`` to a file, so that each file
+    fits a sheet. How many files there are follows from how the table is stored.
     """
-    table = read_parquet_dir(spark, source)
-    n_files = max(1, math.ceil(table.count() / SHEET_ROWS))
+    table = read_parquet_dir(spark, source) if format == "parquet" else read_csv_dir(spark, source)
     df = strip_illegal(rename_header(table, header))
-    (
-        df.coalesce(n_files).write.mode("overwrite").option("header", True).option("escape", '"')
-        .option("maxRecordsPerFile", SHEET_ROWS).csv(target)
-    )
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", rows_per_file).csv(target)
 
 
-def publish_release(spark: SparkSession, registry: Registry, base: str, resource: str, version: str, out: str) -> DataFrame:
-    """Publish every table of a release below ``out/<bucket>/``; returns the plan with final paths."""
-    plan = publication_plan(spark, registry, base, resource, check_version(version))
+def publish_release(
+    spark: SparkSession, registry: Registry, base: str, resource: str, version: str, out: str, default_bucket: str,
+    at_once: int = 4, rows_per_file: int = SHEET_ROWS,
+) -> DataFrame:
+    """Publish every table of a release below ``out/<bucket>/``, ``at_once`` at a time; returns the plan with
+    final paths."""
+    plan = publication_plan(spark, registry, base, resource, check_version(version), default_bucket)
     plan = plan.withColumn("path", F.concat("path", F.lit(".csv")))
-    for step in plan.collect():  # one row per table
-        export_table(spark, step.input, f"{out.rstrip('/')}/{step.bucket}/{step.path.lstrip('/')}")
+
+    def publish(step) -> None:
+        export_table(spark, step.input, f"{out.rstrip('/')}/{step.bucket}/{step.path.lstrip('/')}", rows_per_file=rows_per_file)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(publish, plan.collect()))  # one row per table
     return plan
 
 
-def dictionary_bucket(buckets: list[str]) -> str:
+def dictionary_bucket(buckets: list[str], default_bucket: str) -> str:
     """Bucket of the dictionary: a clinical one, else a nominative one, else the default."""
     for kind in ("clinical", "nominative"):
         for bucket in buckets:
             if kind in bucket:
                 return bucket
-    return DEFAULT_BUCKET
+    return default_bucket
 
 
-def publish_dictionary(sheets: dict[str, DataFrame], out: str, resource: str, version: str, buckets: list[str]) -> str:
+def publish_dictionary(
+    sheets: dict[str, DataFrame], out: str, resource: str, version: str, buckets: list[str], default_bucket: str,
+) -> str:
     """Write the result sets as one set of CSV folders; returns the folder that holds them."""
     name = f"{resource}_dictionary_{version.replace('-', '_')}"
-    folder = f"{out.rstrip('/')}/{dictionary_bucket(buckets)}/{version}/{name}"
+    folder = f"{out.rstrip('/')}/{dictionary_bucket(buckets, default_bucket)}/{version}/{name}"
     for sheet, df in sheets.items():
         flat = df.select([
             F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes

@@ -26,7 +26,8 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     """Write ``content`` (string or binary) of each row to ``root/path``; returns ``(path, n_bytes)``.
 
     Tasks write to the storage directly. A file is written under a temporary name and renamed, so a
-    task that is run again after a lost executor ends with the same file.
+    task that is run again after a lost executor ends with the same file. Temporary names start with a
+    dot, which every listing leaves out, and are removed when a write fails.
     """
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -38,10 +39,16 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
                 data = content.encode("utf-8") if isinstance(content, str) else bytes(content)
                 final = f"{base}/{path}"
                 target.create_dir(final.rsplit("/", 1)[0], recursive=True)
-                partial = f"{final}.{uuid.uuid4().hex}.partial"
-                with target.open_output_stream(partial) as stream:
-                    stream.write(data)
-                target.move(partial, final)
+                folder = final.rsplit("/", 1)[0]
+                partial = f"{folder}/.{uuid.uuid4().hex}.partial"
+                try:
+                    with target.open_output_stream(partial) as stream:
+                        stream.write(data)
+                    target.move(partial, final)
+                except Exception:
+                    if target.get_file_info(partial).type != fs.FileType.NotFound:
+                        target.delete_file(partial)
+                    raise
                 sizes.append(len(data))
             yield pd.DataFrame({"path": batch["path"], "n_bytes": sizes})
 

@@ -18,17 +18,6 @@ def require_unique(staging: DataFrame, keys: list[str]) -> None:
         raise DuplicateKeys(f"several staging rows for key {example[0].asDict()}")
 
 
-def _inserts(target: DataFrame, staging: DataFrame, keys: list[str]) -> DataFrame:
-    """Staging rows without a target row.
-
-    The keys in question are first cut down to those of the staging data. With a small staging side the
-    target is then only scanned for its key columns and never shuffled.
-    """
-    wanted = staging.select(*keys).distinct()
-    matched = target.select(*keys).join(wanted, keys, "left_semi").distinct()
-    return staging.join(matched, keys, "left_anti")
-
-
 def upsert(target: DataFrame, staging: DataFrame, keys: list[str], excluded: list[str] | None = None) -> DataFrame:
     """Target after inserting new staging rows and updating matched ones.
 
@@ -36,18 +25,15 @@ def upsert(target: DataFrame, staging: DataFrame, keys: list[str], excluded: lis
     ``excluded``. Target columns that staging lacks keep their value, null on insert. When no column
     is left to update, existing rows stay as they are and the first row per key is inserted only by
     ``insert_ignore``. Keys with nulls never match and are inserted.
+
+    Both sides are read once, by one full outer join on the keys; the check for two rows of one key
+    reads the key columns of the staging side before it.
     """
     updates = [c for c in staging.columns if c not in keys and c not in (excluded or [])]
     if not updates:
         return insert_ignore(target, staging, keys, order=staging.columns)
     require_unique(staging, keys)
-    hit = staging.select(*keys, F.struct(*updates).alias("_new"))
-    updated = target.join(hit, keys, "left").select(*[
-        F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in updates else F.col(c)
-        for c in target.columns
-    ])
-    added = _inserts(target, staging, keys)
-    return updated.unionByName(added, allowMissingColumns=True).select(*target.columns)
+    return _merged(target, staging, keys, updates)
 
 
 def insert_ignore(target: DataFrame, staging: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -55,15 +41,36 @@ def insert_ignore(target: DataFrame, staging: DataFrame, keys: list[str], order:
 
     Rows with a null in the key are all inserted.
     """
-    nullable = F.lit(False)
-    for k in keys:
-        nullable = nullable | F.col(k).isNull()
     rest = [c for c in staging.columns if c not in keys]
-    first = (
-        staging.where(~nullable).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-        .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-        if rest else staging.where(~nullable).distinct()
-    )
-    loose = staging.where(nullable).select(*first.columns)
-    added = _inserts(target, first, keys).unionByName(loose)
-    return target.unionByName(added.select(*[c for c in added.columns if c in target.columns]), allowMissingColumns=True)
+    # Rows without a whole key are groups of their own.
+    own = F.when(_keyless(keys), F.monotonically_increasing_id())
+    grouped = staging.withColumn("_own", own).groupBy(*keys, "_own")
+    if rest:
+        first = grouped.agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
+    else:
+        first = grouped.agg(F.count(F.lit(1)).alias("_n")).select(*keys)
+    return _merged(target, first, keys, [])
+
+
+def _keyless(keys: list[str]):
+    absent = F.lit(False)
+    for k in keys:
+        absent = absent | F.col(k).isNull()
+    return absent
+
+
+def _merged(target: DataFrame, staging: DataFrame, keys: list[str], updates: list[str]) -> DataFrame:
+    new = staging.select(*[F.col(c).alias(f"_new_{c}") for c in staging.columns], F.lit(True).alias("_staged"))
+    same = None
+    for k in keys:
+        same = (F.col(k) == F.col(f"_new_{k}")) if same is None else same & (F.col(k) == F.col(f"_new_{k}"))
+    joined = target.withColumn("_stored", F.lit(True)).join(new, same, "full_outer")
+    stored, staged = F.col("_stored").isNotNull(), F.col("_staged").isNotNull()
+
+    def value(c: str):
+        if c not in staging.columns:
+            return F.col(c)
+        newer = staged if c in updates else ~stored
+        return F.when(newer, F.col(f"_new_{c}")).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c)
+
+    return joined.select([value(c) for c in target.columns])

@@ -19,7 +19,7 @@ COHORT_NA = [
 ]
 
 
-def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """``(path, size)`` of every file below a folder; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
@@ -119,7 +119,7 @@ def read_manifests(spark: SparkSession, root: str, days: list[str] | None, schem
         .csv(folders)
         .withColumn("manifest", F.col("_metadata.file_path"))
     )
-    return None if not found.inputFiles() else found
+    return None if list_files(spark, folders, "*.idx").select("path").isEmpty() else found
 
 
 def read_messages(messages: DataFrame, body: str, keep: list[str]) -> DataFrame:

@@ -62,33 +62,62 @@ class Store:
         if not fs.rename(handle, self._jvm.org.apache.hadoop.fs.Path(target)):
             raise OSError(f"could not rename {source} to {target}")
 
-    def swap(self, staged: dict[str, str]) -> None:
-        """Put each staged folder in the place of its target: ``{target: staged}``.
+    def read_text(self, path: str) -> str:
+        """A small text file."""
+        fs, handle = self._resolve(path)
+        stream = fs.open(handle)
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
 
-        Old content is set aside first and dropped last. If any step fails, the targets replaced so
-        far are put back.
+    def write_text(self, path: str, text: str) -> None:
+        """Put a small text file in place, whole or not at all; one that exists already is an error."""
+        fs, handle = self._resolve(path)
+        if fs.exists(handle):
+            raise FileExistsError(path)
+        folder, _, name = path.rpartition("/")
+        draft = self._jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.draft")
+        stream = fs.create(draft, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if not fs.rename(draft, handle):
+            raise OSError(f"could not write {path}")
+
+    def recover(self, target: str) -> None:
+        """Finish or undo a swap of ``target`` that was stopped half-way."""
+        target = target.rstrip("/")
+        aside = f"{target}__retired"
+        if self.exists(aside):
+            if self.exists(target):
+                self.delete(aside)  # the new content was in place already
+            else:
+                self.rename(aside, target)
+
+    def swap(self, target: str, staged: str) -> None:
+        """Put the folder ``staged`` in the place of ``target``.
+
+        Old content is set aside first and dropped last. Stopped in between, ``recover`` puts the old
+        content back, or drops it if the new is in place; whoever reads ``target`` to change it calls
+        that first. Readers meet a moment without the table, so tables that must never be missing
+        belong in ``VersionedTables``.
         """
-        undo: list[tuple[str, str]] = []
-        retired = []
+        target = target.rstrip("/")
+        self.recover(target)
+        aside = f"{target}__retired"
+        existed = self.exists(target)
+        if existed:
+            self.rename(target, aside)
+        else:
+            self.make_dirs(target.rsplit("/", 1)[0])
         try:
-            for target, folder in staged.items():
-                target = target.rstrip("/")
-                aside = f"{target}__retired"
-                self.delete(aside)
-                if self.exists(target):
-                    self.rename(target, aside)
-                    undo.append((aside, target))
-                    retired.append(aside)
-                else:
-                    self.make_dirs(target.rsplit("/", 1)[0])
-                self.rename(folder, target)
-                undo.append((target, folder))
+            self.rename(staged, target)
         except Exception:
-            for source, back in reversed(undo):
-                self.rename(source, back)
+            self.recover(target)
             raise
-        for aside in retired:
-            self.delete(aside)
+        self.delete(aside)
 
     def partitions(self, path: str, column: str) -> list[str]:
         """Values of a ``column=value`` layout, ascending, read from folder names alone."""

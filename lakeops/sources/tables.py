@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from lakeops.session import durable
 from lakeops.sources.files import first_lines, list_files
 from lakeops.sources.registry import union_by_name
 from lakeops.sources.store import Store
@@ -60,25 +63,33 @@ def read_parquet_dir(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def read_csv_dir(spark: SparkSession, path: str, infer: bool = False, **options: str) -> DataFrame:
-    """Every ``*.csv`` file below a folder, columns united by header name.
+def read_csv_dir(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Every ``*.csv`` file below a folder, columns united by header name; all of them text.
 
-    Files are grouped by their header line, which tasks read; there is one scan per distinct header
-    however many files share it.
+    Tasks read the header line of each file, and only the distinct ones reach the driver. There is one
+    scan per distinct header, which keeps the rows of the files that have it; with one header, the
+    usual case, nothing is joined.
     """
     folder = path if path.endswith("/") else f"{path}/"
     if not Store(spark).exists(folder):
         raise FileNotFoundError(f"no csv file under {folder}")
-    files = list_files(spark, folder, "*.csv")
-    by_header: dict[str, list[str]] = {}
-    for row in first_lines(files).collect():  # one short line of metadata per file
-        by_header.setdefault(row.first_line, []).append(row.path)
-    if not by_header:
+    lines = first_lines(list_files(spark, folder, "*.csv"))
+    headers = sorted(r.first_line for r in lines.select("first_line").distinct().collect())
+    if not headers:
         raise FileNotFoundError(f"no csv file under {folder}")
+    if len(headers) > 1:
+        lines = durable(lines)
     frames = []
-    for header in sorted(by_header):
-        reader = spark.read.option("header", True).option("inferSchema", infer).options(**options)
-        frames.append(reader.csv(sorted(by_header[header])))
+    for header in headers:
+        names = next(csv.reader([header], delimiter=options.get("sep", ",")), [])
+        schema = StructType([StructField(n, StringType()) for n in names])
+        reader = spark.read.schema(schema).option("header", True).options(**options)
+        rows = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(folder)
+        if len(headers) > 1:
+            own = lines.where(F.col("first_line") == header).select(F.col("path").alias("_own"))
+            file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+            rows = rows.withColumn("_file", file).join(own, F.col("_file") == F.col("_own"), "left_semi").drop("_file")
+        frames.append(rows)
     return union_by_name(frames)
 
 

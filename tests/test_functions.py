@@ -30,23 +30,24 @@ def column(df, c):
 
 
 def test_format_is_told_by_the_first_five_bytes(spark):
-    raw = [b"%PDF-1.7\n%\xe2\xe3", b"%PDF-", b"{\\rtf1\\ansi hi}", b"{\\rtf", b"PK\x03\x04zip", b"", b"%PD"]
+    heads = {b"%PDF-": "pdf", b"{\\rtf": "rtf"}
+    raw = [h[:n] + tail for h in heads for n in range(6) for tail in (b"", b"2.0 rest", b"\x00")] + [b" %PDF-1.4", b"<html>", b"{\\RTF1"]
     df = values(spark, raw, "binary")
-    assert column(df, document_format(F.col("v"))) == ["pdf", "pdf", "rtf", "rtf", "other", "other", "other"]
+    assert column(df, document_format(F.col("v"))) == [heads.get(r[:5], "other") for r in raw]
 
 
 def test_ids_become_one_path_segment(spark):
-    df = values(spark, ["RAD-00018_1", "a/b c:d", "DOC-40271_2"])
-    assert column(df, sanitize_id(F.col("v"))) == ["RAD_00018_1", "a_b_c_d", "DOC_40271_2"]
+    df = values(spark, ["plain.7", "../up", "two  gaps", "x-y=z", "été"])
+    assert column(df, sanitize_id(F.col("v"))) == ["plain.7", ".._up", "two__gaps", "x_y_z", "_t_"]
 
 
 def test_paths_are_filled_from_templates(spark):
-    df = values(spark, ["2025-08-15T10:00:00"])
-    tables = F.lit("hl7/extracted/{{date}}/{{hl7_id}}/table_{{table_no}}.csv")
-    day, doc = F.col("v"), F.lit("RAD/00018")
-    assert column(df, tree_path(tables, day, doc, F.lit(0))) == ["hl7/extracted/2025/08/15/RAD_00018/table_0.csv"]
-    assert column(df, tree_path(tables, day, doc)) == ["hl7/extracted/2025/08/15/RAD_00018/table_{{table_no}}.csv"]
-    assert column(df, day_prefix(tables, day)) == ["hl7/extracted/2025/08/15"]
+    df = values(spark, ["2031-12-03T23:59:01"])
+    tables = F.lit("notes/{{date}}/{{hl7_id}}/part_{{table_no}}.csv")
+    day, doc = F.col("v"), F.lit("note 9/b")
+    assert column(df, tree_path(tables, day, doc, F.lit(0))) == ["notes/2031/12/03/note_9_b/part_0.csv"]
+    assert column(df, tree_path(tables, day, doc)) == ["notes/2031/12/03/note_9_b/part_{{table_no}}.csv"]
+    assert column(df, day_prefix(tables, day)) == ["notes/2031/12/03"]
     uri = F.lit("s3://bucket/some/prefix/")
     assert df.select(uri_bucket(uri), uri_key(uri)).first() == ("bucket", "some/prefix")
 
@@ -72,31 +73,35 @@ def test_decoding_agrees_with_python(spark):
 
 
 def test_exam_dates(spark):
-    good = ["2026-01-15", " 2026-01-15 ", "2026-1-5"]
-    bad = ["03/04/2026", "15-01-2026", "Jan 15 2026", "20260115", "", "2026-02-30"]
+    days = [dt.date(1999, 12, 31), dt.date(2024, 2, 29), dt.date(2031, 7, 4)]
+    good = [f(d) for d in days for f in (str, lambda d: f"  {d}", lambda d: f"{d.year}-{d.month}-{d.day}")]
+    bad = ["2023-02-29", "2031.07.04", "4 July 2031", "31-7-4x", "today", "-", "07-04"]
     got = column(values(spark, good + bad), exam_date(F.col("v")))
-    assert got == [dt.date(2026, 1, 15), dt.date(2026, 1, 15), dt.date(2026, 1, 5)] + [None] * len(bad)
+    assert got == [d for d in days for _ in range(3)] + [None] * len(bad)
     with pytest.raises(Exception, match="Y-M-D"):
         values(spark, bad[:1]).select(exam_date_strict(F.col("v"))).collect()
 
 
 def test_study_paths(spark):
-    df = values(spark, ["dicoms/2026/01/02/RA202600030101"])
+    df = values(spark, ["scans/2031/07/04/QX55"])
     v = F.col("v")
-    assert column(df, study_path(F.lit("nifti"), F.lit(dt.date(2026, 1, 2)), F.lit("RA2026000*"))) == ["nifti/2026/01/02/RA2026000*"]
-    assert column(df, remap_study(v, F.lit("nifti_sidecars"))) == ["nifti_sidecars/2026/01/02/RA202600030101"]
-    assert df.select(study_accession(v), study_exam_date(v)).first() == ("RA202600030101", "2026-01-02")
+    assert column(df, study_path(F.lit("out"), F.lit(dt.date(2031, 7, 4)), F.lit("QX5*"))) == ["out/2031/07/04/QX5*"]
+    assert column(df, remap_study(v, F.lit("copies"))) == ["copies/2031/07/04/QX55"]
+    assert df.select(study_accession(v), study_exam_date(v)).first() == ("QX55", "2031-07-04")
     with pytest.raises(Exception, match="no parent folder"):
-        values(spark, ["RA202600030101"]).select(remap_study(v, F.lit("nifti"))).collect()
+        values(spark, ["QX55"]).select(remap_study(v, F.lit("out"))).collect()
 
 
 def test_logs_lose_names_but_keep_series(spark):
     log = (
-        "Skipping: /tmp/dcm_RA1_x9/RA1/IRM cérébrale C-/AX T2 TSE/1.3.46.670589.11.70851.5.24-45f6.dcm\n"
-        "other /a/b.dcm.cmp uid 1.2.3.4.5 version 1.2.3.4\n"
+        "reading /work/q7/QX55/genou gauche/CORONAL 3/im.9.2.25.77.1.2.dcm and /b/c.dcm.cmp\n"
+        "frame 2.25.77.1.2 of release 4.1.0 in /b/c.dcmx\n"
+    )
+    got = one(values(spark, [log]).select(scrub_log(F.col("v"), F.lit("/work/q7/"))))
+    assert got == (
+        "reading QX55/genou gauche/CORONAL 3/<file> and /b/<file>\n"
+        "frame <uid> of release 4.1.0 in /b/c.dcmx\n"
     )
-    got = one(values(spark, [log]).select(scrub_log(F.col("v"), F.lit("/tmp/dcm_RA1_x9/"))))
-    assert got == "Skipping: RA1/IRM cérébrale C-/AX T2 TSE/<file>\nother /a/<file> uid <uid> version 1.2.3.4\n"
 
 
 GLOBS = ["a*", "*", "*b", "a/*/c", "a?c*", "[ab]*", "[!a]*", "a[*", "a.c*", "a\\*", "(x)*|y", "[]a]*", "a*[0-9]", "[a^]*", "$*^"]
@@ -133,32 +138,34 @@ def test_keywords_fold(spark):
     assert column(values(spark, ["ÉÀÇ Straße Œuvre Łódź", "Ñandú"]), fold_keyword(F.col("v"))) == ["eac strasse oeuvre lodz", "nandu"]
 
 
-START, FOUR_WEEKS = dt.datetime(2026, 3, 13, 3), dt.timedelta(weeks=4)
 SECOND = dt.timedelta(seconds=1)
 
 
-@pytest.mark.parametrize("mode, cases", [
-    ("floor", [
-        (START, START), (START - dt.timedelta(days=1), START), (START + FOUR_WEEKS - SECOND, START),
-        (START + FOUR_WEEKS, START + FOUR_WEEKS), (START + 2 * FOUR_WEEKS - SECOND, START + FOUR_WEEKS),
-        (START + 5 * FOUR_WEEKS, START + 5 * FOUR_WEEKS), (dt.datetime(2026, 10, 30, 4), dt.datetime(2026, 10, 23, 3)),
-    ]),
-    ("ceil", [
-        (START, START), (START - dt.timedelta(days=1), START), (START + SECOND, START + FOUR_WEEKS),
-        (START + FOUR_WEEKS, START + FOUR_WEEKS), (START + FOUR_WEEKS + SECOND, START + 2 * FOUR_WEEKS),
-    ]),
-])
-def test_grid_slots(spark, mode, cases):
-    df = values(spark, [c[0] for c in cases], "timestamp_ntz")
-    assert column(df, anchored_slot(F.col("v"), ntz(START), FOUR_WEEKS, mode)) == [c[1] for c in cases]
+@pytest.mark.parametrize("width", [dt.timedelta(hours=5), dt.timedelta(days=10), SECOND * 7])
+@pytest.mark.parametrize("mode", ["floor", "ceil"])
+def test_grid_slots(spark, mode, width):
+    """Slots counted up one by one from the anchor; before it, the anchor itself."""
+    anchor = dt.datetime(2030, 5, 17, 22, 15)
+    rng = random.Random(11)
+    moments = [anchor + k * width + d * SECOND for k in (0, 1, 2, 9) for d in (-1, 0, 1)]
+    moments += [anchor + rng.random() * 12 * width - width for _ in range(20)]
+
+    def slot(moment):
+        at = anchor
+        while at + width <= moment:
+            at += width
+        return at if mode == "floor" or moment <= at else at + width
+
+    df = values(spark, moments, "timestamp_ntz")
+    assert column(df, anchored_slot(F.col("v"), ntz(anchor), width, mode)) == [slot(m) for m in moments]
 
 
 def test_grid_keeps_the_wall_clock_across_time_changes(spark):
-    """The slot after 30 October 03:00 is 27 November 03:00 local, though the clocks changed between."""
-    anchor = ntz("2026-09-04 03:00:00")
-    instant = F.lit("2026-11-27 08:00:00").cast("timestamp_ntz")  # UTC; 03:00 in Montreal
-    local = F.from_utc_timestamp(instant.cast("timestamp"), "America/Montreal").cast("timestamp_ntz")
-    assert one(spark.range(1).select(anchored_slot(local, anchor, FOUR_WEEKS))) == dt.datetime(2026, 11, 27, 3)
+    """Weekly slots at noon in Berlin stay at noon when the clocks go forward on 30 March 2031."""
+    anchor = ntz("2031-03-23 12:00:00")
+    instant = F.lit("2031-03-30 10:00:00").cast("timestamp_ntz")  # UTC; noon in Berlin by then
+    local = F.from_utc_timestamp(instant.cast("timestamp"), "Europe/Berlin").cast("timestamp_ntz")
+    assert one(spark.range(1).select(anchored_slot(local, anchor, dt.timedelta(weeks=1)))) == dt.datetime(2031, 3, 30, 12)
 
 
 @pytest.mark.parametrize("bad", [dt.timedelta(0), -SECOND, 42])

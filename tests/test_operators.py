@@ -1,5 +1,7 @@
+import base64
 import datetime as dt
 import fnmatch
+import os
 import random
 import re
 from collections import Counter
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeops.checks import fixtures as fx
-from lakeops.operators.catalog import dictionary, expand_lineage, foreign_key_orphans, scan_metadata, value_type
+from lakeops.operators.catalog import LOAD_ORDER, Catalog, dictionary, expand_lineage, foreign_key_orphans, scan_metadata, value_type
 from lakeops.operators.cohort import anonymize, build_index
 from lakeops.operators.conform import conform
+from lakeops.operators.documents import parse_documents
 from lakeops.operators.forms import forms_wide
 from lakeops.operators.measures import (
     backfill_extract, duplicates, interval_grid, lab_pairs, next_start, period_of_year,
@@ -26,8 +29,13 @@ from lakeops.operators.studies import (
     require_no_failure, split_existing, status_summary, top_missing,
 )
 from lakeops.plans.catalog_load import load_catalog
-from lakeops.plans.conversion import convert, read_report, resolve_studies, write_report
+from lakeops.sources.versions import VersionedTables
+from lakeops.plans.conversion import convert, read_report, resolve_studies, run_study_job, write_report
+from lakeops.plans.document_job import run_document_job
 from lakeops.plans.publication import publish_search
+from lakeops.sinks.bulk import bulk_documents, write_bulk
+from lakeops.sinks.tree import write_files
+from lakeops.sources.files import list_objects
 from lakeops.functions.grid import ntz
 from lakeops.functions.studies import REPORT_COLUMNS
 
@@ -44,64 +52,109 @@ def resolved(objects, pats):
     return sorted((r.ordinal, r.study) for r in match_studies(objects, pats).collect())
 
 
-TREE = [f"dicoms/2026/01/{d}/{s}/AX T2/{i}.dcm" for d, s in (("02", "RA202600030101"), ("02", "RA202600030102"), ("03", "XY202600040101")) for i in (1, 2)]
-A, B, C = "dicoms/2026/01/02/RA202600030101", "dicoms/2026/01/02/RA202600030102", "dicoms/2026/01/03/XY202600040101"
+A, B, C = "scans/2031/07/04/QX55", "scans/2031/07/04/QX56", "scans/2031/08/11/KD9"
+TREE = [f"{s}/CORONAL/{i}.dcm" for s in (A, B, C) for i in (1, 2)]
 
 
 @pytest.mark.parametrize("pattern, expected", [
-    ("dicoms/2026/01", [A, B, C]), ("dicoms/2026/01/", [A, B, C]), ("dicoms/2026/0", []),
-    ("dicoms/2026/01/02/RA2026000301*", [A, B]), ("dicoms/2026/*/*/XY*", [C]), ("dicoms/2026/01/02/ZZ*", []),
-    ("dicoms/2026/01/02/RA209900000000", ["dicoms/2026/01/02/RA209900000000"]), ("*", [A, B, C]), ("*/RA*", [A, B]),
-    ("dicoms/2026/01/02/RA20260003010[!1]*", [B]), ("dicoms/2026/01/0?/*", [A, B, C]), ("", []),
+    ("scans/2031", [A, B, C]), ("scans/2031/07/", [A, B]), ("scans/203", []), ("scans/2031/07/04/QX5*", [A, B]),
+    ("scans/*/*/*/K*", [C]), ("scans/2031/09/*", []), ("scans/2031/09/01/QX1", ["scans/2031/09/01/QX1"]), ("*", [A, B, C]),
+    ("*/QX*", [A, B]), ("scans/2031/07/04/QX5[!5]*", [B]), ("scans/2031/0?/*", [A, B, C]), ("", []),
 ])
 def test_patterns_resolve_to_study_folders(spark, pattern, expected):
     assert [s for _, s in resolved(keys(spark, TREE), patterns(spark, [pattern]))] == expected
 
 
-def walk(objects, pattern):
-    """Folder by folder, as one would list a bucket."""
+def studies_of(objects, pattern):
+    """All folders, kept when they are the topmost study folder below the part of the pattern without stars."""
     pattern = pattern.rstrip("/")
-    segments, wild = pattern.split("/"), "*" in pattern
-    if not wild and re.match(r"[A-Za-z]{2}\d", segments[-1]):
+    is_study = lambda folder: re.match(r"[A-Za-z]{2}\d", folder.rpartition("/")[2])
+    if "*" not in pattern and is_study(pattern):
         return {pattern}
-    literal = []
-    for s in segments:
-        if "*" in s:
-            break
-        literal.append(s)
-    found = set()
-    for key in objects:
-        folders = key.split("/")[:-1]
-        if folders[:len(literal)] != literal:
-            continue
-        for n in range(len(literal) + 1, len(folders) + 1):
-            if re.match(r"[A-Za-z]{2}\d", folders[n - 1]):
-                found.add("/".join(folders[:n]))
-                break
-    return {f for f in found if not wild or fnmatch.fnmatchcase(f, pattern)}
-
-
-def test_patterns_agree_with_a_walk(spark):
+    folders = {key[:m.start()] for key in objects for m in re.finditer("/", key)}
+    base = pattern if "*" not in pattern else pattern[:pattern.index("*")].rpartition("/")[0]
+    below = {f for f in folders if is_study(f) and (not base or f.startswith(f"{base}/"))}
+    topmost = {f for f in below if not any(f.startswith(f"{g}/") for g in below)}
+    return {f for f in topmost if "*" not in pattern or fnmatch.fnmatchcase(f, pattern)}
+
+
+def test_patterns_agree_with_all_folders(spark):
     rng = random.Random(3)
-    names = ["2026", "01", "02", "RA1", "RA12", "XY9", "AX T2", "x", "ab3c"]
+    names = ["2031", "7", "07", "QX5", "QX55", "KD9", "knee l", "x", "ab3c"]
     objects = ["/".join(["d"] + rng.choices(names, k=rng.randint(1, 5)) + [f"{i}.dcm"]) for i in range(300)]
-    parts = ["d", "*", "R*", "2026", "0?", "0*", "RA1", "RA1*", "*2", "x", "[A-Z]*", "ab3c"]
+    parts = ["d", "*", "Q*", "2031", "0?", "0*", "QX5", "QX5*", "*5", "x", "[A-Z]*", "ab3c"]
     pats = [p for p in {"/".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(150)}]
-    want = sorted((i, s) for i, p in enumerate(pats) for s in walk(objects, p))
+    want = sorted((i, s) for i, p in enumerate(pats) for s in studies_of(objects, p))
     assert resolved(keys(spark, objects), patterns(spark, pats)) == want
 
 
+def test_only_keys_below_the_patterns_are_scanned(spark, fresh):
+    path = fresh()
+    keys(spark, TREE).write.parquet(path)
+    found = match_studies(spark.read.parquet(path), patterns(spark, ["scans/2031/07/*/QX*", "scans/2031/08/*"]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(key,scans/2031/0)" in plan
+    assert sorted(r.study for r in found.collect()) == [A, B, C]
+
+
+def test_patterns_with_one_stem_meet_their_own_studies_only(spark):
+    """Candidates of the join grow with the studies, although every pattern has the same stem."""
+    n = 400
+    objects = keys(spark, [f"scans/2031/{i % 12:02d}/{i % 28:02d}/QX{i:05d}/s/1.dcm" for i in range(n)])
+    pats = patterns(spark, [f"scans/2031/*/*/QX{i:05d}*" for i in range(n)])
+    seen = []
+    joined = type(objects).join
+
+    def counting(self, other, on=None, how=None):
+        out = joined(self, other, on, how)
+        if on == ["depth", "stem", "anchor"]:
+            seen.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(objects), "join", counting)
+        got = resolved(objects, pats)
+    assert len(got) == n and seen == [n]
+
+
 def test_studies_keep_the_order_of_first_appearance(spark):
     objects = keys(spark, TREE)
-    pats = patterns(spark, [C, "dicoms/2026/01/02/*", A, "dicoms/2026/01/09/*", "dicoms/2026/01/02/RA9"])
+    pats = patterns(spark, [C, "scans/2031/07/04/*", A, "scans/2031/12/*", "scans/2031/07/04/QX9"])
     studies, missing = resolve_studies(objects, pats)
-    assert [r.study for r in studies.orderBy("position").collect()] == [C, A, B, "dicoms/2026/01/02/RA9"]
-    assert [r["item"] for r in missing.collect()] == ["dicoms/2026/01/09/*"]
+    assert [r.study for r in studies.orderBy("position").collect()] == [C, A, B, "scans/2031/07/04/QX9"]
+    assert [r["item"] for r in missing.collect()] == ["scans/2031/12/*"]
     verified, missing = resolve_studies(objects, pats, verify=True)
     assert [r.study for r in verified.orderBy("position").collect()] == [C, A, B]
-    assert [r["item"] for r in missing.orderBy("rank", "item").collect()] == ["dicoms/2026/01/09/*", "dicoms/2026/01/02/RA9"]
+    assert [r["item"] for r in missing.orderBy("rank", "item").collect()] == ["scans/2031/12/*", "scans/2031/07/04/QX9"]
     with pytest.raises(LookupError, match="nothing to act on"):
-        resolve_studies(objects, patterns(spark, ["dicoms/1999/*", "dicoms/2026/01/02/RA9"]), verify=True)
+        resolve_studies(objects, patterns(spark, ["scans/1999/*", "scans/2031/07/04/QX9"]), verify=True)
+
+
+def test_the_study_job_runs_from_a_selection_to_a_report(spark, fresh):
+    def make_converter():
+        return lambda facts: {"rc": 0 if facts["study"] != C else 1, "output_files": facts["n_objects"], "log": "x" * 400}
+
+    cleared = fresh()
+    os.makedirs(cleared)
+
+    def make_cleaner():
+        return lambda facts: open(f"{cleared}/{facts['study'].replace('/', '_')}", "w").close()
+
+    objects, outputs = keys(spark, TREE), spark.createDataFrame([(A,)], "study string")
+    paths = ["scans/2031/07/*", C, "scans/2031/12/*"]
+    outcomes, counts, missing = run_study_job(spark, objects, outputs, make_converter, fresh(), "scans", paths=paths)
+    assert {r.study: r.status for r in outcomes.collect()} == {A: "skipped", B: "ok", C: "failed"}
+    assert {r.study: r.files_converted for r in outcomes.collect()} == {A: 0, B: 2, C: 0}
+    assert [r.output for r in outcomes.where("status = 'failed'").collect()][0].endswith("x" * 400)
+    assert [r["item"] for r in missing.collect()] == ["scans/2031/12/*"]
+    assert {r.status: r.n for r in counts.collect()}["skipped"] == 1
+    again, *_ = run_study_job(spark, objects, outputs, make_converter, fresh(), "scans", paths=paths, skip_existing=False, make_cleaner=make_cleaner)
+    assert {r.study: r.status for r in again.collect()} == {A: "ok", B: "ok", C: "failed"}
+    assert os.listdir(cleared) == [A.replace("/", "_")]
+    root = fresh()
+    write_files(spark.createDataFrame([("c.csv", "accessionNumber,examDate\nQX55,2031-07-04\nKD*,2031-08-11\n")], "path string, content string"), root).collect()
+    outcomes, *_ = run_study_job(spark, objects, outputs.limit(0), make_converter, fresh(), "scans", cohort_bucket=root, cohort_key="c.csv")
+    assert {r.study: r.status for r in outcomes.collect()} == {A: "ok", C: "failed"}
 
 
 def test_selection_is_one_of_two_kinds():
@@ -113,21 +166,21 @@ def test_selection_is_one_of_two_kinds():
 
 
 def test_presence_counts_objects_at_any_level(spark):
-    studies = spark.createDataFrame([(A,), ("dicoms/2026",), ("dicoms/2026/01/02/RA2026000301",)], "study string")
+    studies = spark.createDataFrame([(A,), ("scans/2031",), ("scans/2031/07/04/QX",)], "study string")
     got = {r.study: r.present for r in split_existing(studies, keys(spark, TREE)).collect()}
-    assert got == {A: True, "dicoms/2026": True, "dicoms/2026/01/02/RA2026000301": False}
+    assert got == {A: True, "scans/2031": True, "scans/2031/07/04/QX": False}
 
 
 def test_the_first_missing_are_named_with_totals(spark):
-    pats = patterns(spark, [f"dicoms/1999/{i:02d}/*" for i in range(30)] + [A])
+    pats = patterns(spark, [f"scans/1999/{i:02d}/*" for i in range(30)] + [A])
     found = match_studies(keys(spark, TREE), pats)
     top = top_missing(missing_studies(pats, found, keys(spark, TREE)), pats).collect()
-    assert [r["item"] for r in top] == [f"dicoms/1999/{i:02d}/*" for i in range(20)]
+    assert [r["item"] for r in top] == [f"scans/1999/{i:02d}/*" for i in range(20)]
     assert {(r.n_missing, r.n_patterns) for r in top} == {(30, 31)}
 
 
 def test_report_only_needs_reports_and_nothing_else(spark):
-    rows = [("a", "x/Basic Text SR/1"), ("a", "x/RAPPORT/2"), ("b", "x/dose report/1"), ("b", "x/AX T2/2")]
+    rows = [("a", "x/my Basic Text SR/1"), ("a", "x/Rapport 7/2"), ("b", "x/a dose report/1"), ("b", "x/CORONAL/2")]
     got = {r.s: r.report_only for r in report_only(spark.createDataFrame(rows, "s string, p string"), "s", "p").collect()}
     assert got == {"a": True, "b": False}
 
@@ -171,12 +224,12 @@ def test_the_problem_report_survives_its_file(spark, fresh):
 
 
 def test_a_failing_study_stays_alone(spark, fresh):
-    studies = spark.createDataFrame([(A,), (B,), (C,), ("dicoms/2026/01/02/RA9",)], "study string")
-    objects = keys(spark, TREE).withColumn("study", F.regexp_extract("key", "^(.*?)/AX", 1))
+    studies = spark.createDataFrame([(A,), (B,), (C,), ("scans/2031/07/04/QX9",)], "study string")
+    objects = keys(spark, TREE).withColumn("study", F.regexp_extract("key", "^(.*?)/CORONAL", 1))
 
     def make():
         def run(study):
-            if study["study"].endswith("102"):
+            if study["study"] == B:
                 raise OSError("disk")
             return {"rc": 8, "output_files": int(study["n_objects"]), "log": "some"}
         return run
@@ -185,7 +238,7 @@ def test_a_failing_study_stays_alone(spark, fresh):
     outcomes, summary = convert(spark, studies, objects, outputs, make, fresh())
     got = {r.study: (r.status, r.files_converted, r.output) for r in outcomes.collect()}
     assert got == {
-        A: ("partial", 2, "some"), B: ("failed", 0, "OSError: disk"), C: ("skipped", 0, ""), "dicoms/2026/01/02/RA9": ("missing", 0, ""),
+        A: ("partial", 2, "some"), B: ("failed", 0, "OSError: disk"), C: ("skipped", 0, ""), "scans/2031/07/04/QX9": ("missing", 0, ""),
     }
     assert sum(r.n for r in summary.collect()) == 4
     assert convert_studies(spark.createDataFrame([(A, 1, False)], "study string, n_objects bigint, output_exists boolean"), make).first().rc == 8
@@ -321,6 +374,55 @@ def test_large_documents_come_in_parts_that_lose_nothing(spark, sf):
         assert codes == ([v.vsval_code for v in doc.value_set["values"]] if doc.value_set else [])
 
 
+def test_documents_are_indexed_once_per_part(spark, sf, fresh):
+    docs = variable_docs(fx.catalog(spark, sf), limit=2)
+    bulk = bulk_documents(docs, "var_id", chunk=50)
+    ids = [r.id for r in bulk.collect()]
+    assert len(set(ids)) == len(ids) == docs.count() and any(i.endswith("-1") for i in ids)
+    doubled = bulk.unionByName(bulk.where("id = '0-0'"))
+    with pytest.raises(ValueError, match="share the id '0-0'"):
+        write_bulk(doubled, fresh())
+
+
+def test_a_bad_parser_result_is_a_failed_document(spark):
+    results = {
+        "a": {"status": "success", "markdown": "# a", "tables": [("x,y", 1, 2, None)]}, "b": {"status": "success"}, "c": None, "d": {},
+        "e": {"status": "success", "markdown": "m", "tables": [("too", "short")]}, "f": {"status": "failure"}, "g": "text",
+        "h": {"status": "success", "markdown": "m", "tables": [("x", "many", 1, 1)]},
+    }
+    rows = spark.createDataFrame([(k, "2024-01-01", bytearray(b"%PDF-"), "pdf", None, None) for k in results],
+                                 "hl7_id string, dte_of_message string, raw binary, source_format string, parse_status string, parse_error string")
+    got = {r.hl7_id: r for r in parse_documents(rows, lambda: lambda name, raw: results[name]).collect()}
+    assert {k: r.parse_status for k, r in got.items()} == {k: "success" if k == "a" else "failure" for k in results}
+    assert got["a"].report_markdown == "# a" and len(got["a"].tables) == 1 and got["b"].report_markdown is None
+
+
+def test_days_that_vanish_leave_no_files(spark, fresh):
+    source, report, root = fresh(), fresh(), fresh()
+
+    def load(days):
+        rows = [(f"d{i}", base64.b64encode(b"%PDF-1").decode(), day) for i, day in enumerate(days)]
+        spark.createDataFrame(rows, "hl7_id string, observation_value_base64 string, dte_of_message string") \
+            .write.mode("overwrite").partitionBy("dte_of_message").parquet(source)
+        parser = lambda: lambda name, raw: {"status": "success", "markdown": name, "tables": [("t", 1, 1, None)]}
+        return run_document_job(spark, source, report, root, "t/{{date}}/{{hl7_id}}/{{table_no}}.csv", "r/{{date}}/{{hl7_id}}.md",
+                                "2024-01-01", "2024-01-04", parser)
+
+    load(["2024-01-01", "2024-01-02", "2024-01-03"])
+    counters = load(["2024-01-01", "2024-01-03"])
+    assert counters.count() > 0
+    keys_ = [r.key for r in list_objects(spark, root).collect()]
+    assert {k.split("/d")[0] for k in keys_} == {"t/2024/01/01", "t/2024/01/03", "r/2024/01/01", "r/2024/01/03"}
+    assert not any("partial" in k for k in keys_)
+
+
+def test_captures_at_one_instant_have_one_winner(spark):
+    rows = [(1, "f", v, 5) for v in ("b", "c", "a")]
+    df = spark.createDataFrame(rows, "doc int, field string, value string, ts int")
+    for parts in (1, 2, 3):
+        assert forms_wide(df.repartition(parts), ["doc"], "field", "value", ["ts"], ["f"]).collect() == [(1, "c")]
+
+
 def test_hidden_dictionaries_are_empty(spark, sf, fresh):
     cat = fx.catalog(spark, sf)
     assert all(df.isEmpty() for df in dictionary(cat, "america").values())
@@ -338,7 +440,7 @@ def test_scan_covers_nested_fields_and_types(spark):
         [(1, (2, "x"), [1], {"k": 1}, 0.0), (None, (2, "x" * 40), None, None, -0.0)],
         "a int, s struct<b: int, c: string>, l array<int>, m map<string, int>, d double",
     )
-    got = {r.path: (r.value_type, r.n_values, r.n_distinct) for r in scan_metadata(spark, "r", {"t": df}).collect()}
+    got = {r.path: (r.value_type, r.n_values, r.n_distinct) for r in scan_metadata(spark, "r", {"t": df}, distinct=0.01).collect()}
     assert got["r.t.a"] == ("integer", 1, 1) and got["r.t.s"] == ("struct", 2, 2) and got["r.t.s.c"] == ("string", 2, 2)
     assert got["r.t.s.b"] == ("integer", 2, 1) and got["r.t.l"] == ("array", 1, 1) and got["r.t.m"] == ("map", 1, 1)
     assert got["r.t.d"] == ("decimal", 2, 1)
@@ -348,10 +450,32 @@ def test_scan_covers_nested_fields_and_types(spark):
 def test_catalog_load_stops_at_a_dangling_reference(spark, sf, fresh):
     cat = fx.catalog(spark, sf)
     root = fresh()
-    cat.mapping = cat.mapping.withColumn("value_set_code_id", F.col("value_set_code_id") + 10_000_000)
-    assert foreign_key_orphans(cat, "mapping", "value_set_code_id", "value_set_code").count() > 0
-    with pytest.raises(ValueError, match="mapping.value_set_code_id"):
-        load_catalog(spark, cat, root)
-    assert spark.read.parquet(f"{root}/variable").count() > 0
-    with pytest.raises(Exception):
-        spark.read.parquet(f"{root}/mapping")
+    broken = Catalog(**{**cat.__dict__, "mapping": cat.mapping.withColumn("value_set_code_id", F.col("value_set_code_id") + 10_000_000)})
+    assert foreign_key_orphans(broken, "mapping", "value_set_code_id", "value_set_code").count() > 0
+    with pytest.raises(ValueError, match="mapping lead nowhere.*value_set_code_id"):
+        load_catalog(spark, broken, root)
+    assert VersionedTables(spark, root).names() == []
+    load_catalog(spark, cat, root)
+    before = {n: VersionedTables(spark, root).path(n) for n in LOAD_ORDER}
+    with pytest.raises(ValueError, match="mapping lead nowhere"):
+        load_catalog(spark, broken, root)
+    assert {n: VersionedTables(spark, root).path(n) for n in LOAD_ORDER} == before
+
+
+def test_catalog_load_stopped_at_any_table_changes_nothing(spark, sf, fresh, monkeypatch):
+    cat, root = fx.catalog(spark, sf), fresh()
+    load_catalog(spark, cat, root)
+    before = {n: VersionedTables(spark, root).path(n) for n in LOAD_ORDER}
+    folder = VersionedTables.folder
+    for stopped in LOAD_ORDER:
+        def fail(self, change, name, stopped=stopped):
+            if name == stopped:
+                raise KeyboardInterrupt
+            return folder(self, change, name)
+
+        with monkeypatch.context() as m:
+            m.setattr(VersionedTables, "folder", fail)
+            with pytest.raises(KeyboardInterrupt):
+                load_catalog(spark, cat, root)
+    assert {n: VersionedTables(spark, root).path(n) for n in LOAD_ORDER} == before
+    assert {r.n_new for r in load_catalog(spark, cat, root).collect()} == {0}

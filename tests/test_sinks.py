@@ -86,27 +86,67 @@ def test_upsert_without_update_columns_ignores_known_keys(spark):
     assert [r.name for r in added] == ["first"]
 
 
-def test_refresh_swaps_all_tables_or_none(spark, fresh):
+def test_refresh_replaces_all_tables_or_none(spark, fresh):
     root = fresh()
-    a, b = f"{root}/a", f"{root}/b"
-    one = spark.createDataFrame([(1,)], "v int")
-    refresh_tables({a: one, b: one})
+    one, two, three = (spark.createDataFrame([(i,)], "v int") for i in (1, 2, 3))
+    tables = refresh_tables(spark, root, {"a": one, "b": one})
     broken = spark.range(1).select(F.raise_error(F.lit("source is broken")).cast("int").alias("v"))
     with pytest.raises(Exception, match="source is broken"):
-        refresh_tables({a: spark.createDataFrame([(2,)], "v int"), b: broken})
-    assert [spark.read.parquet(p).first().v for p in (a, b)] == [1, 1]
-    refresh_tables({a: spark.createDataFrame([(2,)], "v int"), b: spark.createDataFrame([(3,)], "v int")})
-    assert [spark.read.parquet(p).first().v for p in (a, b)] == [2, 3]
+        refresh_tables(spark, root, {"a": two, "b": broken})
+    assert [tables.read(n).first().v for n in "ab"] == [1, 1]
+    refresh_tables(spark, root, {"a": two, "b": three})
+    assert [tables.read(n).first().v for n in "ab"] == [2, 3]
+    refresh_tables(spark, root, {"b": one})
+    assert [tables.read(n).first().v for n in "ab"] == [2, 1] and tables.names() == ["a", "b"]
 
 
-def test_a_failed_swap_puts_every_table_back(spark, fresh):
+def test_a_change_that_is_not_committed_has_not_happened(spark, fresh):
     root = fresh()
-    store = Store(spark)
-    for name in ("a", "b", "a_new"):
+    tables = refresh_tables(spark, root, {"a": spark.createDataFrame([(1,)], "v int")})
+    left = tables.begin()
+    spark.createDataFrame([(2,)], "v int").write.parquet(tables.folder(left, "a"))  # and then it stops
+    assert tables.read("a").first().v == 1
+    assert tables.begin() > left
+    for v in (3, 4, 5):
+        refresh_tables(spark, root, {"a": spark.createDataFrame([(v,)], "v int")})
+    assert tables.read("a").first().v == 5
+    assert len(Store(spark).children(f"{root}/_states")) == 2
+
+
+@pytest.mark.parametrize("stopped_before", ["set aside", "put in place", "clean up"])
+def test_a_stopped_swap_loses_nothing(spark, fresh, monkeypatch, stopped_before):
+    root, store = fresh(), Store(spark)
+    for name in ("t", "t_new"):
         spark.createDataFrame([(name,)], "v string").write.parquet(f"{root}/{name}")
+
+    class Stopped(BaseException):
+        pass
+
+    def stop(*_):
+        raise Stopped
+
+    with monkeypatch.context() as m:
+        if stopped_before == "set aside":
+            m.setattr(store, "rename", stop)
+        elif stopped_before == "put in place":
+            rename = store.rename
+            m.setattr(store, "rename", lambda a, b: stop() if a.endswith("t_new") else rename(a, b))
+        else:
+            m.setattr(store, "delete", stop)
+        with pytest.raises(Stopped):
+            store.swap(f"{root}/t", f"{root}/t_new")
+    store.recover(f"{root}/t")
+    assert spark.read.parquet(f"{root}/t").first().v == ("t_new" if stopped_before == "clean up" else "t")
+    assert [e.name for e in store.children(root) if "retired" in e.name] == []
+
+
+def test_a_failed_swap_puts_the_table_back(spark, fresh):
+    root = fresh()
+    store = Store(spark)
+    spark.createDataFrame([("t",)], "v string").write.parquet(f"{root}/t")
     with pytest.raises(Exception):
-        store.swap({f"{root}/a": f"{root}/a_new", f"{root}/b": f"{root}/nowhere"})
-    assert [spark.read.parquet(f"{root}/{n}").first().v for n in ("a", "b", "a_new")] == ["a", "b", "a_new"]
+        store.swap(f"{root}/t", f"{root}/nowhere")
+    assert spark.read.parquet(f"{root}/t").first().v == "t"
 
 
 def test_declared_columns_come_from_the_header(spark):
@@ -152,51 +192,89 @@ def test_versions():
 
 def test_output_paths(spark):
     def path(template, bucket):
-        return spark.range(1).select(output_path(F.lit(template), F.lit("2024-02-02"), F.lit(bucket))).first()[0]
+        return spark.range(1).select(output_path(F.lit(template), F.lit("2024-02-02"), F.lit(bucket), "open-shelf")).first()[0]
 
-    assert path("/shop/{{version}}/t_{{version}}", "green-prd") == "published/shop/2024-02-02/t_2024_02_02"
+    assert path("/shop/{{version}}/t_{{version}}", "open-shelf") == "published/shop/2024-02-02/t_2024_02_02"
     assert path("/shop/{{version}}/t_{{version}}", "other") == "/shop/2024-02-02/t_2024_02_02"
-    assert dictionary_bucket(["a-nominative", "b-clinical"]) == "b-clinical"
-    assert dictionary_bucket(["a-nominative"]) == "a-nominative"
-    assert dictionary_bucket([]) == "green-prd"
+    assert dictionary_bucket(["a-nominative", "b-clinical"], "open-shelf") == "b-clinical"
+    assert dictionary_bucket(["a-nominative"], "open-shelf") == "a-nominative"
+    assert dictionary_bucket([], "open-shelf") == "open-shelf"
 
 
 def test_publishing_cleans_and_names_tables(spark, fresh):
     base, out = fresh(), fresh()
     release_table(spark.createDataFrame([(1, "a\x01b")], "k int, v string"), base, "shop", "2024-02-02", "t")
     assert release_path(base, "shop", "2024-02-02", "t").endswith("/released/shop/2024-02-02/t")
-    registry = Registry([Storage("g", "s3a://green-prd")], [Dataset("published_shop_t", "g", "/shop/{{version}}/t_{{version}}")])
-    plan = publish_release(spark, registry, base, "shop", "2024-02-02", out).collect()
-    assert [(p.bucket, p.path) for p in plan] == [("green-prd", "published/shop/2024-02-02/t_2024_02_02.csv")]
-    rows = spark.read.option("header", True).csv(f"{out}/green-prd/{plan[0].path}").collect()
+    registry = Registry([Storage("g", "s3a://open-shelf")], [Dataset("published_shop_t", "g", "/shop/{{version}}/t_{{version}}")])
+    plan = publish_release(spark, registry, base, "shop", "2024-02-02", out, "open-shelf").collect()
+    assert [(p.bucket, p.path) for p in plan] == [("open-shelf", "published/shop/2024-02-02/t_2024_02_02.csv")]
+    rows = spark.read.option("header", True).csv(f"{out}/open-shelf/{plan[0].path}").collect()
     assert [(r.k, r.v) for r in rows] == [("1", "ab")]
 
 
 def test_bulk_chunks_keep_the_order_of_ids(spark):
     docs = spark.range(0, 1000).select((F.lit(999) - F.col("id")).alias("doc_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00.123456'").alias("t"))
     got = bulk_documents(docs.repartition(7), "doc_id", chunk=300).orderBy("ordinal").collect()
-    assert [r.id for r in got] == list(range(1000)) and [r.ordinal for r in got] == list(range(1000))
+    assert [r.id for r in got] == [str(i) for i in range(1000)] and [r.ordinal for r in got] == list(range(1000))
     assert [r.chunk for r in got] == [i // 300 for i in range(1000)]
     assert '"t":"2024-01-01T00:00:00.123456"' in got[0].source
 
 
-@pytest.mark.parametrize("partition", [None, "k"])
-def test_compaction_keeps_content(spark, fresh, partition):
-    path = fresh()
-    rows = spark.range(2000).select("id", (F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5)).cast("int").alias("k"))
-    writer = rows.repartition(20).write
+def numbered(spark, first, n, files, partition, path, mode="errorifexists"):
+    rows = spark.range(first, first + n).select("id", (F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5)).cast("int").alias("k"))
+    writer = rows.repartition(files).write.mode(mode)
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
-    def files():
-        return list_objects(spark, path).where("key LIKE '%.parquet'").count()
 
-    before, many = sorted(spark.read.parquet(path).select("id", "k").collect()), files()
-    for _ in range(2):
-        compact(spark, path, partition)
-        assert sorted(spark.read.parquet(path).select("id", "k").collect()) == before
-        assert files() == (5 if partition else 1) < many
-    spread = compact(spark, path, partition, target_bytes=4000)
-    assert spread > 1 and sorted(spark.read.parquet(path).select("id", "k").collect()) == before
+def data_files(spark, path):
+    return {r.key for r in list_objects(spark, path).where("key LIKE '%.parquet'").collect()}
+
+
+@pytest.mark.parametrize("partition", [None, "k"])
+def test_compaction_keeps_content_and_large_files(spark, fresh, partition):
+    path = fresh()
+    numbered(spark, 0, 2000, 20, partition, path)
+    before, many = sorted(spark.read.parquet(path).select("id", "k").collect()), len(data_files(spark, path))
+    assert compact(spark, path, partition) == (5 if partition else 1)
+    done = data_files(spark, path)
+    assert len(done) == (5 if partition else 1) < many
+    assert compact(spark, path, partition) == 0 and data_files(spark, path) == done
+    assert sorted(spark.read.parquet(path).select("id", "k").collect()) == before
+    numbered(spark, 2000, 20, 10, partition, path, "append")
+    smallest = min(r.size for r in list_objects(spark, path).collect() if r.key in done)
+    before = sorted(spark.read.parquet(path).select("id", "k").collect())
+    compact(spark, path, partition, target_bytes=2 * smallest)  # the files of the first round are large by now
+    assert done <= data_files(spark, path)
+    assert sorted(spark.read.parquet(path).select("id", "k").collect()) == before
+
+
+@pytest.mark.parametrize("stopped_at", range(4))
+def test_a_stopped_compaction_is_completed(spark, fresh, monkeypatch, stopped_at):
+    path = fresh()
+    numbered(spark, 0, 500, 12, "k", path)
+    before = sorted(spark.read.parquet(path).select("id", "k").collect())
+
+    class Stopped(BaseException):
+        pass
+
+    steps = iter(range(1000))
+
+    def stopping(original):
+        def step(self, *args):
+            if args[0].endswith("_compacting") or next(steps) != 3 * stopped_at:
+                return original(self, *args)
+            raise Stopped
+
+        return step
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "rename", stopping(Store.rename))
+        m.setattr(Store, "delete", stopping(Store.delete))
+        with pytest.raises(Stopped):
+            compact(spark, path, "k")
+    compact(spark, path, "k")
+    assert sorted(spark.read.parquet(path).select("id", "k").collect()) == before
+    assert len(data_files(spark, path)) == 5
 
 
 def test_old_versions_go_and_the_newest_always_stays(spark, fresh):

@@ -10,7 +10,7 @@ from lakeops.sources.tables import (
 )
 
 REGISTRY = Registry(
-    [Storage("red", "s3a://red-prd/"), Storage("deep", "s3a://red-prd/curated/x"), Storage("idle", "s3a://idle")],
+    [Storage("red", "s3a://vault-1/"), Storage("deep", "s3a://vault-1/shelf/x"), Storage("idle", "s3a://idle")],
     [Dataset("raw_a_one", "red", "/raw/one"), Dataset("raw_a_two", "deep", "two"), Dataset("raw_ab_one", "red", "ab/one"),
      Dataset("curated_a_one", "deep", "c")],
 )
@@ -29,11 +29,11 @@ def test_wildcards_select_each_dataset_once():
 
 
 def test_addresses():
-    assert REGISTRY.uri("raw_a_one") == "s3a://red-prd/raw/one"
-    assert REGISTRY.uri("raw_a_two", scheme="s3") == "s3://red-prd/curated/x/two"
-    assert REGISTRY.bucket("raw_a_two") == "red-prd"
+    assert REGISTRY.uri("raw_a_one") == "s3a://vault-1/raw/one"
+    assert REGISTRY.uri("raw_a_two", scheme="s3") == "s3://vault-1/shelf/x/two"
+    assert REGISTRY.bucket("raw_a_two") == "vault-1"
     assert [s.id for s in REGISTRY.storages_behind(REGISTRY.select(["raw_a_*"]))] == ["deep", "red"]
-    assert REGISTRY.bucket_of_resource("raw", "ab") == "red-prd"
+    assert REGISTRY.bucket_of_resource("raw", "ab") == "vault-1"
     with pytest.raises(LookupError):
         REGISTRY.bucket_of_resource("raw", "b")
 
@@ -109,17 +109,17 @@ def cohort(spark, fresh, text, accession="accessionNumber", exam="examDate"):
 
 
 def test_cohort_lists(spark, fresh):
-    df = cohort(spark, fresh, "accessionNumber,examDate,x\nRA202600012345,2026-01-01,1\nRA2026000*, 2026-2-3 ,2\n007,NA,3\nNULL,2026-01-01,4\nRA1,03/04/2026,5\n")
+    df = cohort(spark, fresh, "z,accessionNumber,examDate\n1,QX55,2031-07-04\n2,KD*, 2031-11-9 \n3,12,NA\n4,NULL,2031-07-04\n5,QX7,4 July 2031\n")
     rows = {r.accession: r for r in df.collect()}
-    assert set(rows) == {"RA202600012345", "RA2026000*", "RA1"}
-    assert rows["RA202600012345"].pattern == "dicoms/2026/01/01/RA202600012345"
-    assert rows["RA2026000*"].pattern == "dicoms/2026/02/03/RA2026000*"
-    assert rows["RA1"].pattern is None and "Y-M-D" in rows["RA1"].reject_reason
+    assert set(rows) == {"QX55", "KD*", "QX7"}
+    assert rows["QX55"].pattern == "dicoms/2031/07/04/QX55"
+    assert rows["KD*"].pattern == "dicoms/2031/11/09/KD*"
+    assert rows["QX7"].pattern is None and "Y-M-D" in rows["QX7"].reject_reason
 
 
 def test_cohort_lists_name_their_missing_columns(spark, fresh):
     with pytest.raises(ValueError, match="accessionNumber.*columns are.*accession"):
-        cohort(spark, fresh, "accession,date\nRA1,2026-01-01\n")
+        cohort(spark, fresh, "accession,date\nQX7,2031-07-04\n")
 
 
 def test_no_manifest_means_nothing_to_do(spark, fresh):
