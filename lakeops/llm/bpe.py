@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from lakeops.llm.chunks import REMEMBERED, WHITE, split_chunks
-from lakeops.llm.words import bounded_batches, per_worker, struct_of, sums
+from lakeops.llm.words import bounded_batches, per_worker, strings, struct_of, sums
 
 #: Cuts text into pieces that are merged apart (fixed by the vocabulary).
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -37,7 +37,7 @@ def byte_characters() -> list[str]:
 
 
 class BytePairs:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED // 2):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -124,7 +124,7 @@ def byte_pairs(path: str) -> BytePairs:
 def _coded(path: str, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
     words = split_chunks(texts)
     own = byte_pairs(path)
-    found = [own.chunk(c) for c in words.distinct.to_pylist()]
+    found = [own.chunk(c) for c in strings(words.distinct)]
     counts = sums(np.array([n for n, _, _ in found], np.int64)[words.codes], words.bounds)
 
     def joined(parts: pa.Array, by) -> pa.Array:

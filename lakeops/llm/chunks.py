@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lakeops.llm.words import Words, encode, flat, per_worker, split_words, sums
+from lakeops.llm.words import Words, encode, flat, per_worker, split_words, strings, sums
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -27,7 +27,8 @@ _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 #: Marks that start a piece of their own after a letter, in either vocabulary.
 _MARKS = ".,!?;:#*$%&|"
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+AT_ONCE = 4096
 
 
 def split_chunks(texts: pa.Array) -> Words:
@@ -40,14 +41,13 @@ def split_chunks(texts: pa.Array) -> Words:
     codes, bounds, distinct = encode(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "), drop_empty=False)
     if not len(texts):
         return Words(codes, bounds, pa.array([], pa.large_string()))
-    names, codes = distinct.to_pylist(), codes.copy()
-    chunks = [w if w[:1] == "\n" else " " + w for w in names]
+    codes, first = codes.copy(), bounds[:-1]
+    blank, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    led = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(blank, distinct, nothing))
     leading: dict[str, int] = {}
-    first = bounds[:-1]
-    codes[first] = [leading.setdefault(names[c], len(chunks) + len(leading)) for c in codes[first]]
-    chunks += leading
-    white = frozenset(WHITE)
-    open_end = np.fromiter((c[-1:] in white for c in chunks), bool, len(chunks))[codes]
+    codes[first] = [leading.setdefault(w, len(led) + len(leading)) for w in strings(distinct.take(pa.array(codes[first])))]
+    chunks = pa.concat_arrays([led, pa.array(list(leading), pa.large_string())])
+    open_end = np.asarray(pc.not_equal(pc.utf8_rtrim(chunks, WHITE), chunks))[codes]
     open_end[bounds[1:] - 1] = False
     odd = np.flatnonzero(sums(open_end, bounds))
     if len(odd):
@@ -56,13 +56,13 @@ def split_chunks(texts: pa.Array) -> Words:
         for i in odd:
             found = _CHUNK.findall(texts[int(i)].as_py())
             parts[i] = np.array([more.setdefault(c, len(chunks) + len(more)) for c in found], codes.dtype)
-        chunks += more
+        chunks = pa.concat_arrays([chunks, pa.array(list(more), pa.large_string())])
         codes = np.concatenate(parts)
         bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(p) for p in parts])])
     empty = leading.get("", -1)
     keep = codes != empty
     run = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])
-    return Words(codes[keep], run[bounds], pa.array(chunks, pa.large_string()))
+    return Words(codes[keep], run[bounds], chunks)
 
 
 def core_and_marks(chunk: str) -> tuple[str, str]:
@@ -95,9 +95,11 @@ class Coder:
         cut = [core_and_marks(chunks[i]) for i in missing]
         new = {part for pair in cut for part in pair if part and part not in known}
         order = list(new)
-        coded = self.tokenizer.encode_batch_fast(order, add_special_tokens=False)
-        code = self.code
-        fresh = {c: array(code, e.ids).tobytes() for c, e in zip(order, coded)}
+        code, fresh = self.code, {}
+        for at in range(0, len(order), AT_ONCE):  # the library's results are far larger than the ids in them
+            part = order[at: at + AT_ONCE]
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            fresh.update((c, array(code, e.ids).tobytes()) for c, e in zip(part, coded))
         fresh[""] = b""
         for i, (core, marks) in zip(missing, cut):
             a, b = known.get(core) or fresh[core], known.get(marks) or fresh[marks]
@@ -128,7 +130,7 @@ def encode_texts(texts: pa.Array, path: str, keeps_white: bool) -> tuple[np.ndar
     """
     words = split_chunks(texts) if keeps_white else split_words(texts)
     own = coder(path)
-    pieces = own.ids(words.distinct.to_pylist())
+    pieces = own.ids(strings(words.distinct))
     flat_ids = np.frombuffer(b"".join(pieces), own.dtype)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // own.dtype.itemsize
     starts = np.cumsum(lengths) - lengths

@@ -35,7 +35,7 @@ def shingle_hashes(words: Words, size: int = SIZE) -> tuple[np.ndarray, np.ndarr
     """Hashes of the shingles of each text, repeats included, and their bounds. A text with fewer words
     than ``size`` has one shingle, all its words; a text without words has none."""
     digest = xxhash.xxh64_intdigest
-    own = np.fromiter((digest(w.lower()) for w in words.distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(words.distinct))
+    own = np.fromiter((digest(w.lower()) for w in words.distinct.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words.distinct))
     step, n = np.uint64(0x9E3779B97F4A7C15), np.diff(words.bounds)
     per_text = np.where(n == 0, 0, np.maximum(1, n - size + 1))
     bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(per_text)])

@@ -99,7 +99,7 @@ def _writer(tokenizer: str, end_id: int, keeps_white: bool, segment_ids: int):
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, keeps_white: bool = True, segment_ids: int = 1 << 21,
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, keeps_white: bool = True, segment_ids: int = 1 << 19,
     key: str = "doc_id", text: str = "text",
 ) -> None:
     """Encode all documents into token files below ``path``, in ascending key order.
@@ -136,19 +136,24 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{path}/segments").select("content")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data in batch.column(0):
-            s = load_segment(data.as_buffer())
-            edges = s.bounds.all()
-            raw = memoryview(s.ids.astype("<u4").tobytes())
-            cells = [raw[4 * a: 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            n = len(s.keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, s.part)), pa.array(np.full(n, s.place)), pa.array(np.arange(n)),
-                 pa.array(s.keys, pa.int64()), pa.array(edges[:-1]), pa.array(np.diff(edges)),
-                 pa.array([zlib.crc32(c) for c in cells], pa.int64()), pa.array(cells, pa.binary())],
-                ["part", "place", "i", "doc_id", "local", "n_tokens", "ids_crc32", "ids"])
+def _reader(with_ids: bool):
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                s = load_segment(data.as_buffer())
+                edges = s.bounds.all()
+                cells = [s.ids[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                n = len(s.keys)
+                columns = {
+                    "part": pa.array(np.full(n, s.part)), "place": pa.array(np.full(n, s.place)), "i": pa.array(np.arange(n)),
+                    "doc_id": pa.array(s.keys, pa.int64()), "local": pa.array(edges[:-1]), "n_tokens": pa.array(np.diff(edges)),
+                    "ids_crc32": pa.array([zlib.crc32(c) for c in cells], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array(cells, pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return documents
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -156,13 +161,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     of all documents before), ``n_tokens``, ``ids_crc32`` and, if asked for, ``ids``; ids are
     little-endian unsigned 32-bit integers there and in the checksum."""
     schema = "part long, place long, i long, doc_id long, local long, n_tokens long, ids_crc32 long"
-
-    def checksums(batches):
-        for batch in _documents(batches):
-            yield batch.select(batch.schema.names[:-1])
-
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    docs = _files(spark, path).mapInArrow(*((_documents, f"{schema}, ids binary") if with_ids else (checksums, schema)))
+    bounded_batches(spark)
+    docs = _files(spark, path).mapInArrow(_reader(with_ids), f"{schema}, ids binary" if with_ids else schema)
     found = docs.join(spark.read.parquet(f"{path}/manifest"), ["part", "place"])
     return found.select(
         (F.col("first_doc") + F.col("i")).alias("position"), "doc_id", (F.col("first_id") + F.col("local")).alias("start"),

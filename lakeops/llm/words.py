@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 8192
 
 
@@ -72,6 +72,11 @@ def flat(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
+def strings(array: pa.Array) -> list[str]:
+    """A string array as Python strings, many times faster than ``to_pylist``."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def encode(lists: pa.Array, drop_empty: bool) -> Words:
     """Codes of the items of a list array."""
     bounds = np.asarray(lists.offsets, dtype=np.int64)
