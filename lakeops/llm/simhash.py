@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lakeops.llm.components import components
-from lakeops.llm.shared import written
+from lakeops.llm.shared import few_by_hash, written
 from lakeops.llm.words import bounded_batches, flat
 
 BITS = 64
@@ -197,7 +197,7 @@ def near_links(points: DataFrame, distance: int, block: int = BLOCK) -> DataFram
     is read several times, so it should be a table."""
     spark = points.sparkSession
     count = points.count()
-    rows = points.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").collect()  # bounded, for estimates
+    rows = few_by_hash(points.select("fp"), "fp", PLAN_SAMPLE).collect()  # bounded, for estimates
     partitions = plan(np.array([r.fp for r in rows], np.int64).view(np.uint64), count, distance)
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,12 +259,22 @@ def near_duplicates(docs: DataFrame, distance: int = 4, key: str = "doc_id", tex
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row per group: the one whose key is the component; of rows that
-    share that key, one stays. Rows without a key cannot be named by a group and all stay. All columns
-    unchanged."""
-    found = near_duplicates(docs, distance, key, text).where("doc_id = component_id")
+    """The rows of ``docs`` with one row per group: the one whose key is the component. All columns unchanged.
+
+    Of rows that share that key and its fingerprint, one stays. Rows that share it with different
+    fingerprints all stay, since a key cannot tell whose group is meant. Rows without a key cannot be
+    named by a group and all stay too.
+    """
+    found = near_duplicates(docs, distance, key, text)
+    found = written(found.where("doc_id IS NOT NULL").groupBy("doc_id", "fp").agg(F.min("component_id").alias("component_id")), "groups")
     names = set(docs.columns)
-    mark = next(m for m in (f"__kept{i}" for i in range(len(names) + 1)) if m not in names)
-    firsts = found.select(F.col("doc_id").alias(mark)).distinct()
-    keyed = docs.join(firsts, docs[key] == F.col(mark), "left_semi").dropDuplicates([key])
-    return keyed.unionByName(docs.where(F.col(key).isNull()))
+    mark, own = (next(m for m in (f"__{n}{i}" for i in range(len(names) + 1)) if m not in names) for n in ("kept", "print"))
+    doubtful = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    firsts = found.where("doc_id = component_id")
+    plain = firsts.join(doubtful, "doc_id", "left_anti").select(F.col("doc_id").alias(mark))
+    kept = docs.join(plain, docs[key] == F.col(mark), "left_semi").dropDuplicates([key])
+    shared = docs.join(doubtful.withColumnRenamed("doc_id", mark), docs[key] == F.col(mark), "left_semi").withColumn(own, _fingerprint(F.col(text)))
+    shared = shared.join(firsts.select(F.col("doc_id").alias(mark), F.col("fp").alias(f"{mark}_fp")),
+                         (F.col(key) == F.col(mark)) & (F.col(own) == F.col(f"{mark}_fp")), "left_semi")
+    shared = shared.dropDuplicates([key, own]).drop(own)
+    return kept.unionByName(shared).unionByName(docs.where(F.col(key).isNull()))

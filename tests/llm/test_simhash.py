@@ -130,10 +130,15 @@ def test_components(spark, shape):
     assert {k: got.get(k, k) for k in range(n)} == want
 
 
-def test_one_of_each(odd, no_rows):
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns
-    groups = {k: c for k, _, c in plain_groups([(r.doc_id, r.text) for r in odd.collect()]) if k is not None}
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({k for k, c in groups.items() if k == c})
+def test_one_of_each(spark, odd, no_rows):
+    more = spark.createDataFrame([(3, "another text under a key that is taken", "x", "y"), (3, "twice the key", "x", "y")], odd.schema)
+    docs = odd.unionByName(more)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    groups = {(int(p, 16), k): c for k, p, c in plain_groups(rows)}
+    want = {(k, plain_print(t)) for k, t in rows if k is not None and groups[plain_print(t), k] == k}
+    got = [(r.doc_id, plain_print(r.text)) for r in kept.collect() if r.doc_id is not None]
+    assert len(got) == len(set(got)) and set(got) == want
     assert sum(r.doc_id is None for r in kept.collect()) == 1
     assert simhash.one_of_each(no_rows).collect() == []
