@@ -211,8 +211,8 @@ def j8_existence(spark, sf):
     FROM (SELECT study, min(ordinal) AS ordinal FROM resolved GROUP BY study)
 """, _RESOLVED)
 def w1_first_appearance(spark, sf):
-    """As the job resolves them; the study that is named exactly is taken out because nothing is stored there."""
-    studies, _ = resolve_studies(fx.stored_objects(spark, sf), fx.patterns(spark), verify=True)
+    """As the job resolves them; a study that is named exactly stands for itself, stored or not."""
+    studies, _ = resolve_studies(fx.stored_objects(spark, sf), fx.patterns(spark))
     return studies
 
 
