@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
-from lakeops.llm.words import bounded_batches, flat, split_lines, split_words, struct_of
+from lakeops.llm.shared import few_by_hash
+from lakeops.llm.words import bounded_batches, flat, split_lines, split_words, strings, struct_of
 
 DIMENSIONS = 1 << 15
 #: Documents whose paragraphs serve as examples without a licence, at most.
@@ -97,7 +98,7 @@ class Grams(NamedTuple):
 def grams(paragraphs: pa.Array) -> Grams:
     words = split_words(paragraphs)
     owner = words.owner()
-    one = _word_hashes(words.distinct.to_pylist())[words.codes]
+    one = _word_hashes(strings(words.distinct))[words.codes]
     inside = owner[1:] == owner[:-1]
     two = (one[:-1] * 31 + one[1:] * 17 + 7)[inside]
     return Grams(np.concatenate([owner, owner[1:][inside]]), np.concatenate([one, two]) % DIMENSIONS, np.diff(words.bounds))
@@ -192,10 +193,13 @@ def _runs(text: str, n: int) -> list[tuple[str, ...]]:
 
 def fit(docs: DataFrame, rows: int = FIT_DOCS, text: str = "text", key: str = "doc_id") -> LicenceModel:
     """A model for a corpus; at most ``rows`` of its documents (smallest hashes of their keys), twenty
-    paragraphs of each and 400 characters of a paragraph, serve as examples without a licence."""
+    paragraphs of each and 400 characters of a paragraph, serve as examples without a licence. Rows
+    without a key do not; of rows that share a key, one does."""
     lines = F.transform(F.slice(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), 1, 20), lambda x: F.substring(x, 1, 400))
-    chosen = docs.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), lines.alias("lines")).orderBy("h", "k").limit(rows)
-    return train([line for r in chosen.collect() for line in r.lines])
+    keys = few_by_hash(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k")), "k", rows).distinct()
+    chosen = docs.select(F.col(key).alias("own"), lines.alias("lines")).join(F.broadcast(keys), F.col("own") == F.col("k"))
+    found = chosen.groupBy("k").agg(F.min("lines").alias("lines")).orderBy("k").collect()
+    return train([line for r in found for line in r.lines])
 
 
 class Finding(NamedTuple):

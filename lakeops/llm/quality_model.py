@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType
 
-from lakeops.llm.words import Words, bounded_batches, dense, per_worker, split_words, struct_of
+from lakeops.llm.shared import few_by_hash
+from lakeops.llm.words import Words, bounded_batches, dense, per_worker, split_words, strings, struct_of
 
 DIMENSIONS = 1 << 16
 #: Labelled rows that a model is fitted on at most; those with the smallest hashes of their keys.
@@ -57,7 +58,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``text, feature, value`` of every non-zero feature."""
     words: Words = split_words(texts)
     n, owner = np.diff(words.bounds), words.owner()
-    table = word_features(words.distinct.to_pylist())
+    table = word_features(strings(words.distinct))
     repeat = np.zeros(len(owner), bool)
     if len(owner) > 1:
         repeat[1:] = (words.codes[1:] == words.codes[:-1]) & (owner[1:] == owner[:-1])
@@ -130,7 +131,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int, text: str =
     """``grade, features, values`` of at most ``rows`` labelled documents, chosen by the hash of the key."""
     bounded_batches(docs.sparkSession)
     graded = labels.where(f"`{key}` IS NOT NULL AND quality IS NOT NULL").groupBy(key).agg(F.expr(f"min({GRADE})").alias("grade"))
-    chosen = graded.orderBy(F.xxhash64(key), key).limit(rows).withColumnRenamed(key, "labelled")
+    chosen = few_by_hash(graded, key, rows).withColumnRenamed(key, "labelled")
 
     @F.arrow_udf(struct_of(features=ArrayType(IntegerType()), values=ArrayType(FloatType())))
     def sparse(texts: pa.Array) -> pa.Array:
