@@ -196,7 +196,7 @@ def scan_and_redact(docs: DataFrame, ledger: BlobLedger, key: str = "doc_id", te
     ledger.update(docs, key, text)
     names = {*docs.columns}
     own = next(f"__blob{i}" for i in range(len(names) + 1) if f"__blob{i}" not in names)
-    spans = ledger.spans().select(F.col("blob").alias(own), F.col("spans").alias(f"{own}_spans"))
+    spans = ledger.spans().select(F.col("blob").alias(own), F.col("spans").alias(f"{own}_spans")).hint("shuffle_hash")
     joined = docs.join(spans, blob_of(text) == F.col(own), "left")
     found = F.col(f"{own}_spans")
     return joined.withColumn(text, F.when(found.isNull(), F.col(text)).otherwise(redacted(F.col(text), found))).select(*docs.columns)

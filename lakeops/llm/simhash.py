@@ -265,16 +265,17 @@ def one_of_each(docs: DataFrame, distance: int = 4, key: str = "doc_id", text: s
     fingerprints all stay, since a key cannot tell whose group is meant. Rows without a key cannot be
     named by a group and all stay too.
     """
-    found = near_duplicates(docs, distance, key, text)
-    found = written(found.where("doc_id IS NOT NULL").groupBy("doc_id", "fp").agg(F.min("component_id").alias("component_id")), "groups")
+    found = near_duplicates(docs, distance, key, text).where("doc_id IS NOT NULL")
+    found = written(found.groupBy("doc_id", "fp").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
     names = set(docs.columns)
     mark, own = (next(m for m in (f"__{n}{i}" for i in range(len(names) + 1)) if m not in names) for n in ("kept", "print"))
-    doubtful = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    firsts = found.where("doc_id = component_id")
-    plain = firsts.join(doubtful, "doc_id", "left_anti").select(F.col("doc_id").alias(mark))
-    kept = docs.join(plain, docs[key] == F.col(mark), "left_semi").dropDuplicates([key])
-    shared = docs.join(doubtful.withColumnRenamed("doc_id", mark), docs[key] == F.col(mark), "left_semi").withColumn(own, _fingerprint(F.col(text)))
-    shared = shared.join(firsts.select(F.col("doc_id").alias(mark), F.col("fp").alias(f"{mark}_fp")),
-                         (F.col(key) == F.col(mark)) & (F.col(own) == F.col(f"{mark}_fp")), "left_semi")
+    repeated = written(found.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("doc_id").alias(mark)), "repeated")
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark), F.col("fp").alias(f"{mark}_fp"))
+    # The keys grow with the documents, so they are never broadcast.
+    single = firsts.join(repeated, mark, "left_anti").select(mark).hint("shuffle_hash")
+    kept = docs.join(single, docs[key] == F.col(mark), "left_semi")
+    # Only rows that share a key need their fingerprint again to tell them apart.
+    shared = written(docs.join(repeated, docs[key] == F.col(mark), "left_semi"), "shared").withColumn(own, _fingerprint(F.col(text)))
+    shared = shared.join(firsts, (F.col(key) == F.col(mark)) & (F.col(own) == F.col(f"{mark}_fp")), "left_semi")
     shared = shared.dropDuplicates([key, own]).drop(own)
     return kept.unionByName(shared).unionByName(docs.where(F.col(key).isNull()))
