@@ -14,7 +14,7 @@ What leaves the task is at most one link per fingerprint to the smallest one it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -258,24 +258,35 @@ def near_duplicates(docs: DataFrame, distance: int = 4, key: str = "doc_id", tex
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row per group: the one whose key is the component. All columns unchanged.
+def first_rows(docs: DataFrame, groups: DataFrame, print_of: Callable, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` with one row per component of ``groups`` (``doc_id, fp, component_id`` of every
+    row with a key): the one with the smallest key, then fingerprint. All columns unchanged.
 
-    Of rows that share that key and its fingerprint, one stays. Rows that share it with different
-    fingerprints all stay, since a key cannot tell whose group is meant. Rows without a key cannot be
-    named by a group and all stay too.
+    Of rows that share that key and its fingerprint, one stays; ``print_of`` a text gives the fingerprint.
+    Rows without a key cannot be named by a group and all stay.
     """
-    found = near_duplicates(docs, distance, key, text).where("doc_id IS NOT NULL")
-    found = written(found.groupBy("doc_id", "fp").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
+    found = written(groups.groupBy("component_id", "doc_id", "fp").agg(F.count("*").alias("n")), "groups")
     names = set(docs.columns)
     mark, own = (next(m for m in (f"__{n}{i}" for i in range(len(names) + 1)) if m not in names) for n in ("kept", "print"))
     repeated = written(found.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("doc_id").alias(mark)), "repeated")
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark), F.col("fp").alias(f"{mark}_fp"))
+    least = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
+    firsts = written(least.select(F.col("x.doc_id").alias(mark), F.col("x.fp").alias(f"{mark}_fp")), "firsts")
     # The keys grow with the documents, so they are never broadcast.
     single = firsts.join(repeated, mark, "left_anti").select(mark).hint("shuffle_hash")
-    kept = docs.join(single, docs[key] == F.col(mark), "left_semi")
+    kept = docs.join(single, docs[key] == F.col(mark), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    if repeated.isEmpty():
+        return kept
     # Only rows that share a key need their fingerprint again to tell them apart.
-    shared = written(docs.join(repeated, docs[key] == F.col(mark), "left_semi"), "shared").withColumn(own, _fingerprint(F.col(text)))
+    shared = written(docs.join(repeated, docs[key] == F.col(mark), "left_semi"), "shared").withColumn(own, print_of(F.col(text)))
     shared = shared.join(firsts, (F.col(key) == F.col(mark)) & (F.col(own) == F.col(f"{mark}_fp")), "left_semi")
-    shared = shared.dropDuplicates([key, own]).drop(own)
-    return kept.unionByName(shared).unionByName(docs.where(F.col(key).isNull()))
+    return kept.unionByName(shared.dropDuplicates([key, own]).drop(own))
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row per group, as ``first_rows`` chooses it. Fingerprints are the nodes,
+    so a key that repeats with different texts ties no groups together."""
+    prints = written(fingerprints(docs.where(F.col(key).isNotNull()), key, text), "fingerprints")
+    points = written(prints.select(F.col("fp").alias("id"), "fp").distinct(), "points")
+    reached = components(near_links(points, distance))
+    groups = prints.join(reached, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("component_id"))
+    return first_rows(docs, groups, _fingerprint, key, text)
