@@ -55,6 +55,22 @@ RULES = (
     Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", gates=("PRIVATE KEY-----",)),
 )
 
+_BASE64 = r"[A-Za-z0-9+/]"
+_LINE_ENDS = r"(?=[\x20\t]*+(?:[\r\n\\]|$))"
+_NEW_LINE = r"(?:[\x20\t]*+(?:\r?\n|(?:\\r)?\\n))++[\x20\t]*+"
+#: A private key with its body: RFC 1421 headers and base64 up to the END line, whether lines are cut by line
+#: feeds, blanks or escapes, or are quoted. Without an END line, long runs and whole lines of base64, the
+#: first of 16 characters or more. Repeats are possessive, so nothing is tried twice or recursed into.
+PEM_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"(?:{_NEW_LINE}(?:Proc-Type|DEK-Info|Content-Domain|Comment):[^\r\n\\]*+)*+"
+    r"(?:[A-Za-z0-9/=\s\"'+,>|#*\\]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:(?:\s|\\[nrt])*+{_BASE64}{{40,}}+={{0,2}}|{_NEW_LINE}{_BASE64}{{16,}}+={{0,2}}{_LINE_ENDS})++"
+    rf"(?:{_NEW_LINE}{_BASE64}{{1,63}}+={{0,2}}{_LINE_ENDS})?+)?+"
+)
+#: What is masked: as ``RULES``, but keys whole. ``RULES`` reports where a key begins.
+MASKED = (*(r for r in RULES if r.kind != "pem"), Rule("pem", PEM_KEY, gates=("PRIVATE KEY-----",), version=2))
+
 
 def blob_of(text: str | Column) -> Column:
     """Name of a text; null counts as empty."""
