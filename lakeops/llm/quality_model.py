@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5  # of P(best grade), for selection
 
     def score(self, texts: pa.Array) -> np.ndarray:
         text, feature, value = features(texts)
@@ -122,6 +123,13 @@ def fit_ordinal(
     return OrdinalModel(params[:DIMENSIONS].astype(np.float32), theta)
 
 
+#: Share of held-out clean documents that the cut for the best grade lets through, and of labelled documents held out.
+CLEAN_KEPT = 0.995
+HELD_OUT = 0.25
+#: Deviations by which the share of documents with a feature must differ between grades; with fewer rows than
+#: ``TELLING_ROWS`` all features count.
+TELLING, TELLING_ROWS = 5.0, 1000
+
 #: Grade 0: low quality. Grade 1: good, but toxic. Grade 2: good.
 GRADE = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END"
 GRADES = 3
@@ -147,19 +155,64 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int, text: str =
     return found.select("grade", sparse("t").alias("x")).select("grade", "x.*")
 
 
+def telling(owner: np.ndarray, feature: np.ndarray, grades: np.ndarray, least: float = TELLING) -> np.ndarray:
+    """Which features tell low from other documents, or toxic from good ones. Words that a few toxic documents
+    happen to have would drown the few that make them toxic."""
+    count = np.bincount(grades, minlength=GRADES)
+    if len(grades) < TELLING_ROWS:
+        return np.ones(DIMENSIONS, bool)
+    have = np.stack([np.bincount(feature[grades[owner] == k], minlength=DIMENSIONS) for k in range(GRADES)])
+    out = np.zeros(DIMENSIONS, bool)
+    for k in range(GRADES - 1):
+        a, b, n, m = have[k], have[k + 1:].sum(axis=0), count[k], count[k + 1:].sum()
+        if n and m:
+            p = (a + b + 1) / (n + m + 2)
+            out |= np.abs(a / n - b / m) >= least * np.sqrt(p * (1 - p) * (1 / n + 1 / m))
+    return out
+
+
+def fit_telling(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray) -> OrdinalModel:
+    """A model of the features that tell grades apart; the others weigh nothing."""
+    used = telling(owner, feature, grades)
+    own = used[feature]
+    model = fit_ordinal(owner[own], feature[own], value[own], grades, GRADES)
+    return replace(model, weights=np.where(used, model.weights, np.float32(0)))
+
+
+def best_cut(tails: np.ndarray, grades: np.ndarray, share: float = CLEAN_KEPT) -> float:
+    """The P(best grade) that separates best: most of the lower grades below it while ``share`` of the best
+    grade reaches it, and in the middle of the gap to the lower grades if there is one. At most 0.5, which
+    also holds if nothing can be told."""
+    best, lower = tails[grades == GRADES - 1], tails[grades < GRADES - 1]
+    if not len(best):
+        return 0.5
+    cut = float(np.sort(best)[int(len(best) * (1 - share))])
+    below = lower[lower < cut]
+    return min(0.5, (cut + float(below.max())) / 2 if len(below) else cut)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str = "text", key: str = "doc_id") -> OrdinalModel:
     """A model from at most ``rows`` labelled documents. Their hashed features, not their texts, reach the
-    driver: at most ``rows`` times the distinct words of a text. Without labelled rows every text gets
-    the best grade."""
+    driver: at most ``rows`` times the distinct words of a text. The cut is fitted on a quarter of them
+    by a model of the others. Without labelled rows every text gets the best grade."""
     table = labelled_features(docs, labels, rows, text, key).toArrow()
     grades = np.asarray(table.column("grade").combine_chunks()).astype(np.int64)
     if not len(grades):
         return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.full(GRADES - 1, -20.0))
     lists = table.column("features").combine_chunks()
     lengths = np.diff(np.asarray(lists.offsets))
-    return fit_ordinal(
-        np.repeat(np.arange(len(grades)), lengths), np.asarray(lists.flatten()).astype(np.int64),
-        np.asarray(table.column("values").combine_chunks().flatten()).astype(float), grades, GRADES)
+    owner = np.repeat(np.arange(len(grades)), lengths)
+    feature, value = np.asarray(lists.flatten()).astype(np.int64), np.asarray(table.column("values").combine_chunks().flatten()).astype(float)
+    # Rows come in any order; which are held out depends on their features alone.
+    order = np.lexsort((np.bincount(owner, feature * value, minlength=len(grades)), grades))
+    held = np.zeros(len(grades), bool)
+    held[order[:: round(1 / HELD_OUT)]] = True
+    place = np.cumsum(~held) - 1
+    own = ~held[owner]
+    trial = fit_telling(place[owner[own]], feature[own], value[own], grades[~held])
+    scores = np.bincount(owner, trial.weights[feature] * value, minlength=len(grades))
+    cut = best_cut(trial.tails(scores)[held, -1], grades[held])
+    return replace(fit_telling(owner, feature, value, grades), cut=cut)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, at_least: int = 1, tail: float = 0.5, text: str = "text", out: str = "graded") -> DataFrame:
@@ -182,7 +235,8 @@ def grade(docs: DataFrame, model: OrdinalModel, at_least: int = 1, tail: float =
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, at_least: int = 1, tail: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns unchanged."""
+    """The rows of ``docs`` that are kept, all columns unchanged. For the best grade alone, ``at_least`` is 2
+    and ``tail`` the model's cut."""
     names = set(docs.columns)
     own = next(g for g in (f"__graded{i}" for i in range(len(names) + 1)) if g not in names)
     return grade(docs, model, at_least, tail, text, own).where(f"{own}.kept").drop(own)

@@ -162,4 +162,4 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_model.grade(docs, model).select("doc_id", "graded.*")
+    return quality_model.grade(docs, model, at_least=2, tail=model.cut).select("doc_id", "graded.*")
