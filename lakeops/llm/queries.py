@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeops.llm import (
-    bpe, license_scan, packing, quality_model, quality_rules, secret_scan, simhash, sketches, token_files, url_filters,
+    alignment, bpe, license_scan, packing, quality_model, quality_rules, secret_scan, simhash, sketches, token_files, url_filters,
 )
 from lakeops.llm.registry import query, table
-from lakeops.llm.vocabularies import BYTE_BPE, WORD_BPE, path
+from lakeops.llm.vocabularies import BYTE_BPE, PIECE_BPE, WORD_BPE, path
 from lakeops.session import scratch_dir
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -163,3 +163,8 @@ def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.grade(docs, model, at_least=2, tail=model.cut).select("doc_id", "graded.*")
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), path(BYTE_BPE), path(PIECE_BPE))
