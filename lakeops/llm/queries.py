@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeops.llm import (
-    alignment, bpe, conversations, license_scan, packing, quality_model, quality_rules, secret_scan, simhash, sketches, token_files, url_filters,
+    alignment, bpe, conversations, jaccard_join, license_scan, packing, quality_model, quality_rules, secret_scan, simhash, sketches, token_files, url_filters,
 )
 from lakeops.llm.registry import query, table
 from lakeops.llm.vocabularies import BYTE_BPE, PIECE_BPE, WORD_BPE, path
@@ -173,3 +173,8 @@ def op11(spark, sf_dir):
 @query("op12_conversation_repair")
 def op12(spark, sf_dir):
     return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_ngram_jaccard_join")
+def op13(spark, sf_dir):
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
