@@ -14,6 +14,7 @@ from lakeops.functions.studies import (
     PROBLEMS, RC_NO_IMAGES, RC_PARTIAL, REPORT_COLUMNS, STATUSES, STUDY_NAME,
     glob_base, glob_regex, glob_stem, has_glob, is_prefix_glob, is_report_path, study_accession, study_exam_date,
 )
+from lakeops.operators.skew import lookup_join
 
 
 def check_selection(paths: list[str] | None, cohort_bucket: str | None, cohort_key: str | None) -> None:
@@ -131,13 +132,14 @@ def split_existing(studies: DataFrame, objects: DataFrame, key: str = "key") ->
 
 
 def objects_of_studies(objects: DataFrame, studies: DataFrame, key: str = "key") -> DataFrame:
-    """``(study, key)`` of every object below one of the ``studies``, by equality of the folder."""
+    """``(study, key)`` of every object below one of the ``studies``, by equality of the folder; one study may
+    hold any share of the objects."""
     depths = _depths(studies, "study")
     above = [F.when(F.size(F.split(key, "/")) > d, F.substring_index(key, "/", d)) for d in depths if d > 0]
     if not above:
         return objects.select(F.lit("").alias("study"), key).limit(0)
     keyed = objects.select(key, F.explode(F.array(*above)).alias("study")).where("study IS NOT NULL")
-    return keyed.join(studies.select("study").distinct(), "study", "left_semi").select("study", key)
+    return lookup_join(keyed, studies.select("study").distinct(), ["study"], "left_semi").select("study", key)
 
 
 def unmatched_patterns(patterns: DataFrame, resolved: DataFrame) -> DataFrame:
