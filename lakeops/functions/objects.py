@@ -14,18 +14,18 @@ MAGIC = b"DICM"
 MAGIC_OFFSET = 128
 
 
+def inflated(blob: bytes | None) -> tuple[bytes | None, str | None]:
+    """Content and error of a compressed object; one of them is null."""
+    try:
+        content = zlib.decompress(bytes(blob)[HEADER_BYTES:])
+    except (zlib.error, TypeError) as bad:
+        return None, f"inflate: {bad}"
+    if content[MAGIC_OFFSET:MAGIC_OFFSET + len(MAGIC)] != MAGIC:
+        return None, "no DICM marker after inflating"
+    return content, None
+
+
 @F.pandas_udf(StructType().add("content", BinaryType()).add("error", StringType()))
 def inflate(payload: pd.Series) -> pd.DataFrame:
     """Inflate objects; a bad one yields a null content and an error, never an exception."""
-    contents, errors = [], []
-    for blob in payload:
-        content, error = None, None
-        try:
-            content = zlib.decompress(bytes(blob)[HEADER_BYTES:])
-            if content[MAGIC_OFFSET:MAGIC_OFFSET + len(MAGIC)] != MAGIC:
-                content, error = None, "no DICM marker after inflating"
-        except (zlib.error, TypeError) as bad:
-            error = f"inflate: {bad}"
-        contents.append(content)
-        errors.append(error)
-    return pd.DataFrame({"content": contents, "error": errors})
+    return pd.DataFrame([inflated(blob) for blob in payload], columns=["content", "error"])

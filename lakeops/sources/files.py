@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.functions.objects import inflate
+from lakeops.functions.objects import inflated
 from lakeops.functions.studies import exam_date, exam_date_problem, study_path
-from lakeops.sources.store import Store, arrow_uri
+from lakeops.sources.listing import place_of, walk_files
+from lakeops.sources.store import Store
 
 # Cell contents a cohort list treats as missing.
 COHORT_NA = [
@@ -18,25 +20,36 @@ COHORT_NA = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+#: Bytes of objects that a task holds before it hands them on.
+OPEN_BYTES = 8 << 20
+
 
 def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """``(path, size)`` of every file below a folder; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", F.col("length").alias("size"))
+    """``(path, size)`` of every file below a folder; contents are not read.
+
+    Tasks list (``listing.walk_files``). Only where Arrow cannot reach the storage does Spark's file index do
+    it, which holds the listing in the driver.
+    """
+    roots = [path] if isinstance(path, str) else path
+    try:
+        for root in roots:
+            place_of(Store(spark).qualified(root))
+    except (pa.ArrowInvalid, OSError):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        return reader.load(path).select("path", F.col("length").alias("size"))
+    return walk_files(spark, roots, glob)
 
 
 def first_lines(files: DataFrame) -> DataFrame:
     """First line of each file, read by the tasks that hold the listing."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             lines = []
             for uri in batch["path"]:
-                where, path = fs.FileSystem.from_uri(arrow_uri(uri))
+                where, path, _ = place_of(uri)
                 line = b""
                 with where.open_input_stream(path) as stream:
                     while b"\n" not in line:
@@ -65,21 +78,36 @@ def list_objects(spark: SparkSession, root: str) -> DataFrame:
 def read_objects(spark: SparkSession, root: str) -> DataFrame:
     """Object contents; ``.cmp`` payloads are inflated and lose that suffix.
 
-    A payload that cannot be inflated keeps a null content and an error instead of failing the scan.
+    The tasks that open objects are dealt the listing, which the driver never holds. A payload that cannot
+    be inflated keeps a null content and an error instead of failing the scan. A task holds the contents of
+    a few megabytes of objects, or of one that is larger.
     """
-    packed = F.col("key").endswith(".cmp")
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .where(~F.col("path").endswith("/"))
-        .withColumn("key", relative_to(F.col("path"), root))
-        # Only packed payloads travel to Python; the others reach it as nulls.
-        .withColumn("opened", inflate(F.when(packed, F.col("content"))))
-        .select(
-            F.regexp_replace("key", r"\.cmp$", "").alias("key"),
-            F.when(packed, F.col("opened.content")).otherwise(F.col("content")).alias("content"),
-            F.when(packed, F.col("opened.error")).alias("error"),
-        )
-    )
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held):
+            keys, contents, errors = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], ["key", "content", "error"])
+
+        held, size = [], 0
+        for batch in batches:
+            for uri, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                where, path, _ = place_of(uri)
+                with where.open_input_file(path) as stream:
+                    content, error = stream.read(), None
+                if key.endswith(".cmp"):
+                    key = key.removesuffix(".cmp")
+                    content, error = inflated(content)
+                held.append((key, content, error))
+                size += len(content or b"")
+                if size >= OPEN_BYTES or len(held) >= 1000:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    listing = list_objects(spark, root).select("path", "key")
+    tasks = spark.sparkContext.defaultParallelism * 4
+    return listing.repartition(tasks, "path").mapInArrow(opened, "key string, content binary, error string")
 
 
 def read_cohort(spark: SparkSession, path: str, accession: str, exam: str, parent: str) -> DataFrame:
@@ -119,7 +147,7 @@ def read_manifests(spark: SparkSession, root: str, days: list[str] | None, schem
         .csv(folders)
         .withColumn("manifest", F.col("_metadata.file_path"))
     )
-    return None if list_files(spark, folders, "*.idx").select("path").isEmpty() else found
+    return None if list_files(spark, folders, "*.idx").where("size > 0").isEmpty() else found
 
 
 def read_messages(messages: DataFrame, body: str, keep: list[str]) -> DataFrame:

@@ -30,6 +30,11 @@ class Store:
         handle = self._jvm.org.apache.hadoop.fs.Path(path)
         return handle.getFileSystem(self._conf), handle
 
+    def qualified(self, path: str) -> str:
+        """The path with its scheme, as a Hadoop URI without escapes."""
+        fs, handle = self._resolve(path)
+        return fs.makeQualified(handle).toString()
+
     def exists(self, path: str) -> bool:
         fs, handle = self._resolve(path)
         return fs.exists(handle)

@@ -73,7 +73,7 @@ def read_csv_dir(spark: SparkSession, path: str, **options: str) -> DataFrame:
     folder = path if path.endswith("/") else f"{path}/"
     if not Store(spark).exists(folder):
         raise FileNotFoundError(f"no csv file under {folder}")
-    lines = first_lines(list_files(spark, folder, "*.csv"))
+    lines = first_lines(list_files(spark, folder, "*.csv").where("size > 0"))
     headers = sorted(r.first_line for r in lines.select("first_line").distinct().collect())
     if not headers:
         raise FileNotFoundError(f"no csv file under {folder}")
