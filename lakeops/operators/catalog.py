@@ -221,47 +221,66 @@ def _fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataTyp
 
 
 def _comparable(c: Column, kind: T.DataType) -> Column:
-    """Short bytes with the same equality as the value, so that counting does not shuffle whole texts."""
+    """A value with an equality that hashing respects."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        c = c + F.lit(0.0)  # both zeros are one value
-    text = F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")
-    text = F.when(c.isNotNull(), text)
-    bytes_ = F.encode(text, "UTF-8")
-    # 32 bytes are always a digest, fewer are always the text itself.
-    return F.when(F.octet_length(text) < 32, bytes_).otherwise(F.unhex(F.sha2(bytes_, 256)))
+        return c + F.lit(0.0)  # both zeros are one value
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):  # a hash passes over nulls inside, and knows no maps
+        return F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+    return c
+
+
+def _sketched(df: DataFrame, first: int, fields: list, distinct: float | None) -> DataFrame:
+    """Counts of one dataset in one aggregate, one row per task and dataset shuffled."""
+    counts = []
+    for i, (path, kind) in enumerate(fields):
+        counts.append(F.count(F.col(path)).alias(f"n{i}"))
+        if distinct is not None:
+            counts.append(F.approx_count_distinct(_comparable(F.col(path), kind), distinct).alias(f"d{i}"))
+    each = F.array(*[
+        F.struct(F.lit(first + i).alias("i"), F.col(f"n{i}").alias("n_values"), *([F.col(f"d{i}").alias("n_distinct")] if distinct is not None else []))
+        for i in range(len(fields))
+    ])
+    return df.agg(*counts).select(F.inline(each))
+
+
+def _cells(df: DataFrame, first: int, fields: list) -> DataFrame:
+    """``i, a, b`` per value that is not null: its column and 128 bits of hash."""
+    values = [_comparable(F.col(path), kind) for path, kind in fields]
+    each = F.array(*[
+        F.struct(F.lit(first + i).alias("i"), F.when(v.isNotNull(), F.xxhash64(v)).alias("a"), F.xxhash64(F.lit(first + i), v).alias("b"))
+        for i, v in enumerate(values)
+    ])
+    return df.select(F.inline(each)).where("a IS NOT NULL")
 
 
 def scan_metadata(
-    spark: SparkSession, resource: str, tables: dict[str, DataFrame], distinct: float | None = None,
+    spark: SparkSession, resource: str, tables: dict[str, DataFrame], distinct: float | None = 0.0,
 ) -> DataFrame:
-    """One row per column of a resource's datasets, nested fields included: catalog fields and the number
-    of values that are not null.
-
-    Names and types come from the schemas. Values are counted in one aggregate per dataset, folded in
-    the tasks that scan it, so one row per task is all that is shuffled. ``distinct``, the relative
-    error allowed, adds ``n_distinct`` from a sketch per column in the same aggregate; maps, which
-    have no equality of their own, are compared by their text.
+    """One row per column of a resource's datasets, nested fields included: catalog fields, the number of
+    values that are not null and the number of different ones.
+
+    Names and types come from the schemas. ``distinct`` is the relative error allowed. With 0, the
+    default, counts are exact to 128 bits of hash: every scan of a dataset folds its values to distinct
+    hashes in the tasks, these meet in one exchange for all datasets, and are counted where they meet.
+    That shuffles 20 bytes per distinct value of a task, whatever the values' lengths: at most the cells
+    of unique columns, next to nothing for the others. Above 0, a sketch per column in one aggregate per
+    dataset; with none, no ``n_distinct``: both shuffle a row per task. Structs, arrays and maps are
+    compared by their text.
     """
-    known, counted = [], []
+    known, scans = [], []
     for name, df in sorted(tables.items()):
         fields = _fields(df.schema)
-        first = len(known)
-        known += [(first + i, name, path.split(".")[-1], f"{resource}.{name}.{path}", value_type(kind)) for i, (path, kind) in enumerate(fields)]
-        counts = []
-        for i, (path, kind) in enumerate(fields):
-            counts.append(F.count(F.col(path)).alias(f"n{i}"))
-            if distinct is not None:
-                counts.append(F.approx_count_distinct(_comparable(F.col(path), kind), distinct).alias(f"d{i}"))
-        each = F.array(*[
-            F.struct(F.lit(first + i).alias("i"), F.col(f"n{i}").alias("n_values"), *([F.col(f"d{i}").alias("n_distinct")] if distinct is not None else []))
-            for i in range(len(fields))
-        ])
-        counted.append(df.agg(*counts).select(F.inline(each)))
+        scans.append((df, len(known), fields))
+        known += [(len(known) + i, name, path.split(".")[-1], f"{resource}.{name}.{path}", value_type(kind)) for i, (path, kind) in enumerate(fields)]
+    if distinct == 0:
+        values = reduce(DataFrame.unionByName, [_cells(*s) for s in scans]).groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        counted = values.groupBy("i").agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"))
+    else:
+        counted = reduce(DataFrame.unionByName, [_sketched(*s, distinct) for s in scans])
     columns = spark.createDataFrame(known, "i int, table_name string, name string, path string, value_type string")
-    return columns.join(reduce(DataFrame.unionByName, counted), "i").select(
-        F.lit(resource).alias("resource"), "table_name", "name", "path", "value_type",
-        F.lit("current").alias("rolling_version"), "n_values", *(["n_distinct"] if distinct is not None else []),
-    )
+    numbers = ["n_values", *(["n_distinct"] if distinct is not None else [])]
+    return columns.join(counted, "i", "left").fillna(0, numbers).select(
+        F.lit(resource).alias("resource"), "table_name", "name", "path", "value_type", F.lit("current").alias("rolling_version"), *numbers)
 
 
 def foreign_key_orphans(cat: Catalog, table: str, column: str, parent: str) -> DataFrame:

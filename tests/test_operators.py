@@ -440,13 +440,31 @@ def test_scan_covers_nested_fields_and_types(spark):
         [(1, (2, "x"), [1], {"k": 1}, 0.0), (None, (2, "x" * 40), None, None, -0.0)],
         "a int, s struct<b: int, c: string>, l array<int>, m map<string, int>, d double",
     )
+    exact = {r.path: (r.value_type, r.n_values, r.n_distinct) for r in scan_metadata(spark, "r", {"t": df}).collect()}
     got = {r.path: (r.value_type, r.n_values, r.n_distinct) for r in scan_metadata(spark, "r", {"t": df}, distinct=0.01).collect()}
+    assert got == exact and "n_distinct" not in scan_metadata(spark, "r", {"t": df}, distinct=None).columns
     assert got["r.t.a"] == ("integer", 1, 1) and got["r.t.s"] == ("struct", 2, 2) and got["r.t.s.c"] == ("string", 2, 2)
     assert got["r.t.s.b"] == ("integer", 2, 1) and got["r.t.l"] == ("array", 1, 1) and got["r.t.m"] == ("map", 1, 1)
     assert got["r.t.d"] == ("decimal", 2, 1)
     assert [value_type(t) for t in (T.BooleanType(), T.DateType(), T.TimestampNTZType(), T.DecimalType(9, 0), T.BinaryType())] == ["boolean", "date", "datetime", "decimal", "string"]
 
 
+def test_distinct_values_meet_in_one_exchange(spark):
+    from lakeops.operators.catalog import _cells, _fields
+
+    rows = spark.range(0, 4000, 1, 4).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("few"), "id", F.struct((F.col("id") % 3).alias("x"), F.lit(None).cast("int").alias("y")).alias("s"),
+        F.array(F.when(F.col("id") % 2 == 0, 1), F.when(F.col("id") % 2 == 1, 1)).alias("l"), F.lit(None).cast("string").alias("none"))
+    got = {r.path: (r.n_values, r.n_distinct) for r in scan_metadata(spark, "r", {"t": rows, "u": rows.select("few")}).collect()}
+    n = sum(i % 7 > 0 for i in range(4000))
+    assert got == {"r.t.few": (n, 5), "r.u.few": (n, 5), "r.t.id": (4000, 4000), "r.t.s": (4000, 3), "r.t.s.x": (4000, 3), "r.t.s.y": (0, 0),
+                   "r.t.l": (4000, 2), "r.t.none": (0, 0)}
+    # What leaves a task are its distinct values, not its cells.
+    cells = _cells(rows, 0, _fields(rows.schema)).groupBy("i", "a", "b").count()
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.rindex("partial_count")
+
+
 def test_catalog_load_stops_at_a_dangling_reference(spark, sf, fresh):
     cat = fx.catalog(spark, sf)
     root = fresh()
