@@ -15,6 +15,7 @@ from lakeops.functions.studies import (
     glob_base, glob_regex, glob_stem, has_glob, is_prefix_glob, is_report_path, study_accession, study_exam_date,
 )
 from lakeops.operators.skew import lookup_join
+from lakeops.session import durable
 
 
 def check_selection(paths: list[str] | None, cohort_bucket: str | None, cohort_key: str | None) -> None:
@@ -87,6 +88,49 @@ def _anchor(text: Column) -> Column:
     return F.array_max(F.transform(heads, lambda h: F.struct(F.length(h).alias("n"), h.alias("head"))))["head"]
 
 
+#: Characters of a gram; literal texts that are shorter are grams themselves.
+GRAM = 3
+
+
+def _pattern_grams(text: Column) -> Column:
+    """Grams of the literal texts of a pattern, which every match holds; one empty gram if there is no literal."""
+    texts = F.filter(F.split(text, r"\*|\?|\[!?\]?[^\]]*\]"), lambda t: t != "")
+    grams = F.flatten(F.transform(texts, lambda t: F.when(F.length(t) <= GRAM, F.array(t)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda i: F.substr(t, i, F.lit(GRAM))))))
+    return F.when(F.size(grams) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(grams))
+
+
+def _text_grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct grams of a text, of the sizes that patterns have."""
+    def of(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def _match_by_grams(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Matches of patterns no segment of which starts with a literal text.
+
+    A pattern meets the studies that hold the rarest of its grams. Studies are keyed by those of their
+    grams that some pattern has, and counted per gram before any pattern is joined.
+    """
+    wanted = durable(patterns.select("ordinal", "pattern", "depth", "regex", _pattern_grams(F.col("bare")).alias("grams")))
+    each = wanted.select("ordinal", "pattern", "depth", "regex", F.explode("grams").alias("gram"))
+    needed = each.select("depth", "gram").distinct()
+    sizes = sorted(r.n for r in needed.select(F.length("gram").alias("n")).distinct().collect())
+    if not sizes:
+        return found.select(F.lit(0).alias("ordinal"), F.lit("").alias("pattern"), "study").limit(0)
+    held = durable(lookup_join(found.select("depth", "study", F.explode(_text_grams(F.col("study"), sizes)).alias("gram")), needed, ["depth", "gram"], "left_semi"))
+    often = held.groupBy("depth", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(often, ["depth", "gram"], "left").groupBy("ordinal", "pattern", "depth", "regex").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("x"))
+    chosen = rarest.select("ordinal", "pattern", "regex", "depth", F.col("x.gram").alias("gram"))
+    return lookup_join(held, chosen, ["depth", "gram"]).where(F.rlike("study", F.col("regex"))).select("ordinal", "pattern", "study")
+
+
 def match_studies(objects: DataFrame, patterns: DataFrame, key: str = "key") -> DataFrame:
     """``(ordinal, pattern, study)`` for every study a pattern selects.
 
@@ -96,7 +140,8 @@ def match_studies(objects: DataFrame, patterns: DataFrame, key: str = "key") ->
     starts with. Only patterns with more than a final wildcard leave a regular expression to test, and
     only against studies that share both. Studies are keyed once per distinct pair of lengths, so
     candidates grow with the studies and not with patterns times studies, also where thousands of
-    patterns have one stem. What lies outside the literal text of all patterns is not scanned.
+    patterns have one stem. Patterns without an anchor meet studies on the rarest of their grams
+    (``_match_by_grams``). What lies outside the literal text of all patterns is not scanned.
     """
     bare = patterns.withColumn("bare", F.rtrim("pattern", F.lit("/"))).where("bare <> ''")
     text = F.col("bare")
@@ -110,18 +155,25 @@ def match_studies(objects: DataFrame, patterns: DataFrame, key: str = "key") ->
         F.when(wild, glob_stem(text)).otherwise(F.concat(text, F.lit("/"))).alias("stem"), regex.alias("regex"),
     ).withColumn("depth", _depth("base"))
     walked = walked.withColumn("anchor", F.when(F.col("regex").isNotNull(), F.coalesce(_anchor(F.col("bare")), F.lit(""))).otherwise(F.lit("")))
-    shapes = sorted(walked.select("depth", F.length("stem").alias("n"), F.length("anchor").alias("m")).distinct().collect())
+    loose = F.col("regex").isNotNull() & (F.col("anchor") == "")
+    shapes = sorted(walked.select("depth", F.length("stem").alias("n"), F.length("anchor").alias("m"), loose.alias("loose")).distinct().collect())
     if not shapes:
         return named
     found = study_candidates(_below(objects, walked.select("stem"), key), sorted({s.depth for s in shapes}), key)
-    kinds = F.array(*[F.struct(F.lit(s.depth).alias("kind"), F.lit(s.n).alias("n"), F.lit(s.m).alias("m")) for s in shapes])
+    if any(s.loose for s in shapes):
+        found = durable(found)
+        named = named.unionByName(_match_by_grams(found, walked.where(loose)))
+    shapes = sorted({(s.depth, s.n, s.m) for s in shapes if not s.loose})
+    if not shapes:
+        return named
+    kinds = F.array(*[F.struct(F.lit(s[0]).alias("kind"), F.lit(s[1]).alias("n"), F.lit(s[2]).alias("m")) for s in shapes])
     fitting = found.select("depth", "study", F.inline(kinds)).where("kind = depth AND length(study) >= n")
     long = F.filter(F.split("study", "/"), lambda s: F.length(s) >= F.col("m"))
     anchors = F.when(F.col("m") == 0, F.array(F.lit(""))).otherwise(
         F.array_distinct(F.transform(long, lambda s: F.substr(s, F.lit(1), F.col("m")))))
     keyed = fitting.select("depth", F.substr("study", F.lit(1), F.col("n")).alias("stem"), F.explode(anchors).alias("anchor"), "study")
     fits = F.col("regex").isNull() | F.rlike("study", F.col("regex"))
-    matched = keyed.join(walked.drop("bare", "base"), ["depth", "stem", "anchor"]).where(fits)
+    matched = keyed.join(walked.where(~loose).drop("bare", "base"), ["depth", "stem", "anchor"]).where(fits)
     return named.unionByName(matched.select("ordinal", "pattern", "study"))
 
 
