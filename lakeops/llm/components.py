@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.llm.shared import drop_written, written
+from lakeops.operators.skew import lookup_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,8 +15,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to the smallest
     node it knows, then it and its smaller neighbours. Both are one aggregate (folded before the
-    shuffle) and one join per step; a node with very many neighbours is a skewed join key, which Spark
-    splits. Each round is written to shared storage and the round before it dropped.
+    shuffle) and one join per step; a node with very many neighbours is a hot key of that join, which
+    ``lookup_join`` lets Spark split. Each round is written to shared storage and the round before it dropped.
     """
     def pairs(a, b):
         return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
@@ -25,9 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("a"), F.min("b")).alias("m"))
-        larger = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = larger.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        smaller = larger.join(least, F.col("a") == F.col("u")).select("u", "m", F.col("b").alias("v"))
+        larger = lookup_join(both.where("b > a").select(F.col("a").alias("u"), "b"), least, ["u"]).select(F.col("b").alias("u"), F.col("m").alias("v"))
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
+        smaller = lookup_join(larger, least, ["u"])
         own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
         rest = smaller.where("v <> m").select(*pairs("v", "m"))
         before, edges = edges, written(own.unionByName(rest).distinct(), "links")

@@ -29,11 +29,12 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType
 
 from lakeops.llm.chunks import ragged
 from lakeops.llm.components import components
-from lakeops.llm.near_copies import set_print
+from lakeops.llm.crowds import PARITY_BLOCK, SET_BLOCK, by_parity, by_sets, compared, crowd_links, grouped, parities, set_print
 from lakeops.llm.shared import few_by_hash, written
-from lakeops.llm.simhash import allocate, unite
+from lakeops.llm.simhash import allocate
 from lakeops.llm.sketches import mixed, shingle_hashes
 from lakeops.llm.words import bounded_batches, split_words, struct_of
+from lakeops.operators.skew import lookup_join
 
 SIZE, PERCENT = 3, 90
 #: Sets that are looked at to plan with, and sets of it that share a key which is then dealt to several tasks.
@@ -42,11 +43,8 @@ PLAN_SAMPLE, HOT, SALTS = 2000, 16, 64
 OWN_COST = 64
 #: Cost of a candidate pair, in keys.
 PAIR_COST = 200.0
-#: Members that are compared at once, by parity and as whole sets; bytes of such sets.
-PARITY_BLOCK, SET_BLOCK, BLOCK_BYTES = 4096, 1024, 16 << 20
-WORDS = 8
 _SEEN = 500_000
-_SPLIT, _VALUE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_SPLIT = np.uint64(0xA0761D6478BD642F)
 
 
 # --- bands and schemes -----------------------------------------------------------------------------------
@@ -128,16 +126,6 @@ def shingle_sets(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of words per set; each element flips one of its bits."""
-    out = np.zeros((len(sets), WORDS), np.uint64)
-    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-    every = mixed(np.concatenate(sets) + _VALUE) if len(sets) else np.zeros(0, np.uint64)
-    row, bit = np.repeat(np.arange(len(sets)), lengths), (every >> np.uint64(55)).astype(np.int64)
-    np.bitwise_xor.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-    return out
-
-
 class Keys:
     """Keys of sets under some schemes."""
 
@@ -184,125 +172,6 @@ class Keys:
         return takes[by[slot]], keys.view(np.int64), scheme[by[slot]], at[slot], threshold[slot]
 
 
-# --- comparing members of a group ------------------------------------------------------------------------
-
-
-def _may_differ(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Elements that sets of these sizes may differ in; -1 if their sizes alone tell them apart."""
-    return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), (a + b) * (100 - percent) // (100 + percent), -1)
-
-
-def _apart(parity: np.ndarray, others: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(parity), len(others)), np.int64)
-    for w in range(WORDS):
-        out += np.bitwise_count(parity[:, w, None] ^ others[None, :, w])
-    return out
-
-
-def by_parity(sizes: np.ndarray, payload: list[bytes], label: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Labels of members after all pairs that sizes and parities let pass are united; ``side`` -1 meets all sides,
-    others only other sides."""
-    parity = np.frombuffer(b"".join(payload), np.uint64).reshape(len(payload), WORDS)
-    labels = np.unique(label, return_inverse=True)[1]
-    first = np.full(int(labels.max()) + 1, len(labels))
-    np.minimum.at(first, labels, np.arange(len(labels)))
-    labels = first[labels]
-    for at in range(0, len(sizes), 256):
-        part = slice(at, at + 256)
-        near = _apart(parity[part], parity) <= _may_differ(sizes[part, None], sizes[None, :], percent)
-        near &= (side[part, None] < 0) | (side[part, None] != side[None, :])
-        i, j = np.nonzero(near)
-        unite(labels, i + at, j)
-    return labels
-
-
-def by_sets(sizes: np.ndarray, payload: list[bytes], label: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """The same with the sets themselves, starting with the first member against all, so that members it links need no
-    more comparisons with each other."""
-    sets = [np.frombuffer(x, np.uint64) for x in payload]
-    parity = parities(sets)
-    labels = np.unique(label, return_inverse=True)[1]
-    first = np.full(int(labels.max()) + 1, len(labels))
-    np.minimum.at(first, labels, np.arange(len(labels)))
-    labels = first[labels]
-    for i in range(len(sets) - 1):
-        near = (labels[i + 1:] != labels[i]) & ((side[i] < 0) | (side[i + 1:] != side[i]))
-        near &= _apart(parity[i:i + 1], parity[i + 1:])[0] <= _may_differ(sizes[i], sizes[i + 1:], percent)
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if labels[i] != labels[j]:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    low, high = sorted((labels[i], labels[j]))
-                    labels[labels == high] = low
-    return labels
-
-
-def _linker(compare: Callable, percent: int):
-    """Links among rows ``root, low, high, side, fp, label, n, payload`` in order of the first three; one per member."""
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-
-        def found():
-            ids, label, sizes = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
-            side = np.array([h[0] if at[1] != at[2] else -1 for h in held], np.int64)
-            labels = compare(sizes, [h[4] for h in held], label, side, percent)
-            moved = labels != np.arange(len(labels))
-            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[labels[moved]])], ["a", "b"])
-
-        for batch in batches:
-            for root, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (root, low, high):
-                    if len(held) > 1:
-                        yield found()
-                    held, at = [], (root, low, high)
-                held.append(row)
-        if len(held) > 1:
-            yield found()
-
-    return links
-
-
-def crowd_links(members: DataFrame, compare: Callable, percent: int, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``a, b``: links that connect members ``root, fp, n, payload`` of each root as all pairs that ``compare`` unites do.
-    ``members`` is read several times, so it should be a table."""
-    run = _linker(compare, percent)
-    columns = ["root", "low", "high", "side", "fp", "label", "n", "payload"]
-
-    def linked(rows: DataFrame) -> DataFrame:
-        # Ties of an order leave labels as they are, so the order within a group does not matter.
-        return rows.select(*columns).repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "fp").mapInArrow(run, "a long, b long")
-
-    def sided(rows: DataFrame) -> DataFrame:
-        """Members with the number of blocks of their root, and the block of each."""
-        blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("payload")) / block_bytes)).cast("int")
-        crowded = written(rows.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "crowded")
-        rows = rows.join(crowded, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        return rows.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-
-    def across(rows: DataFrame) -> DataFrame:
-        """Links between the blocks of each root, every pair of blocks a group of its own (and each block with itself)."""
-        other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return linked(other.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")))
-
-    placed = sided(members.withColumn("label", F.col("fp")))
-    within = written(linked(placed.withColumn("low", F.col("side")).withColumn("high", F.col("side"))), "links")
-    crowd = placed.where("blocks > 1").drop("label", "blocks", "side")
-    if crowd.isEmpty():
-        return within
-
-    def labelled(links: DataFrame) -> DataFrame:
-        reached = written(components(links).select(F.col("node").alias("fp"), F.col("root").alias("label")), "labels")
-        return written(crowd.join(reached, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "crowd")
-
-    heads = labelled(within).where("label = fp")
-    links = written(within.unionByName(across(sided(heads))), "links")
-    rows = labelled(links)
-    open_roots = written(rows.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("root"), "open")
-    if open_roots.isEmpty():
-        return links
-    return links.unionByName(across(sided(rows.join(open_roots, "root", "left_semi"))))
-
-
 # --- the join --------------------------------------------------------------------------------------------
 
 
@@ -408,11 +277,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     tops = heads.join(heads.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b")
     loose = components(stars.where("key IS NULL").select("a", "b").unionByName(tops))
 
-    def grouped(reached: DataFrame) -> DataFrame:
-        return reached.select(F.col("node").alias("fp"), "root").unionByName(reached.select(F.col("root").alias("fp"), "root").distinct())
-
-    members = written(points.join(grouped(loose), "fp").select("root", "fp", "n", F.col("parity").alias("payload")), "members")
-    close = written(grouped(components(crowd_links(members, by_parity, percent, parity_block))), "close")
+    members = written(lookup_join(points, grouped(loose), ["fp"]).select("root", F.col("fp").alias("node"), "n", F.col("parity").alias("payload")), "members")
+    close = written(grouped(components(crowd_links(members, compared(by_parity, percent), parity_block))), "close")
     owners = points.select("fp", F.col("id").alias("owner")).join(close, "fp")
 
     @F.arrow_udf(struct_of(fp=LongType(), hashes=BinaryType()))
@@ -424,8 +290,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     # A key that repeats brings other texts along, which their own prints give away.
     texts = own.join(owners, F.col("doc_id").eqNullSafe(F.col("owner"))).select("root", "fp", whole("t").alias("x")).where("x.fp = fp")
     sets = written(texts.groupBy("fp", "root").agg(F.first("x.hashes").alias("payload")).select(
-        "root", "fp", (F.length("payload") / 8).cast("long").alias("n"), "payload"), "sets")
-    reached = grouped(components(crowd_links(sets, by_sets, percent, set_block)))
+        "root", F.col("fp").alias("node"), (F.length("payload") / 8).cast("long").alias("n"), "payload"), "sets")
+    reached = grouped(components(crowd_links(sets, compared(by_sets, percent), set_block)))
     ids = points.select("fp", "id").join(reached, "fp")
     least = written(ids.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     named = ids.select("fp", "root").join(least, "root").select("fp", "component_id")

@@ -115,10 +115,12 @@ def _measure(texts: pa.Array) -> pa.Array:
     return measure_batch(texts)
 
 
-def failure_bits() -> Column:
-    """The bits of all failed rules from columns that hold the measurements."""
-    bits = [f"IF({condition}, {1 << i}L, 0L)" for i, (_, condition) in enumerate(RULES)]
-    return F.expr(" + ".join(bits))
+def failure_bits(of: str = "") -> Column:
+    """The bits of all failed rules from columns that hold the measurements, or from fields of the struct ``of``."""
+    def named(condition: str) -> str:
+        return " ".join(f"{of}.{t}" if of and t in MEASURES else t for t in condition.split())
+
+    return F.expr(" + ".join(f"IF({named(condition)}, {1 << i}L, 0L)" for i, (_, condition) in enumerate(RULES)))
 
 
 def ledger(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -155,10 +157,6 @@ def ablation(entries: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 def keep_passing(docs: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that pass a policy."""
     bounded_batches(docs.sparkSession)
-    m = _measure(F.col(text))
-    conditions = [condition for name, condition in RULES if name in policy.rules]
     names = set(docs.columns)
     held = next(h for h in (f"__measured{i}" for i in range(len(names) + 1)) if h not in names)
-    failed = " OR ".join(
-        "(" + " ".join(f"{held}.{t}" if t in MEASURES else t for t in condition.split()) + ")" for condition in conditions)
-    return docs.withColumn(held, m).where(f"NOT ({failed})").drop(held)
+    return docs.withColumn(held, _measure(F.col(text))).where(failure_bits(held).bitwiseAND(F.lit(policy.mask)) == 0).drop(held)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeops.operators.skew import lookup_join
 from lakeops.sources.store import Store
 
 
@@ -180,7 +181,7 @@ class BlobLedger:
 
     def report(self, versions: DataFrame) -> DataFrame:
         """``path, blob, spans`` for every version; ``spans`` is empty for clean ones."""
-        return versions.join(self.spans(), "blob", "left").select(
+        return lookup_join(versions, self.spans(), ["blob"], "left").select(
             "path", "blob", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,covered:bigint>>")).alias("spans"))
 
 
@@ -213,6 +214,6 @@ def scan_and_redact(docs: DataFrame, ledger: BlobLedger, key: str = "doc_id", te
     names = {*docs.columns}
     own = next(f"__blob{i}" for i in range(len(names) + 1) if f"__blob{i}" not in names)
     spans = ledger.spans().select(F.col("blob").alias(own), F.col("spans").alias(f"{own}_spans")).hint("shuffle_hash")
-    joined = docs.join(spans, blob_of(text) == F.col(own), "left")
+    joined = lookup_join(docs.withColumn(own, blob_of(text)), spans, [own], "left")
     found = F.col(f"{own}_spans")
     return joined.withColumn(text, F.when(found.isNull(), F.col(text)).otherwise(redacted(F.col(text), found))).select(*docs.columns)

@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lakeops.llm.components import components
+from lakeops.llm.crowds import crowd_links, unite
 from lakeops.llm.shared import few_by_hash, written
 from lakeops.llm.words import bounded_batches, flat
+from lakeops.operators.skew import lookup_join
 
 BITS = 64
 SEED = 42
 #: Fingerprints that are looked at to plan partitions and thresholds.
 PLAN_SAMPLE = 4000
-#: Members of one key that are compared at once; larger groups are cut into blocks, and pairs of blocks are tasks' work.
+#: Members of one key that are compared at once; larger groups are cut into blocks (``crowds``).
 BLOCK = 1024
 #: Cost of shuffling one key, in candidate comparisons.
 KEY_COST = 300.0
@@ -146,17 +148,6 @@ def keys_of(prints: np.ndarray, partitions: list[tuple[list[int], int]]) -> Iter
 # --- probe and verify ---------------------------------------------------------------------------------
 
 
-def unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merge the groups of i and j; labels point to the smallest member."""
-    while len(i):
-        a, b = labels[i], labels[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(labels[labels], labels):
-            labels[:] = labels[labels]
-
-
 def _large_run(prints: np.ndarray, side: np.ndarray, cross: bool, distance: int) -> np.ndarray:
     labels = np.arange(len(prints))
     for at in range(0, len(prints), 256):
@@ -229,16 +220,13 @@ def near_links(points: DataFrame, distance: int, block: int = BLOCK) -> DataFram
         if held is not None:
             yield found(held)
 
+    def linked(rows: DataFrame) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+        columns = [F.col("root").alias("bucket"), "low", "high", "side", F.col("node").alias("id"), "fp"]
+        return rows.select(*columns).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side").mapInArrow(links, "a long, b long")
+
     keyed = written(points.select("id", "fp").mapInArrow(key_rows, "bucket long, id long, fp long"), "keys")
-    crowded = written(keyed.groupBy("bucket").count().where(F.col("count") > block), "crowded")
-    keyed = keyed.join(crowded, "bucket", "left")
-    blocks = F.ceil(F.coalesce("count", F.lit(1)) / block).cast("int")
-    salted = keyed.select("bucket", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("side"))
-    paired = salted.select("bucket", "side", "id", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = paired.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "id", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    ordered = paired.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side")
-    return ordered.mapInArrow(links, "a long, b long")
+    return crowd_links(keyed.select(F.col("bucket").alias("root"), F.col("id").alias("node"), "fp"), linked, block)
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -255,7 +243,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, key: str = "doc_id", tex
     reached = components(near_links(points, distance, block))
     named = points.join(reached, F.col("id") == F.col("node"), "left").select(
         F.col("fp"), F.coalesce("root", "id").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return lookup_join(prints, named, ["fp"], "left").select("doc_id", "fp", "component_id")
 
 
 def first_rows(docs: DataFrame, groups: DataFrame, print_of: Callable, key: str, text: str) -> DataFrame:
@@ -288,5 +276,5 @@ def one_of_each(docs: DataFrame, distance: int = 4, key: str = "doc_id", text: s
     prints = written(fingerprints(docs.where(F.col(key).isNotNull()), key, text), "fingerprints")
     points = written(prints.select(F.col("fp").alias("id"), "fp").distinct(), "points")
     reached = components(near_links(points, distance))
-    groups = prints.join(reached, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("component_id"))
+    groups = lookup_join(prints, reached.withColumnRenamed("node", "fp"), ["fp"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("component_id"))
     return first_rows(docs, groups, _fingerprint, key, text)

@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from lakeops.llm import QUERIES, jaccard_join
+from lakeops.llm import QUERIES, crowds, jaccard_join
 from tests.llm.test_simhash import plain_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,8 +112,8 @@ def test_parities_never_part_what_belongs_together():
     for n in (1, 30, 500, 5000):
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = np.union1d(a[n // 20:], rng.integers(0, 2**63, n // 20).astype(np.uint64))
-        p = jaccard_join.parities([a, b])
-        assert jaccard_join._apart(p[:1], p[1:])[0, 0] <= len(np.setxor1d(a, b))
+        p = crowds.parities([a, b])
+        assert crowds._apart(p[:1], p[1:])[0, 0] <= len(np.setxor1d(a, b))
 
 
 def test_a_crowd_costs_about_its_members(monkeypatch):
@@ -122,8 +122,8 @@ def test_a_crowd_costs_about_its_members(monkeypatch):
     centre = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
     sets = [np.union1d(np.delete(centre, rng.integers(400, size=4)), rng.integers(0, 2**63, 2).astype(np.uint64)) for _ in range(300)]
     real = np.intersect1d
-    monkeypatch.setattr(jaccard_join.np, "intersect1d", lambda *a, **k: calls.append(1) or real(*a, **k))
-    labels = jaccard_join.by_sets(np.array([len(s) for s in sets]), [s.tobytes() for s in sets], np.arange(300), np.full(300, -1), 90)
+    monkeypatch.setattr(crowds.np, "intersect1d", lambda *a, **k: calls.append(1) or real(*a, **k))
+    labels = crowds.by_sets(np.array([len(s) for s in sets]), [s.tobytes() for s in sets], np.arange(300), np.full(300, -1), 90)
     assert not labels.any() and len(calls) < 2 * len(sets)
 
 

@@ -1,15 +1,16 @@
 """The pipeline against a brute-force version of its stages."""
 
 import collections
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lakeops.llm import quality_model, quality_rules
-from tests.llm.test_rules_and_urls import plain_measures, plain_redacted
-from tests.llm.test_simhash import plain_groups
+from lakeops.llm import quality_model, quality_rules, secret_scan
+from tests.llm.test_near_copies import exact_groups
+from tests.llm.test_rules_and_urls import plain_measures, plain_spans
 from tests.llm.test_tokens import WORD_BPE, crc, plain_coders
 
 
@@ -18,13 +19,25 @@ def plain_keeps(text):
     return not any(eval(condition, {}, m) for _, condition in quality_rules.RULES)
 
 
+def plain_masked(text):
+    """All kinds of secrets masked, private keys with their bodies."""
+    pem = [k for k, r in enumerate(secret_scan.RULES) if r.kind == "pem"]
+    spans = [(a, b) for a, k, b in plain_spans(text) if k not in pem] + [m.span() for m in re.finditer(secret_scan.PEM_KEY, text, re.A)]
+    out, at = [], 0
+    for start, stop in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "[secret]"]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
 def plain_pipeline(rows, model):
-    rows = [(k, t) for k, t in rows if plain_keeps(t)]
+    rows = sorted((k, t) for k, t in rows if plain_keeps(t))
     tails = model.tails(model.score(pa.array([t for _, t in rows], pa.large_string())))
-    rows = [r for r, p in zip(rows, tails[:, 0]) if p >= 0.5]
-    firsts = {c for _, _, c in plain_groups(rows)}
-    rows = [(k, t) for k, t in rows if k in firsts]
-    return {k: plain_coders[WORD_BPE](plain_redacted(t)) + [2] for k, t in rows}
+    rows = [r for r, p in zip(rows, tails[:, -1]) if p >= model.cut]
+    roots, _ = exact_groups([t for _, t in rows])
+    rows = [r for i, r in enumerate(rows) if roots[i] == i]
+    return {k: plain_coders[WORD_BPE](plain_masked(t)) + [2] for k, t in rows}
 
 
 def test_pipeline_is_its_stages_by_brute_force(spark, sf):
