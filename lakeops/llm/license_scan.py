@@ -192,10 +192,10 @@ def _runs(text: str, n: int) -> list[tuple[str, ...]]:
 
 
 def fit(docs: DataFrame, rows: int = FIT_DOCS, text: str = "text", key: str = "doc_id") -> LicenceModel:
-    """A model for a corpus; at most ``rows`` of its documents (smallest hashes of their keys), twenty
-    paragraphs of each and 400 characters of a paragraph, serve as examples without a licence. Rows
-    without a key do not; of rows that share a key, one does."""
-    lines = F.transform(F.slice(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), 1, 20), lambda x: F.substring(x, 1, 400))
+    """A model for a corpus; the paragraphs of at most ``rows`` of its documents (smallest hashes of their
+    keys) serve as examples without a licence. Rows without a key do not; of rows that share a key, one
+    does."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     keys = few_by_hash(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k")), "k", rows).distinct()
     chosen = docs.select(F.col(key).alias("own"), lines.alias("lines")).join(F.broadcast(keys), F.col("own") == F.col("k"))
     found = chosen.groupBy("k").agg(F.min("lines").alias("lines")).orderBy("k").collect()
