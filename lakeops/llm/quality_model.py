@@ -126,9 +126,8 @@ def fit_ordinal(
 #: Share of held-out clean documents that the cut for the best grade lets through, and of labelled documents held out.
 CLEAN_KEPT = 0.995
 HELD_OUT = 0.25
-#: Deviations by which the share of documents with a feature must differ between grades; with fewer rows than
-#: ``TELLING_ROWS`` all features count.
-TELLING, TELLING_ROWS = 5.0, 1000
+#: Deviations by which the share of documents with a feature must differ between grades.
+TELLING = 5.0
 
 #: Grade 0: low quality. Grade 1: good, but toxic. Grade 2: good.
 GRADE = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END"
@@ -159,8 +158,6 @@ def telling(owner: np.ndarray, feature: np.ndarray, grades: np.ndarray, least: f
     """Which features tell low from other documents, or toxic from good ones. Words that a few toxic documents
     happen to have would drown the few that make them toxic."""
     count = np.bincount(grades, minlength=GRADES)
-    if len(grades) < TELLING_ROWS:
-        return np.ones(DIMENSIONS, bool)
     have = np.stack([np.bincount(feature[grades[owner] == k], minlength=DIMENSIONS) for k in range(GRADES)])
     out = np.zeros(DIMENSIONS, bool)
     for k in range(GRADES - 1):
