@@ -14,8 +14,8 @@ from lakeops.operators.nested import resource_docs, table_docs, variable_docs
 from lakeops.plans.catalog_load import load_catalog
 from lakeops.sources.registry import union_by_name
 from lakeops.sources.versions import VersionedTables
-from lakeops.session import scratch_dir
-from lakeops.sinks.bulk import bulk_documents, write_bulk
+from lakeops.session import durable, scratch_dir
+from lakeops.sinks.bulk import read_bulk, write_bulk
 from lakeops.sinks.release import publish_dictionary
 
 CODE = "africa"
@@ -155,26 +155,30 @@ def d3_variable_centric(spark, sf):
 
 
 @query("k8_index_documents", """
-    SELECT v.id AS var_id, v.name AS var_name, CAST(greatest(1, ceil(coalesce(c.n, 0) * 2 / 8.0)) AS BIGINT) AS n_documents,
-           CAST(greatest(1, ceil(coalesce(c.n, 0) * 2 / 8.0)) AS BIGINT) AS n_ids, coalesce(c.n, 0) AS n_codes, coalesce(c.digest, md5('')) AS codes_md5
-    FROM variable v
+    SELECT d.chunk, d.var_id, v.name AS var_name, count(*) AS n_documents, min(d.ordinal) AS first_ordinal,
+           any_value(coalesce(c.n, 0)) AS n_codes, any_value(coalesce(c.digest, md5(''))) AS codes_md5
+    FROM (SELECT var_id, row_number() OVER (ORDER BY var_id, part) - 1 AS ordinal, (row_number() OVER (ORDER BY var_id, part) - 1) // 30 AS chunk
+          FROM (SELECT v.id AS var_id, unnest(range(CAST(greatest(1, ceil(coalesce(c.n, 0) * 2 / 8.0)) AS BIGINT))) AS part
+                FROM variable v LEFT JOIN (SELECT value_set_id, count(*) AS n FROM value_set_code GROUP BY 1) c ON c.value_set_id = v.value_set_id)) d
+    JOIN variable v ON v.id = d.var_id
     LEFT JOIN (SELECT value_set_id, count(*) AS n, md5(string_agg(code, ',' ORDER BY code)) AS digest FROM value_set_code GROUP BY 1) c
            ON c.value_set_id = v.value_set_id
+    GROUP BY d.chunk, d.var_id, v.name
 """, _ALL)
 def k8_index_documents(spark, sf):
-    """Documents are delivered as JSON lines and read back. Small chunks and small parts show that every
-    document has an id of its own and that no nested object is lost between them."""
+    """Documents are delivered as JSON lines and read back chunk by chunk, by their byte ranges. Small chunks and
+    small parts show that chunks keep the order, and that no nested object is lost between documents."""
     path = scratch_dir(spark, "bulk")
-    write_bulk(bulk_documents(variable_docs(fx.catalog(spark, sf), limit=8), "var_id", chunk=30), path)
-    lines = spark.read.schema("value string, chunk bigint").text(path)
-    body = F.from_json(F.get_json_object("value", "$._source"),
+    write_bulk(variable_docs(fx.catalog(spark, sf), limit=8), path, "var_id", chunk=30)
+    body = F.from_json(F.get_json_object("line", "$._source"),
                        "var_id bigint, var_name string, part int, value_set struct<values: array<struct<vsval_code: string>>>")
-    read = lines.select(F.get_json_object("value", "$._id").alias("id"), body.alias("b")).select("id", "b.*")
+    read = durable(read_bulk(spark, path).select("chunk", "ordinal", body.alias("b")).select("chunk", "ordinal", "b.*"))
     codes = F.transform(F.coalesce("value_set.values", F.array().cast("array<struct<vsval_code: string>>")), lambda v: v["vsval_code"])
-    return read.withColumn("codes", codes).groupBy("var_id", "var_name").agg(
-        F.count(F.lit(1)).alias("n_documents"), F.countDistinct("id").alias("n_ids"),
+    whole = read.withColumn("codes", codes).groupBy("var_id").agg(
         F.sum(F.size("codes")).cast("bigint").alias("n_codes"),
         F.md5(F.array_join(F.array_sort(F.flatten(F.collect_list("codes"))), ",")).alias("codes_md5"))
+    return read.groupBy("chunk", "var_id", "var_name").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.min("ordinal").alias("first_ordinal")).join(whole, "var_id")
 
 
 # What tells the rows of each published sheet apart.

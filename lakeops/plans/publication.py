@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeops.operators.catalog import Catalog, dictionary, expand_lineage, published_resource
 from lakeops.operators.nested import ID_COLUMNS, resource_docs, table_docs, variable_docs
 from lakeops.session import durable, forget
-from lakeops.sinks.bulk import bulk_documents, write_bulk
+from lakeops.sinks.bulk import write_bulk
 from lakeops.sinks.release import check_version, publish_dictionary, publish_release
 from lakeops.sources.registry import Registry
 
@@ -37,7 +37,7 @@ def publish_search(cat: Catalog, code: str, out: str) -> list[str]:
     lineage = durable(expand_lineage(cat))  # the costly part, common to all three kinds
     for kind, build in (("resource_centric", resource_docs), ("table_centric", table_docs), ("variable_centric", variable_docs)):
         path = f"{out.rstrip('/')}/{kind}"
-        write_bulk(bulk_documents(build(cat, lineage=lineage), ID_COLUMNS[kind]), path)
+        write_bulk(build(cat, lineage=lineage), path, ID_COLUMNS[kind])
         written.append(path)
     forget(lineage)
     return written

@@ -1,52 +1,158 @@
-"""Search documents as bulk chunks of JSON lines."""
+"""Search documents as JSON lines in few files, with a table of the byte ranges of bulk chunks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeops.operators.ordering import with_ordinals
 from lakeops.session import durable
+from lakeops.sources.listing import place_of
+from lakeops.sources.store import Store
 
 # Fixed value: documents per bulk request.
 CHUNK = 50_000
 
 _MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_BLOCK = 4 << 20
 
 
-def bulk_documents(docs: DataFrame, id_column: str, chunk: int = CHUNK) -> DataFrame:
-    """``(chunk, ordinal, id, source)``: the documents as JSON in id order, numbered in chunks.
+def bulk_documents(docs: DataFrame, id_column: str) -> DataFrame:
+    """The key columns, ``id`` and ``source``: the documents as JSON.
 
     ``id`` names one document: the source's id, and ``-`` and the part where documents come in parts.
     The whole document is the body, its part included. Timestamps are written out in microseconds,
-    which JSON generation would cut to milliseconds. The documents are built once and materialized.
+    which JSON generation would cut to milliseconds.
     """
     stamps = [f.name for f in docs.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     texts = docs.withColumns({c: F.date_format(c, _MICROS) for c in stamps}) if stamps else docs
-    keys = [id_column] + (["part"] if "part" in docs.columns else [])
+    keys = bulk_keys(docs, id_column)
     body = F.to_json(F.struct(*texts.columns), {"ignoreNullFields": "false"}).alias("source")
-    built = durable(texts.select(*keys, body))
-    # Only the keys are put in order; the bodies move once, to their position.
-    numbered = built.join(with_ordinals(built.select(*keys), [F.col(k) for k in keys]), keys)
-    name = F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
-    return numbered.select(F.floor(F.col("ordinal") / chunk).alias("chunk"), "ordinal", name.alias("id"), "source")
-
-
-def require_distinct_ids(bulk: DataFrame) -> None:
-    """An index keeps the last of several documents with one id, so there must not be several."""
-    doubled = bulk.groupBy("id").count().where("count > 1").limit(1).collect()
-    if doubled:
-        raise ValueError(f"{doubled[0]['count']} documents share the id {doubled[0]['id']!r}")
-
-
-def write_bulk(bulk: DataFrame, path: str) -> None:
-    """One folder of JSON lines per chunk, in order within it; one task per chunk, bounded by its size.
-    Ids that are not distinct are an error, raised before anything is written."""
-    bulk = durable(bulk)
-    require_distinct_ids(bulk)
-    (
-        bulk.repartition("chunk").sortWithinPartitions("chunk", "ordinal")
-        .select("chunk", F.to_json(F.struct(F.col("id").alias("_id"), F.col("source").alias("_source"))).alias("value"))
-        .write.mode("overwrite").partitionBy("chunk").text(path)
-    )
+    return texts.select(*keys, F.concat_ws("-", *[F.col(k).cast("string") for k in keys]).alias("id"), body)
+
+
+def bulk_keys(docs: DataFrame, id_column: str) -> list[str]:
+    return [id_column] + (["part"] if "part" in docs.columns else [])
+
+
+def _writer(folder: str):
+    """Lines of a task in one file, and where each of them lies. A task that runs again writes the same file."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base, _ = place_of(folder)
+        number = TaskContext.get().partitionId()
+        name, draft = f"part-{number:06d}.jsonl", f"{base}/.{uuid.uuid4().hex}.partial"
+        place = at = 0
+        last = stream = None
+        try:
+            for batch in batches:
+                ids, lines = (batch.column(c).to_pylist() for c in ("id", "line"))
+                if not ids:
+                    continue
+                stream = stream or where.open_output_stream(draft)
+                for one, two in zip([last, *ids], ids):
+                    if one == two:
+                        raise ValueError(f"several documents share the id {two!r}")
+                last = ids[-1]
+                data = [line.encode() + b"\n" for line in lines]
+                stream.write(b"".join(data))
+                sizes = [len(x) for x in data]
+                starts = [at]
+                for n in sizes:
+                    starts.append(starts[-1] + n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * len(ids), pa.int32()), pa.array([name] * len(ids)), pa.array(range(place, place + len(ids))), pa.array(ids),
+                     pa.array(starts[:-1]), pa.array(sizes)], ["number", "file", "place", "id", "start", "n_bytes"])
+                place, at = place + len(ids), starts[-1]
+            if stream:
+                stream.close()
+                where.move(draft, f"{base}/{name}")
+        except Exception:
+            if stream:
+                stream.close()
+                where.delete_file(draft)
+            raise
+
+    return write
+
+
+def write_bulk(docs: DataFrame, path: str, id_column: str, chunk: int = CHUNK) -> DataFrame:
+    """Write the documents in id order and return the table of chunks, which is written beside them.
+
+    ``path/data`` holds one file of JSON lines per range of ids, ``path/chunks`` one row per chunk and file
+    that it lies in: ``chunk, first_ordinal, n, file, start, n_bytes, first_id, last_id``. A chunk is the next
+    ``chunk`` documents of the order; where it begins is known once every file's documents are counted,
+    so a body is shuffled once, by its id, and written once. Files are as many as the sort has
+    partitions, however many chunks there are.
+
+    Documents that share an id meet in one task, which fails; ``path`` is replaced only by a whole result.
+    """
+    spark = docs.sparkSession
+    store = Store(spark)
+    staged = f"{store.qualified(path).rstrip('/')}__staged-{uuid.uuid4().hex[:8]}"
+    store.make_dirs(f"{staged}/data")
+    bulk = bulk_documents(docs, id_column)
+    keys = bulk_keys(docs, id_column)
+    line = F.concat(F.lit('{"_id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(',"_source":'), "source", F.lit("}"))
+    ordered = bulk.select(*keys, "id", line.alias("line")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    try:
+        lines = durable(ordered.select("id", "line").mapInArrow(
+            _writer(f"{staged}/data"), "number int, file string, place bigint, id string, start bigint, n_bytes bigint"))
+        # One row per file adds up.
+        files = lines.groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+        bases = files.select("number", (F.sum("n").over(Window.orderBy("number")) - F.col("n")).alias("base"))
+        ordinal = F.col("base") + F.col("place")
+        numbered = lines.join(bases, "number").select("*", ordinal.alias("ordinal"), F.floor(ordinal / chunk).alias("chunk"))
+        ranges = numbered.groupBy("chunk", "file").agg(
+            F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.sum("n_bytes").alias("n_bytes"),
+            F.min_by("id", "ordinal").alias("first_id"), F.max_by("id", "ordinal").alias("last_id"))
+        ranges.coalesce(1).write.parquet(f"{staged}/chunks")
+    except Exception as error:
+        store.delete(staged)
+        shared = re.search(r"several documents share the id .*", str(error))
+        if shared:
+            raise ValueError(shared.group()) from error
+        raise
+    store.swap(store.qualified(path), staged)
+    return read_chunks(spark, path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The table of chunks that ``write_bulk`` has left."""
+    return spark.read.parquet(f"{path.rstrip('/')}/chunks")
+
+
+def read_bulk(spark: SparkSession, path: str) -> DataFrame:
+    """``chunk, ordinal, line``: the documents by their chunks, each range of a file read by the task that is
+    dealt it, some megabytes at a time."""
+    folder = f"{Store(spark).qualified(path).rstrip('/')}/data"
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base, _ = place_of(folder)
+
+        def rows(chunk, ordinal, lines):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(lines), pa.int64()), pa.array(range(ordinal, ordinal + len(lines)), pa.int64()), pa.array(lines, pa.binary()).cast(pa.string())],
+                ["chunk", "ordinal", "line"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                with where.open_input_file(f"{base}/{row['file']}") as stream:
+                    stream.seek(row["start"])
+                    left, rest, ordinal = row["n_bytes"], b"", row["first_ordinal"]
+                    while left:
+                        data = stream.read(min(left, _BLOCK))
+                        left -= len(data)
+                        *lines, rest = (rest + data).split(b"\n")
+                        if lines:
+                            yield rows(row["chunk"], ordinal, lines)
+                            ordinal += len(lines)
+
+    tasks = spark.sparkContext.defaultParallelism * 4
+    columns = ["chunk", "first_ordinal", "file", "start", "n_bytes"]
+    return read_chunks(spark, path).select(*columns).repartition(tasks, "chunk", "file").mapInArrow(fetch, "chunk bigint, ordinal bigint, line string")

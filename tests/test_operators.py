@@ -399,12 +399,10 @@ def test_large_documents_come_in_parts_that_lose_nothing(spark, sf):
 
 def test_documents_are_indexed_once_per_part(spark, sf, fresh):
     docs = variable_docs(fx.catalog(spark, sf), limit=2)
-    bulk = bulk_documents(docs, "var_id", chunk=50)
-    ids = [r.id for r in bulk.collect()]
+    ids = [r.id for r in bulk_documents(docs, "var_id").collect()]
     assert len(set(ids)) == len(ids) == docs.count() and any(i.endswith("-1") for i in ids)
-    doubled = bulk.unionByName(bulk.where("id = '0-0'"))
     with pytest.raises(ValueError, match="share the id '0-0'"):
-        write_bulk(doubled, fresh())
+        write_bulk(docs.unionByName(docs.where("var_id = 0 AND part = 0")), fresh(), "var_id")
 
 
 def test_a_bad_parser_result_is_a_failed_document(spark):

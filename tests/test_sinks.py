@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -5,7 +7,7 @@ from pyspark.sql import types as T
 from lakeops.operators.documents import parse_documents
 from lakeops.operators.maintenance import compact, drop_old_versions, retained_versions
 from lakeops.plans.document_job import run_document_job
-from lakeops.sinks.bulk import bulk_documents
+from lakeops.sinks.bulk import read_bulk, write_bulk
 from lakeops.sinks.refresh import refresh_tables, to_declared
 from lakeops.sinks.release import (
     check_version, dictionary_bucket, output_path, publish_release, release_path, release_table, release_version,
@@ -212,12 +214,34 @@ def test_publishing_cleans_and_names_tables(spark, fresh):
     assert [(r.k, r.v) for r in rows] == [("1", "ab")]
 
 
-def test_bulk_chunks_keep_the_order_of_ids(spark):
+def test_bulk_chunks_keep_the_order_of_ids(spark, fresh):
+    path = fresh()
     docs = spark.range(0, 1000).select((F.lit(999) - F.col("id")).alias("doc_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00.123456'").alias("t"))
-    got = bulk_documents(docs.repartition(7), "doc_id", chunk=300).orderBy("ordinal").collect()
-    assert [r.id for r in got] == [str(i) for i in range(1000)] and [r.ordinal for r in got] == list(range(1000))
+    chunks = write_bulk(docs.repartition(7), path, "doc_id", chunk=300).orderBy("first_ordinal").collect()
+    got = read_bulk(spark, path).orderBy("ordinal").collect()
+    lines = [json.loads(r.line) for r in got]
+    assert [x["_id"] for x in lines] == [str(i) for i in range(1000)] and [r.ordinal for r in got] == list(range(1000))
     assert [r.chunk for r in got] == [i // 300 for i in range(1000)]
-    assert '"t":"2024-01-01T00:00:00.123456"' in got[0].source
+    assert lines[0]["_source"] == {"doc_id": 0, "t": "2024-01-01T00:00:00.123456"}
+    # Ranges of chunks are gapless, and files are as many as the sort has partitions, not as chunks.
+    assert [c.first_ordinal + c.n for c in chunks] == [*[c.first_ordinal for c in chunks[1:]], 1000]
+    assert [(c.first_id, c.last_id) for c in chunks] == [(str(c.first_ordinal), str(c.first_ordinal + c.n - 1)) for c in chunks]
+    small = write_bulk(docs.repartition(7), path, "doc_id", chunk=3)
+    assert small.select("chunk").distinct().count() == 334
+    assert len([r for r in list_objects(spark, f"{path}/data").collect()]) <= 4
+
+
+def test_bulk_that_fails_leaves_what_was_there(spark, fresh):
+    path = fresh()
+    good = spark.range(20).withColumnRenamed("id", "doc_id")
+    write_bulk(good, path, "doc_id")
+    with pytest.raises(ValueError, match="share the id '7'"):
+        write_bulk(good.unionByName(good.where("doc_id = 7")), path, "doc_id")
+    assert read_bulk(spark, path).count() == 20
+    folder, name = path.rsplit("/", 1)
+    assert [r.key for r in list_objects(spark, folder).where(F.col("key").contains("staged")).collect()] == []
+    write_bulk(good.limit(0), path, "doc_id")
+    assert read_bulk(spark, path).count() == 0
 
 
 def numbered(spark, first, n, files, partition, path, mode="errorifexists"):
