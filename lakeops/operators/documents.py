@@ -13,6 +13,7 @@ from lakeops.functions.documents import (
     base64_padding, document_format, lenient_base64, padded_enough, strict_base64, tree_path,
 )
 from lakeops.operators.once import evaluate_once
+from lakeops.operators.supervised import Supervised
 
 # Columns of the two outputs, and the statuses and errors found in them.
 REPORT_SCHEMA = (
@@ -53,12 +54,14 @@ def decode_documents(df: DataFrame, payload: str) -> DataFrame:
     return told.withColumn("parse_status", F.when(fmt != "pdf", "skipped")).withColumn("parse_error", problem)
 
 
-def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> DataFrame:
+def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser], limit_seconds: float | None = None) -> DataFrame:
     """One row per document: the report columns and the tables found in it.
 
     Skipped documents pass through in the same scan and their bytes never reach Python.
     ``make_parser`` runs once per task, so a costly model is loaded once. A document that raises or
-    ends in any status but success is reported and never fails its batch.
+    ends in any status but success is reported and never fails its batch. With ``limit_seconds`` the
+    parser runs in a process of its own; a document that takes longer is a failure, the process is ended
+    and the next document gets a new one.
     """
 
     def unpack(result):
@@ -72,7 +75,7 @@ def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> Da
         return status, str(result["markdown"]), tables
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = make_parser()
+        parser = Supervised(make_parser, limit_seconds) if limit_seconds else make_parser()
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
@@ -86,6 +89,8 @@ def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser]) -> Da
                 problem = None if status in PARSED else PARSE_FAILED
                 rows.append((row.hl7_id, row.dte_of_message, markdown, row.source_format, status, problem, tables))
             yield pd.DataFrame(rows, columns=[*REPORT_COLUMNS, "tables"])
+        if limit_seconds:
+            parser.close()
 
     payload = F.when(F.col("parse_status").isNull(), F.col("raw")).alias("raw")
     given = decoded.select("hl7_id", "dte_of_message", payload, "source_format", "parse_status", "parse_error")

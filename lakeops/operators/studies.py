@@ -15,6 +15,7 @@ from lakeops.functions.studies import (
     glob_base, glob_regex, glob_stem, has_glob, is_prefix_glob, is_report_path, study_accession, study_exam_date,
 )
 from lakeops.operators.skew import lookup_join
+from lakeops.operators.supervised import ItemFailed, Supervised
 from lakeops.session import durable
 
 
@@ -306,6 +307,9 @@ def problem_report(outcomes: DataFrame) -> DataFrame:
     ).select(*REPORT_COLUMNS)
 
 
+# Fixed value: seconds that the conversion of one study may take.
+CONVERT_SECONDS = 1800.0
+
 # A converter takes the facts of one study and returns exit code, number of files written and log.
 Converter = Callable[[dict[str, Any]], dict[str, Any]]
 
@@ -315,14 +319,16 @@ Cleaner = Callable[[dict[str, Any]], None]
 
 def convert_studies(
     facts: DataFrame, make_converter: Callable[[], Converter], skip_existing: bool = True, tasks: int | None = None,
-    make_cleaner: Callable[[], Cleaner] | None = None,
+    make_cleaner: Callable[[], Cleaner] | None = None, limit_seconds: float | None = CONVERT_SECONDS,
 ) -> DataFrame:
     """Run a converter on each study and add ``rc``, ``output_files``, ``log`` and ``error``.
 
     ``facts`` has one row per study with ``study``, ``n_objects`` and ``output_exists``; the
     converter fetches the objects below the study itself, so no task ever holds the listing of one.
     With ``skip_existing`` off, a cleaner removes earlier output of a study before it is converted again.
-    An exception becomes the error of its own study. Rows are spread by study over a fixed number of
+    An exception becomes the error of its own study, and so does a conversion that takes longer than
+    ``limit_seconds``: it runs in a process of its own, which is ended then, and the next study gets a
+    new one. Without a limit the converter runs in the task itself. Rows are spread by study over a fixed number of
     tasks: they are tiny but each takes long, and coalescing by size would serialize them.
     """
     spark = facts.sparkSession
@@ -330,7 +336,7 @@ def convert_studies(
     schema = f"{', '.join(f'`{n}` {t}' for n, t in facts.dtypes)}, rc int, output_files bigint, log string, error string"
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        converter = make_converter()
+        converter = Supervised(make_converter, limit_seconds) if limit_seconds else make_converter()
         cleaner = make_cleaner() if make_cleaner else None
         for batch in batches:
             results = []
@@ -343,11 +349,15 @@ def convert_studies(
                         cleaner(row)
                     done = converter(row)
                     results.append((done["rc"], done["output_files"], done["log"], None))
+                except ItemFailed as bad:
+                    results.append((None, None, None, str(bad)))
                 except Exception as bad:  # one study never takes the batch with it
                     results.append((None, None, None, f"{type(bad).__name__}: {bad}"))
             added = pd.DataFrame(results, columns=["rc", "output_files", "log", "error"], index=batch.index)
             added = added.astype({"rc": "Int32", "output_files": "Int64"})
             yield pd.concat([batch, added], axis=1)
+        if limit_seconds:
+            converter.close()
 
     return facts.repartition(tasks, "study").mapInPandas(convert, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeops.functions.studies import REPORT_COLUMNS
 from lakeops.operators.ordering import first_appearance, with_ordinals
 from lakeops.operators.studies import (
-    Cleaner, Converter, check_selection, classify_studies, convert_studies, match_studies, missing_studies, objects_of_studies,
+    CONVERT_SECONDS, Cleaner, Converter, check_selection, classify_studies, convert_studies, match_studies, missing_studies, objects_of_studies,
     problem_report, report_only, split_existing, status_summary,
 )
 from lakeops.session import durable
@@ -59,7 +59,7 @@ def resolve_studies(objects: DataFrame, patterns: DataFrame, verify: bool = Fals
 def convert(
     spark: SparkSession, studies: DataFrame, objects: DataFrame, outputs: DataFrame,
     make_converter: Callable[[], Converter], report_path: str, skip_existing: bool = True,
-    make_cleaner: Callable[[], Cleaner] | None = None,
+    make_cleaner: Callable[[], Cleaner] | None = None, limit_seconds: float | None = CONVERT_SECONDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Convert studies, write the problem report, return outcomes and the count per status.
 
@@ -72,7 +72,7 @@ def convert(
         studies.select("study").join(known, "study", "left").join(done, "study", "left")
         .fillna(0, ["n_objects"]).fillna(False, ["report_only", "output_exists"])
     )
-    outcomes = durable(classify_studies(convert_studies(facts, make_converter, skip_existing, make_cleaner=make_cleaner), skip_existing))
+    outcomes = durable(classify_studies(convert_studies(facts, make_converter, skip_existing, make_cleaner=make_cleaner, limit_seconds=limit_seconds), skip_existing))
     write_report(problem_report(outcomes), report_path)
     return outcomes, status_summary(outcomes)
 
@@ -97,11 +97,12 @@ def run_study_job(
     spark: SparkSession, objects: DataFrame, outputs: DataFrame, make_converter: Callable[[], Converter], report_path: str,
     parent: str, paths: list[str] | None = None, cohort_bucket: str | None = None, cohort_key: str | None = None,
     verify: bool = False, skip_existing: bool = True, make_cleaner: Callable[[], Cleaner] | None = None,
+    limit_seconds: float | None = CONVERT_SECONDS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Select, resolve, convert and report: outcomes, the count per status, and what resolved to nothing."""
     patterns = selected_patterns(spark, paths, cohort_bucket, cohort_key, parent)
     studies, missing = resolve_studies(objects, patterns, verify)
     studies = durable(studies)
     held = objects_of_studies(objects, studies)
-    outcomes, counts = convert(spark, studies, held, outputs, make_converter, report_path, skip_existing, make_cleaner)
+    outcomes, counts = convert(spark, studies, held, outputs, make_converter, report_path, skip_existing, make_cleaner, limit_seconds)
     return outcomes, counts, missing
