@@ -43,7 +43,7 @@ def is_hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name)
 
 
-def _entered(found: deque, where, budget: int) -> Iterator[tuple[str, int | None]]:
+def _entered(found: deque, where, budget: int, hidden: bool) -> Iterator[tuple[str, int | None]]:
     """Files at and below the folders, as far as the budget goes; then the folders that are left, without a size."""
     from pyarrow import fs
 
@@ -55,7 +55,7 @@ def _entered(found: deque, where, budget: int) -> Iterator[tuple[str, int | None
             continue
         for entry in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
             listed += 1
-            if is_hidden(entry.base_name):
+            if not hidden and is_hidden(entry.base_name):
                 continue
             if entry.type == fs.FileType.Directory:
                 found.append(entry.path)
@@ -63,13 +63,13 @@ def _entered(found: deque, where, budget: int) -> Iterator[tuple[str, int | None
                 yield entry.path, entry.size
 
 
-def walk_files(spark: SparkSession, roots: str | list[str], glob: str | None = None, budget: int = BUDGET) -> DataFrame:
+def walk_files(spark: SparkSession, roots: str | list[str], glob: str | None = None, budget: int = BUDGET, hidden: bool = False) -> DataFrame:
     """``(path, size)`` of every file below the roots whose name fits ``glob`` (``*``, ``?``, ``[...]``).
 
     Rounds go on until no folder is left over; a task enters folders until it has listed ``budget`` entries,
     so small trees need one round and large ones are dealt out among ever more tasks. A task holds the
     listing of one folder at a time. Each round is a table on shared storage: what a lost executor listed
-    is not listed twice. A root that does not exist is an error; a folder that vanishes on the way is empty.
+    is not listed twice. Names that Spark's readers leave out are left out unless ``hidden``. A root that does not exist is an error; a folder that vanishes on the way is empty.
     """
     store = Store(spark)
     uris = [store.qualified(r) for r in ([roots] if isinstance(roots, str) else roots)]
@@ -95,7 +95,7 @@ def walk_files(spark: SparkSession, roots: str | list[str], glob: str | None = N
                         [pa.array([root] * len(rows), pa.int32()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["root", "path", "size"])
 
                 queue = deque(p for p in paths if kinds[p].type != fs.FileType.File)
-                for path, size in _entered(queue, where, budget):
+                for path, size in _entered(queue, where, budget, hidden):
                     if size is None or not glob or fnmatchcase(path.rsplit("/", 1)[-1], glob):
                         rows.append((path, size))
                     if len(rows) >= ROWS:

@@ -174,6 +174,38 @@ def test_trees_are_replaced_by_day(spark, fresh):
         assert got == [("t/2024/01/01/A/report.md", 3), ("t/2024/01/02/A/report.md", 1)]
 
 
+def test_a_tree_that_is_stopped_has_lost_nothing(spark, fresh, monkeypatch):
+    from lakeops.sinks import tree as sink
+
+    root = fresh()
+    old = tree(spark, [(f"t/2024/01/0{d}/{k}/report.md", "d", f"old {k}") for d in (1, 2) for k in "ABC"])
+    replace_day_folders(old, root, ["t/2024/01/01", "t/2024/01/02"])
+    new = tree(spark, [(f"t/2024/01/01/{k}/report.md", "d", f"new {k}") for k in "BCD"])
+
+    def listed():
+        return {r.key: open(f"{root}/{r.key}").read() for r in list_objects(spark, root).collect()}
+
+    before = listed()
+    for step in ("write_files", "remove_files"):
+        def stop(*_):
+            raise RuntimeError("stopped")
+
+        with monkeypatch.context() as m:
+            m.setattr(sink, step, stop)
+            with pytest.raises(RuntimeError, match="stopped"):
+                replace_day_folders(new, root, ["t/2024/01/01"])
+        assert before.keys() <= listed().keys()
+    drafts = f"{root}/t/2024/01/01/A/.left-over.partial"
+    open(drafts, "w").write("half")
+    assert replace_day_folders(new, root, ["t/2024/01/01"]) == {"files": 3, "n_bytes": 15}
+    want = {f"t/2024/01/01/{k}/report.md": f"new {k}" for k in "BCD"} | {k: v for k, v in before.items() if "/01/02/" in k}
+    assert listed() == want
+    import os
+    assert not os.path.exists(f"{root}/t/2024/01/01/A") and os.listdir(f"{root}/t/2024/01/01/B") == ["report.md"]
+    replace_day_folders(new.limit(0), root, ["t/2024/01/01", "t/2024/01/09"])
+    assert listed() == {k: v for k, v in before.items() if "/01/02/" in k}
+
+
 def test_trees_refuse_two_rows_for_one_file(spark, fresh):
     root = fresh()
     replace_day_folders(tree(spark, [("t/1/A", "d", "x")]), root, ["t/1"])
