@@ -12,7 +12,7 @@ from lakeops.operators.measures import cents, duration_days, period_pivot
 from lakeops.session import scratch_dir
 from lakeops.sinks.refresh import refresh_tables, to_declared
 from lakeops.sinks.release import publish_release, release_table, release_version
-from lakeops.sinks.upsert import insert_ignore, upsert
+from lakeops.sinks.upsert import insert_ignore, upsert, upsert_files
 from lakeops.sources.registry import Dataset, Registry, Storage, union_by_name
 from lakeops.sources.tables import read_csv_dir
 
@@ -44,6 +44,19 @@ def k2_upsert(spark, sf):
     return upsert(_target(spark, sf), _staging(spark, sf), ["id"], ["created_at"])
 
 
+@query("k2c_upsert_files", f"""
+    SELECT coalesce(o.id, n.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.segment, o.segment) AS segment,
+           o.note, coalesce(o.created_at, n.created_at) AS created_at
+    FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.id = n.id
+""")
+def k2c_upsert_files(spark, sf):
+    """The target is a table of several files, changed in place and read back."""
+    path = scratch_dir(spark, "upserted")
+    _target(spark, sf).repartitionByRange(8, "id").write.parquet(path)
+    upsert_files(spark, path, _staging(spark, sf), ["id"], ["created_at"])
+    return spark.read.parquet(path)
+
+
 @query("k2b_insert_ignore", f"""
     SELECT * FROM ({_OLD})
     UNION ALL SELECT id, name, segment, NULL, created_at FROM ({_NEW}) WHERE id NOT IN (SELECT id FROM ({_OLD}))

@@ -22,8 +22,8 @@ def _fingerprint(df: DataFrame) -> tuple:
     return row.n, row.h
 
 
-def _finish(store: Store, path: str) -> None:
-    """Complete a compaction that had written its journal, or drop what one without a journal left."""
+def finish_replacement(store: Store, path: str) -> None:
+    """Complete a replacement of files that had written its journal, or drop what one without a journal left."""
     work = f"{path}/_compacting"
     if store.exists(f"{work}/journal"):
         plan = json.loads(store.read_text(f"{work}/journal"))
@@ -46,6 +46,18 @@ def _data_files(store: Store, folder: str, below: str = "") -> list[tuple[str, i
     return found
 
 
+def replace_data_files(store: Store, path: str, old: list[str], staged: str) -> int:
+    """Put the data files below ``staged``, which lies in ``path/_compacting``, in the place of ``old``; how many came.
+
+    A journal names what comes and what goes, and is carried out by renames; stopped at any point,
+    ``finish_replacement`` completes it.
+    """
+    new = [name for name, _ in _data_files(store, staged)]
+    store.write_text(f"{path}/_compacting/journal", json.dumps({"old": old, "new": new}))
+    finish_replacement(store, path)
+    return len(new)
+
+
 def compact(spark: SparkSession, path: str, partition: str | None = None, target_bytes: int = TARGET_BYTES) -> int:
     """Rewrite the small files of a parquet table into files of about ``target_bytes``; returns how many were
     planned.
@@ -60,7 +72,7 @@ def compact(spark: SparkSession, path: str, partition: str | None = None, target
     see rows twice, so readers wait for upkeep, as for any change in place.
     """
     store, path = Store(spark), path.rstrip("/")
-    _finish(store, path)
+    finish_replacement(store, path)
     small: dict[str, list[tuple[str, int]]] = {}
     for name, size in _data_files(store, path):
         if size < target_bytes / 2:
@@ -84,9 +96,7 @@ def compact(spark: SparkSession, path: str, partition: str | None = None, target
     if _fingerprint(df) != _fingerprint(spark.read.schema(schema).option("basePath", staged).parquet(staged)):
         store.delete(f"{path}/_compacting")
         raise RuntimeError(f"compaction of {path} would change its content")
-    new = [name for name, _ in _data_files(store, staged)]
-    store.write_text(f"{path}/_compacting/journal", json.dumps({"old": old, "new": new}))
-    _finish(store, path)
+    replace_data_files(store, path, old, staged)
     spark.catalog.refreshByPath(path)
     return sum(wanted.values())
 

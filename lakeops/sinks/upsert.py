@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeops.operators.maintenance import finish_replacement, replace_data_files
+from lakeops.operators.skew import lookup_join
+from lakeops.sources.store import Store
+
 
 class DuplicateKeys(ValueError):
     """The staging data names one target row more than once."""
@@ -36,6 +40,37 @@ def upsert(target: DataFrame, staging: DataFrame, keys: list[str], excluded: lis
     return _merged(target, staging, keys, updates)
 
 
+def upsert_files(
+    spark: SparkSession, path: str, staging: DataFrame, keys: list[str], excluded: list[str] | None = None, partition: str | None = None,
+) -> dict[str, int]:
+    """``upsert`` into a parquet table in place, rewriting only the files that hold a matched key.
+
+    The scan that looks for them reads the keys alone; files without a match keep their names and times.
+    What replaces the others, with the rows that are new, is written aside and swapped in by a journal,
+    which the next call completes if this one is stopped; readers wait meanwhile, as for any change in
+    place. The driver holds the names of the files that change. Returns how many ``rewritten`` and
+    ``written``.
+    """
+    store, path = Store(spark), path.rstrip("/")
+    finish_replacement(store, path)
+    require_unique(staging, keys)
+    schema = spark.read.parquet(path).schema
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    places = spark.read.schema(schema).parquet(path).select(*keys, file.alias("_file"))
+    matched = lookup_join(places, staging.select(*keys), keys, "left_semi").select("_file").distinct()
+    base = store.qualified(path)
+    bare = lambda uri: uri.replace(":///", ":/", 1)  # noqa: E731  (local paths come with either)
+    old = sorted(bare(r["_file"]).removeprefix(f"{bare(base)}/") for r in matched.collect())
+    whole = spark.read.schema(schema).option("basePath", path)
+    held = whole.parquet(*[f"{path}/{name}" for name in old]) if old else spark.createDataFrame([], schema)
+    staged = f"{path}/_compacting/data"
+    merged = upsert(held, staging, keys, excluded)
+    (merged.write.partitionBy(partition) if partition else merged.write).parquet(staged)
+    written = replace_data_files(store, path, old, staged)
+    spark.catalog.refreshByPath(path)
+    return {"rewritten": len(old), "written": written}
+
+
 def insert_ignore(target: DataFrame, staging: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Target with the staging rows whose key is new; of several, the first in ``order``.
 

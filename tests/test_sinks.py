@@ -13,7 +13,7 @@ from lakeops.sinks.release import (
     check_version, dictionary_bucket, output_path, publish_release, release_path, release_table, release_version,
 )
 from lakeops.sinks.tree import DuplicatePaths, replace_day_folders, require_unique_paths
-from lakeops.sinks.upsert import DuplicateKeys, insert_ignore, upsert
+from lakeops.sinks.upsert import upsert_files, DuplicateKeys, insert_ignore, upsert
 from lakeops.sinks.window import overwrite_window
 from lakeops.sources.files import list_objects
 from lakeops.sources.registry import Dataset, Registry, Storage
@@ -276,6 +276,52 @@ def test_bulk_that_fails_leaves_what_was_there(spark, fresh):
     assert read_bulk(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("partition", [None, "k"])
+def test_an_upsert_rewrites_the_files_it_touches(spark, fresh, partition):
+    import os
+
+    path = fresh()
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("k"), F.lit("old").alias("v"), F.lit(1).alias("kept")).repartitionByRange(8, "id")
+    (rows.write.partitionBy(partition) if partition else rows.write).parquet(path)
+    plain = spark.read.parquet(path).select("id", "k", "v", "kept")
+    staging = spark.createDataFrame([(3, 1, "new"), (60, 0, "new"), (1000, 1, "new"), (None, 0, "new")], "id long, k int, v string")
+    want = sorted(map(tuple, upsert(plain, staging, ["id"]).collect()), key=str)
+
+    def files():
+        return {k: os.stat(f"{path}/{k}").st_mtime_ns for k in data_files(spark, path)}
+
+    before = files()
+    done = upsert_files(spark, path, staging, ["id"], partition=partition)
+    after = files()
+    assert done["rewritten"] == 2 == len(before.keys() - after.keys())
+    assert all(after[k] == t for k, t in before.items() if k in after) and len(before.keys() & after.keys()) == len(before) - 2
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "k", "v", "kept").collect()), key=str) == want
+    # Rows that are new alone touch no file; a second run of the same staging changes no content.
+    assert upsert_files(spark, path, staging.where("id = 1000").withColumn("id", F.lit(2000).cast("long")), ["id"], partition=partition)["rewritten"] == 0
+    assert spark.read.parquet(path).count() == len(want) + 1
+
+
+@pytest.mark.parametrize("step", ["rename", "delete"])
+def test_a_stopped_upsert_is_completed(spark, fresh, monkeypatch, step):
+    path = fresh()
+    spark.range(100).select("id", F.lit("old").alias("v")).repartitionByRange(4, "id").write.parquet(path)
+    staging = spark.createDataFrame([(5, "new"), (70, "new"), (500, "new")], "id long, v string")
+    real = getattr(Store, step)
+
+    def stop(self, source, *target):
+        if "_compacting/data" in source or (step == "delete" and source.endswith(".parquet")):
+            raise RuntimeError("stopped")
+        return real(self, source, *target)
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, step, stop)
+        with pytest.raises(RuntimeError, match="stopped"):
+            upsert_files(spark, path, staging, ["id"])
+    upsert_files(spark, path, staging, ["id"])
+    got = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert spark.read.parquet(path).count() == 101 and {k for k, v in got.items() if v == "new"} == {5, 70, 500}
+
+
 def numbered(spark, first, n, files, partition, path, mode="errorifexists"):
     rows = spark.range(first, first + n).select("id", (F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5)).cast("int").alias("k"))
     writer = rows.repartition(files).write.mode(mode)
