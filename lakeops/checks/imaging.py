@@ -31,7 +31,7 @@ _COHORT = r"""
 """
 
 
-def _facts(spark, sf):
+def study_facts(spark, sf):
     path = staged(spark, sf, "facts", lambda p: fx.study_facts(spark, sf).write.parquet(p))
     facts = spark.read.parquet(path)
     return facts.withColumn("log", scrub_log(F.col("raw_log"), F.lit(fx.WORK_DIR))).drop("raw_log")
@@ -131,7 +131,7 @@ def p10_report_only(spark, sf):
 
 @query("p11_study_status", "SELECT * FROM study_outcomes", (*_FACTS, "statuses", "study_outcomes"))
 def p11_study_status(spark, sf):
-    return classify_studies(_facts(spark, sf))
+    return classify_studies(study_facts(spark, sf))
 
 
 @query("x1_problem_report", """
@@ -145,7 +145,7 @@ def x1_problem_report(spark, sf):
     from lakeops.plans.conversion import read_report, write_report
 
     path = scratch_dir(spark, "conversion-report")
-    write_report(problem_report(classify_studies(_facts(spark, sf))), path)
+    write_report(problem_report(classify_studies(study_facts(spark, sf))), path)
     return read_report(spark, path)
 
 
@@ -155,7 +155,7 @@ def x1_problem_report(spark, sf):
     LEFT JOIN study_outcomes o ON o.status = s.status GROUP BY ALL
 """, (*_FACTS, "statuses", "study_outcomes"))
 def g1_status_summary(spark, sf):
-    return status_summary(classify_studies(_facts(spark, sf)))
+    return status_summary(classify_studies(study_facts(spark, sf)))
 
 
 def line_converter():

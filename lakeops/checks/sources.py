@@ -27,7 +27,7 @@ _PARTS = """
 """
 
 
-def _split_parts(spark, sf, fmt):
+def split_parts(spark, sf, fmt):
     """Every part goes to one of three datasets with different columns."""
     def write(root):
         parts = table(spark, sf, "part")
@@ -44,13 +44,13 @@ def _registry(root):
 
 @query("s2_pattern_union", f"SELECT _dataset, p_partkey, p_name, p_brand FROM ({_PARTS}) WHERE _dataset LIKE 'anonymized_parts_%'")
 def s2_pattern_union(spark, sf):
-    registry = _registry(_split_parts(spark, sf, "parquet"))
+    registry = _registry(split_parts(spark, sf, "parquet"))
     return read_matching(spark, registry, ["anonymized_parts_*", "anonymized_*s_b*", "anonymized_zzz*"])
 
 
 @query("s5_parquet_dir_union", f"SELECT * EXCLUDE (_dataset) FROM ({_PARTS})")
 def s5_parquet_dir_union(spark, sf):
-    return read_parquet_dir(spark, f"{_split_parts(spark, sf, 'parquet')}/parts")
+    return read_parquet_dir(spark, f"{split_parts(spark, sf, 'parquet')}/parts")
 
 
 @query("s6_csv_dir_union", f"""
@@ -58,7 +58,7 @@ def s5_parquet_dir_union(spark, sf):
            CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents FROM ({_PARTS})
 """)
 def s6_csv_dir_union(spark, sf):
-    df = read_csv_dir(spark, f"{_split_parts(spark, sf, 'csv')}/parts")
+    df = read_csv_dir(spark, f"{split_parts(spark, sf, 'csv')}/parts")
     cents = F.round(F.col("p_retailprice").cast("double") * 100).cast("bigint").alias("price_cents")
     return df.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", cents)
 
@@ -70,7 +70,7 @@ def s6_csv_dir_union(spark, sf):
 def p15_conform_schema(spark, sf):
     """Each dataset is brought to one declared schema: other types, a column none of them has."""
     declared = T.StructType().add("p_partkey", "integer").add("p_name", "string").add("p_size", "long").add("p_comment", "string")
-    registry = _registry(_split_parts(spark, sf, "parquet"))
+    registry = _registry(split_parts(spark, sf, "parquet"))
     return union_by_name([conform(read_dataset(spark, registry, d), declared) for d in registry.select(["anonymized_*"])])
 
 
