@@ -108,7 +108,7 @@ FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
 
 @query("op10_secret_scans", OP10_SQL)
 def op10(spark, sf_dir):
-    ledger = secret_scan.BlobLedger(spark, scratch_dir(spark, "secret_ledger"))
+    ledger = secret_scan.BlobLedger(spark, secret_scan.ledger_path(spark, "reported"))
     found = ledger.report(ledger.update(table(spark, sf_dir, "documents")))
     s = F.col("spans")
     return found.select(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeops.operators.skew import lookup_join
+from lakeops.session import scratch_dir
 from lakeops.sources.store import Store
 
 
@@ -116,6 +117,17 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.where("inner >= least").select("blob", names[F.col("rule")].alias("rule"), "start", "stop").distinct()
 
 
+#: Session setting that names the folder of a ledger to go on with.
+LEDGER = "lakeops.secret.ledger"
+
+
+def ledger_path(spark: SparkSession, name: str) -> str:
+    """Where the session keeps its ledger ``name``: below the folder that ``LEDGER`` names, so that a later run scans
+    only what is new; without the setting a fresh folder."""
+    base = spark.conf.get(LEDGER, None)
+    return f"{base.rstrip('/')}/{name}" if base else scratch_dir(spark, f"secret_ledger_{name}")
+
+
 class BlobLedger:
     """Findings per blob and rule version, in runs below ``path``.
 
