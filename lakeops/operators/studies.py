@@ -53,8 +53,8 @@ def stored_prefixes(objects: DataFrame, depths: list[int], key: str = "key") ->
 def study_candidates(objects: DataFrame, depths: list[int], key: str = "key") -> DataFrame:
     """``(depth, study)``: the first study folder met below each folder of the given depths.
 
-    An object emits one row per depth that some pattern starts from, folded before the shuffle; the
-    result grows with the folders, not with patterns times folders.
+    Objects are folded to their folders first, so that the expression runs once per folder and depth
+    that some pattern starts from; the result grows with the folders, not with patterns times folders.
     """
     folder = F.col("folder")
     name = STUDY_NAME.removeprefix("^")
@@ -65,7 +65,7 @@ def study_candidates(objects: DataFrame, depths: list[int], key: str = "key") ->
         )
         for d in depths
     ])
-    folders = objects.select(_folder(key).alias("folder"))
+    folders = objects.select(_folder(key).alias("folder")).distinct()
     return folders.select(F.inline(pairs)).where("study <> ''").distinct()
 
 

@@ -54,16 +54,14 @@ def load_catalog(spark: SparkSession, staged: Catalog, root: str) -> DataFrame:
     present, change = set(versions.names()), versions.begin()
     loaded: dict[str, DataFrame] = {}
     translations: dict[str, DataFrame] = {}
-    before: dict[str, int] = {}
+    before: dict[str, DataFrame] = {}
     for name, keys in LOAD_ORDER.items():
         new = getattr(staged, name)
         for table, column, parent, _ in FOREIGN_KEYS:
             if table == name and column in new.columns and parent in translations:
                 new = _translated(new, column, translations[parent])
-        before[name] = 0
         if name in present:
-            old = versions.read(name)
-            before[name] = old.count()
+            old = before[name] = versions.read(name)
             require_unique(new, keys)
             if "id" in new.columns:
                 new, translations[name] = _with_kept_ids(old, new, keys)
@@ -71,21 +69,22 @@ def load_catalog(spark: SparkSession, staged: Catalog, root: str) -> DataFrame:
         new.write.mode("overwrite").parquet(versions.folder(change, name))
         loaded[name] = spark.read.schema(new.schema).parquet(versions.folder(change, name))
     catalog = Catalog(**loaded)
-    counts = []
-    for position, name in enumerate(LOAD_ORDER):
-        orphans = [
-            foreign_key_orphans(catalog, name, column, parent).select(F.lit(column).alias("reference"), F.col(column).cast("string").alias("value"))
-            for table, column, parent, _ in FOREIGN_KEYS if table == name and column in loaded[name].columns
-        ]
-        found = durable(union_by_name(orphans)) if orphans else None
-        example = found.limit(1).collect() if found is not None else []
-        if example:
-            raise ValueError(f"{found.count()} references of {name} lead nowhere, such as {example[0].reference} {example[0].value}")
-        n_orphans = found.agg(F.count(F.lit(1)).alias("n")).scalar() if found is not None else F.lit(0)
-        counts.append(loaded[name].agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), F.lit(position).alias("position"), "n_rows",
-            (F.col("n_rows") - F.lit(before[name])).alias("n_new"), n_orphans.cast("bigint").alias("n_orphans")))
-    summary = durable(union_by_name(counts))
+    # All references are followed in one job, and all tables counted in another.
+    found = durable(union_by_name([
+        foreign_key_orphans(catalog, table, column, parent).select(
+            F.lit(table).alias("table_name"), F.lit(column).alias("reference"), F.col(column).cast("string").alias("value"))
+        for table, column, parent, _ in FOREIGN_KEYS if column in loaded[table].columns
+    ]))
+    example = found.orderBy("table_name", "reference", "value").limit(1).collect()
+    if example:
+        name = example[0].table_name
+        n = found.where(F.col("table_name") == name).count()
+        raise ValueError(f"{n} references of {name} lead nowhere, such as {example[0].reference} {example[0].value}")
+    counted = [loaded[name].agg(F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("bigint").alias("n_before")).select(F.lit(name).alias("table_name"), "*") for name in LOAD_ORDER]
+    counted += [old.agg(F.lit(0).cast("bigint").alias("n_rows"), F.count(F.lit(1)).alias("n_before")).select(F.lit(name).alias("table_name"), "*") for name, old in before.items()]
+    position = F.array_position(F.array(*[F.lit(name) for name in LOAD_ORDER]), F.col("table_name")).cast("int") - 1
+    summary = durable(union_by_name(counted).groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_before").alias("n_before")).select(
+        "table_name", position.alias("position"), "n_rows", (F.col("n_rows") - F.col("n_before")).alias("n_new"), F.lit(0).cast("bigint").alias("n_orphans")))
     versions.commit(change, list(LOAD_ORDER))
     versions.prune()
     return summary
