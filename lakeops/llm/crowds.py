@@ -1,8 +1,9 @@
 """Exact comparison of the members of groups that may be of any size.
 
 A group is cut into blocks. A block is linked within itself first, then the heads of a group's connected
-parts with each other, and only groups that still are not one have all pairs of blocks compared. So a crowd
-of near copies costs about as many comparisons as it has members, and copies of its rows.
+parts with each other. In groups that still are not one, the largest part is left alone and only what is not
+in it is compared with all. So a crowd of near copies costs about as many comparisons as it has members, and
+copies of its rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from lakeops.llm.sketches import mixed
 from lakeops.operators.skew import lookup_join
 
 #: Members that are compared at once, by parity and as whole sets; bytes of such sets.
-PARITY_BLOCK, SET_BLOCK, BLOCK_BYTES = 4096, 1024, 16 << 20
+PARITY_BLOCK, SET_BLOCK, BLOCK_BYTES = 4096, 512, 16 << 20
 WORDS = 8
 _VALUE = np.uint64(0xE7037ED1A0B428DB)
 
@@ -183,6 +184,21 @@ def crowd_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], bl
     heads = written(rows.groupBy("root", "label").agg(F.min(F.struct("node", *[c for c in rest if c != "node"])).alias("x")).select("root", "label", "x.*"), "heads")
     links = written(links.unionByName(all_pairs(heads)), "links")
     rows = labelled(links)
-    still = written(rows.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("root"), "open")
+    parts = written(rows.groupBy("root", "label").agg(F.count("*").alias("n_part")), "parts")
+    largest = parts.groupBy("root").agg(F.count("*").alias("n_parts"), F.max(F.struct("n_part", "label")).alias("x")).where("n_parts > 1")
+    still = written(largest.select("root", F.col("x.label").alias("largest")), "open")
     links = plain.unionByName(links)
-    return links if still.isEmpty() else links.unionByName(all_pairs(lookup_join(rows, still, ["root"], "left_semi")))
+    if still.isEmpty():
+        return links
+    # What is not in the largest part, in blocks of its own, meets all blocks of its root.
+    rows = written(lookup_join(rows, still, ["root"]), "open_rows")
+    outside = rows.where("label <> largest")
+    blocks = crowded.withColumnRenamed("blocks", "n_all").join(outside.groupBy("root").agg(full.cast("int").alias("n_out")), "root")
+    rows, outside = (lookup_join(r.drop("largest"), blocks, ["root"]) for r in (rows, outside))
+    all_of = F.pmod(F.xxhash64("node"), F.col("n_all")).cast("int")
+    out_of = -1 - F.pmod(F.xxhash64("node"), F.col("n_out")).cast("int")
+    met = outside.withColumn("side", out_of).withColumn("low", F.col("side")).withColumn(
+        "high", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
+    meeting = rows.withColumn("side", all_of).withColumn("high", F.col("side")).withColumn(
+        "low", F.explode(F.sequence(-F.col("n_out"), F.lit(-1))))
+    return links.unionByName(linked(met.unionByName(meeting)))

@@ -11,9 +11,7 @@ pair.
 
 Sets that share a key form loose groups. Within one, pairs are first compared by size and by 512 bits of
 parity, which never differ in more places than the sets do; what remains linked is compared exactly. Groups
-of any size are cut into blocks. A block is linked within itself first, then the heads of a group's blocks
-with each other, and only groups that still are not one have all pairs of blocks compared. So a crowd of
-near copies costs about as many comparisons as it has members.
+may be of any size (``crowds``).
 """
 
 from __future__ import annotations
