@@ -277,7 +277,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
     members = written(lookup_join(points, grouped(loose), ["fp"]).select("root", F.col("fp").alias("node"), "n", F.col("parity").alias("payload")), "members")
     close = written(grouped(components(crowd_links(members, compared(by_parity, percent), parity_block))), "close")
-    owners = points.select("fp", F.col("id").alias("owner")).join(close, "fp")
+    owners = written(points.select("fp", F.col("id").alias("owner")).join(close, "fp"), "owners")
 
     @F.arrow_udf(struct_of(fp=LongType(), hashes=BinaryType()))
     def whole(texts: pa.Array) -> pa.Array:
@@ -285,9 +285,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
         return pa.StructArray.from_arrays(
             [pa.array([set_print(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "hashes"])
 
-    # A key that repeats brings other texts along, which their own prints give away.
-    texts = own.join(owners, F.col("doc_id").eqNullSafe(F.col("owner"))).select("root", "fp", whole("t").alias("x")).where("x.fp = fp")
-    sets = written(texts.groupBy("fp", "root").agg(F.first("x.hashes").alias("payload")).select(
+    # Rows of the keys that own a set, and rows without a key; a key that repeats brings other texts along, whose
+    # prints tell which set they are, if any.
+    keys = owners.where("owner IS NOT NULL").select(F.col("owner").alias("doc_id")).distinct()
+    rows = lookup_join(own.where("doc_id IS NOT NULL"), keys.hint("shuffle_hash"), ["doc_id"], "left_semi")
+    if not owners.where("owner IS NULL").isEmpty():
+        rows = rows.unionByName(own.where("doc_id IS NULL"))
+    texts = lookup_join(rows.select(whole("t").alias("x")).select("x.*"), owners.select("fp", "root"), ["fp"])
+    sets = written(texts.groupBy("fp", "root").agg(F.first("hashes").alias("payload")).select(
         "root", F.col("fp").alias("node"), (F.length("payload") / 8).cast("long").alias("n"), "payload"), "sets")
     reached = grouped(components(crowd_links(sets, compared(by_sets, percent), set_block)))
     ids = points.select("fp", "id").join(reached, "fp")

@@ -127,5 +127,26 @@ def test_a_crowd_costs_about_its_members(monkeypatch):
     assert not labels.any() and len(calls) < 2 * len(sets)
 
 
+def test_rows_that_share_one_key_or_none_are_not_multiplied(spark):
+    """One key, and no key, hold most rows, all near copies with texts of their own."""
+    rng = np.random.default_rng(9)
+    centre = [f"c{i}" for i in range(120)]
+    rows = [(k, " ".join(edited(centre, 2, rng))) for k in [7] * 40 + [None] * 40] + [(1, " ".join(centre)), (2, "apart from all")]
+    want, _ = plain_join(rows)
+    seen, real = [], jaccard_join.lookup_join
+
+    def counting(df, dim, keys, how="inner", salts=1):
+        out = real(df, dim, keys, how, salts)
+        if "hashes" in df.columns or "t" in df.columns:
+            seen.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard_join, "lookup_join", counting)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert got(jaccard_join.similar(docs)) == want
+    assert len(seen) == 2 and max(seen) <= len(rows)
+
+
 def test_no_rows(spark, no_rows):
     assert got(jaccard_join.similar(no_rows)) == []
