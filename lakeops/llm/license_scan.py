@@ -125,6 +125,17 @@ class LicenceModel:
         own = bigrams(paragraph)
         return len(own & frozenset().union(*self.templates[family])) / max(1, len(own))
 
+    def trimmed(self, lines: list[str], family: str) -> tuple[int, int]:
+        """First line and end of the lines that are left without those at either end that share no bigram with
+        notices of the family, neither within nor across to the next line."""
+        all_of = frozenset().union(*self.templates[family])
+        a, b = 0, len(lines)
+        while b - a > 1 and not bigrams(f"{lines[a]} {lines[a + 1].split()[0]}") & all_of:
+            a += 1
+        while b - a > 1 and not bigrams(f"{lines[b - 2].split()[-1]} {lines[b - 1]}") & all_of:
+            b -= 1
+        return a, b
+
 
 def calibrated(scores: np.ndarray, temperature: float, unknown: float) -> np.ndarray:
     scores = scores / temperature
@@ -334,11 +345,13 @@ def scan_batch(texts: pa.Array, model: LicenceModel, least: float, alike: float)
     for j in likely_whole.tolist():
         a, b, k = int(begin[j]), int(end[j]), int(whole_family[j])
         if all(line_family[c] == k for c in codes[a:b][confirmed[codes[a:b]]].tolist()):
-            text = "\n".join(lines.distinct[c].as_py() for c in codes[a:b].tolist())
+            parts = [lines.distinct[c].as_py() for c in codes[a:b].tolist()]
+            text = "\n".join(parts)
             score = model.likeness(text, FAMILIES[k])
             if score >= alike and model.covered(text, FAMILIES[k]) >= COVERED:
                 together.add(j)
-                finding(a, b, k, float(of_whole[j, k]), score)
+                head, tail = model.trimmed(parts, FAMILIES[k])
+                finding(a + head, a + tail, k, float(of_whole[j, k]), score)
     hits = [h for h in np.flatnonzero(confirmed[codes]).tolist() if int(paragraph[h]) not in together]
     while hits:
         run = 1

@@ -72,6 +72,13 @@ def test_wrapped_paragraphs_are_one_finding(model):
         assert text[row[0].start:row[0].stop] == part and row[0].line == 2
 
 
+def test_lines_around_a_notice_are_not_part_of_it(model):
+    notice = textwrap.fill(TEMPLATES["ISC"][0], 60)
+    text = f"tools\nlib\n{notice}\nimport this"
+    (finding,), = license_scan.scan_batch(pa.array([text]), model, 0.3, 0.6)
+    assert finding.family == "ISC" and text[finding.start:finding.stop] == notice
+
+
 def test_a_line_within_other_lines_is_found_alone(model):
     text = "\n".join([PROSE[0], PROSE[3], "Licensed under the BSD 3-Clause License.", PROSE[4], PROSE[1]])
     (finding,), = license_scan.scan_batch(pa.array([text]), model, 0.3, 0.6)
