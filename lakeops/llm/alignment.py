@@ -72,7 +72,8 @@ class Aligner:
         self.said = pa.array([f"{i}{mark}" for own, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for mark in marks for i in range(len(own))], pa.large_string())
 
     def tokens_a(self, chunks: list[str]) -> Tokens:
-        return self._tokens(self.a.ids(chunks), self.a.dtype)
+        ids, counts = self.a.coded(pa.array(chunks, pa.large_string()))
+        return Tokens(ids.astype(np.int64), counts)
 
     def tokens_b(self, chunks: list[str]) -> Tokens:
         """Each chunk begins with white space. The model adds a blank of its own, so one is taken off."""

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from lakeops.llm.chunks import REMEMBERED, WHITE, split_chunks
+from lakeops.llm.chunks import WHITE, split_chunks
 from lakeops.llm.words import bounded_batches, per_worker, strings, struct_of, sums
 
+REMEMBERED = 250_000
 #: Cuts text into pieces that are merged apart (fixed by the vocabulary).
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
@@ -37,7 +38,7 @@ def byte_characters() -> list[str]:
 
 
 class BytePairs:
-    def __init__(self, path: str, remembered: int = REMEMBERED // 2):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]

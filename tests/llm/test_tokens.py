@@ -165,3 +165,25 @@ def test_packing_lays_out_every_id_once(spark, odd, size):
 
 def test_packing_an_empty_table(no_rows):
     assert packing.pack(no_rows, path(WORD_BPE)).collect() == []
+
+
+def test_new_chunks_are_coded_many_at_once(monkeypatch):
+    own, given = chunks.Coder(path(BYTE_BPE)), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            given.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    tokenizer, own.tokenizer = own.tokenizer, Counting()
+    texts = [f" w{i:x}é{'.' * (i % 2)}" for i in range(chunks.AT_ONCE)]
+    ids, counts = own.coded(pa.array(texts, pa.large_string()))
+    want = [plain_coders[BYTE_BPE](t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sum(given) <= 3  # the words, the mark, and no mark
+
+
+def test_a_letter_that_becomes_two_stays_with_the_marks_after_it():
+    texts = ["wordİ!", "İ.", "İ", "xİ yŸ, ẞ;"]
+    ids, _ = chunks.encode_texts(pa.array(texts), path(WORD_BPE), False)
+    assert ids.tolist() == [i for t in texts for i in plain_coders[WORD_BPE](t)]
