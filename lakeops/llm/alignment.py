@@ -33,6 +33,8 @@ from lakeops.llm.words import Words, bounded_batches, flat, per_worker, strings,
 REMEMBERED = 100_000
 #: Bytes of text in a batch; its links take several times as much.
 BATCH_BYTES = 2 << 20
+#: Bytes of a row group of batches.
+BLOCK_BYTES = 8 << 20
 #: Mark of a blank in the pieces of B (fixed by the vocabulary).
 BLANK = "▁"
 #: Texts with these are coded whole: pieces of B may reach across them.
@@ -315,7 +317,7 @@ def align(docs: DataFrame, vocabulary_a: str, vocabulary_b: str, key: str = "doc
               "groups_sha256 array<string>, chunks array<int>, codes array<int>, links array<int>, place array<int>, "
               "pair array<long>, documents array<long>, same array<int>, vector array<long>")
     batches = written(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _batch_rows(vocabulary_a, vocabulary_b), schema), "aligned")
+        _batch_rows(vocabulary_a, vocabulary_b), schema), "aligned", block_bytes=BLOCK_BYTES)
     size = len(aligner(vocabulary_a, vocabulary_b).identity)
     irregular = batches.where("vector IS NULL").select("batch", F.posexplode(F.arrays_zip("pair", "documents")).alias("at", "x")).select(
         "batch", "at", "x.pair", "x.documents")

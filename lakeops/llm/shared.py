@@ -9,13 +9,18 @@ from lakeops.session import scratch_dir
 from lakeops.sources.store import Store
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str, block_bytes: int | None = None) -> DataFrame:
     """``df`` as a compressed table below ``spark.checkpoint.dir``, read back with its schema.
 
     Cuts the lineage: when an executor is lost, later stages read files instead of computing again.
+    ``block_bytes`` is for rows of megabytes: writers and readers hold a row group, which Parquet lets grow
+    to a hundred rows before it looks at its size.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if block_bytes:
+        writer = writer.option("parquet.block.size", block_bytes).option("parquet.page.size.row.check.min", 1)
+    writer.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

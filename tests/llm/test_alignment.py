@@ -94,3 +94,15 @@ def test_only_irregular_pairs_are_shuffled(spark):
     same = groups.pairs.tolist()
     assert same and all(own.identity[p >> 32] == p & 0xFFFFFFFF for p in same)
     assert own.bytes_a[same[0] >> 32] == own.bytes_b[same[0] & 0xFFFFFFFF]
+
+
+def test_rows_of_megabytes_do_not_pile_up_in_a_row_group(spark):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from lakeops.llm.shared import written
+
+    rows = spark.range(0, 40, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: F.xxhash64("id", x)).alias("x"))
+    table = written(rows, "large", block_bytes=1 << 20)
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata.num_row_groups for f in table.inputFiles()]
+    assert table.count() == 40 and sum(groups) >= 4
