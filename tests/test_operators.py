@@ -518,3 +518,16 @@ def test_catalog_load_stopped_at_any_table_changes_nothing(spark, sf, fresh, mon
                 load_catalog(spark, cat, root)
     assert {n: VersionedTables(spark, root).path(n) for n in LOAD_ORDER} == before
     assert {r.n_new for r in load_catalog(spark, cat, root).collect()} == {0}
+
+
+def test_copies_are_dealt_out_to_tasks_by_their_number(spark, monkeypatch):
+    from lakeops.operators import catalog
+
+    monkeypatch.setattr(catalog, "TASK_COPIES", 50)
+    monkeypatch.setattr(catalog, "ROW_COPIES", 7)
+    df = spark.createDataFrame([(1, 700), (2, 1), (3, 299), (None, 14)], "a int, _times long").coalesce(1)
+    copies = catalog._repeat(df, ["a"])
+    assert {r.a: r["count"] for r in copies.groupBy("a").count().collect()} == {1: 700, 2: 1, 3: 299, None: 14}
+    per_task = [n for n in copies.rdd.glom().map(len).collect() if n]
+    assert len(per_task) > 15 and max(per_task) <= 100
+    assert catalog._repeat(df.limit(0), ["a"]).count() == 0
