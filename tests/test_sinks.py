@@ -438,3 +438,16 @@ def test_no_parser_runs_for_skipped_documents(spark):
                                  "hl7_id string, dte_of_message string, raw binary, source_format string, parse_status string, parse_error string")
     got = parse_documents(rows, make).first()
     assert (got.parse_status, got.report_markdown, got.tables) == ("skipped", None, [])
+
+
+def test_copies_in_a_published_dictionary_take_little_room(spark, tmp_path):
+    from pathlib import Path
+
+    from lakeops.sinks.release import publish_dictionary
+
+    rows = spark.range(0, 50_000, 1, 1).selectExpr("id DIV 1000 AS id", "'a label of some length' AS label")
+    folder = publish_dictionary({"Value Sets": rows}, str(tmp_path), "africa", "2024-02-02", [], "open-shelf")
+    files = [f for f in Path(folder, "value_sets").iterdir() if f.name.startswith("part-")]
+    assert sum(f.stat().st_size for f in files) < 50_000
+    back = spark.read.option("header", True).csv(f"{folder}/value_sets")
+    assert {(r.id, r["count"]) for r in back.groupBy("id").count().collect()} == {(str(i), 1000) for i in range(50)}
