@@ -28,7 +28,8 @@ def is_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles alike by 0.8 or more."""
+    """One document of each group of near copies. SimHash fingerprints at most 4 bits apart and bands of minima name
+    the candidates; those link whose five-word shingles are alike by 0.8 or more."""
     return near_copies.one_of_each(docs)
 
 

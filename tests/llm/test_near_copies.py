@@ -80,3 +80,17 @@ def test_crowds_are_not_copied_by_block(spark):
     links = crowds.components(crowds.crowd_links(members, lambda r: (seen.append(r.count()), run(r))[1], 10)).collect()
     assert len(links) == 599 and {r.root for r in links} == {0}
     assert sum(seen) <= 600 + 60 * 7  # all pairs of 60 blocks would be 36,000 rows
+
+
+def test_stage_links_simhash_fingerprints(spark, monkeypatch):
+    """Fingerprints at most 4 bits apart are candidates of their own, bands or not; similarity decides."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(f"v{i}" for i in range(400)), ""]
+    assert (plain_print(texts[0]) ^ plain_print(texts[1])).bit_count() <= 4
+    seen, links = [], near_copies.near_links
+    monkeypatch.setattr(near_copies, "near_links", lambda points, distance: (seen.append((points.count(), distance)), links(points, distance))[1])
+    monkeypatch.setattr(near_copies, "band_keys", lambda sets: np.arange(len(sets) * near_copies.BANDS).reshape(-1, near_copies.BANDS) * 1009 + len(sets[0]) if sets else np.zeros((0, near_copies.BANDS), np.int64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = corpus_pipeline.one_per_group(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    assert seen == [(3, 4)]
