@@ -14,6 +14,7 @@ from lakeops.functions.documents import (
 )
 from lakeops.operators.once import evaluate_once
 from lakeops.operators.supervised import Supervised
+from lakeops.session import small_batches
 
 # Columns of the two outputs, and the statuses and errors found in them.
 REPORT_SCHEMA = (
@@ -61,8 +62,9 @@ def parse_documents(decoded: DataFrame, make_parser: Callable[[], Parser], limit
     ``make_parser`` runs once per task, so a costly model is loaded once. A document that raises or
     ends in any status but success is reported and never fails its batch. With ``limit_seconds`` the
     parser runs in a process of its own; a document that takes longer is a failure, the process is ended
-    and the next document gets a new one.
+    and the next document gets a new one. A batch of documents is bounded in bytes.
     """
+    small_batches(decoded.sparkSession)
 
     def unpack(result):
         status = str(result["status"])

@@ -31,6 +31,15 @@ def lake_session(app: str, master: str | None = None, **conf: str) -> SparkSessi
     return builder.getOrCreate()
 
 
+#: Bytes of rows that Spark hands to Python at once.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark cut Arrow batches by bytes, so that 10,000 rows of long values do not pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _shared_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.operators.skew import lookup_join
-from lakeops.session import durable, forget
+from lakeops.session import durable, forget, small_batches
 from lakeops.sources.listing import place_of, walk_files
 from lakeops.sources.store import Store, arrow_uri
 
@@ -30,8 +30,9 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 
     Tasks write to the storage directly. A file is written under a temporary name and renamed, so a
     task that is run again after a lost executor ends with the same file. Temporary names start with a
-    dot, which every listing leaves out, and are removed when a write fails.
+    dot, which every listing leaves out, and are removed when a write fails. A batch of files is bounded in bytes.
     """
+    small_batches(files.sparkSession)
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 

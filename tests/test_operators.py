@@ -531,3 +531,17 @@ def test_copies_are_dealt_out_to_tasks_by_their_number(spark, monkeypatch):
     per_task = [n for n in copies.rdd.glom().map(len).collect() if n]
     assert len(per_task) > 15 and max(per_task) <= 100
     assert catalog._repeat(df.limit(0), ["a"]).count() == 0
+
+
+def test_python_gets_long_values_in_batches_of_bounded_bytes(spark, tmp_path):
+    from lakeops.operators.documents import parse_documents
+    from lakeops.session import BATCH_BYTES
+    from lakeops.sinks.tree import write_files
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    decoded = spark.createDataFrame([], "hl7_id string, dte_of_message string, raw binary, source_format string, parse_status string, parse_error string")
+    files = spark.createDataFrame([], "path string, content string")
+    for build in (lambda: parse_documents(decoded, lambda: None), lambda: write_files(files, str(tmp_path))):
+        spark.conf.unset(name)
+        build()
+        assert int(spark.conf.get(name)) == BATCH_BYTES
