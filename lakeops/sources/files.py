@@ -21,7 +21,7 @@ COHORT_NA = [
 ]
 
 #: Bytes of objects that a task holds before it hands them on.
-OPEN_BYTES = 8 << 20
+OPEN_BYTES = 2 << 20
 
 
 def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
