@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lakeops.checks import fixtures as fx
@@ -10,12 +13,12 @@ from lakeops.functions.text import fold_keyword
 from lakeops.operators.catalog import (
     SHEETS, Catalog, constraint_violations, dictionary, expand_lineage, index_counts, scan_metadata, table_variable_counts,
 )
-from lakeops.operators.nested import resource_docs, table_docs, variable_docs
+from lakeops.operators.nested import resource_docs, table_docs, variable_docs, variable_heads
 from lakeops.plans.catalog_load import load_catalog
 from lakeops.sources.registry import union_by_name
 from lakeops.sources.versions import VersionedTables
-from lakeops.session import durable, scratch_dir
-from lakeops.sinks.bulk import read_bulk, write_bulk
+from lakeops.session import scratch_dir
+from lakeops.sinks.bulk import Shared, read_bulk, write_bulk
 from lakeops.sinks.release import publish_dictionary
 
 CODE = "africa"
@@ -167,18 +170,45 @@ def d3_variable_centric(spark, sf):
 """, _ALL)
 def k8_index_documents(spark, sf):
     """Documents are delivered as JSON lines and read back chunk by chunk, by their byte ranges. Small chunks and
-    small parts show that chunks keep the order, and that no nested object is lost between documents."""
+    small parts show that chunks keep the order, and that no nested object is lost between documents. A value set
+    is written once and set into the documents of every variable that refers to it as they are read."""
     path = scratch_dir(spark, "bulk")
-    write_bulk(variable_docs(fx.catalog(spark, sf), limit=8), path, "var_id", chunk=30)
-    body = F.from_json(F.get_json_object("line", "$._source"),
-                       "var_id bigint, var_name string, part int, value_set struct<values: array<struct<vsval_code: string>>>")
-    read = durable(read_bulk(spark, path).select("chunk", "ordinal", body.alias("b")).select("chunk", "ordinal", "b.*"))
-    codes = F.transform(F.coalesce("value_set.values", F.array().cast("array<struct<vsval_code: string>>")), lambda v: v["vsval_code"])
-    whole = read.withColumn("codes", codes).groupBy("var_id").agg(
-        F.sum(F.size("codes")).cast("bigint").alias("n_codes"),
-        F.md5(F.array_join(F.array_sort(F.flatten(F.collect_list("codes"))), ",")).alias("codes_md5"))
-    return read.groupBy("chunk", "var_id", "var_name").agg(
-        F.count(F.lit(1)).alias("n_documents"), F.min("ordinal").alias("first_ordinal")).join(whole, "var_id")
+    heads, sets = variable_heads(fx.catalog(spark, sf), limit=8)
+    write_bulk(heads, path, "var_id", chunk=30, shared=Shared(sets, "vs_id"))
+    kind = "_source struct<var_id: bigint, var_name: string, part: int, value_set: struct<values: array<struct<vsval_code: string>>>>"
+    body = F.from_json("line", kind)["_source"]
+    codes = F.transform(F.coalesce("b.value_set.values", F.array().cast("array<struct<vsval_code: string>>")), lambda v: v["vsval_code"])
+    read = read_bulk(spark, path).select("chunk", "ordinal", body.alias("b")).select("chunk", "ordinal", "b.var_id", "b.var_name", codes.alias("codes"))
+    return read.mapInArrow(_fold_variables, "chunk bigint, var_id bigint, var_name string, n_documents bigint, first_ordinal bigint, n_codes bigint, codes_md5 string")
+
+
+def _fold_variables(batches):
+    """Documents by chunk and variable, and the codes of the variable's documents, which follow each other."""
+    def told():
+        text = ",".join(sorted(c for c in codes if c is not None))
+        n, digest = len(codes), hashlib.md5(text.encode()).hexdigest()
+        keys = list(chunks)
+        for i in range(0, len(keys), 50_000):
+            some = keys[i:i + 50_000]
+            yield pa.RecordBatch.from_pydict({
+                "chunk": pa.array(some, pa.int64()), "var_id": pa.array([last[0]] * len(some), pa.int64()), "var_name": pa.array([last[1]] * len(some), pa.string()),
+                "n_documents": pa.array([chunks[c][0] for c in some], pa.int64()), "first_ordinal": pa.array([chunks[c][1] for c in some], pa.int64()),
+                "n_codes": pa.array([n] * len(some), pa.int64()), "codes_md5": pa.array([digest] * len(some), pa.string())})
+
+    last, chunks, codes = None, {}, []
+    for batch in batches:
+        ids, names, lists = (batch.column(c) for c in ("var_id", "var_name", "codes"))
+        rows = zip(ids.to_pylist(), names.to_pylist(), batch.column("chunk").to_pylist(), batch.column("ordinal").to_pylist(), lists.to_pylist())
+        for var_id, name, chunk, ordinal, some in rows:
+            if last != (var_id, name):
+                if last:
+                    yield from told()
+                last, chunks, codes = (var_id, name), {}, []
+            n, first = chunks.get(chunk, (0, ordinal))
+            chunks[chunk] = n + 1, min(first, ordinal)
+            codes += some
+    if last:
+        yield from told()
 
 
 # What tells the rows of each published sheet apart.

@@ -134,8 +134,8 @@ def table_docs(cat: Catalog, limit: int = TABLE_LIMIT, lineage: DataFrame | None
     return _attach(docs, _nest(variables, "tab_id", parts, "var_id", F.struct(*_VARIABLE), "variables"), "tab_id", "variables")
 
 
-def variable_docs(cat: Catalog, limit: int = VARIABLE_LIMIT, lineage: DataFrame | None = None) -> DataFrame:
-    """Variables with their owner, parents and value set; the codes are what may need parts."""
+def variable_heads(cat: Catalog, limit: int = VARIABLE_LIMIT, lineage: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Variables with their owner and parents, and the parts of the value sets, which ``vs_id`` of both leads to."""
     codes = cat.value_set_code.select(F.col("value_set_id").alias("vs_id"), F.col("code").alias("vsval_code"),
                                       F.col("label_en").alias("vsval_label_en"), F.col("label_fr").alias("vsval_label_fr"))
     parts = _parts(codes.withColumn("weight", F.lit(1)), "vs_id", limit)
@@ -159,9 +159,11 @@ def variable_docs(cat: Catalog, limit: int = VARIABLE_LIMIT, lineage: DataFrame
         *([F.col("variable_status").alias("var_status")] if "variable_status" in cat.variable.columns else []),
         *[F.col(c).alias(f"var_{c}") for c in extra],
     )
-    return (
-        header.join(tables, "tab_id").join(_resource_struct(cat), "rs_id").drop("tab_id", "rs_id")
-        .join(_lineage(cat, lineage), "var_id")
-        .join(sets.select("vs_id", "part", value_set), "vs_id", "left")
-        .drop("vs_id").fillna(0, ["part"])
-    )
+    heads = header.join(tables, "tab_id").join(_resource_struct(cat), "rs_id").drop("tab_id", "rs_id").join(_lineage(cat, lineage), "var_id")
+    return heads, sets.select("vs_id", "part", value_set)
+
+
+def variable_docs(cat: Catalog, limit: int = VARIABLE_LIMIT, lineage: DataFrame | None = None) -> DataFrame:
+    """Variables with their owner, parents and value set; the codes are what may need parts."""
+    heads, sets = variable_heads(cat, limit, lineage)
+    return heads.join(sets, "vs_id", "left").drop("vs_id").fillna(0, ["part"])

@@ -21,7 +21,7 @@ from lakeops.operators.measures import (
     backfill_extract, duplicates, interval_grid, lab_pairs, next_start, period_of_year,
 )
 from lakeops.operators.manifests import index_documents, update_index
-from lakeops.operators.nested import resource_docs, variable_docs
+from lakeops.operators.nested import resource_docs, variable_docs, variable_heads
 from lakeops.operators.ordering import first_appearance, latest_per_key, status_history, with_ordinals
 from lakeops.operators.quality import greater_or_equal_partition_counts, greater_partition_counts
 from lakeops.operators.studies import (
@@ -33,7 +33,7 @@ from lakeops.sources.versions import VersionedTables
 from lakeops.plans.conversion import convert, read_report, resolve_studies, run_study_job, write_report
 from lakeops.plans.document_job import run_document_job
 from lakeops.plans.publication import publish_search
-from lakeops.sinks.bulk import bulk_documents, write_bulk
+from lakeops.sinks.bulk import Shared, bulk_documents, read_bulk, write_bulk
 from lakeops.sinks.tree import write_files
 from lakeops.sources.files import list_objects
 from lakeops.functions.grid import ntz
@@ -405,6 +405,15 @@ def test_documents_are_indexed_once_per_part(spark, sf, fresh):
         write_bulk(docs.unionByName(docs.where("var_id = 0 AND part = 0")), fresh(), "var_id")
 
 
+def test_variable_documents_of_shared_value_sets_are_the_same_lines(spark, sf, fresh):
+    cat, whole, apart = fx.catalog(spark, sf), fresh(), fresh()
+    heads, sets = variable_heads(cat, limit=8)
+    write_bulk(variable_docs(cat, limit=8), whole, "var_id", chunk=30)
+    write_bulk(heads, apart, "var_id", chunk=30, shared=Shared(sets, "vs_id"))
+    want, got = (sorted(map(tuple, read_bulk(spark, p).collect())) for p in (whole, apart))
+    assert got == want and len(want) > heads.count()
+
+
 def test_a_bad_parser_result_is_a_failed_document(spark):
     results = {
         "a": {"status": "success", "markdown": "# a", "tables": [("x,y", 1, 2, None)]}, "b": {"status": "success"}, "c": None, "d": {},

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from lakeops.operators.documents import parse_documents
 from lakeops.operators.maintenance import compact, drop_old_versions, retained_versions
 from lakeops.plans.document_job import run_document_job
-from lakeops.sinks.bulk import read_bulk, write_bulk
+from lakeops.sinks.bulk import Shared, read_bulk, write_bulk
 from lakeops.sinks.refresh import refresh_tables, to_declared
 from lakeops.sinks.release import (
     check_version, dictionary_bucket, output_path, publish_release, release_path, release_table, release_version,
@@ -276,6 +276,57 @@ def test_bulk_that_fails_leaves_what_was_there(spark, fresh):
     assert read_bulk(spark, path).count() == 0
 
 
+def _told_apart(spark, sources, parts):
+    """Sources of few sets: every seventh has none, every eleventh one that is unknown."""
+    key = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 11 == 0, 99).otherwise(F.col("id") % 3).cast("int")
+    heads = spark.range(sources).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit('a "b"\n\\'), F.col("id").cast("string")).alias("text"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00.123456'").alias("t"), F.when(F.col("id") % 2 == 0, "é").alias("opt"), key.alias("set_id"))
+    pieces = spark.range(3 * parts).select(
+        (F.col("id") % 3).cast("int").alias("set_id"), F.floor(F.col("id") / 3).cast("int").alias("part"),
+        F.struct(F.array(F.lit('","_source":{'), F.repeat(F.lit("x"), 300), F.col("id").cast("string")).alias("codes")).alias("held"))
+    return heads, pieces
+
+
+def test_documents_of_shared_pieces_are_those_written_whole(spark, fresh):
+    heads, pieces = _told_apart(spark, 60, 40)
+    whole, apart = fresh(), fresh()
+    docs = heads.join(pieces, "set_id", "left").fillna(0, ["part"]).drop("set_id")
+    a = write_bulk(docs, whole, "doc_id", chunk=17)
+    b = write_bulk(heads.repartition(5), apart, "doc_id", chunk=17, shared=Shared(pieces.repartition(3), "set_id"))
+
+    def chunks(table):
+        return sorted((r.chunk, r.n, r.first, r.low, r.high) for r in table.groupBy("chunk").agg(
+            F.sum("n").alias("n"), F.min("first_ordinal").alias("first"), F.min_by("first_id", "first_ordinal").alias("low"), F.max_by("last_id", "first_ordinal").alias("high")).collect())
+
+    assert chunks(a) == chunks(b)
+    want, got = (sorted(map(tuple, read_bulk(spark, p).collect())) for p in (whole, apart))
+    assert got == want and len(got) == docs.count() > 1500
+
+
+def test_shared_pieces_are_written_once(spark, fresh):
+    def written(sources, parts):
+        heads, pieces = _told_apart(spark, sources, parts)
+        path = fresh()
+        write_bulk(heads, path, "doc_id", chunk=30, shared=Shared(pieces, "set_id"))
+        assert read_bulk(spark, path).count() > sources * parts // 2
+        return sum(r.size for name in ("data", "shared") for r in list_objects(spark, f"{path}/{name}").collect())
+
+    once, twice = written(100, 50), written(200, 100)  # four times as many documents
+    assert twice < 2.2 * once
+
+
+def test_shared_pieces_that_are_not_whole_or_come_twice_are_an_error(spark, fresh):
+    heads, pieces = _told_apart(spark, 20, 5)
+    path = fresh()
+    for some, more, told in ((heads, pieces.where("part <> 2"), "do not count from 0"), (heads, pieces.unionByName(pieces), "share the id"),
+                             (heads.unionByName(heads), pieces, "share the id")):
+        with pytest.raises(ValueError, match=told):
+            write_bulk(some, path, "doc_id", shared=Shared(more, "set_id"))
+    write_bulk(heads.limit(0), path, "doc_id", shared=Shared(pieces, "set_id"))
+    assert read_bulk(spark, path).count() == 0
+
+
 @pytest.mark.parametrize("partition", [None, "k"])
 def test_an_upsert_rewrites_the_files_it_touches(spark, fresh, partition):
     import os
