@@ -11,7 +11,7 @@ from lakeops.checks import fixtures as fx
 from lakeops.checks.base import query, table
 from lakeops.functions.text import fold_keyword
 from lakeops.operators.catalog import (
-    SHEETS, Catalog, constraint_violations, dictionary, expand_lineage, index_counts, scan_metadata, table_variable_counts,
+    SHEETS, TIMES, Catalog, constraint_violations, dictionary, expand_lineage, index_counts, scan_metadata, table_variable_counts,
 )
 from lakeops.operators.nested import resource_docs, table_docs, variable_docs, variable_heads
 from lakeops.plans.catalog_load import load_catalog
@@ -19,7 +19,7 @@ from lakeops.sources.registry import union_by_name
 from lakeops.sources.versions import VersionedTables
 from lakeops.session import durable, scratch_dir
 from lakeops.sinks.bulk import Shared, read_bulk, write_bulk
-from lakeops.sinks.release import publish_dictionary
+from lakeops.sinks.release import publish_dictionary, read_folded
 
 CODE = "africa"
 _ALL = ("resource", "analyst", "dict_table", "variable", "value_set", "value_set_code", "mapping")
@@ -230,13 +230,14 @@ _SHEET_KEYS = {
     ) AS sheets GROUP BY 1, 2
 """, _AFRICA)
 def k7_publish_dictionary(spark, sf):
-    """The sheets are published and read back: every row, with its multiplicity."""
-    sheets = dictionary(fx.catalog(spark, sf), CODE)
-    folder = publish_dictionary(sheets, scratch_dir(spark, "dictionary"), CODE, "2024-02-02", ["open-shelf", "published-clinical-shop"], "open-shelf")
+    """The sheets are published and read back: every row, with its multiplicity. Copies are written out one by one,
+    and counted where they are read."""
+    sheets = dictionary(fx.catalog(spark, sf), CODE, folded=True)
+    folder = publish_dictionary(sheets, scratch_dir(spark, "dictionary"), CODE, "2024-02-02", ["open-shelf", "published-clinical-shop"], "open-shelf", TIMES)
     found = []
     for sheet, (a, b) in _SHEET_KEYS.items():
-        rows = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/{sheet.lower().replace(' ', '_')}")
-        found.append(rows.groupBy(F.concat_ws(":", a, b).alias("content")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(sheet).alias("sheet"), "content", "n"))
+        rows = read_folded(spark, f"{folder}/{sheet.lower().replace(' ', '_')}")
+        found.append(rows.groupBy(F.concat_ws(":", a, b).alias("content")).agg(F.sum(TIMES).alias("n")).select(F.lit(sheet).alias("sheet"), "content", "n"))
     return union_by_name(found)
 
 

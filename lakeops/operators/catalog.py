@@ -85,47 +85,57 @@ def _references(cat: Catalog, code: str) -> DataFrame:
     """How many variables of the resource refer to each value set."""
     return (
         published_variables(cat, code).where(F.col("value_set_id").isNotNull())
-        .groupBy("value_set_id").agg(F.count(F.lit(1)).alias("_times"))
+        .groupBy("value_set_id").agg(F.count(F.lit(1)).alias(TIMES))
     )
 
 
 #: Copies that one task makes, and the most that it makes of one row.
 TASK_COPIES, ROW_COPIES = 1 << 21, 1 << 12
 
+#: Column that tells how many copies a row of a folded sheet stands for.
+TIMES = "_times"
 
-def _repeat(df: DataFrame, columns: list[str]) -> DataFrame:
+
+def in_shares(rows: DataFrame, times: str, tasks: int) -> DataFrame:
+    """Rows cut into shares of at most ``ROW_COPIES`` copies, dealt out evenly to ``tasks``."""
+    last = F.floor((F.col(times) - 1) / ROW_COPIES)
+    shares = rows.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return shares.withColumn(times, F.least(F.lit(ROW_COPIES), F.col(times) - F.col("_share") * ROW_COPIES)).drop("_share").repartition(tasks)
+
+
+def _repeat(df: DataFrame, columns: list[str], folded: bool = False) -> DataFrame:
     """Bag multiplicity as an explode at the very end, after all shuffles.
 
     Codes times variables outgrow the tables, and Spark sizes tasks by what they read. So the rows are
     counted with their copies, cut into shares of a bounded number of copies and dealt out evenly to as
-    many tasks as the copies need.
+    many tasks as the copies need. With ``folded``, rows come once, and ``TIMES`` tells how often they count.
     """
-    rows = durable(df.select(*columns, "_times"))
-    tasks = -(-(rows.agg(F.sum("_times")).first()[0] or 0) // TASK_COPIES)
+    if folded:
+        return df.select(*columns, TIMES)
+    rows = durable(df.select(*columns, TIMES))
+    tasks = -(-(rows.agg(F.sum(TIMES)).first()[0] or 0) // TASK_COPIES)
     if tasks > 1:
-        last = F.floor((F.col("_times") - 1) / ROW_COPIES)
-        shares = rows.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        rows = shares.withColumn("_times", F.least(F.lit(ROW_COPIES), F.col("_times") - F.col("_share") * ROW_COPIES)).repartition(tasks)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+        rows = in_shares(rows, TIMES, tasks)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*columns)
 
 
-def published_value_sets(cat: Catalog, code: str) -> DataFrame:
+def published_value_sets(cat: Catalog, code: str, folded: bool = False) -> DataFrame:
     """Value sets once per variable that refers to them."""
     refs = _references(cat, code).withColumnRenamed("value_set_id", "id")
-    return _repeat(cat.value_set.join(refs, "id"), cat.value_set.columns)
+    return _repeat(cat.value_set.join(refs, "id"), cat.value_set.columns, folded)
 
 
-def published_codes(cat: Catalog, code: str) -> DataFrame:
+def published_codes(cat: Catalog, code: str, folded: bool = False) -> DataFrame:
     """Codes once per variable that refers to their value set."""
-    return _repeat(cat.value_set_code.join(_references(cat, code), "value_set_id"), cat.value_set_code.columns)
+    return _repeat(cat.value_set_code.join(_references(cat, code), "value_set_id"), cat.value_set_code.columns, folded)
 
 
-def published_mappings(cat: Catalog, code: str) -> DataFrame:
+def published_mappings(cat: Catalog, code: str, folded: bool = False) -> DataFrame:
     """Mappings with the multiplicity of the codes they belong to."""
     codes = cat.value_set_code.join(_references(cat, code), "value_set_id").select(
-        F.col("id").alias("value_set_code_id"), "_times"
+        F.col("id").alias("value_set_code_id"), TIMES
     )
-    return _repeat(cat.mapping.join(codes, "value_set_code_id"), cat.mapping.columns)
+    return _repeat(cat.mapping.join(codes, "value_set_code_id"), cat.mapping.columns, folded)
 
 
 # Names of the published result sets, in order.
@@ -139,9 +149,16 @@ SHEETS = {
 }
 
 
-def dictionary(cat: Catalog, code: str) -> dict[str, DataFrame]:
-    """The six published result sets of a resource; all empty unless its dictionary is published."""
-    return {name: build(cat, code) for name, build in SHEETS.items()}
+# Sheets whose rows come once per variable that refers to them.
+_BAGS = ("Value Sets", "Value Set Codes", "Mappings")
+
+
+def dictionary(cat: Catalog, code: str, folded: bool = False) -> dict[str, DataFrame]:
+    """The six published result sets of a resource; all empty unless its dictionary is published.
+
+    With ``folded``, rows that come once per variable come once, with their number in ``TIMES``.
+    """
+    return {name: build(cat, code, folded=True) if folded and name in _BAGS else build(cat, code) for name, build in SHEETS.items()}
 
 
 def expand_lineage(cat: Catalog) -> DataFrame:

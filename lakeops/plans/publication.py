@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeops.operators.catalog import Catalog, dictionary, expand_lineage, published_resource
+from lakeops.operators.catalog import TIMES, Catalog, dictionary, expand_lineage, published_resource
 from lakeops.operators.nested import ID_COLUMNS, resource_docs, table_docs, variable_docs
 from lakeops.session import durable, forget
 from lakeops.sinks.bulk import write_bulk
@@ -22,7 +22,7 @@ def publish_project(
     plan = publish_release(spark, registry, base, code, check_version(version), out, default_bucket)
     if include_dictionary:
         buckets = [r.bucket for r in plan.select("bucket").distinct().collect()]
-        publish_dictionary(dictionary(cat, code), out, code, version, buckets, default_bucket)
+        publish_dictionary(dictionary(cat, code, folded=True), out, code, version, buckets, default_bucket, TIMES)
     return plan
 
 

@@ -502,3 +502,43 @@ def test_copies_in_a_published_dictionary_take_little_room(spark, tmp_path):
     assert sum(f.stat().st_size for f in files) < 50_000
     back = spark.read.option("header", True).csv(f"{folder}/value_sets")
     assert {(r.id, r["count"]) for r in back.groupBy("id").count().collect()} == {(str(i), 1000) for i in range(50)}
+
+
+def test_copies_of_a_folded_sheet_are_written_and_read_as_bytes(spark, tmp_path):
+    """Every copy is in the files as Spark's reader sees them, and the folded reader counts all of them."""
+    from pathlib import Path
+
+    from lakeops.sinks.release import publish_dictionary, read_folded
+
+    rows = spark.createDataFrame(
+        [(1, 'a "b", c', 5000), (2, None, 1), (3, "", 300), (3, "", 2), (4, "é\\x", 9000), (None, " lead", 17), (5, "gone", 0)], "id int, label string, _times long").coalesce(1)
+    plain = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).where("_times > 0").select("id", "label")
+    one, two = (publish_dictionary({"Value Sets": df}, str(tmp_path / name), "africa", "2024-02-02", [], "open-shelf", "_times") for name, df in (("a", rows), ("b", plain)))
+
+    def counted(folder):
+        back = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/value_sets")
+        return {(r.id, r.label): r["count"] for r in back.groupBy("id", "label").count().collect()}
+
+    want = counted(two)
+    assert counted(one) == want and sum(want.values()) == 14320
+    for folder in (one, two):
+        folded = read_folded(spark, f"{folder}/value_sets")
+        assert {(r.id, r.label): r.n for r in folded.groupBy("id", "label").agg(F.sum("_times").alias("n")).collect()} == want
+    assert read_folded(spark, f"{one}/value_sets").count() < 10
+    assert all(f.name.endswith(".csv.gz") for f in Path(one, "value_sets").glob("part-*"))
+    many = spark.createDataFrame([(i, 4_000_000) for i in range(5)], "id int, _times long")
+    folder = publish_dictionary({"Value Sets": many, "Empty": many.limit(0)}, str(tmp_path / "c"), "africa", "2024-02-02", [], "open-shelf", "_times")
+    found = read_folded(spark, f"{folder}/value_sets").groupBy("id").agg(F.sum("_times").alias("n")).collect()
+    assert {(r.id, r.n) for r in found} == {(str(i), 4_000_000) for i in range(5)}
+    assert read_folded(spark, f"{folder}/empty").columns == ["id", "_times"] and read_folded(spark, f"{folder}/empty").isEmpty()
+
+
+def test_lines_are_counted_wherever_blocks_end():
+    from lakeops.sinks.release import runs_of_lines
+
+    lines = [b"a"] * 3 + [b"ab"] * 700 + [b"b,c"] + [b"aa"] * 50 + [b"x" * 300] * 2 + [b"z"]
+    for end in (b"\n", b"\r\n", b"\r"):
+        text = end.join(lines)
+        for step in (1, 7, 64, 10_000):
+            found = runs_of_lines(text[i:i + step] for i in range(0, len(text), step))
+            assert [x for line, n in found for x in [line] * n] == lines
